@@ -38,6 +38,8 @@ BLOCK_ROWS, BLOCK_CELLS = 1024, 500_000
 BROADCAST_ROWS = 400_000
 #: Entries of a mapper that are combined before they leave it.
 COMBINE = 1 << 20
+#: One text in SAMPLE_SHARE is counted; a column in SAMPLE_LEAST of these is common. Both only steer the work.
+SAMPLE_SHARE, SAMPLE_LEAST, COMMON_MOST = 16, 4, 4_000_000
 
 
 @functools.cache
@@ -77,21 +79,39 @@ def _cuts(blocks: int) -> np.ndarray:
     return np.array([i * step for i in range(1, blocks)], np.uint64)
 
 
-def signatures(row: np.ndarray, num: int = NUM, den: int = DEN) -> np.ndarray:
-    """Signatures of the column blocks of a row (sorted distinct shingle hashes)."""
+def _common_mask(row: np.ndarray, bitmap: np.ndarray) -> np.ndarray:
+    at = (row >> np.uint64(7)) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _column_blocks(row: np.ndarray, blocks: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, is it non-empty) of every column block of a sorted row."""
     sums = np.zeros(len(row) + 1, np.uint64)
     np.cumsum(K.mix(row + np.uint64(0x5851F42D4C957F2D)), out=sums[1:])
+    at = np.empty(blocks + 1, np.int64)
+    at[0], at[-1] = 0, len(row)
+    at[1:-1] = np.searchsorted(row, _cuts(blocks))
+    size = at[1:] - at[:-1]
+    return K.mix(sums[at[1:]] - sums[at[:-1]] + np.uint64(salt * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF) + (np.arange(blocks) * 64 + np.minimum(size, 63)).astype(np.uint64)), size > 0
+
+
+def signatures(row: np.ndarray, num: int = NUM, den: int = DEN, bitmap: np.ndarray | None = None) -> np.ndarray:
+    """Signatures of the column blocks of a row (sorted distinct shingle hashes).
+
+    Columns in ``bitmap`` (common ones) are left out first: a pair that differs in few columns
+    differs in no more of the others, so it still agrees in a block of them, and if the row has
+    fewer empty blocks than must agree, in one that is not empty. A row for which empty blocks
+    could be all that agrees says its blocks over all columns too.
+    """
+    rare = row if bitmap is None else row[~_common_mask(row, bitmap)]
     out = []
     for f, differ, blocks in _families(len(row), num, den):
-        at = np.empty(blocks + 1, np.int64)
-        at[0], at[-1] = 0, len(row)
-        at[1:-1] = np.searchsorted(row, _cuts(blocks))
-        size = at[1:] - at[:-1]
-        sig = K.mix(sums[at[1:]] - sums[at[:-1]] + np.uint64(f * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF) + (np.arange(blocks) * 64 + np.minimum(size, 63)).astype(np.uint64))
-        full = size > 0
-        # Blocks in which both rows are empty agree too; a row says so only if such blocks
-        # could be all that it shares with a partner.
-        out.append(sig if blocks - int(full.sum()) >= blocks - differ else sig[full])
+        must = blocks - differ
+        sig, full = _column_blocks(rare, blocks, 2 * f)
+        out.append(sig[full])
+        if blocks - int(full.sum()) >= must:
+            sig, full = _column_blocks(row, blocks, 2 * f + 1)
+            out.append(sig if blocks - int(full.sum()) >= must else sig[full])
     return np.concatenate(out)
 
 
@@ -133,10 +153,43 @@ def _combined(sig: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([sig[first], star, star[at]]), np.concatenate([uid[first], pair[1], heads])
 
 
-def _entry_mapper(k: int, num: int, den: int):
-    """Texts -> class facts (sig null) and signature entries, in one pass over the text."""
+def _common_columns(texts: DataFrame, k: int) -> np.ndarray:
+    """Bitmap of the shingles that many classes hold, from a sample of the texts.
+
+    A fixed share of the distinct texts is counted, so the sample grows with the corpus. The bitmap
+    only steers which columns candidates are looked for in; whatever it holds, no pair is lost. That
+    lets it be bounded: the least count rises until at most COMMON_MOST columns are left.
+    """
+    picked = texts.where(F.pmod(F.xxhash64("text", F.lit(3)), F.lit(SAMPLE_SHARE)) == 0).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, row in _rows(batch, k):
+                yield pa.RecordBatch.from_pydict({"col": row.view(np.int64)})
+
+    counts = picked.mapInArrow(run, "col long").groupBy("col").count().where(F.col("count") >= SAMPLE_LEAST).persist()
+    steps = counts.groupBy(F.least("count", F.lit(10_000)).alias("c")).agg(F.count("*").alias("n")).orderBy(F.desc("c")).collect()
+    least, held = 10_001, 0
+    for r in steps:
+        if held + r["n"] > COMMON_MOST:
+            break
+        least, held = r["c"], held + r["n"]
+    bits = 1 << 16
+    while bits < 32 * held:
+        bits *= 2
+    bitmap = np.zeros(bits // 8, np.uint8)
+    slot = F.shiftrightunsigned("col", 7).bitwiseAND(F.lit(bits - 1))
+    for (at,) in counts.where(F.col("count") >= least).select(slot).toLocalIterator():
+        bitmap[at >> 3] |= np.uint8(1 << (at & 7))
+    counts.unpersist()
+    return bitmap
+
+
+def _entry_mapper(k: int, num: int, den: int, common):
+    """Texts -> signature entries of their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bitmap = common.value
         seen: set[int] = set()
         sigs: list[np.ndarray] = []
         uids: list[np.ndarray] = []
@@ -159,7 +212,7 @@ def _entry_mapper(k: int, num: int, den: int):
                 if cls in seen:
                     continue
                 seen.add(cls)
-                s = signatures(row, num, den)
+                s = signatures(row, num, den, bitmap)
                 sigs.append(s)
                 uids.append(np.full(len(s), cls, np.int64))
                 held += len(s)
@@ -287,7 +340,9 @@ def jaccard_components(
     facts = scratch.save(
         source.select("id", F.xxhash64("text").alias("tk"), "text").mapInArrow(_fact_mapper(k), f"id {id_type}, tk long, uid long, n_shingles long")
     )
-    entries = source.select("text").where("text is not null").mapInArrow(_entry_mapper(k, num, den), "sig long, uid long")
+    texts = source.select("text").where("text is not null")
+    common = spark.sparkContext.broadcast(_common_columns(texts, k))
+    entries = texts.mapInArrow(_entry_mapper(k, num, den, common), "sig long, uid long")
     led = entries.selectExpr("uid", "min(uid) over (partition by sig) as lead").where("uid != lead").distinct()
     members = connected_components(led, "uid", "lead", scratch)
 
