@@ -63,12 +63,13 @@ def alnum_mask() -> np.ndarray:
 
 
 class Words:
-    """Words of a chunk of texts: ``hashes``; ``bounds[i]:bounds[i+1]`` are those of text i."""
+    """Words of a chunk of texts: ``hashes``; ``bounds[i]:bounds[i+1]`` are those of text i, ``starts``
+    and ``ends`` their bytes in ``data``, of which text i has ``text_offsets[i]:text_offsets[i+1]``."""
 
-    __slots__ = ("hashes", "bounds", "starts", "ends", "data", "first")
+    __slots__ = ("hashes", "bounds", "starts", "ends", "data", "first", "text_offsets")
 
-    def __init__(self, hashes, bounds, starts, ends, data, first):
-        self.hashes, self.bounds, self.starts, self.ends, self.data, self.first = hashes, bounds, starts, ends, data, first
+    def __init__(self, hashes, bounds, starts, ends, data, first, text_offsets):
+        self.hashes, self.bounds, self.starts, self.ends, self.data, self.first, self.text_offsets = hashes, bounds, starts, ends, data, first, text_offsets
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -108,7 +109,7 @@ def _words(data: np.ndarray, offs: np.ndarray, word: np.ndarray, lower: bool, fi
     sums = np.zeros(size + 1, np.uint64)
     np.cumsum(_byte_values(lower)[data] * up[:size], out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-    return Words(hashes, np.searchsorted(starts, offs), starts, ends, data, first)
+    return Words(hashes, np.searchsorted(starts, offs), starts, ends, data, first, offs)
 
 
 def shingle_hashes(words: np.ndarray, k: int = 4) -> np.ndarray:

@@ -322,14 +322,15 @@ def _product(num: int, den: int):
 
 
 def jaccard_components(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, scratch: Scratch | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, scratch: Scratch | None = None, keys: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: (id, n_shingles long, class_id long, component_id).
+    """One row per row of ``docs``: (id, n_shingles long, class_id long, component_id) and, with
+    ``keys``, group_id (of linked documents) and text_key (xxhash64 of the text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; sets are the distinct k-word
     shingles (fewer words: the sequence as one). Rows link when den*|x & y| >= num*|x | y|;
     component_id is the least id reachable, itself included. Null or wordless texts have an
-    empty set, class null, and their own id as component. A null id stays null unless a linked
+    empty set, class_id null, and their own id as component. A null id stays null unless a linked
     row has one; repeated rows are kept and share a class. Other columns of ``docs`` are ignored.
     Empty tables give empty results.
     """
@@ -359,10 +360,11 @@ def jaccard_components(
     linked = connected_components(links, "a", "b", scratch).withColumnRenamed("node", "uid")
     labelled = scratch.save(classes.select("uid", "first_id").join(linked, "uid"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = labelled.join(least, "component").select("uid", F.col("component").alias("class_id"), "component_id")
-    alone = classes.select("uid", F.col("first_id")).alias("c").join(final.alias("f"), "uid", "left").select("uid", F.coalesce("class_id", "uid").alias("class_id"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return facts.join(alone, "uid", "left").select(
-        F.col("id").alias(id_col), "n_shingles", "class_id", F.when(F.col("uid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id")
+    final = labelled.join(least, "component").select("uid", F.col("component").alias("group_id"), "component_id")
+    every = classes.select("uid", "first_id").join(final, "uid", "left").select("uid", F.coalesce("group_id", "uid").alias("group_id"), F.coalesce("component_id", "first_id").alias("component_id"))
+    return facts.join(every, "uid", "left").select(
+        F.col("id").alias(id_col), "n_shingles", F.col("uid").alias("class_id"), F.when(F.col("uid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        *(["group_id", F.col("tk").alias("text_key")] if keys else []),
     )
 
 
@@ -398,3 +400,27 @@ def _row_blocks(members: DataFrame) -> DataFrame:
     empty = F.array().cast("array<string>")
     large = large.select("uid", "tk", F.explode(F.concat(same, F.coalesce(up, empty), F.coalesce(down, empty))).alias("part"))
     return small.unionByName(large.withColumn("task", F.col("part")))
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
+    """The rows of ``docs`` with, of every group of linked documents, only the one of the least id
+    (null ids last, then the least text hash); its repeated rows stay once. Rows with an empty set
+    are groups of their own. Columns are those of ``docs``.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "one-per-group")
+    groups = scratch.save(jaccard_components(docs, id_col, text_col, k, num, den, keys=True, scratch=scratch))
+    order = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("text_key").alias("tk"))
+    first = groups.where("group_id is not null").groupBy("group_id").agg(F.min(order).alias("pick")).select("pick.id", "pick.tk")
+    lone = groups.where("group_id is null").select(F.col(id_col).alias("id"), F.col("text_key").alias("tk")).distinct()
+    times = groups.groupBy(F.col(id_col).alias("id"), F.col("text_key").alias("tk")).agg((F.count("*") > 1).alias("repeated"))
+    keep = scratch.save(
+        first.unionByName(lone).alias("k").join(times.alias("t"), F.col("k.id").eqNullSafe(F.col("t.id")) & (F.col("k.tk") == F.col("t.tk"))).select("k.id", "k.tk", "t.repeated")
+    )
+    if keep.count() <= BROADCAST_ROWS:  # else a shuffled join
+        keep = F.broadcast(keep)
+    own = docs.columns
+    moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{id_col}`").alias("d_id"), F.xxhash64(F.col(f"`{text_col}`")).alias("d_tk"))
+    held = moved.join(keep, F.col("d_id").eqNullSafe(F.col("id")) & (F.col("d_tk") == F.col("tk")))
+    once = held.where("not repeated").unionByName(held.where("repeated").dropDuplicates(["d_id", "d_tk"]))
+    return once.select(*(F.col(f"o{i}").alias(c) for i, c in enumerate(own)))
