@@ -17,7 +17,7 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.spans import find_spans, kept, listed, outside, tagged
+from weftgraph.llm.spans import find_spans, kept, let, listed, outside, tagged
 
 BASE = ("email", "ip", "card", "phone")
 EXTRA = ("local_phone", "ssn", "iban", "person")
@@ -205,11 +205,17 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every maximal run of overlapping or touching spans written as ``<PII>``."""
-    starts = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: ~F.exists(spans, lambda t: (t["start"] < s["start"]) & (s["start"] <= t["end"]))), lambda s: s["start"])))
-    ends = F.array_sort(F.array_distinct(F.transform(F.filter(spans, lambda s: ~F.exists(spans, lambda t: (t["start"] <= s["end"]) & (s["end"] < t["end"]))), lambda s: s["end"])))
-    pieces = F.transform(starts, lambda s, i: F.concat(F.substr(text, F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0)) + 1, s - F.when(i > 0, F.get(ends, i - 1)).otherwise(F.lit(0))), F.lit("<PII>")))
-    tail = F.substr(text, F.element_at(ends, -1) + 1, F.length(text))
-    return F.when(F.size(spans) > 0, F.concat(F.array_join(pieces, ""), tail)).otherwise(text)
+    sorted_of = lambda x: F.array_sort(F.array_distinct(x))
+    starts = lambda v: sorted_of(F.transform(F.filter(v, lambda s: ~F.exists(v, lambda t: (t["start"] < s["start"]) & (s["start"] <= t["end"]))), lambda s: s["start"]))
+    ends = lambda v: sorted_of(F.transform(F.filter(v, lambda s: ~F.exists(v, lambda t: (t["start"] <= s["end"]) & (s["end"] < t["end"]))), lambda s: s["end"]))
+
+    def rebuilt(r: Column) -> Column:
+        past = lambda i: F.when(i > 0, F.get(r["ends"], i - 1)).otherwise(F.lit(0))
+        pieces = F.transform(r["starts"], lambda s, i: F.concat(F.substr(text, past(i) + 1, s - past(i)), F.lit("<PII>")))
+        return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(r["ends"], -1) + 1, F.length(text)))
+
+    masked = let(spans, lambda v: let(F.struct(starts(v).alias("starts"), ends(v).alias("ends")), rebuilt))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
 __all__ = ["base_spans", "estimate", "find_pii", "listed", "redact", "train"]

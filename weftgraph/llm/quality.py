@@ -101,8 +101,10 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # own columns travel under positions, so none can clash with the helper columns
     moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("k_lang"), F.col(f"`{source_col}`").alias("k_source"))
     m = _repeats(_cheap(moved, "t"))
+    # A generator is a barrier: a later filter on the verdict is not pushed below it, where it would
+    # compute the metrics again once for every mention.
+    m = m.select(*(f"o{i}" for i in range(len(own))), "k_lang", "k_source", F.inline(F.array(F.struct(*new[:-2], *FENCES))))
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (REPEAT_DEN * F.col("n_repeat_words") > REPEAT_NUM * F.col("n_words")))
-    m = m.select(*(f"o{i}" for i in range(len(own))), "k_lang", "k_source", *new[:-1], *FENCES)
     j = m.join(limits, F.col("k_lang").eqNullSafe(F.col("f_lang")) & F.col("k_source").eqNullSafe(F.col("f_source")), "left")
     over = F.lit(False)
     for c in FENCES:

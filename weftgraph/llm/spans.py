@@ -16,6 +16,11 @@ _RUN = 256
 SPAN = "array<struct<start:int,end:int,hit:string>>"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; the body of a lambda would compute it per element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def none_found() -> Column:
     return F.array().cast(SPAN)
 
@@ -29,12 +34,15 @@ def _running(values: Column) -> Column:
 
 
 def _starts(steps: Column) -> Column:
-    """``_running`` in runs: the sums of the runs first, then those within each run."""
-    n = F.size(steps)
-    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((n - 1) / _RUN).cast("int"))), lambda r: F.slice(steps, r * _RUN + 1, _RUN))
-    totals = F.transform(runs, lambda run: F.aggregate(run, F.lit(0), lambda s, v: s + v))
-    bases = _running(totals)
-    return F.flatten(F.transform(runs, lambda run, i: F.transform(F.slice(_running(run), 1, F.size(run)), lambda x: x + F.get(bases, i))))
+    """``_running`` in runs: the sums of the runs first, then those within each run. ``steps``: a let variable."""
+    count = F.floor((F.size(steps) - 1) / _RUN).cast("int")
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), count)), lambda r: F.slice(steps, r * _RUN + 1, _RUN))
+
+    def spread(v: Column) -> Column:
+        return F.flatten(F.transform(v["runs"], lambda run, i: F.transform(F.slice(_running(run), 1, F.size(run)), lambda x: x + F.get(v["bases"], i))))
+
+    totals = lambda r: _running(F.transform(r, lambda run: F.aggregate(run, F.lit(0), lambda s, v: s + v)))
+    return let(runs, lambda r: let(F.struct(r.alias("runs"), totals(r).alias("bases")), spread))
 
 
 def find_spans(text: Column, pattern: str, maybe: Column) -> Column:
@@ -42,15 +50,16 @@ def find_spans(text: Column, pattern: str, maybe: Column) -> Column:
 
     ``maybe`` is a cheap test that every text with a match passes. Null text: none.
     """
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pieces = F.split(text, pattern, -1)
-    steps = F.transform(hits, lambda h, i: F.length(F.get(pieces, i)) + F.length(h))
-    starts = _starts(steps)
-    out = F.transform(
-        hits,
-        lambda h, i: F.struct((F.get(starts, i) + F.length(F.get(pieces, i))).alias("start"), (F.get(starts, i) + F.length(F.get(pieces, i)) + F.length(h)).alias("end"), h.alias("hit")),
-    )
-    return F.when(text.isNotNull() & maybe & (F.size(hits) > 0), out).otherwise(none_found())
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("pieces"))
+
+    def place(v: Column) -> Column:
+        gaps = F.transform(v["hits"], lambda h, i: F.length(F.get(v["pieces"], i)))
+        return let(F.struct(v["hits"].alias("hits"), gaps.alias("gaps")), lambda u: let(
+            F.struct(u["hits"].alias("hits"), u["gaps"].alias("gaps"), let(F.transform(u["hits"], lambda h, i: F.get(u["gaps"], i) + F.length(h)), _starts).alias("starts")),
+            lambda w: F.transform(w["hits"], lambda h, i: F.struct((F.get(w["starts"], i) + F.get(w["gaps"], i)).alias("start"), (F.get(w["starts"], i) + F.get(w["gaps"], i) + F.length(h)).alias("end"), h.alias("hit"))),
+        ))
+
+    return F.when(text.isNotNull() & maybe, let(found, place)).otherwise(none_found())
 
 
 def kept(spans: Column, test: Callable[[Column], Column]) -> Column:
@@ -70,4 +79,4 @@ def listed(spans: Column) -> Column:
 
 def outside(spans: Column, taken: Column) -> Column:
     """The spans that overlap none of ``taken``."""
-    return F.filter(spans, lambda s: ~F.exists(taken, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"])))
+    return let(taken, lambda known: F.filter(spans, lambda s: ~F.exists(known, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
