@@ -31,6 +31,16 @@ def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftgraph.llm.toxicity import score_documents, train, training_sample
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_fold("doc_id", 4) == 2, F.lit(False))
+    labels = _table(spark, sf_dir, "labels").where(~held_out)
+    model = train(training_sample(docs, labels))
+    return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftgraph.llm.decontaminate import contaminated, decontaminate, items_sha256
 
@@ -91,6 +101,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
+    "op3_toxicity": op3_toxicity,
     "op4_decontamination": op4_decontamination,
     "op5_secret_scan": op5_secret_scan,
     "op6_url_filter": op6_url_filter,
