@@ -174,6 +174,12 @@ def safe_label(col: Column, cap: int = 256) -> Column:
 
 
 def cypher_text(col: Column) -> Column:
-    """A string for a single-quoted Cypher literal."""
-    t = F.regexp_replace(F.regexp_replace(col, r"\\", r"\\\\\\\\"), "'", r"\\\\'")
-    return F.regexp_replace(F.regexp_replace(t, r"\r?\n", " "), r"[\x00-\x1f\x7f]", "")
+    """A string for a single-quoted Cypher literal: control characters but tab dropped, the rest escaped."""
+    t = F.regexp_replace(col, r"[\x00-\x08\x0a-\x1f]", "")
+    return F.replace(F.replace(t, F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+
+
+def cypher_name(col: Column, other: str) -> Column:
+    """A label or relationship type: letters, digits and underscores, a letter first, else ``other``."""
+    t = F.regexp_replace(F.coalesce(col, F.lit("")), "[^A-Za-z0-9_]", "")
+    return F.when(t.rlike("^[A-Za-z]"), t).otherwise(other)

@@ -6,13 +6,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from weftgraph.functions.text import basename
+from weftgraph.functions.text import basename, suffix
 from weftgraph.operators.build import literal_map
-
-#: Keys of manifests that are no concepts.
-JSON_NOISE = ("name", "version", "description", "main", "scripts", "dependencies", "devdependencies", "type", "license", "author", "keywords", "repository", "private", "files", "exports")
-#: Category of a file by suffix.
-CATEGORIES = {"py": "code", "js": "code", "ts": "code", "java": "code", "go": "code", "rs": "code", "tbl": "data", "pdf": "paper", "md": "doc", "txt": "doc", "rst": "doc", "png": "image", "jpg": "image", "svg": "image"}
+from weftgraph.sources.corpus import CODE, IMAGE, PAPER
+
+#: Keys of JSON files that are no concepts.
+JSON_NOISE = (
+    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies", "optionaldependencies",
+    "bundleddependencies", "bundledependencies",
+)
+#: Language families for surprises, by suffix.
+LANGUAGES = {
+    ".py": "python", ".pyw": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".ejs": "js", ".ts": "js", ".tsx": "js", ".vue": "js", ".svelte": "js", ".go": "go", ".rs": "rust", ".java": "jvm", ".kt": "jvm", ".kts": "jvm", ".scala": "jvm",
+    ".c": "c", ".h": "c", ".cpp": "c", ".cc": "c", ".cxx": "c", ".hpp": "c", ".rb": "ruby", ".swift": "swift", ".cs": "dotnet", ".php": "php", ".r": "r",
+}
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
 
 
@@ -131,7 +138,15 @@ def top_level_dir(path: Column) -> Column:
 
 
 def file_category(path: Column) -> Column:
-    return F.coalesce(F.try_element_at(literal_map(CATEGORIES), F.lower(F.substring_index(path, ".", -1))), F.lit("doc"))
+    """code, paper, image or doc, by the last suffix."""
+    ext = F.when(path.contains("."), F.concat(F.lit("."), F.lower(F.substring_index(path, ".", -1)))).otherwise("")
+    return F.when(ext.isin(*sorted(CODE)), "code").when(ext.isin(*sorted(PAPER)), "paper").when(ext.isin(*sorted(IMAGE)), "image").otherwise("doc")
+
+
+def cross_language(a: Column, b: Column) -> Column:
+    """Both suffixes are of known families, and these differ."""
+    fa, fb = (F.try_element_at(literal_map(LANGUAGES), suffix(c)) for c in (a, b))
+    return F.coalesce(fa != fb, F.lit(False))
 
 
 def scored_surprises(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -144,7 +159,8 @@ def scored_surprises(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     e = e.where("u_source_file <> v_source_file")
     base = F.when(F.col("confidence") == "AMBIGUOUS", 3).when(F.col("confidence") == "INFERRED", 2).otherwise(1)
     cu, cv = file_category(F.col("u_source_file")), file_category(F.col("v_source_file"))
-    guessed = (F.col("confidence") == "INFERRED") & F.col("relation").isin("calls", "uses") & (cu != cv)
+    apart = cross_language(F.col("u_source_file"), F.col("v_source_file")) | F.array_sort(F.array(cu, cv)).eqNullSafe(F.array(F.lit("code"), F.lit("doc")))
+    guessed = (F.col("confidence") == "INFERRED") & F.col("relation").isin("calls", "uses") & apart
     far = F.when(cu != cv, 2).otherwise(0) + F.when(top_level_dir(F.col("u_source_file")) != top_level_dir(F.col("v_source_file")), 2).otherwise(0) + F.when(F.col("u_community") != F.col("v_community"), 1).otherwise(0)
     s = base + F.when(guessed, 0).otherwise(far)
     s = F.when(~guessed & (F.col("relation") == "semantically_similar_to"), F.floor(s * 1.5).cast("int")).otherwise(s)
@@ -238,11 +254,11 @@ def change_conflicts(touched: DataFrame) -> DataFrame:
 
 
 def change_status(rows: DataFrame, now: Column, stale_days: int = 14) -> DataFrame:
-    """Adds ``status``: the first that holds of wrong_base, ci_failed, changes_requested, draft, stale, approved, ci_pending, ready."""
+    """Adds ``age_days`` and ``status``, the first that holds of WRONG-BASE, CI-FAIL, CHANGES-REQ, DRAFT, STALE, APPROVED, PENDING, READY."""
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 86400)
     status = (
-        F.when(F.col("base_branch") != F.col("expected_base"), "wrong_base").when(F.col("ci_status") == "FAILURE", "ci_failed").when(F.col("review_decision") == "CHANGES_REQUESTED", "changes_requested")
-        .when(F.col("is_draft"), "draft").when(age > stale_days, "stale").when(F.col("review_decision") == "APPROVED", "approved").when(F.col("ci_status") == "PENDING", "ci_pending").otherwise("ready")
+        F.when(F.col("base_branch") != F.col("expected_base"), "WRONG-BASE").when(F.col("ci_status") == "FAILURE", "CI-FAIL").when(F.col("review_decision") == "CHANGES_REQUESTED", "CHANGES-REQ")
+        .when(F.col("is_draft"), "DRAFT").when(age >= stale_days, "STALE").when(F.col("review_decision") == "APPROVED", "APPROVED").when(F.col("ci_status") == "PENDING", "PENDING").otherwise("READY")
     )
     return rows.withColumn("age_days", age.cast("long")).withColumn("status", status)
 

@@ -7,18 +7,18 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.functions.text import id_of
+from weftgraph.functions.text import id_of, suffix
 from weftgraph.model import CONFIDENCES, FILE_TYPES
 
 #: Other spellings of a node's file type.
 FILE_TYPE_SYNONYMS = {
-    "markdown": "document", "text": "document", "md": "document", "doc": "document", "docs": "document", "pdf": "paper", "article": "paper", "research": "paper",
-    "img": "image", "picture": "image", "diagram": "image", "source": "code", "module": "code", "class": "code", "function": "code", "idea": "concept", "topic": "concept",
+    "markdown": "document", "text": "document", "tool": "code", "library": "code", "pattern": "concept", "principle": "concept", "constraint": "concept", "tech": "concept", "technology": "concept",
+    "data-source": "concept", "data_source": "concept", "gotcha": "concept", "framework": "concept",
 }
-#: Language families that may call each other.
+#: Language families that may call each other, by suffix.
 FAMILIES = {
-    "py": "python", "pyi": "python", "js": "js", "jsx": "js", "mjs": "js", "ts": "js", "tsx": "js", "vue": "js", "svelte": "js", "java": "jvm", "kt": "jvm", "kts": "jvm", "scala": "jvm", "groovy": "jvm",
-    "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "go": "go", "rs": "rust", "rb": "ruby", "php": "php", "cs": "dotnet", "swift": "swift", "lua": "lua", "zig": "zig", "jl": "julia", "ex": "elixir", "exs": "elixir", "sh": "shell", "bash": "shell", "ps1": "powershell", "sql": "sql",
+    ".py": "py", ".pyi": "py", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".go": "go", ".rs": "rs", ".java": "jvm", ".kt": "jvm", ".scala": "jvm", ".groovy": "jvm",
+    ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".rb": "rb", ".php": "php", ".cs": "cs", ".swift": "swift", ".lua": "lua",
 }
 
 
@@ -125,10 +125,13 @@ def collapse_edges(edges: DataFrame, order: list, directed: bool = False) -> Dat
 
 
 def drop_cross_family_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Inferred calls between language families go; an unknown suffix is a family of its own, and two unknown ones are equal."""
-    family = nodes.select(F.col("id").alias("nid"), F.try_element_at(literal_map(FAMILIES), F.expr("substring(regexp_extract(source_file, '(\\\\.[^./]+)$', 1), 2)")).alias("fam"))
-    e = edges.join(family.select(F.col("nid").alias("a_id"), F.col("fam").alias("a_f")), F.col("src") == F.col("a_id"), "left").join(family.select(F.col("nid").alias("b_id"), F.col("fam").alias("b_f")), F.col("dst") == F.col("b_id"), "left")
-    bad = F.coalesce((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED"), F.lit(False)) & ~F.col("a_f").eqNullSafe(F.col("b_f"))
+    """Inferred calls between files of different language families go. Two unknown suffixes are equal,
+    an unknown and a known one differ; a file without a suffix belongs anywhere."""
+    ext = nodes.select(F.col("id").alias("nid"), suffix(F.coalesce("source_file", F.lit(""))).alias("ext"))
+    e = edges.join(ext.select(F.col("nid").alias("a_id"), F.col("ext").alias("a_x")), F.col("src") == F.col("a_id"), "left").join(ext.select(F.col("nid").alias("b_id"), F.col("ext").alias("b_x")), F.col("dst") == F.col("b_id"), "left")
+    family = lambda c: F.try_element_at(literal_map(FAMILIES), F.col(c))
+    both = (F.coalesce("a_x", F.lit("")) != "") & (F.coalesce("b_x", F.lit("")) != "")
+    bad = F.coalesce((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED"), F.lit(False)) & both & ~family("a_x").eqNullSafe(family("b_x"))
     return e.where(~bad).select(*edges.columns)
 
 

@@ -17,9 +17,11 @@ ENTROPY, JACCARD, JW, SHORT = 2.5, 0.7, 0.92, 12
 
 
 def variant_pair(a: Column, b: Column) -> Column:
-    """Short labels of one stem that differ in a trailing number or letter: models, versions."""
-    stem = lambda c: F.regexp_extract(c, r"^(.*?)[0-9]*[a-z]?$", 1)
-    return (a != b) & (F.least(F.length(a), F.length(b)) < SHORT) & ((stem(a) == stem(b)) & (stem(a) != "") & (a.rlike("[0-9]") | b.rlike("[0-9]")))
+    """Both labels short, of one stem and different endings (a number, or letters): models, versions."""
+    pattern = "^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$"
+    stem = lambda c: F.regexp_extract(c, pattern, 1)
+    end = lambda c: F.regexp_extract(c, pattern, 2)
+    return (a != b) & (F.greatest(F.length(a), F.length(b)) < SHORT) & (stem(a) != "") & (stem(a) == stem(b)) & (end(a) != end(b))
 
 
 def short_blocked(a: Column, b: Column, jw: Column) -> Column:

@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
-#: Words of a question that name an edge context, and the spellings of contexts.
-CONTEXT_HINTS = {"call": ("call", "calls", "invoke", "invokes", "caller", "callers"), "import": ("import", "imports", "imported"), "field": ("field", "fields", "member"), "parameter_type": ("parameter", "param", "argument"), "return_type": ("return", "returns", "returned"), "generic_arg": ("generic", "template"), "attribute": ("attribute", "annotation", "decorator")}
-CONTEXT_ALIASES = {"calls": "call", "imports": "import", "fields": "field", "param": "parameter_type", "parameter": "parameter_type", "return": "return_type", "returns": "return_type", "generic": "generic_arg", "annotation": "attribute"}
+#: Words of a question that name an edge context.
+CONTEXT_HINTS = {
+    "call": ("call", "calls", "called", "invoke", "invokes", "invoked"), "import": ("import", "imports", "imported", "module", "modules"), "field": ("field", "fields", "member", "members", "property", "properties"),
+    "parameter_type": ("parameter", "parameters", "param", "params", "argument", "arguments"), "return_type": ("return", "returns", "returned"), "generic_arg": ("generic", "generics", "template", "templates"),
+}
+#: Other spellings of contexts.
+CONTEXT_ALIASES = {
+    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type", "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type",
+    "return": "return_type", "returns": "return_type", "returned": "return_type", "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg", "templates": "generic_arg",
+    "annotation": "attribute", "annotations": "attribute", "decorator": "attribute", "decorators": "attribute", "calls": "call", "called": "call", "invoke": "call", "invocation": "call",
+    "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import", "imported": "import", "module": "import", "modules": "import", "exports": "export", "exported": "export",
+}
 
 
 def terms_of(question: str) -> list[str]:

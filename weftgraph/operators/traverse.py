@@ -121,4 +121,4 @@ def dfs(edges: DataFrame, seeds: list[str], depth: int, scratch: Scratch | None
             stack += [(y, d + 1) for y in reversed(adj.get(x, [])) if y not in seen]
         return pd.DataFrame(order, columns=["ord", "id", "depth"])
 
-    return inner.groupBy(F.lit(1)).applyInPandas(walk, "ord long, id string, depth long")
+    return inner.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(walk, "ord long, id string, depth long")

@@ -124,7 +124,7 @@ def _even_parts(spark, sf):
     return star_nodes(spark, sf).where("not (id like 'part:%' and cast(substring(id, 6) as bigint) % 2 = 1)")
 
 
-_EVEN = "kept AS (SELECT * FROM nodes WHERE NOT (id LIKE 'part:%' AND CAST(substr(id, 6) AS BIGINT) % 2 = 1))"
+_EVEN = "kept AS (SELECT * FROM nodes WHERE NOT (id LIKE 'part:%' AND coalesce(TRY_CAST(substr(id, 6) AS BIGINT) % 2 = 1, false)))"
 
 
 @query(f"{_EVEN} SELECT relation, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM kept) OR dst NOT IN (SELECT id FROM kept) GROUP BY 1")
@@ -222,7 +222,7 @@ def hyperedge_members(spark, sf):
 @query("""l AS (SELECT 'part:' || p_partkey AS id, CASE WHEN p_size % 3 = 0 THEN 'src/a.py' WHEN p_size % 3 = 1 THEN 'src/b.ts' ELSE 'x/readme' END AS f FROM part),
 s AS (SELECT id, CASE regexp_extract(f, '\\.([^./]+)$', 1) WHEN 'py' THEN 'python' WHEN 'ts' THEN 'js' END AS fam FROM l)
 SELECT confidence, count(*) AS n FROM (SELECT 'part:' || a.l_partkey AS src, 'part:' || b.l_partkey AS dst, a.conf AS confidence FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) e
-JOIN s x ON x.id = src JOIN s y ON y.id = dst WHERE NOT (confidence = 'INFERRED' AND x.fam IS DISTINCT FROM y.fam) GROUP BY 1""")
+JOIN s x ON x.id = src JOIN s y ON y.id = dst WHERE NOT (confidence = 'INFERRED' AND x.fam IS NOT NULL AND y.fam IS NOT NULL AND x.fam <> y.fam) GROUP BY 1""")
 def cross_family_filter(spark, sf):
     nodes = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_size") % 3 == 0, "src/a.py").when(F.col("p_size") % 3 == 1, "src/b.ts").otherwise("x/readme").alias("source_file"))
     li = table(spark, sf, "lineitem")
@@ -272,8 +272,8 @@ def pr_conflicts(spark, sf):
 
 
 @query("""SELECT status, count(*) AS n, CAST(sum(age_days) AS BIGINT) AS ages FROM (SELECT CAST(floor((epoch(TIMESTAMP '1999-01-01') - floor(epoch(o_orderdate))) / 86400) AS BIGINT) AS age_days,
-CASE WHEN o_orderkey % 11 = 0 THEN 'wrong_base' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'ci_failed' WHEN o_orderpriority LIKE '1%' THEN 'changes_requested' WHEN o_orderkey % 7 = 0 THEN 'draft'
-WHEN floor((epoch(TIMESTAMP '1999-01-01') - floor(epoch(o_orderdate))) / 86400) > 14 THEN 'stale' WHEN o_orderpriority LIKE '2%' THEN 'approved' ELSE 'ready' END AS status FROM orders) GROUP BY 1""", star=False)
+CASE WHEN o_orderkey % 11 = 0 THEN 'WRONG-BASE' WHEN o_orderstatus = 'F' AND o_orderkey % 3 = 0 THEN 'CI-FAIL' WHEN o_orderpriority LIKE '1%' THEN 'CHANGES-REQ' WHEN o_orderkey % 7 = 0 THEN 'DRAFT'
+WHEN floor((epoch(TIMESTAMP '1999-01-01') - floor(epoch(o_orderdate))) / 86400) >= 14 THEN 'STALE' WHEN o_orderpriority LIKE '2%' THEN 'APPROVED' ELSE 'READY' END AS status FROM orders) GROUP BY 1""", star=False)
 def pr_status(spark, sf):
     o = table(spark, sf, "orders").select(
         F.when(F.col("o_orderkey") % 11 == 0, "dev").otherwise("main").alias("base_branch"), F.lit("main").alias("expected_base"), F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), "FAILURE").otherwise("SUCCESS").alias("ci_status"),
@@ -374,12 +374,12 @@ def label_entropy(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct().select("label", F.round(T.shannon_bits(F.col("label")), 9).alias("bits"))
 
 
-@query("SELECT p_name AS label, list_sort(list_distinct(list_transform(range(1, greatest(2, length(p_name) - 1)), i -> substr(p_name, i, 3)))) AS grams FROM (SELECT DISTINCT p_name FROM part)", star=False)
+@query("SELECT p_name AS label, list_sort(list_distinct(list_transform(range(1, greatest(2, length(p_name) - 1)), lambda i: substr(p_name, i, 3)))) AS grams FROM (SELECT DISTINCT p_name FROM part)", star=False)
 def shingles(spark, sf):
     return table(spark, sf, "part").select(F.col("p_name").alias("label")).distinct().select("label", F.array_sort(T.shingles(F.col("label"))).alias("grams"))
 
 
-_JAC = """l AS (SELECT DISTINCT p_name AS t FROM part), s AS (SELECT t, list_distinct(list_transform(range(1, greatest(2, length(replace(t, ' ', '')) - 1)), i -> substr(replace(t, ' ', ''), i, 3))) AS g FROM l)"""
+_JAC = """l AS (SELECT DISTINCT p_name AS t FROM part), s AS (SELECT t, list_distinct(list_transform(range(1, greatest(2, length(replace(t, ' ', '')) - 1)), lambda i: substr(replace(t, ' ', ''), i, 3))) AS g FROM l)"""
 
 
 @query(f"WITH {_JAC} SELECT x.t AS a, y.t AS b, round(len(list_intersect(x.g, y.g)) / (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))), 9) AS jaccard FROM s x JOIN s y ON x.t < y.t WHERE jaccard >= 0.3", star=False)
@@ -437,7 +437,7 @@ def cross_community_surprises(spark, sf):
     return A.cross_community_surprises(star_edges(spark, sf), star_nodes(spark, sf), ["src", "dst", "relation"])
 
 
-@query("SELECT 'removed' AS change, id FROM nodes WHERE id LIKE 'part:%' AND CAST(substr(id, 6) AS BIGINT) % 2 = 1 UNION ALL SELECT 'added', 'extra:1'")
+@query("SELECT 'removed' AS change, id FROM nodes WHERE id LIKE 'part:%' AND coalesce(TRY_CAST(substr(id, 6) AS BIGINT) % 2 = 1, false) UNION ALL SELECT 'added', 'extra:1'")
 def graph_diff_nodes(spark, sf):
     new = _even_parts(spark, sf).select("id").union(spark.createDataFrame([("extra:1",)], "id string"))
     return A.graph_diff(star_nodes(spark, sf), new, ["id"])
