@@ -119,7 +119,7 @@ WITH RECURSIVE w AS (
 s AS (
   SELECT doc_id, CASE WHEN len(ws) = 0 THEN []::VARCHAR[]
     WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(ws) - 2), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS sh
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] || ' ' || ws[i + 3])) END AS sh
   FROM w),
 g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 o AS (
