@@ -17,7 +17,7 @@ from weftgraph.scratch import Scratch
 MAX_SHARE, MIN_SPLIT, COHESION_SPLIT, COHESION_LEAST = 0.25, 10, 50, 0.05
 
 
-def partition(edges: DataFrame, rounds: int = 8, resolution: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
+def partition(edges: DataFrame, rounds: int = 24, resolution: float = 1.0, scratch: Scratch | None = None) -> DataFrame:
     """(node, community): local moves from singletons, at most ``rounds`` of them. ``edges``: (src, dst)."""
     scratch = scratch or Scratch(edges.sparkSession, "louvain")
     half = edges.where("src <> dst").groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.count("*").cast("double").alias("w"))
@@ -38,11 +38,12 @@ def partition(edges: DataFrame, rounds: int = 8, resolution: float = 1.0, scratc
             F.max(F.when(F.col("community") == F.col("old"), gain)).alias("stay"),
         )
         stay = F.coalesce("stay", F.lit(0.0))
-        moves = (F.col("b.gain") > stay + 1e-9) & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
-        nxt = scratch.save(best.select("node", F.when(moves, F.col("b.community")).otherwise(F.col("old")).alias("community"), "k", moves.alias("moved")))
+        wants = F.col("b.gain") > stay + 1e-9
+        moves = wants & (F.pmod(F.xxhash64("node", F.lit(r)), F.lit(2)) == 0)
+        nxt = scratch.save(best.select("node", F.when(moves, F.col("b.community")).otherwise(F.col("old")).alias("community"), "k", wants.alias("wants")))
         scratch.drop(state)
         state = nxt
-        if r % 2 and not state.where("moved").limit(1).count():
+        if not state.where("wants").limit(1).count():
             break
     return state.select("node", "community")
 

@@ -25,8 +25,8 @@ def variant_pair(a: Column, b: Column) -> Column:
 
 
 def short_blocked(a: Column, b: Column, jw: Column) -> Column:
-    """Short labels pass only if of equal length, nearly equal and one edit or swap apart."""
-    short = F.least(F.length(a), F.length(b)) < SHORT
+    """Two short labels pass only if of equal length, nearly equal and one edit or swap apart."""
+    short = F.greatest(F.length(a), F.length(b)) < SHORT
     return short & ~((jw >= 0.97) & (F.length(a) == F.length(b)) & one_edit_of(a, b))
 
 

@@ -20,7 +20,8 @@ def with_scores(edges: DataFrame) -> DataFrame:
     default = F.lit(1.0)
     for c, v in DEFAULT_SCORE.items():
         default = F.when(F.col("confidence") == c, v).otherwise(default)
-    return edges.withColumn("confidence_score", F.coalesce("confidence_score", default))
+    held = F.col("confidence_score") if "confidence_score" in edges.columns else F.lit(None).cast("double")
+    return edges.withColumn("confidence_score", F.coalesce(held, default))
 
 
 def write_tables(nodes: DataFrame, edges: DataFrame, path: str, before: int | None = None, force: bool = False) -> int:
