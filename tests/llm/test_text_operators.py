@@ -73,7 +73,7 @@ def test_bpe_equals_library_and_round_trips(spark):
 
 def test_rank_queue_pops_least_rank_leftmost_first():
     rng = random.Random(3)
-    q, plain = byte_bpe.RankQueue(), []
+    q, plain = byte_bpe.RankQueue(50_256), []
     for _ in range(2000):
         if rng.random() < 0.6:
             x = (rng.randrange(50256), rng.randrange(1000))

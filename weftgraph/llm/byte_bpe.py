@@ -23,8 +23,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from weftgraph.llm.batches import bounded
+
 #: Encoded pre-tokens kept per worker: at most so many, each of at most so many characters.
-CACHE_ENTRIES, CACHE_CHARS = 400_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -34,47 +36,57 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the leftmost position of the least rank."""
+    """Positions by rank below ``ranks``; ``pop`` gives the leftmost position of the least rank.
+
+    A bucket is a position, or a heap of them once it has two. A drained queue is as new.
+    """
 
     __slots__ = ("buckets", "low", "mid", "top")
 
-    def __init__(self):
-        self.buckets: dict[int, list[int]] = {}
-        self.low: dict[int, int] = {}
-        self.mid: dict[int, int] = {}
+    def __init__(self, ranks: int):
+        self.buckets: list[int | list[int] | None] = [None] * ranks
+        self.low = [0] * ((ranks >> 6) + 1)
+        self.mid = [0] * ((ranks >> 12) + 1)
         self.top = 0
 
     def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is not None:
+        bucket = self.buckets[rank]
+        if bucket is None:
+            self.buckets[rank] = at
+            word = rank >> 6
+            bits = self.low[word]
+            self.low[word] = bits | 1 << (rank & 63)
+            if not bits:
+                block = rank >> 12
+                self.mid[block] |= 1 << (word & 63)
+                self.top |= 1 << block
+        elif type(bucket) is int:
+            self.buckets[rank] = [bucket, at] if bucket < at else [at, bucket]
+        else:
             heapq.heappush(bucket, at)
-            return
-        self.buckets[rank] = [at]
-        word, block = rank >> 6, rank >> 12
-        self.low[word] = self.low.get(word, 0) | 1 << (rank & 63)
-        self.mid[block] = self.mid.get(block, 0) | 1 << (word & 63)
-        self.top |= 1 << block
 
     def pop(self) -> tuple[int, int] | None:
         top = self.top
         if not top:
             return None
         block = (top & -top).bit_length() - 1
-        bits = self.mid[block]
-        word = block << 6 | (bits & -bits).bit_length() - 1
+        words = self.mid[block]
+        word = block << 6 | (words & -words).bit_length() - 1
         bits = self.low[word]
         rank = word << 6 | (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heapq.heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            bits &= bits - 1
-            self.low[word] = bits
-            if not bits:
-                rest = self.mid[block] & ~(1 << (word & 63))
-                self.mid[block] = rest
-                if not rest:
-                    self.top = top & ~(1 << block)
+        at = self.buckets[rank]
+        if type(at) is not int:
+            heap, at = at, heapq.heappop(at)
+            if heap:
+                return rank, at
+        self.buckets[rank] = None
+        bits &= bits - 1
+        self.low[word] = bits
+        if not bits:
+            words &= words - 1
+            self.mid[block] = words
+            if not words:
+                self.top = top & (top - 1)
         return rank, at
 
 
@@ -88,6 +100,7 @@ class ByteBPE:
             self.tokens[rank] = token
         self.split = regex.compile(pattern).findall
         self.packed = _Packed(self)
+        self.queue = RankQueue(len(self.tokens))
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
@@ -96,37 +109,40 @@ class ByteBPE:
             return [whole]
         get = self.ranks.get
         n = len(piece)
-        parts: list[bytes | None] = [piece[i : i + 1] for i in range(n)]
+        parts = [piece[i : i + 1] for i in range(n)]
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pending = [-1] * n
-        queue = RankQueue()
-        for i in range(n - 1):
-            rank = get(piece[i : i + 2])
-            if rank is not None:
-                pending[i] = rank
-                queue.push(rank, i)
-        while (got := queue.pop()) is not None:
-            rank, i = got
+        pending = [get(piece[i : i + 2], -1) for i in range(n - 1)]
+        pending.append(-1)
+        queue = self.queue
+        push, pop = queue.push, queue.pop
+        for i, rank in enumerate(pending):
+            if rank >= 0:
+                push(rank, i)
+        while queue.top:
+            rank, i = pop()
             if pending[i] != rank:
                 continue  # stale: the pair at i has changed or is gone
             j = after[i]
             merged = parts[i] = parts[i] + parts[j]
-            parts[j], pending[j] = None, -1
+            pending[j] = -1
             k = after[i] = after[j]
-            pending[i] = -1
             if k < n:
                 before[k] = i
-                rank = get(merged + parts[k])
-                if rank is not None:
-                    pending[i] = rank
-                    queue.push(rank, i)
+                rank = pending[i] = get(merged + parts[k], -1)
+                if rank >= 0:
+                    push(rank, i)
+            else:
+                pending[i] = -1
             h = before[i]
             if h >= 0:
-                rank = get(parts[h] + merged)
-                pending[h] = -1 if rank is None else rank
-                if rank is not None:
-                    queue.push(rank, h)
-        return [self.ranks[p] for p in parts if p is not None]
+                rank = pending[h] = get(parts[h] + merged, -1)
+                if rank >= 0:
+                    push(rank, h)
+        out, i = [], 0
+        while i < n:
+            out.append(self.ranks[parts[i]])
+            i = after[i]
+        return out
 
     def encode_packed(self, text: str | None) -> bytes:
         """Ids of the text as little-endian unsigned 32-bit integers; of a null: none."""
@@ -166,6 +182,7 @@ def _coder(path: str, pattern: str) -> ByteBPE:
 
 def _ship(df: DataFrame, path: str) -> str:
     """Sends the rank file to every executor with Spark's own file transport; its name there."""
+    bounded(df.sparkSession)
     df.sparkSession.sparkContext.addFile(path)
     return path.rsplit("/", 1)[-1]
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from weftgraph.llm import kernels as K
+from weftgraph.llm.batches import bounded
 
 WINDOW = 13
 #: The automaton is broadcast; it takes about 400 bytes a word, so this bounds it to some 400 MB.
@@ -203,6 +204,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     new names are replaced. Repeated rows are kept. An empty item table hits nothing.
     ``clean=False`` leaves clean_text null.
     """
+    bounded(docs.sparkSession)
     known = items.select(F.col(item_id).cast("string"), F.col(item_text))
     # bounded: the build refuses more than max_item_words words, long before the driver's memory
     vocab, auto = build([(r[0], r[1]) for r in known.toLocalIterator()], window, max_item_words)

@@ -22,6 +22,7 @@ from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from weftgraph.llm import kernels as K
+from weftgraph.llm.batches import bounded
 
 CHAIN = 64
 BUCKETS = 1 << 17
@@ -201,6 +202,7 @@ def identify(docs: DataFrame, model: Crf, text_col: str = "text", runs: bool = T
     ``und`` with score 0 if the text is null or has no letter, or if the model knows no label.
     Repeated rows are kept; clashing columns of ``docs`` are replaced.
     """
+    bounded(docs.sparkSession)
     new = ["lang_pred", "score", *["lang_runs"] * runs]
     own = [c for c in docs.columns if c not in new]
     moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.when(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.col(f"`{text_col}`")).alias("t"))

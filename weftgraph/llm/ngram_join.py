@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
+from weftgraph.llm.batches import bounded
 from weftgraph.operators.components import connected_components
 from weftgraph.scratch import Scratch
 
@@ -335,6 +336,7 @@ def jaccard_components(
     Empty tables give empty results.
     """
     spark = docs.sparkSession
+    bounded(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(source.dtypes)["id"]

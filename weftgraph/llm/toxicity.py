@@ -23,6 +23,8 @@ import zstandard as zstd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.llm.batches import bounded
+
 #: Bounds of the training sample, in texts of either class (in the order of a hash of the id).
 TOXIC_TEXTS, ORDINARY_TEXTS = 1200, 2400
 DICT_SIZE = 65_536
@@ -208,6 +210,7 @@ def score_documents(docs: DataFrame, model: Model, id_col: str = "doc_id", text_
     Null and empty texts have no windows and get the score of that. Null ids and repeated rows pass
     through. Other columns of ``docs`` are ignored.
     """
+    bounded(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
