@@ -341,7 +341,7 @@ def reverse_affected(spark, sf):
     return V.affected(star_edges(spark, sf), spark.createDataFrame([("supplier:1",)], "id string"), 2)
 
 
-@query("""b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), reach(id, depth) AS (SELECT 'region:0', 0 UNION SELECT v, depth + 1 FROM reach JOIN b ON u = id WHERE depth < 4) SELECT min(depth) AS hops FROM reach WHERE id = 'order:1'""", recursive=True)
+@query("""b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), reach(id, depth) AS (SELECT 'region:0', 0 UNION SELECT v, depth + 1 FROM reach JOIN b ON u = id WHERE depth < 6) SELECT min(depth) AS hops FROM reach WHERE id = 'order:1'""", recursive=True)
 def shortest_path_len(spark, sf):
     return V.shortest_path(star_edges(spark, sf), "region:0", "order:1").agg(F.max("hop").alias("hops"))
 
