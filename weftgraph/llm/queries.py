@@ -123,11 +123,11 @@ s AS (
   FROM w),
 g AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
 o AS (
-  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS both
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS ov
   FROM g a JOIN g b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
-  SELECT a, b FROM o WHERE 100 * both >= 85 * (na + nb - both)
-  UNION ALL SELECT b, a FROM o WHERE 100 * both >= 85 * (na + nb - both)),
+  SELECT a, b FROM o WHERE 100 * ov >= 85 * (na + nb - ov)
+  UNION ALL SELECT b, a FROM o WHERE 100 * ov >= 85 * (na + nb - ov)),
 reach(doc_id, r) AS (
   SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
 SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, c.component_id
