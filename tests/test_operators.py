@@ -234,3 +234,40 @@ def test_streamed_bursts_equal_the_batch(spark, tmp_path):
     want = {(r.start, r.n_events, tuple(r.paths)) for r in feeds.debounced(df).collect()}
     assert len(want) == 3
     assert {(r.start, r.n_events, tuple(r.paths)) for r in spark.sql("select * from bursts").collect()} == want
+
+
+def test_questions_views_and_names(spark, chain):
+    from weftgraph.operators import questions as Q
+
+    n, e = chain
+    got = Q.suggest_questions(n, e.withColumn("confidence", F.lit("AMBIGUOUS")), top_n=5)
+    assert got.count() == 5 and got.where("kind = 'ambiguous_edge'").count() == 3
+    assert [r.kind for r in Q.suggest_questions(n.limit(0), e.limit(0)).collect()] == ["no_signal"]
+    assert [(r.other, r.degree) for r in Q.explain(n, e, "n2").collect()] == [("n3", 2), ("n1", 1)]
+    k = spark.createDataFrame([("useThing", "a.ts", "code", None, "ui"), ("Foo", "a.py", "code", None, "klass"), ("foo()", "tests/x.py", "code", None, "test"), ("x", "a.py", "code", "Enum", "klass"), (None, None, None, None, "function")], "l string, s string, f string, t string, want string")
+    assert k.where(~Q.node_kind(F.col("l"), F.col("s"), F.col("f"), F.col("t")).eqNullSafe(F.col("want"))).count() == 0
+    names = {r.id: r.name for r in Q.note_names(spark.createDataFrame([("1", "A/b"), ("2", "ab"), ("3", "ab")], "id string, label string")).collect()}
+    assert names == {"1": "Ab", "2": "ab_1", "3": "ab_2"}
+    assert {(r.x, r.y) for r in Q.canvas(n).collect()} == {(0, 0), (400, 0), (0, 400), (400, 400), (0, 800)}
+
+
+def test_global_graph_and_symbol_index(spark):
+    from weftgraph.operators import federation as G
+
+    one = spark.createDataFrame([("a", "A", "a.py"), ("x", "os", "")], "id string, label string, source_file string")
+    e1 = spark.createDataFrame([("a", "x")], "src string, dst string")
+    empty_n, empty_e = spark.createDataFrame([], "id string, label string, source_file string, repo string, local_id string"), spark.createDataFrame([], "src string, dst string")
+    n, e = G.global_add(empty_n, empty_e, one, e1, "r1")
+    n2, e2 = G.global_add(n, e, one, e1, "r2")
+    assert {r.id for r in n2.collect()} == {"r1::a", "r1::x", "r2::a"} and e2.count() == 1
+    _, moved = G.global_add(n, e, one, e1, "r2", rewire=True)
+    assert {(r.src, r.dst) for r in moved.collect()} == {("r1::a", "r1::x"), ("r2::a", "r1::x")}
+    again, _ = G.global_add(n2, e2, one, e1, "r2")
+    assert again.count() == 3 and {r.repo: r.n_nodes for r in G.global_list(again).collect()} == {"r1": 2, "r2": 1}
+    assert G.global_remove(n2, e2, "r1")[0].count() == 1
+    s = spark.createDataFrame([("p", "f", "F", 3), ("q", "g", None, None), ("q", "f", "F2", 1)], "path string, symbol string, display_name string, line int")
+    r = spark.createDataFrame([("p", "f", "g", True), ("q", "g", "f", True), ("p", "f", "zzz", True), ("p", "f", "g", None)], "path string, symbol string, target string, is_reference boolean")
+    for flag in ("is_implementation", "is_type_definition", "is_definition"):
+        r = r.withColumn(flag, F.lit(False))
+    nodes, edges = G.symbol_index(s, r)
+    assert nodes.where("source_file = ''").count() == 1 and edges.count() == 3 and edges.where("relation <> 'scip_ref'").count() == 0
