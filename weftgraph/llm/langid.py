@@ -188,10 +188,11 @@ def train(texts: list[tuple[str, str]], seed: int = 7, max_words: int = TRAIN_WO
 
 def training_sample(docs: DataFrame, text_col: str, label_col: str, per_label: int = TEXTS_PER_LANG) -> list[tuple[str, str]]:
     """At most ``per_label`` distinct texts of every label, in the order of a hash of the text."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null")
-    key = F.xxhash64("text", F.lit(11))
-    first = rows.withColumn("key", key).withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("key", "text"))).where(F.col("n") <= per_label)
-    return [(r["text"], r["label"]) for r in first.select("text", "label").collect()]
+    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null").withColumn("key", F.xxhash64("text", F.lit(11)))
+    # the order is taken over hashes alone; only the texts that are picked travel
+    first = rows.select("label", "key").distinct().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("key"))).where(F.col("n") <= per_label).select("label", "key")
+    got = rows.join(F.broadcast(first), ["label", "key"])  # at most per_label rows a label
+    return [(r["text"], r["label"]) for r in got.groupBy("label", "key").agg(F.min("text").alias("text")).orderBy("label", "key").collect()]
 
 
 def identify(docs: DataFrame, model: Crf, text_col: str = "text", runs: bool = True) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 _WS = " \t\n\x0b\x0c\r"
 _WS_RE = r"[\x20\x09-\x0D]+"
 #: Metric -> (floor of its fence, least distance of the quartiles that counts).
-FENCES = {"symbols_per_word": (0.5, 0.02), "chars_per_word": (14.0, 0.5), "dup_line_share": (0.5, 0.02)}
+FENCES = {"symbols_per_word": (0.1, 0.02), "chars_per_word": (10.0, 0.5), "dup_line_share": (0.5, 0.04)}
 SPREADS = 6.0
 SKETCH_K = 400
 #: A group with fewer documents takes the thresholds of the next wider one.
