@@ -25,8 +25,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 
 from weftgraph.llm.batches import bounded
 
-#: Encoded pre-tokens kept per worker: at most so many, each of at most so many characters.
-CACHE_ENTRIES, CACHE_CHARS = 250_000, 48
+#: Encoded pre-tokens kept per worker: at most so many in each of two generations, of so many characters.
+CACHE_ENTRIES, CACHE_CHARS = 180_000, 48
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -101,6 +101,10 @@ class ByteBPE:
         self.split = regex.compile(pattern).findall
         self.packed = _Packed(self)
         self.queue = RankQueue(len(self.tokens))
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.tokens))]
+        self.sizes = np.array([len(t) for t in self.tokens], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+        self.bytes = np.frombuffer(b"".join(self.tokens), np.uint8)
 
     def encode_piece(self, piece: bytes) -> list[int]:
         """Token ids of one pre-token."""
@@ -151,25 +155,33 @@ class ByteBPE:
     def encode(self, text: str | None) -> list[int]:
         return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
-    def decode(self, ids: list[int]) -> bytes:
+    def decode(self, ids: list[int] | np.ndarray) -> bytes:
         """Bytes of the ids; an id that the table lacks raises."""
-        tokens = self.tokens
-        if ids and (min(ids) < 0 or max(ids) >= len(tokens)):
+        at = np.asarray(ids, np.int64)
+        if not len(at):
+            return b""
+        if at.min() < 0 or at.max() >= len(self.tokens) or not (size := self.sizes[at]).all():
             raise ValueError("unknown token id")
-        return b"".join([tokens[i] for i in ids])
+        shift = np.repeat(self.starts[at] - (np.cumsum(size) - size), size)
+        return self.bytes[shift + np.arange(len(shift))].tobytes()
 
 
 class _Packed(dict):
-    """Packed ids by pre-token, bounded: a full table starts anew."""
+    """Packed ids by pre-token, bounded: a full table becomes the old one, from which what is used returns."""
 
     def __init__(self, bpe: ByteBPE):
         super().__init__()
         self.bpe = bpe
+        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = np.array(self.bpe.encode_piece(piece.encode("utf-8")), "<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            four = self.bpe.four
+            out = b"".join([four[i] for i in self.bpe.encode_piece(piece.encode("utf-8"))])
         if len(piece) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
@@ -211,7 +223,7 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, text_col: s
                     if ids:
                         packed.append(raw)
                     if digests:
-                        back = bpe.decode(np.frombuffer(raw, "<u4").tolist())
+                        back = bpe.decode(np.frombuffer(raw, "<u4"))
                         sums.append((hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest()))
                 part = batch.slice(start, 256)
                 arrays = [*(part.column(i) for i in range(len(kept))), pa.array(counts, pa.int64())]
