@@ -83,6 +83,28 @@ def test_weak_candidates_need_a_complement_in_scope(spark):
     assert out == {1: [("linked", at, at + 22)], 2: [], 3: [], 4: [("linked", 0, 22)]}
 
 
+def test_linked_equal_a_brute_force_interval_test(spark):
+    rng, key, tok = random.Random(5), "aB3/" * 150, "aB3dE5gH7jK9mN1pQ3rS5t"
+    texts = [f"{key} user=root", " " * 790 + tok + " " * 193 + "user=root", f"{tok} {'y' * 10} user=root {key} {tok}"]
+    for part in ("user=root", "https://db.example.org/x"):
+        for size in (22, 199, 200, 201, 399, 400, 401, 650, 1000):
+            for gap in (1, 2, 199, 200, 201, 202, 399):
+                one, two = (key * 2)[:size], part
+                lead = " " * rng.choice([0, 1, 3, 178, 199, 200, 201, 390, 790])
+                texts += [f"{lead}{one}{' ' * gap}{two}", f"{lead}{two}{' ' * gap}{one}"]
+    weak = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+    part = re.compile(r"user=[A-Za-z0-9_.@-]{3,}|https://[^ ]+")
+    want = {}
+    for i, t in enumerate(texts):
+        parts = [m.span() for m in part.finditer(t)]
+        want[i] = [(a, b) for a, b in (m.span() for m in weak.finditer(t)) if not any(x < b and a < y for x, y in parts) and any(a <= y + 200 and b >= x - 200 for x, y in parts)]
+    out = secrets.scan_secrets(spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id long, text string")).collect()
+    assert len(out) == len(texts) + 1
+    got = {r.doc_id: sorted((s.start, s.end) for s in r.linked) for r in out}
+    assert want[0] == [(0, 600)] and want[1] == [(790, 812)] and any(not v for v in want.values())
+    assert got == want
+
+
 def test_pii_equals_plain_search(spark):
     rows = noise(2, P_PIECES)
     df = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, base string")

@@ -3,9 +3,11 @@
 Three base kinds stand by themselves. A weak candidate (a long mixed token) proves nothing alone;
 it is reported as ``linked`` when a complementary part, an access identifier or an endpoint, lies
 within its scope: ``SCOPE`` code points of the same text. Parts and candidates meet in an interval
-join: identifiers and endpoints are dealt to every cell their scope touches, candidates to the cell
-of their start, equal cells join, and the true distance decides. Spans of a kind do not overlap, so
-a cell holds a bounded number of either side however many a text has.
+join: identifiers and endpoints are dealt to every cell their scope touches, candidates to the cells
+of their start and their end, equal cells join, and the true distance decides. No candidate overlaps
+a part, so its start (of a part before it) or its end (of one after it) lies in the scope, however
+long it is. Spans of a kind do not overlap, so a cell holds a bounded number of either side however
+many a text has.
 """
 
 from __future__ import annotations
@@ -66,14 +68,16 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "id", "tk", F.col("p.start").alias("p_start"), F.col("p.end").alias("p_end"),
         F.explode(F.sequence(cell(F.greatest(F.lit(0), F.col("p.start") - scope)), cell(F.col("p.end") + scope))).alias("cell"),
     ).dropDuplicates(["id", "tk", "cell", "p_start", "p_end"])
-    weak = held.select("id", "tk", F.explode("weak").alias("w")).select("id", "tk", F.col("w.start").alias("start"), F.col("w.end").alias("end"), cell(F.col("w.start")).alias("cell")).distinct()
+    weak = held.select("id", "tk", F.explode("weak").alias("w")).select(
+        "id", "tk", F.col("w.start").alias("start"), F.col("w.end").alias("end"), F.explode(F.array_distinct(F.array(cell(F.col("w.start")), cell(F.col("w.end"))))).alias("cell"),
+    ).distinct()
     met = weak.alias("w").join(
         parts.alias("p"),
         F.col("w.id").eqNullSafe(F.col("p.id")) & (F.col("w.tk") == F.col("p.tk")) & (F.col("w.cell") == F.col("p.cell"))
         & (F.col("w.start") <= F.col("p.p_end") + scope) & (F.col("w.end") >= F.col("p.p_start") - scope),
         "left_semi",
     )
-    linked = met.groupBy("id", "tk").agg(F.collect_list(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.lit("linked").alias("kind"))).alias("linked"))
+    linked = met.groupBy("id", "tk").agg(F.collect_set(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.lit("linked").alias("kind"))).alias("linked"))
     empty = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return base.alias("b").join(linked.alias("l"), F.col("b.id").eqNullSafe(F.col("l.id")) & F.col("b.tk").eqNullSafe(F.col("l.tk")), "left").select(
         F.col("b.id").alias(id_col), "n_assign", "n_access", "n_hex", "base", F.coalesce("linked", empty).alias("linked")
