@@ -12,7 +12,7 @@ from weftgraph.operators import build as B
 from weftgraph.operators import dedup as D
 from weftgraph.operators import search as S
 from weftgraph.operators import traverse as V
-from weftgraph.operators.components import connected_components
+from weftgraph.operators.components import connected_components as components
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -361,7 +361,21 @@ b AS (SELECT 'c' || c AS u, 'p' || p AS v FROM x UNION SELECT 'p' || p, 'c' || c
 SELECT id AS node, min(m) AS component FROM r GROUP BY 1""", recursive=True)
 def connected_components_small(spark, sf):
     x = table(spark, sf, "orders").where("o_custkey < 12").join(table(spark, sf, "lineitem").where("l_partkey % 7 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return connected_components(x.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")))
+    return components(x.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")))
+
+
+@query()
+def connected_components(spark, sf):
+    return components(star_edges(spark, sf))
+
+
+@query("""b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), near AS (SELECT 'customer:1' AS id UNION SELECT v FROM b WHERE u = 'customer:1' UNION SELECT y.v FROM b x JOIN b y ON y.u = x.v WHERE x.u = 'customer:1')
+SELECT DISTINCT src, dst, relation FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)""")
+def ego_net(spark, sf):
+    e = star_edges(spark, sf)
+    near = V.bfs(e, spark.createDataFrame([("customer:1",)], "id string"), 2).select("id")
+    inner = e.join(near.withColumnRenamed("id", "src"), "src", "left_semi").join(near.withColumnRenamed("id", "dst"), "dst", "left_semi")
+    return inner.select("src", "dst", "relation").distinct()
 
 
 @query("SELECT trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS form, count(*) AS n, count(DISTINCT p_brand) AS n_sources FROM part GROUP BY 1", star=False)
