@@ -44,3 +44,25 @@ def test_connected_components_of_all_edges(spark, tiny):
     want = {x: find(x) for x in root}
     assert len(set(want.values())) == 4
     assert {r.node: r.component for r in QUERIES["connected_components"](spark, tiny).collect()} == want
+
+
+@pytest.mark.parametrize("name", ["louvain", "split_oversized", "remap_communities"])
+def test_communities_take_every_node(spark, tiny, name):
+    got = [r.node for r in QUERIES[name](spark, tiny).collect()]
+    assert sorted(got) == sorted(r.id for r in star_nodes(spark, tiny).collect())
+
+
+def test_dedup_takes_nodes_of_every_kind(spark, tiny):
+    left = {r.id for r in QUERIES["entity_dedup"](spark, tiny).collect()}
+    assert {f"order:{i}" for i in range(24)} <= left
+    assert {x.split(":")[0] for x in left} == {"region", "nation", "customer", "supplier", "part", "order"}
+    assert sum(x.startswith("part:") for x in left) == 5
+
+
+def test_dfs_walks_line_items(spark, tiny):
+    edges = star_edges(spark, tiny).collect()
+    near = {"customer:1"}
+    for _ in range(2):
+        near |= {b for e in edges for a, b in ((e.src, e.dst), (e.dst, e.src)) if a in near}
+    got = QUERIES["dfs_trace"](spark, tiny).collect()
+    assert {r.id for r in got} <= near and any(r.id.startswith("part:") for r in got)

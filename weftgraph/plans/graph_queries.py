@@ -353,7 +353,7 @@ def shortest_path(spark, sf):
 
 @query()
 def dfs_trace(spark, sf):
-    return V.dfs(star_edges(spark, sf).where("relation in ('part_of', 'placed_by')"), ["customer:1"], 2)
+    return V.dfs(star_edges(spark, sf), ["customer:1"], 2)
 
 
 @query("""x AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 12 AND l_partkey % 7 = 0),
@@ -427,8 +427,7 @@ def edge_rewire(spark, sf):
 
 @query()
 def entity_dedup(spark, sf):
-    n = star_nodes(spark, sf).where("id like 'part:%'")
-    return D.deduplicate(n, star_edges(spark, sf), T.ascii_label(F.col("label")))[0]
+    return D.deduplicate(star_nodes(spark, sf), star_edges(spark, sf), T.ascii_label(F.col("label")))[0]
 
 
 _SURPRISE = f"""{_DEG}, e AS (SELECT e.*, a.community AS cu, b.community AS cv, da.degree AS du, db.degree AS dv, a.source_file AS fu, b.source_file AS fv FROM edges e JOIN nodes a ON a.id = src JOIN nodes b ON b.id = dst JOIN d da ON da.id = src JOIN d db ON db.id = dst WHERE relation NOT IN ('imports', 'imports_from', 'contains', 'method') AND a.source_file <> b.source_file),
@@ -482,5 +481,4 @@ def community_overlap(spark, sf):
 def louvain(spark, sf):
     from weftgraph.operators.community import communities
 
-    e = star_edges(spark, sf).where("relation in ('part_of', 'located_in')")
-    return communities(star_nodes(spark, sf).where("id like 'nation:%' or id like 'region:%' or id like 'supplier:%'"), e)
+    return communities(star_nodes(spark, sf), star_edges(spark, sf))

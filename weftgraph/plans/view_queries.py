@@ -74,15 +74,13 @@ def hub_reattach(spark, sf):
 
 @query()
 def remap_communities(spark, sf):
-    old = star_nodes(spark, sf).where("id like 'supplier:%'").select(F.col("id").alias("node"), "community")
+    old = star_nodes(spark, sf).select(F.col("id").alias("node"), "community")
     return M.remap_to_previous(old.withColumn("community", (F.col("community") * 7 + 3) % 25), old)
 
 
 @query()
 def split_oversized(spark, sf):
-    e = star_edges(spark, sf).where("relation = 'located_in'")
-    n = star_nodes(spark, sf).where("id like 'nation:%' or id like 'supplier:%'")
-    return M.communities(n, e, exclude_hubs=99)
+    return M.communities(star_nodes(spark, sf), star_edges(spark, sf), exclude_hubs=99)
 
 
 @query("SELECT 'acme::' || id AS id, 'acme' AS repo FROM nodes WHERE id LIKE 'nation:%' UNION ALL SELECT id, 'base' FROM nodes WHERE id LIKE 'region:%'")
