@@ -66,3 +66,9 @@ def test_dfs_walks_line_items(spark, tiny):
         near |= {b for e in edges for a, b in ((e.src, e.dst), (e.dst, e.src)) if a in near}
     got = QUERIES["dfs_trace"](spark, tiny).collect()
     assert {r.id for r in got} <= near and any(r.id.startswith("part:") for r in got)
+
+
+def test_jaro_winkler_pairs_of_different_starts(spark, tmp_path):
+    spark.createDataFrame([("xarble tile",), ("marble tile",), ("amrble tile",), ("zinc",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = {(r.a, r.b) for r in QUERIES["jaro_winkler_all_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {("amrble tile", "marble tile"), ("amrble tile", "xarble tile"), ("marble tile", "xarble tile")}

@@ -409,6 +409,13 @@ def jaro_winkler_pairs(spark, sf):
     return p.where("jw >= 0.8").select("a", "b", F.round("jw", 6).alias("jw"))
 
 
+@query("SELECT x.t AS a, y.t AS b, round(jaro_winkler_similarity(x.t, y.t), 6) AS jw FROM (SELECT DISTINCT p_name AS t FROM part) x JOIN (SELECT DISTINCT p_name AS t FROM part) y ON x.t < y.t WHERE jaro_winkler_similarity(x.t, y.t) >= 0.8", star=False)
+def jaro_winkler_all_pairs(spark, sf):
+    t = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
+    p = t.join(t.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", T.jaro_winkler_of(F.col("a"), F.col("b")).alias("jw"))
+    return p.where("jw >= 0.8").select("a", "b", F.round("jw", 6).alias("jw"))
+
+
 @query("""m AS (SELECT p_name AS component, 'p' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '_c1' ELSE '' END AS node FROM part)
 SELECT component, node AS winner FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY node LIKE '%\\_c1' ESCAPE '\\', length(node), node) AS k FROM m) WHERE k = 1""")
 def dedup_survivors(spark, sf):
