@@ -3,8 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftgraph.model import star_edges, star_nodes
+from weftgraph.operators import centrality
+from weftgraph.operators import questions as Q
 from weftgraph.plans.catalog import QUERIES
 
 
@@ -72,3 +75,14 @@ def test_jaro_winkler_pairs_of_different_starts(spark, tmp_path):
     spark.createDataFrame([("xarble tile",), ("marble tile",), ("amrble tile",), ("zinc",)], "p_name string").write.parquet(f"{tmp_path}/part.parquet")
     got = {(r.a, r.b) for r in QUERIES["jaro_winkler_all_pairs"](spark, str(tmp_path)).collect()}
     assert got == {("amrble tile", "marble tile"), ("amrble tile", "xarble tile"), ("marble tile", "xarble tile")}
+
+
+def test_large_graphs_keep_bridges(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("f", "g"), ("c", "c"), ("c", "d"), ("x", "y")]
+    e = spark.createDataFrame(pairs, "src string, dst string").withColumns({"relation": F.lit("uses"), "confidence": F.lit("EXTRACTED")}).coalesce(1)
+    n = spark.createDataFrame([(i, i, "code", f"{i}.py", int(i > "c")) for i in "abcdefgxy"], "id string, label string, file_type string, source_file string, community int").coalesce(1)
+    want = {r.id: pytest.approx(r.betweenness) for r in centrality.node_betweenness(e).collect() if r.betweenness}
+    monkeypatch.setattr(centrality, "MAX_EDGES", 3)
+    monkeypatch.setattr(Q, "MAX_EDGES", 3, raising=False)
+    assert {r.id: r.betweenness for r in centrality.node_betweenness(e).collect() if r.betweenness} == want
+    assert [r.subject for r in Q.suggest_questions(n, e).where("kind = 'bridge_node'").collect()] == ["d", "c"]  # 9 and 8 pairs pass them

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators import analytics as A
-from weftgraph.operators.centrality import MAX_EDGES, node_betweenness
+from weftgraph.operators.centrality import node_betweenness
 
 #: Words of node types that name a kind.
 KINDS = {
@@ -24,12 +24,12 @@ def explain(nodes: DataFrame, edges: DataFrame, node: str, top: int = 20) -> Dat
 
 def suggest_questions(nodes: DataFrame, edges: DataFrame, top_n: int = 7, bridges: bool = True) -> DataFrame:
     """(kind, subject, question): at most ``top_n``, by family: ambiguous edges, nodes that bridge
-    communities (for graphs small enough for betweenness), hubs with inferred edges, isolated nodes, loose communities."""
+    communities, hubs with inferred edges, isolated nodes, loose communities."""
     spark = nodes.sparkSession
     label = nodes.select("id", "label")
     a = edges.where("confidence = 'AMBIGUOUS'").join(label.withColumnRenamed("id", "src"), "src").withColumnRenamed("label", "sl").join(label.withColumnRenamed("id", "dst"), "dst")
     rows = [(0, "ambiguous_edge", r["sl"], f"What is the exact relation between {r['sl']} and {r['label']}?") for r in a.orderBy("src", "dst", "relation").limit(top_n).collect()]
-    if bridges and edges.limit(MAX_EDGES + 1).count() <= MAX_EDGES:
+    if bridges:
         reach = A.community_reach(edges, nodes)
         b = node_betweenness(edges).where("betweenness > 0").join(reach.where("reach > 1"), "id").join(label, "id").orderBy(F.desc(F.round("betweenness", 9)), "id").limit(3)
         rows += [(1, "bridge_node", r["label"], f"Why does {r['label']} connect {r['reach']} communities?") for r in b.collect()]

@@ -33,7 +33,7 @@ def explain_node(spark, sf):
 
 @query()
 def suggest_questions(spark, sf):
-    return Q.suggest_questions(star_nodes(spark, sf), star_edges(spark, sf).where("relation <> 'contains'"), bridges=False)
+    return Q.suggest_questions(star_nodes(spark, sf), star_edges(spark, sf))
 
 
 @query(r"""SELECT kind, count(*) AS n FROM (SELECT CASE WHEN file_type = 'document' THEN 'concept' WHEN regexp_matches(lower(label), 'endpoint|router|api|route') THEN 'api' WHEN regexp_matches(lower(label), 'cli|command|click|typer') THEN 'entry'
