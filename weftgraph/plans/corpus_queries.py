@@ -199,6 +199,21 @@ def unique_stub_rewire(spark, sf):
     return R.rewire_stubs(n, e)[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
+#: Names of parts repeat; with the key they are unique, so whole tables take part.
+_ALL_CALLS = """n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' ' || p_partkey) AS key FROM part), u AS (SELECT key, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT 'part:' || l_suppkey AS src, lower(p_name || ' ' || p_partkey) AS key FROM lineitem JOIN part ON p_partkey = l_partkey),
+h AS (SELECT DISTINCT src, u.id AS dst FROM c JOIN u USING (key) WHERE src <> u.id)"""
+
+
+@query(f"WITH {_ALL_CALLS} SELECT src, dst, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM h")
+def raw_call_resolution_all(spark, sf):
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("code").alias("file_type"))
+    li = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("label").alias("callee"), F.lit(False).alias("is_member_call"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
+    return R.resolve_calls(raw, p.drop("p_partkey"), spark.createDataFrame([], "src string, dst string, relation string"))
+
+
 @query("SELECT DISTINCT CASE WHEN count(DISTINCT source) OVER (PARTITION BY doc_id % 50) > 1 THEN lower(source) || '_' || (doc_id % 50) ELSE CAST(doc_id % 50 AS VARCHAR) END AS id, source AS source_file FROM documents".replace("count(DISTINCT source) OVER (PARTITION BY doc_id % 50)", "(SELECT count(DISTINCT b.source) FROM documents b WHERE b.doc_id % 50 = documents.doc_id % 50)"))
 def id_disambiguation(spark, sf):
     n = table(spark, sf, "documents").select((F.col("doc_id") % 50).cast("string").alias("id"), F.col("source").alias("source_file")).distinct()
