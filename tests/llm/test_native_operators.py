@@ -1,9 +1,11 @@
 """Secret scan, URL filter, PII and quality rules against plain Python twins."""
 
 import hashlib
+import math
 import random
 import re
-from collections import Counter
+import unicodedata
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -201,3 +203,69 @@ def test_quality_fence_rejects_outliers_and_keeps_the_rest(spark):
     junk = [(1000 + i, " ".join(f"w{rng.randrange(10**5)}###$$$" for _ in range(60)), "en", "a") for i in range(5)]
     out = {r.doc_id: r.kept for r in quality.judge(spark.createDataFrame(clean + junk, "doc_id long, text string, lang string, source string")).collect()}
     assert all(out[r[0]] for r in clean) and not any(out[r[0]] for r in junk)
+
+
+def plain_fences(rows, spreads=quality.SPREADS, least=quality.LEAST_GROUP):
+    """(lang, source) -> metric -> fence with exact quartiles; rows are (text, lang, source)."""
+
+    def metrics(text):
+        w = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+        lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        marks = sum(not (c.isspace() or unicodedata.category(c)[0] in "LMN") for c in text or "")
+        return (marks / sum(map(len, w)), sum(map(len, w)) / len(w), 1 - len(set(lines)) / len(lines)) if len(w) >= quality.MIN_WORDS else None
+
+    groups, langs, every = defaultdict(list), defaultdict(list), []
+    for text, lang, source in rows:
+        m = metrics(text)
+        if m:
+            for g in (groups[lang, source], langs[lang], every):
+                g.append(m)
+
+    def fence(values, enough):
+        v = sorted(values)
+        lo, hi = (v[math.ceil(q * len(v)) - 1] for q in (0.25, 0.75))
+        return hi + spreads * (hi - lo) if enough and hi > lo else None
+
+    out = {}
+    for key, g in groups.items():
+        out[key] = []
+        for i in range(3):
+            tries = [fence([m[i] for m in x], enough) for x, enough in ((g, len(g) >= least), (langs[key[0]], len(langs[key[0]]) >= least), (every, True))]
+            out[key].append(next((t for t in tries if t is not None), None))
+    return out
+
+
+def test_fences_equal_exact_quartiles_and_follow_a_shifted_group(spark):
+    rng = random.Random(5)
+
+    def text(length, mark, lines=1):
+        words = ["".join(rng.choice("abcdé") for _ in range(max(1, round(rng.gauss(length, 2))))) + ("." if rng.random() < mark else "") for _ in range(rng.randrange(20, 60))]
+        return "\n".join([" ".join(words)] + ["again"] * rng.randrange(lines))
+
+    rows = [(text(5, 0.1), "en", "a") for _ in range(120)] + [(text(9, 0.3), "en", "b") for _ in range(120)] + [(text(5, 0.1, 6), "fr", "a") for _ in range(80)]
+    rows += [(text(5, 0.1), "fr", "few") for _ in range(8)] + [(text(7, 0), None, None) for _ in range(60)] + [(None, "en", "a"), ("too short", "xx", "a")]
+    schema = "text string, lang string, source string"
+    want = plain_fences(rows)
+    got = {(r[0], r[1]): list(r[2:]) for r in quality.fences(spark.createDataFrame(rows, schema)).collect()}
+    assert got.keys() == want.keys() and ("xx", "a") not in got
+    for key, fences in got.items():  # fewer rows than a sketch holds: its quartiles are exact
+        assert fences == pytest.approx(want[key]), key
+    assert got["en", "b"][1] > got["en", "a"][1] + 1 and got["en", "b"][0] != got["en", "a"][0]
+    assert got["fr", "a"][2] > 0 and got["fr", "few"][2] == got["fr", "a"][2]  # too few rows: the language decides
+    # one source moves: its own fence follows, that of another language stays
+    moved = [(t and " ".join(w + "xxx" for w in t.split(" ")), lang, s) if (lang, s) == ("en", "a") else (t, lang, s) for t, lang, s in rows]
+    then = {(r[0], r[1]): list(r[2:]) for r in quality.fences(spark.createDataFrame(moved, schema)).collect()}
+    assert then["en", "a"][1] > got["en", "a"][1] + 2 and then["fr", "a"] == got["fr", "a"] and then["en", "b"] == got["en", "b"]
+
+
+def test_fences_differ_between_groups_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = quality.fences(docs).collect()
+    for i in (2, 3):
+        assert len({r[i] for r in got}) >= docs.select("lang").distinct().count()
+    rows = [(r.text, r.lang, r.source) for r in docs.select("text", "lang", "source").collect()]
+    want = plain_fences(rows)
+    for r in got:  # the widest sketches hold more rows than they keep
+        assert list(r[2:4]) == pytest.approx(want[r[0], r[1]][:2], rel=0.15)
+    judged = quality.judge(docs).join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1"), "doc_id").where("not base_failed")
+    assert judged.where("kept").count() >= 0.99 * judged.count()

@@ -1,9 +1,11 @@
 """Quality rules with adaptive thresholds, in built-in functions only.
 
 Fixed base rules reject outright. On top, every metric has an upper fence per language and source:
-the third quartile plus ``SPREADS`` times the distance of the quartiles, and at least a floor that
-no clean text exceeds. Quartiles come from KLL sketches, which merge: a source with few documents
-uses the merged sketch of its language, a language with few that of all.
+the third quartile plus ``SPREADS`` times the distance of the quartiles. Quartiles come from KLL
+sketches, which merge: a source with few documents uses the merged sketch of its language, a
+language with few that of all. No fence has a fixed floor or cutoff. Where the quartiles of a group
+coincide, its sketch knows no scale for that metric and the next wider sketch decides; a metric
+without a scale anywhere judges nothing.
 """
 
 from __future__ import annotations
@@ -11,14 +13,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftgraph.scratch import Scratch
+
 _WS = " \t\n\x0b\x0c\r"
 _WS_RE = r"[\x20\x09-\x0D]+"
-#: Metric -> (floor of its fence, least distance of the quartiles that counts).
-FENCES = {"symbols_per_word": (0.1, 0.02), "chars_per_word": (10.0, 0.5), "dup_line_share": (0.5, 0.04)}
+#: The metrics under a fence: share of marks among the characters of words, length of words, share of repeated lines.
+FENCES = ("mark_share", "chars_per_word", "dup_line_share")
 SPREADS = 6.0
 SKETCH_K = 400
 #: A group with fewer documents takes the thresholds of the next wider one.
-LEAST_GROUP = 200
+LEAST_GROUP = 50
 MIN_WORDS, REPEAT_NUM, REPEAT_DEN = 20, 30, 100
 WINDOW = 8
 
@@ -39,7 +43,8 @@ def _cheap(docs: DataFrame, text_col: str) -> DataFrame:
         .withColumn("n_symbols", F.regexp_count("w_text", F.lit("[#*$%&|<>]")).cast("long"))
         .withColumn("n_lines", F.size("w_lines").cast("long"))
         .withColumn("n_dup_lines", (F.size("w_lines") - F.size(F.array_distinct("w_lines"))).cast("long"))
-        .withColumn("symbols_per_word", F.when(F.col("n_words") > 0, F.col("n_symbols") / F.col("n_words")).otherwise(F.lit(0.0)))
+        .withColumn("w_marks", F.length(F.regexp_replace("w_text", r"[\p{L}\p{M}\p{N}\s]++", "")))
+        .withColumn("mark_share", F.when(F.col("word_chars") > 0, F.col("w_marks") / F.col("word_chars")).otherwise(F.lit(0.0)))
         .withColumn("chars_per_word", F.when(F.col("n_words") > 0, F.col("word_chars") / F.col("n_words")).otherwise(F.lit(0.0)))
         .withColumn("dup_line_share", F.when(F.col("n_lines") > 0, F.col("n_dup_lines") / F.col("n_lines")).otherwise(F.lit(0.0)))
     )
@@ -66,25 +71,33 @@ def _repeats(df: DataFrame) -> DataFrame:
     return df.withColumn("n_repeat_words", F.aggregate(gaps, F.lit(0), lambda a, x: a + x).cast("long"))
 
 
-def fences(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, k: int = SKETCH_K, least: int = LEAST_GROUP) -> DataFrame:
-    """(lang, source, one upper fence per metric) for every language and source of ``docs``.
+def fences(
+    docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", spreads: float = SPREADS, k: int = SKETCH_K, least: int = LEAST_GROUP,
+    scratch: Scratch | None = None,
+) -> DataFrame:
+    """(f_lang, f_source, one upper fence per metric) for every language and source of ``docs``.
 
-    Null languages and sources are groups of their own.
+    Texts of fewer than ``MIN_WORDS`` words, which the base rules reject, are not sketched; a group of
+    only these has no row. Null languages and sources are groups of their own. A fence is null where no
+    sketch, however wide, has quartiles apart.
     """
-    m = _cheap(docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text")
-    names = list(FENCES)
-    groups = m.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(c, F.lit(k)).alias(c) for c in names))
-    langs = groups.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), *(F.kll_merge_agg_double(c, F.lit(k)).alias(f"l_{c}") for c in names))
-    every = langs.agg(*(F.kll_merge_agg_double(f"l_{c}", F.lit(k)).alias(f"a_{c}") for c in names))
+    scratch = scratch or Scratch(docs.sparkSession, "fences")
+    m = _cheap(docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.col(text_col).alias("text")), "text").where(F.col("n_words") >= MIN_WORDS)
+    groups = scratch.save(m.groupBy("lang", "source").agg(F.count("*").alias("rows"), *(F.kll_sketch_agg_double(c, F.lit(k)).alias(c) for c in FENCES)))
+    langs = scratch.save(groups.groupBy("lang").agg(F.sum("rows").alias("lang_rows"), *(F.kll_merge_agg_double(c, F.lit(k)).alias(f"l_{c}") for c in FENCES)))
+    every = langs.agg(*(F.kll_merge_agg_double(f"l_{c}", F.lit(k)).alias(f"a_{c}") for c in FENCES))
     wide = langs.join(F.broadcast(every))  # one row of a fixed size
     g = groups.alias("g").join(wide.alias("w"), F.col("g.lang").eqNullSafe(F.col("w.lang")))
-    out = [F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source")]
-    for c in names:
-        floor, spread = FENCES[c]
-        sketch = F.when(F.col("rows") >= least, F.col(f"g.{c}")).when(F.col("lang_rows") >= least, F.col(f"w.l_{c}")).otherwise(F.col(f"w.a_{c}"))
+
+    def fence(sketch: Column, enough: Column) -> Column:
         lo, hi = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.25, 0.75))
-        out.append(F.greatest(F.lit(floor), hi + spreads * F.greatest(F.lit(spread), hi - lo)).alias(f"fence_{c}"))
-    return g.select(*out)
+        return F.when(enough & (hi > lo), hi + spreads * (hi - lo))
+
+    return g.select(F.col("g.lang").alias("f_lang"), F.col("g.source").alias("f_source"), *(
+        F.coalesce(
+            fence(F.col(f"g.{c}"), F.col("rows") >= least), fence(F.col(f"w.l_{c}"), F.col("lang_rows") >= least), fence(F.col(f"w.a_{c}"), F.lit(True))
+        ).alias(f"fence_{c}") for c in FENCES
+    ))
 
 
 def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", limits: DataFrame | None = None) -> DataFrame:
