@@ -77,6 +77,23 @@ def listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def in_runs(spans: Column) -> Column:
+    """The spans by start, in runs of a fixed length with the reach of each run: what ``met`` looks at."""
+    one = lambda run: F.struct(
+        F.get(run, F.lit(0))["start"].alias("lo"), F.array_max(F.transform(run, lambda t: t["end"])).alias("hi"),
+        F.transform(run, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))).alias("run"),
+    )
+    ordered = F.array_sort(F.transform(spans, lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"))))
+    cut = lambda v: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / _RUN).cast("int")), lambda r: let(F.slice(v, r * _RUN + 1, _RUN), one))
+    none = F.array().cast("array<struct<lo:int,hi:int,run:array<struct<start:int,end:int>>>>")
+    return let(ordered, lambda v: F.when(F.size(v) > 0, cut(v)).otherwise(none))
+
+
+def met(runs: Column, lo: Column, hi: Column) -> Column:
+    """Whether [lo, hi) shares a place with a span of ``runs``; runs out of reach are passed over."""
+    return F.exists(runs, lambda r: (r["lo"] < hi) & (lo < r["hi"]) & F.exists(r["run"], lambda t: (t["start"] < hi) & (lo < t["end"])))
+
+
 def outside(spans: Column, taken: Column) -> Column:
     """The spans that overlap none of ``taken``."""
-    return let(taken, lambda known: F.filter(spans, lambda s: ~F.exists(known, lambda t: (t["start"] < s["end"]) & (s["start"] < t["end"]))))
+    return let(in_runs(taken), lambda known: F.filter(spans, lambda s: ~met(known, s["start"], s["end"])))
