@@ -1,26 +1,28 @@
 """Personal data by weak supervision, in built-in functions only.
 
 Base kinds (email, ip, card, phone) stand by their patterns and checks. Further candidates (local
-phone numbers, social-security shapes, account numbers, titled names) are voted on by labelers:
-shape, gazetteer, context words before the span, and contrary context. How often each labeler is
-right is estimated by expectation-maximisation over the counts of vote patterns, a table bounded by
-the number of patterns; the posteriors are the soft labels of a final naive-Bayes span classifier
-over kind, length, neighbours and context, whose weights are again a bounded table. Both are fitted
-on all candidates of all documents, base spans included; only the candidate's class is decided by it.
+phone numbers, social-security shapes, account numbers, titled names, dates of birth, written-out mail
+addresses, card numbers that fail their check) are taken where no base span is, and labelers vote on
+them: shape, gazetteer, context words before and after the span, and contrary context. How often each
+labeler is right is estimated by expectation-maximisation over the counts of vote patterns, first over
+all kinds, then per kind with the joint estimate as prior; the posteriors are the soft labels of a
+naive-Bayes span classifier per kind over length, neighbours and votes. What reaches the driver is a
+table of counts, bounded by the number of vote patterns and features, whatever the number of documents.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.llm.spans import find_spans, kept, let, listed, outside, tagged
+from weftgraph.llm.spans import find_spans, in_runs, kept, let, listed, met, outside, tagged
 
 BASE = ("email", "ip", "card", "phone")
-EXTRA = ("local_phone", "ssn", "iban", "person")
+EXTRA = ("local_phone", "ssn", "iban", "person", "birth", "hidden_mail", "card_like")
 
 #: Patterns. Loops are over single characters, which Java runs without recursion.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
@@ -31,16 +33,23 @@ LOCAL_PHONE = r"(?<![0-9+)-])(?:\([0-9]{3}\)|[0-9]{3})[\x20.-][0-9]{3}[.-][0-9]{
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![A-Za-z0-9])"
 PERSON = r"(?<![A-Za-z])(?:Mrs|Mr|Ms|Dr|Herr|Frau|Mme|Sra|Sr)\.?\x20[A-Z][a-z]{2,20}"
+BIRTH = r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}-[0-9]{2}-[0-9]{2})(?![0-9./-]*[0-9])"
+HIDDEN_MAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{2,64}\x20?(?:\(at\)|\[at\]|\x20at\x20)\x20?[A-Za-z0-9-]{2,63}\x20?(?:\(dot\)|\[dot\]|\x20dot\x20)\x20?[A-Za-z]{2,10}(?![A-Za-z0-9])"
+CARD_LIKE = r"(?<![0-9A-Za-z.-])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?![0-9A-Za-z-])"
+PATTERNS = {"local_phone": LOCAL_PHONE, "ssn": SSN, "iban": IBAN, "person": PERSON, "birth": BIRTH, "hidden_mail": HIDDEN_MAIL, "card_like": CARD_LIKE}
 #: Context and gazetteer words.
 CONTEXT = {
-    "phone": r"(?i:phone|tel|call|fax|mobile|whatsapp|contact)", "ssn": r"(?i:ssn|social|tax|security)", "iban": r"(?i:iban|account|bank|konto|transfer)",
-    "person": r"(?i:dear|regards|contact|signed|patient|client)", "email": r"(?i:mail|contact|write|address)", "ip": r"(?i:\bip\b|host|server|address)", "card": r"(?i:card|visa|credit|payment)",
+    "local_phone": r"(?i:phone|tel|call|fax|mobile|whatsapp|contact|anruf|llam|appel)", "ssn": r"(?i:ssn|social|tax|security)", "iban": r"(?i:iban|account|bank|konto|transfer|cuenta|compte)",
+    "person": r"(?i:dear|regards|contact|signed|patient|client|hello)", "birth": r"(?i:born|birth|dob|gebor|geburt|nacid|nacim|naissance)", "hidden_mail": r"(?i:mail|contact|write|reach|address)",
+    "card_like": r"(?i:card|visa|credit|payment|mastercard|karte|tarjeta|carte)",
 }
-CONTRARY = r"(?i:order|invoice|version|isbn|page|total|chapter|figure|ref)[^A-Za-z]{0,6}$"
+CONTRARY = r"(?i:order|invoice|version|isbn|page|total|chapter|figure|ref|serial|id|released|updated|published)[^A-Za-z]{0,6}$"
 NAMES = r"(?:James|John|Mary|Anna|Maria|Peter|Paul|Laura|Jose|Juan|Pierre|Marie|Hans|Klaus|Julia|Thomas|Michael|Sarah|David|Elena)$"
 COUNTRIES = r"^(?:DE|FR|ES|GB|IT|NL|BE|AT|CH|PT|IE|LU|PL|SE|DK|FI|NO)"
-AROUND = 40
+AROUND, BEHIND = 40, 24
 ROUNDS = 25
+#: Pseudo-counts: a labeler is taken to be right three times in four before anything is seen, and a kind to be like all.
+TRUST, KIND_PRIOR = 4.0, 10.0
 
 
 def _digits(hit: Column) -> Column:
@@ -76,9 +85,19 @@ def base_spans(text: Column) -> dict[str, Column]:
     }
 
 
+def _gates(text: Column) -> dict[str, Column]:
+    """Per further kind a cheap test that every text with a candidate passes."""
+    digit = text.rlike("[0-9]{2}")
+    return {
+        "local_phone": digit & text.rlike(r"[0-9]{3}[.-][0-9]{4}"), "ssn": digit & text.rlike("[0-9]-[0-9]{2}-[0-9]"), "iban": digit & text.rlike("[A-Z]{2}[0-9]{2}"),
+        "person": text.rlike(r"(?:Mr|Ms|Dr|Herr|Frau|Mme|Sra?)s?\.?\x20[A-Z]"), "birth": digit & text.rlike(r"[./-](?:19|20)?[0-9]{2}") & text.rlike("(?:19|20)[0-9]{2}"),
+        "hidden_mail": (text.contains("(at)") | text.contains("[at]") | text.contains(" at ")) & text.contains("dot"), "card_like": digit & text.rlike("[0-9]{4}[\\x20-]?[0-9]{4}[\\x20-]?[0-9]{4}"),
+    }
+
+
 def extra_spans(text: Column) -> dict[str, Column]:
     """Candidates of the further kinds."""
-    return {k: find_spans(text, p, text.rlike(p)) for k, p in (("local_phone", LOCAL_PHONE), ("ssn", SSN), ("iban", IBAN), ("person", PERSON))}
+    return {k: find_spans(text, PATTERNS[k], gate) for k, gate in _gates(text).items()}
 
 
 def _bucket(value: Column, cuts: list[int]) -> Column:
@@ -92,16 +111,32 @@ def _side(ch: Column) -> Column:
     return F.when(ch == "", "edge").when(ch.rlike(r"[\x20\n\t]"), "space").when(ch.rlike("[A-Za-z0-9]"), "word").otherwise("mark")
 
 
-def _votes(kind: str, hit: Column, before: Column) -> list[Column]:
-    """Shape, gazetteer, context and contrary context: 1 for, -1 against, 0 silent."""
+def _mod97(account: Column) -> Column:
+    """Remainder of an account number, its first four characters moved to the end and letters read as 10 to 35."""
+    turned = F.concat(F.substr(account, F.lit(5), F.length(account)), F.substr(account, F.lit(1), F.lit(4)))
+    value = lambda c: F.when(c.rlike("[0-9]"), F.ascii(c) - 48).otherwise(F.ascii(c) - 55)
+    return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
+
+
+def _votes(kind: str, hit: Column, before: Column, after: Column) -> list[Column]:
+    """One vote by every one of ``VOTERS``: 1 for, -1 against, 0 silent."""
     d = _digits(hit)
     shape = {
         "local_phone": ~d.rlike("^[01]") & ~d.rlike("^(.)\\1+$"), "ssn": ~d.rlike("^(?:000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$"),
-        "iban": F.length(hit).between(15, 34), "person": hit.rlike(r"\. "),
-    }.get(kind, F.lit(True))
-    gazetteer = {"person": F.when(hit.rlike(NAMES), 1).otherwise(0), "iban": F.when(hit.rlike(COUNTRIES), 1).otherwise(-1), "email": F.when(hit.rlike(r"(?i)\.(?:com|org|net|edu|gov|de|fr|es|uk|io)$"), 1).otherwise(0)}.get(kind, F.lit(0))
-    words = CONTEXT["phone" if "phone" in kind else kind]
-    return [F.when(shape, 1).otherwise(-1), gazetteer, F.when(before.rlike(words), 1).otherwise(0), F.when(before.rlike(CONTRARY), -1).otherwise(0)]
+        "iban": F.length(hit).between(15, 34), "person": hit.rlike(r"\. "), "birth": ~hit.rlike(r"(?:^|[^0-9])(?:0?0|[4-9][0-9])[./-]"),
+        "hidden_mail": hit.rlike(r"[(\[]"), "card_like": hit.rlike(r"^[3-6]") & ~d.rlike("^(.)\\1+$"),
+    }[kind]
+    gazetteer = {
+        "person": F.when(hit.rlike(NAMES), 1).otherwise(0), "iban": F.when(hit.rlike(COUNTRIES), 1).otherwise(-1),
+        "hidden_mail": F.when(hit.rlike(r"(?i:com|org|net|edu|gov|de|fr|es|uk|io)$"), 1).otherwise(-1), "card_like": F.when(hit.rlike("[^0-9]"), 1).otherwise(-1),
+    }.get(kind, F.lit(0))
+    # what passes the card check is a base span already
+    checksum = {"iban": F.when(_mod97(hit) == 1, 1).otherwise(-1), "card_like": F.lit(-1)}.get(kind, F.lit(0))
+    near = lambda side: F.when(side.rlike(CONTEXT[kind]), 1).otherwise(0)
+    return [F.when(shape, 1).otherwise(-1), gazetteer, checksum, near(before), near(after), F.when(before.rlike(CONTRARY), -1).otherwise(0)]
+
+
+VOTERS = ("shape", "gazetteer", "checksum", "before", "after", "contrary")
 
 
 def _described(text: Column, kind: str, spans: Column) -> Column:
@@ -109,35 +144,41 @@ def _described(text: Column, kind: str, spans: Column) -> Column:
 
     def one(s: Column) -> Column:
         at = F.greatest(F.lit(0), s["start"] - AROUND)
-        before = F.substr(text, at + 1, s["start"] - at)
-        after = F.substr(text, s["end"] + 1, F.lit(1))
-        votes = _votes(kind, s["hit"], before)
-        left = F.substr(before, F.length(before), F.lit(1))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"),
-            F.concat_ws(",", *(v.cast("string") for v in votes)).alias("votes"),
-            F.array(
-                F.lit(f"kind={kind}"), F.concat(F.lit("len="), _bucket(F.length(s["hit"]), [8, 12, 16, 24])), F.concat(F.lit("left="), _side(F.when(s["start"] == 0, "").otherwise(left))),
-                F.concat(F.lit("right="), _side(after)), F.concat(F.lit(f"{kind}:ctx="), votes[2].cast("string")), F.concat(F.lit("contrary="), votes[3].cast("string")), F.concat(F.lit(f"{kind}:shape="), votes[0].cast("string")),
-            ).alias("features"),
-        )
+        sides = F.struct(F.substr(text, at + 1, s["start"] - at).alias("before"), F.substr(text, s["end"] + 1, F.lit(BEHIND)).alias("after"))
+
+        def told(w: Column) -> Column:
+            votes = [v.cast("string") for v in _votes(kind, s["hit"], w["before"], w["after"])]
+            features = [
+                F.concat(F.lit("len="), _bucket(F.length(s["hit"]), [8, 12, 16, 24])), F.concat(F.lit("left="), _side(F.substr(w["before"], F.length(w["before"]), F.lit(1)))),
+                F.concat(F.lit("right="), _side(F.substr(w["after"], F.lit(1), F.lit(1)))), *(F.concat(F.lit(f"{n}="), v) for n, v in zip(VOTERS, votes, strict=True)),
+            ]
+            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.concat_ws(",", *votes).alias("votes"), F.array(*(F.concat(F.lit(f"{kind}:"), f) for f in features)).alias("features"))
+
+        return let(sides, told)
 
     return F.transform(spans, one)
 
 
-def estimate(patterns: dict[tuple[int, ...], float], rounds: int = ROUNDS) -> tuple[dict[tuple[int, ...], float], list[dict]]:
+def _start(width: int) -> list[dict]:
+    """Pseudo-counts of labelers that are more often right than wrong."""
+    return [{1: {1: 0.75 * TRUST, 0: 0.5 * TRUST, -1: 0.25 * TRUST}, 0: {1: 0.25 * TRUST, 0: 0.5 * TRUST, -1: 0.75 * TRUST}} for _ in range(width)]
+
+
+def estimate(patterns: dict[tuple[int, ...], float], rounds: int = ROUNDS, prior: list[dict] | None = None) -> tuple[dict[tuple[int, ...], float], list[dict]]:
     """Dawid-Skene on counts of vote patterns: (P(true | pattern), reliabilities by labeler).
 
-    Starts from the majority vote; smoothed, so an empty or one-sided table is fine.
+    Starts from the majority vote; ``prior`` are pseudo-counts by labeler, class and vote, so an empty
+    or one-sided table is fine.
     """
     if not patterns:
         return {}, []
     width = len(next(iter(patterns)))
+    prior = prior or _start(width)
     post = {p: 0.9 if sum(p) > 0 else 0.5 if sum(p) == 0 else 0.1 for p in patterns}
     tables: list[dict] = []
     for _ in range(rounds):
         mass = [1.0, 1.0]
-        tables = [{c: {v: 1.0 for v in (-1, 0, 1)} for c in (0, 1)} for _ in range(width)]
+        tables = [{c: dict(prior[k][c]) for c in (0, 1)} for k in range(width)]
         for p, n in patterns.items():
             for c, share in ((1, post[p]), (0, 1 - post[p])):
                 mass[c] += n * share
@@ -153,30 +194,54 @@ def estimate(patterns: dict[tuple[int, ...], float], rounds: int = ROUNDS) -> tu
     return post, tables
 
 
+def fit(counts: list[tuple[str, str, list[str], int]]) -> dict[str, float]:
+    """Weights of the span classifier from (kind, votes, features, count): log-odds by feature and, under
+    the name of a kind, its prior."""
+    by_kind: dict[str, dict[tuple[int, ...], float]] = defaultdict(lambda: defaultdict(float))
+    every: dict[tuple[int, ...], float] = defaultdict(float)
+    votes_of = lambda votes: tuple(map(int, votes.split(",")))
+    for kind, votes, _, n in counts:
+        by_kind[kind][votes_of(votes)] += n
+        every[votes_of(votes)] += n
+    _, joint = estimate(dict(every))
+    prior = [{c: {v: x * KIND_PRIOR for v, x in t[c].items()} for c in (0, 1)} for t in joint]
+    post = {kind: estimate(dict(p), prior=prior)[0] for kind, p in by_kind.items()}
+    mass: dict[str, list[float]] = defaultdict(lambda: [1.0, 1.0])
+    seen: dict[str, list[float]] = defaultdict(lambda: [0.5, 0.5])
+    for kind, votes, features, n in counts:
+        share = post[kind][votes_of(votes)]
+        for c, x in ((1, share * n), (0, (1 - share) * n)):
+            mass[kind][c] += x
+            for f in features:
+                seen[f][c] += x
+    weights = {kind: math.log(m[1] / m[0]) for kind, m in mass.items()}
+    for f, x in seen.items():
+        m = mass[f.split(":", 1)[0]]
+        weights[f] = math.log(x[1] / (m[1] + 1)) - math.log(x[0] / (m[0] + 1))
+    return weights
+
+
+def _candidates(df: DataFrame) -> DataFrame:
+    """``df`` (column t) with the base spans b_<kind> and the candidates x_<kind> outside of them."""
+    text = F.col("t")
+    df = df.select("*", *(s.alias(f"b_{k}") for k, s in base_spans(text).items()), *(s.alias(f"y_{k}") for k, s in extra_spans(text).items()))
+    known = F.concat(*(F.transform(f"b_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE))
+    kept_out = lambda c: F.when(F.size(c) > 0, outside(F.col(c), known)).otherwise(F.col(c))
+    return df.select("*", *(kept_out(f"y_{k}").alias(f"x_{k}") for k in EXTRA)).drop(*(f"y_{k}" for k in EXTRA))
+
+
 def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """Weights (log-odds by feature, and "" for the prior) of the span classifier.
+    """Weights of the span classifier, fitted on all candidates of all documents.
 
-    One pass over all documents; what comes to the driver is a table of counts by vote pattern and
-    feature tuple, bounded by the number of these.
+    One pass; what comes to the driver is a table of counts by vote pattern and feature tuple,
+    bounded by the number of these.
     """
+    some = functools.reduce(Column.__or__, _gates(F.col("t")).values())
     text = F.col("t")
-    rows = docs.select(F.col(text_col).alias("t")).where(text.rlike(r"[0-9]|@|(?:Mr|Ms|Dr|Herr|Frau|Mme|Sr)"))
-    spans = F.concat(*(_described(text, k, s) for k, s in {**base_spans(text), **extra_spans(text)}.items()))
-    counts = rows.select(F.explode(spans).alias("s")).groupBy(F.col("s.votes").alias("votes"), F.col("s.features").alias("features")).count().collect()
-    patterns: dict[tuple[int, ...], float] = defaultdict(float)
-    for r in counts:
-        patterns[tuple(map(int, r["votes"].split(",")))] += r["count"]
-    post, _ = estimate(dict(patterns))
-    mass, by = [1.0, 1.0], defaultdict(lambda: [0.5, 0.5])
-    for r in counts:
-        share = post[tuple(map(int, r["votes"].split(",")))]
-        for c, x in ((1, share * r["count"]), (0, (1 - share) * r["count"])):
-            mass[c] += x
-            for f in r["features"]:
-                by[f][c] += x
-    weights = {f: math.log(x[1] / (mass[1] + 1)) - math.log(x[0] / (mass[0] + 1)) for f, x in by.items()}
-    weights[""] = math.log(mass[1] / mass[0])
-    return weights
+    rows = _candidates(docs.select(F.col(text_col).alias("t")).where(some))
+    spans = F.concat(*(_described(text, k, F.col(f"x_{k}")) for k in EXTRA))
+    counts = rows.select(F.explode(spans).alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
+    return fit([(r[0], r[1], r[2], r[3]) for r in counts])
 
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", weights: dict[str, float] | None = None, keep: bool = False) -> DataFrame:
@@ -191,31 +256,36 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     new = [*(f"n_{k}" for k in BASE), "base", "added"]
     own = [c for c in docs.columns if c not in new] if keep else [id_col]
     moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{text_col}`").alias("t"))
-    text = F.col("t")
-    base, extra = base_spans(text), extra_spans(text)
-    df = moved.select("*", *(s.alias(f"b_{k}") for k, s in base.items()), *(s.alias(f"x_{k}") for k, s in extra.items()))
-    df = df.withColumn("w_base", F.concat(*(tagged(F.col(f"b_{k}"), i, k) for i, k in enumerate(BASE))))
-    table = F.create_map(*(F.lit(x) for f, w in sorted(weights.items()) for x in (f, w)))
-    score = lambda s: F.aggregate(s["features"], F.lit(float(weights[""])), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
-    found = F.concat(*(
-        tagged(F.filter(_described(text, k, outside(F.col(f"x_{k}"), F.col("w_base"))), lambda s: score(s) >= 0), len(BASE) + i, k) for i, k in enumerate(EXTRA)
-    ))
-    return df.select(*(F.col(f"o{i}").alias(c) for i, c in enumerate(own)), *(F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in BASE), F.col("w_base").alias("base"), found.alias("added"))
+    df = _candidates(moved)
+    table = F.create_map(*(F.lit(x) for f, w in sorted(weights.items()) for x in (f, w))) if weights else F.create_map().cast("map<string,double>")
+
+    def score(s: Column) -> Column:
+        return F.aggregate(s["features"], F.coalesce(F.try_element_at(table, s["kind"]), F.lit(0.0)), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
+
+    def found(kind: str, rank: int) -> Column:
+        spans = F.col(f"x_{kind}")
+        return F.when(F.size(spans) > 0, tagged(F.filter(_described(F.col("t"), kind, spans), lambda s: score(s) > 0), rank, kind)).otherwise(tagged(spans, rank, kind))
+
+    return df.select(
+        *(F.col(f"o{i}").alias(c) for i, c in enumerate(own)), *(F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in BASE),
+        F.concat(*(tagged(F.col(f"b_{k}"), i, k) for i, k in enumerate(BASE))).alias("base"), F.concat(*(found(k, len(BASE) + i) for i, k in enumerate(EXTRA))).alias("added"),
+    )
 
 
 def redact(text: Column, spans: Column) -> Column:
     """The text with every maximal run of overlapping or touching spans written as ``<PII>``."""
     sorted_of = lambda x: F.array_sort(F.array_distinct(x))
-    starts = lambda v: sorted_of(F.transform(F.filter(v, lambda s: ~F.exists(v, lambda t: (t["start"] < s["start"]) & (s["start"] <= t["end"]))), lambda s: s["start"]))
-    ends = lambda v: sorted_of(F.transform(F.filter(v, lambda s: ~F.exists(v, lambda t: (t["start"] <= s["end"]) & (s["end"] < t["end"]))), lambda s: s["end"]))
+    # a span heads a run unless another reaches its start from before, and ends it unless another passes its end
+    heads = lambda v, runs: sorted_of(F.transform(F.filter(v, lambda s: ~met(runs, s["start"] - 1, s["start"])), lambda s: s["start"]))
+    tails = lambda v, runs: sorted_of(F.transform(F.filter(v, lambda s: ~met(runs, s["end"], s["end"] + 1)), lambda s: s["end"]))
 
     def rebuilt(r: Column) -> Column:
         past = lambda i: F.when(i > 0, F.get(r["ends"], i - 1)).otherwise(F.lit(0))
         pieces = F.transform(r["starts"], lambda s, i: F.concat(F.substr(text, past(i) + 1, s - past(i)), F.lit("<PII>")))
         return F.concat(F.array_join(pieces, ""), F.substr(text, F.element_at(r["ends"], -1) + 1, F.length(text)))
 
-    masked = let(spans, lambda v: let(F.struct(starts(v).alias("starts"), ends(v).alias("ends")), rebuilt))
+    masked = let(spans, lambda v: let(in_runs(v), lambda runs: let(F.struct(heads(v, runs).alias("starts"), tails(v, runs).alias("ends")), rebuilt)))
     return F.when(F.size(spans) > 0, masked).otherwise(text)
 
 
-__all__ = ["base_spans", "estimate", "find_pii", "listed", "redact", "train"]
+__all__ = ["base_spans", "estimate", "find_pii", "fit", "listed", "redact", "train"]
