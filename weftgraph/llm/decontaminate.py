@@ -6,12 +6,17 @@ match of at least the window's length marks the last ``window`` words as hit. It
 the window count as one window each. A first look at the word hashes of a chunk finds the runs
 of item words that are long enough to hold any window; only those runs are walked, which loses
 nothing, for a window consists of item words alone.
+
+One automaton holds a bounded number of item words, for it is broadcast. More items are cut into
+groups of that size, each with an automaton of its own: every group streams the documents once and
+saves the few that it hits, and a last pass unites the hits by row.
 """
 
 from __future__ import annotations
 
+import functools
 import pickle
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,9 +26,10 @@ from pyspark.sql.types import StructField, StructType
 
 from weftgraph.llm import kernels as K
 from weftgraph.llm.batches import bounded
+from weftgraph.scratch import Scratch
 
 WINDOW = 13
-#: The automaton is broadcast; it takes about 400 bytes a word, so this bounds it to some 400 MB.
+#: Words of one automaton, which is broadcast: at about 400 bytes a word this bounds it to some 400 MB.
 MAX_ITEM_WORDS = 1_000_000
 _ADDED = "n_words long, n_hit long, items array<string>, spans array<struct<start:int,end:int>>, clean_text string"
 
@@ -127,18 +133,36 @@ class SuffixAutomaton:
                     spans.append((at - longest, at))
 
 
-def build(items: list[tuple[str | None, str | None]], window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> tuple[np.ndarray, SuffixAutomaton]:
-    """(sorted word hashes, automaton over their ranks) of (item id, text); null ids and texts are left out."""
-    named = [(str(i), t) for i, t in items if i is not None and t is not None]
-    texts = pa.array([t for _, t in named], pa.large_string())
-    seqs: list[np.ndarray] = []
-    for c in K.chunks(texts, K.alnum_mask()):
-        seqs += [c.hashes[a:b] for a, b in zip(c.bounds[:-1], c.bounds[1:], strict=True)]
-    total = sum(map(len, seqs))
-    if total > max_words:
-        raise ValueError(f"the test items have {total} words; the broadcast automaton is bounded to max_words={max_words}")
-    vocab = np.unique(np.concatenate([np.empty(0, np.uint64), *seqs]))
-    return vocab, SuffixAutomaton([(i, np.searchsorted(vocab, s).tolist()) for (i, _), s in zip(named, seqs, strict=True)], window)
+def groups_of(items: Iterable[tuple[str | None, str | None]], window: int = WINDOW, max_words: int = MAX_ITEM_WORDS) -> Iterator[list[tuple[str, np.ndarray]]]:
+    """(item id, word hashes) in groups of at most ``max_words`` words; null ids and texts are left out.
+
+    An item longer than a group is cut into pieces that share ``window`` - 1 words, so each of its
+    windows lies in one piece. At least one group comes, if an empty one.
+    """
+    most = max(max_words, 2 * window)
+    group: list[tuple[str, np.ndarray]] = []
+    held, any_yet = 0, False
+    for item, text in items:
+        if item is None or text is None:
+            continue
+        parts = [c.hashes for c in K.chunks(pa.array([text], pa.large_string()), K.alnum_mask())]
+        words = np.concatenate([np.empty(0, np.uint64), *parts])
+        step = most - window + 1
+        for at in range(0, max(1, len(words) - window + 1), step):
+            piece = words[at : at + most]
+            if held and held + len(piece) > most:
+                yield group
+                group, held, any_yet = [], 0, True
+            group.append((str(item), piece))
+            held += len(piece)
+    if group or not any_yet:
+        yield group
+
+
+def build(group: list[tuple[str, np.ndarray]], window: int = WINDOW) -> tuple[np.ndarray, SuffixAutomaton]:
+    """(sorted word hashes, automaton over their ranks) of a group."""
+    vocab = np.unique(np.concatenate([np.empty(0, np.uint64), *(s for _, s in group)]))
+    return vocab, SuffixAutomaton([(i, np.searchsorted(vocab, s).tolist()) for i, s in group], window)
 
 
 def _runs(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, least: int) -> Iterator[tuple[int, int]]:
@@ -156,15 +180,12 @@ def _runs(ids: np.ndarray, known: np.ndarray, bounds: np.ndarray, least: int) ->
     return zip(a[long].tolist(), b[long].tolist(), strict=True)
 
 
-def _scan(column: pa.Array, vocab: np.ndarray, auto: SuffixAutomaton, clean: bool):
-    """Per text: words, hit words, sorted items, character-free word spans and the text without them."""
-    n = len(column)
-    words, hits = np.zeros(n, np.int64), np.zeros(n, np.int64)
-    items: list[list[str]] = [[] for _ in range(n)]
-    spans: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-    texts: dict[int, str] = {}
+Span = tuple[int, int]
+
+
+def _hits(column: pa.Array, vocab: np.ndarray, auto: SuffixAutomaton) -> Iterator[tuple[int, list[Span], set[str]]]:
+    """(index, hit word spans in order, items) of every text of the column that is hit."""
     for c in K.chunks(column, K.alnum_mask()):
-        words[c.first : c.first + len(c.bounds) - 1] = np.diff(c.bounds)
         if not len(c.hashes) or not len(vocab):
             continue
         ids = np.minimum(np.searchsorted(vocab, c.hashes), len(vocab) - 1)
@@ -174,27 +195,96 @@ def _scan(column: pa.Array, vocab: np.ndarray, auto: SuffixAutomaton, clean: boo
             doc = int(np.searchsorted(c.bounds, a, "right")) - 1
             sp, it = found.setdefault(doc, ([], set()))
             auto.walk(ids[a:b].tolist(), a - int(c.bounds[doc]), sp, it)
-        for doc, (sp, it) in found.items():
-            if not sp:
+        yield from ((c.first + doc, sp, it) for doc, (sp, it) in found.items() if sp)
+
+
+def _united(spans: Iterable[Span]) -> list[Span]:
+    """The same words in spans that neither overlap nor touch, in order."""
+    out: list[Span] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _without(column: pa.Array, spans: dict[int, list[Span]]) -> dict[int, str]:
+    """The hit texts without the characters from the first to the last word of each span."""
+    texts: dict[int, str] = {}
+    for c in K.chunks(column, K.alnum_mask()):
+        for doc in range(len(c.bounds) - 1):
+            cuts = spans.get(c.first + doc)
+            if not cuts:
                 continue
-            i = c.first + doc
-            hits[i] = sum(b - a for a, b in sp)
-            items[i] = sorted(it)
-            spans[i] = sp
-            if clean:
-                base = int(c.bounds[doc])
-                cut = [(int(c.starts[base + a]), int(c.ends[base + b - 1])) for a, b in sp]
-                lo = int(c.text_offsets[doc])
-                parts, at = [], lo
-                for a, b in cut:
-                    parts.append(c.data[at:a].tobytes())
-                    at = b
-                parts.append(c.data[at : int(c.text_offsets[doc + 1])].tobytes())
-                texts[i] = b"".join(parts).decode("utf-8", "replace")
-    return words, hits, items, spans, texts
-
-
-def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS, prefix: str = "", clean: bool = True) -> DataFrame:
+            base, at = int(c.bounds[doc]), int(c.text_offsets[doc])
+            parts = []
+            for a, b in cuts:
+                parts.append(c.data[at : int(c.starts[base + a])].tobytes())
+                at = int(c.ends[base + b - 1])
+            parts.append(c.data[at : int(c.text_offsets[doc + 1])].tobytes())
+            texts[c.first + doc] = b"".join(parts).decode("utf-8", "replace")
+    return texts
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _told(column: pa.Array, hits: dict[int, tuple[list[Span], list[str]]], clean: bool) -> list[pa.Array]:
+    """The new columns: words, hit words, items, spans and the text without them."""
+    n = len(column)
+    words = np.zeros(n, np.int64)
+    for c in K.chunks(column, K.alnum_mask()):
+        words[c.first : c.first + len(c.bounds) - 1] = np.diff(c.bounds)
+    hit = np.zeros(n, np.int64)
+    items: list[list[str]] = [[] for _ in range(n)]
+    spans: list[list[dict[str, int]]] = [[] for _ in range(n)]
+    for i, (sp, it) in hits.items():
+        hit[i], items[i], spans[i] = sum(b - a for a, b in sp), it, [{"start": a, "end": b} for a, b in sp]
+    cleaned = column if clean else pa.nulls(n, column.type)
+    texts = _without(column, {i: sp for i, (sp, _) in hits.items()}) if clean else {}
+    if texts:
+        at, sub = np.arange(n), np.full(n, -1)
+        sub[list(texts)] = range(len(texts))
+        cleaned = pa.concat_arrays([column, pa.array(list(texts.values()), column.type)]).take(pa.array(np.where(sub >= 0, n + sub, at)))
+    return [pa.array(words), pa.array(hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, _SPANS), cleaned]
+
+
+def _group_mapper(shared, row: str | None, keep: list[str], names: list[str], text_col: str, clean: bool):
+    """Documents -> all of them with the new columns; or, with ``row``, (row, spans, items) of those hit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab, auto = pickle.loads(shared.value)
+        for batch in batches:
+            column = batch.column(batch.schema.get_field_index(text_col) if row else keep.index(text_col))
+            hits = {i: (sp, sorted(it)) for i, sp, it in _hits(column, vocab, auto)}
+            if row is None:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *_told(column, hits, clean)], names=[*keep, *names])
+            elif hits:
+                at = batch.column(batch.schema.get_field_index(row)).take(pa.array(list(hits)))
+                spans = pa.array([[{"start": a, "end": b} for a, b in sp] for sp, _ in hits.values()], _SPANS)
+                yield pa.RecordBatch.from_arrays([at, spans, pa.array([it for _, it in hits.values()], pa.list_(pa.string()))], names=[row, "g_spans", "g_items"])
+
+    return run
+
+
+def _union_mapper(keep: list[str], names: list[str], text_col: str, clean: bool):
+    """Documents with the hits of all groups -> documents with the new columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(keep.index(text_col))
+            spans, items = batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist()
+            hits = {i: (_united((s["start"], s["end"]) for s in sp), sorted(set(it))) for i, (sp, it) in enumerate(zip(spans, items, strict=True)) if sp}
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(keep))), *_told(column, hits, clean)], names=[*keep, *names])
+
+    return run
+
+
+def decontaminate(
+    docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, max_item_words: int = MAX_ITEM_WORDS,
+    prefix: str = "", clean: bool = True, scratch: Scratch | None = None,
+) -> DataFrame:
     """All rows and columns of ``docs`` plus n_words, n_hit, items, spans (word positions, end
     exclusive) and clean_text (the text without its hit spans), each name led by ``prefix``.
 
@@ -202,41 +292,39 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     have no words and no hits (clean_text stays as the text is). Items without words, with null text
     or null id are left out; items of the same id count once. Columns of ``docs`` that clash with the
     new names are replaced. Repeated rows are kept. An empty item table hits nothing.
-    ``clean=False`` leaves clean_text null.
+    ``clean=False`` leaves clean_text null. ``max_item_words`` bounds one automaton, not the items: more
+    of them take several, with the same result.
     """
-    bounded(docs.sparkSession)
-    known = items.select(F.col(item_id).cast("string"), F.col(item_text))
-    # bounded: the build refuses more than max_item_words words, long before the driver's memory
-    vocab, auto = build([(r[0], r[1]) for r in known.toLocalIterator()], window, max_item_words)
-    shared = docs.sparkSession.sparkContext.broadcast(pickle.dumps((vocab, auto)))
+    spark = docs.sparkSession
+    bounded(spark)
     names = [prefix + x for x in ("n_words", "n_hit", "items", "spans", "clean_text")]
     keep = [f for f in docs.schema.fields if f.name not in names]
     kept = [f.name for f in keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, auto = pickle.loads(shared.value)
-        span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            column = batch.column(kept.index(text_col))
-            words, hits, its, spans, texts = _scan(column, vocab, auto, clean)
-            if clean:
-                if texts:
-                    at = np.arange(len(column))
-                    sub = np.full(len(column), -1)
-                    sub[list(texts)] = range(len(texts))
-                    pool = pa.concat_arrays([column, pa.array(list(texts.values()), column.type)])
-                    column = pool.take(pa.array(np.where(sub >= 0, len(at) + sub, at)))
-                cleaned = column
-            else:
-                cleaned = pa.nulls(len(column), column.type)
-            arrays = [
-                *(batch.column(i) for i in range(len(kept))), pa.array(words), pa.array(hits), pa.array(its, pa.list_(pa.string())),
-                pa.array([[{"start": a, "end": b} for a, b in s] for s in spans], span), cleaned,
-            ]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *names])
-
     schema = StructType([*keep, *(StructField(prefix + f.name, f.dataType) for f in StructType.fromDDL(_ADDED).fields)])
-    return docs.select(*(F.col(f"`{c}`") for c in kept)).mapInArrow(run, schema)
+    known = items.select(F.col(item_id).cast("string"), F.col(item_text))
+    # one group of items at a time is in the driver's memory
+    groups = groups_of(((r[0], r[1]) for r in known.toLocalIterator()), window, max_item_words)
+    group, following = next(groups), next(groups, None)
+    share = lambda g: spark.sparkContext.broadcast(pickle.dumps(build(g, window)))
+    own = docs.select(*(F.col(f"`{c}`") for c in kept))
+    if following is None:
+        return own.mapInArrow(_group_mapper(share(group), None, kept, names, text_col, clean), schema)
+    scratch = scratch or Scratch(spark, "decontamination")
+    row = "row"
+    while row in kept:
+        row += "_"
+    rows = scratch.save(own.withColumn(row, F.monotonically_increasing_id()))
+    found = []
+    while group is not None:
+        shared = share(group)
+        mapper = _group_mapper(shared, row, kept, names, text_col, clean)
+        found.append(scratch.save(rows.select(F.col(f"`{row}`"), F.col(f"`{text_col}`")).mapInArrow(mapper, f"`{row}` long, g_spans array<struct<start:int,end:int>>, g_items array<string>")))
+        shared.destroy()
+        group, following = following, next(groups, None) if following is not None else None
+    hits = functools.reduce(DataFrame.unionByName, found).groupBy(f"`{row}`").agg(F.flatten(F.collect_list("g_spans")).alias("g_spans"), F.flatten(F.collect_list("g_items")).alias("g_items"))
+    joined = rows.alias("d").join(hits.alias("h"), F.col(f"d.`{row}`") == F.col(f"h.`{row}`"), "left")
+    moved = joined.select(*(F.col(f"d.`{c}`").alias(f"o{i}") for i, c in enumerate(kept)), "h.g_spans", "h.g_items")  # by position from here
+    return moved.mapInArrow(_union_mapper(kept, names, text_col, clean), schema)
 
 
 def contaminated(n_hit, n_words, num: int = 20):
@@ -269,4 +357,4 @@ def brute_hits(text: str | None, items: list[tuple[str, str | None]], window: in
     return len(doc), len(hit), sorted(found)
 
 
-__all__ = ["SuffixAutomaton", "brute_hits", "build", "contaminated", "decontaminate", "items_sha256"]
+__all__ = ["SuffixAutomaton", "brute_hits", "build", "contaminated", "decontaminate", "groups_of", "items_sha256"]
