@@ -28,6 +28,8 @@ CHAIN = 64
 BUCKETS = 1 << 17
 #: Bounds of the training sample: texts per language (by the order of a hash) and words in all.
 TEXTS_PER_LANG, TRAIN_WORDS = 250, 250_000
+#: A label is dealt to so many parts before its first texts are taken.
+SALTS = 32
 EPOCHS, BATCH, RATE, L2, RUN_MEAN = 4, 128, 0.3, 1e-5, 20
 UNKNOWN = "und"
 
@@ -155,6 +157,8 @@ def train(texts: list[tuple[str, str]], seed: int = 7, max_words: int = TRAIN_WO
             total += n
         if total >= max_words:
             break
+    if not idx_all:  # no text has a word with a letter
+        return model
     idx, at = np.concatenate(idx_all), np.concatenate(at_all)
     order = [(k, r) for k, rs in enumerate(runs) for r in rs]
     slots = rng.permutation(len(order))
@@ -187,10 +191,16 @@ def train(texts: list[tuple[str, str]], seed: int = 7, max_words: int = TRAIN_WO
 
 
 def training_sample(docs: DataFrame, text_col: str, label_col: str, per_label: int = TEXTS_PER_LANG) -> list[tuple[str, str]]:
-    """At most ``per_label`` distinct texts of every label, in the order of a hash of the text."""
+    """At most ``per_label`` distinct texts of every label, in the order of a hash of the text.
+
+    The first of a label are the first among the first of its ``SALTS`` parts, so no task orders all of a
+    label that holds much of the table.
+    """
     rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null").withColumn("key", F.xxhash64("text", F.lit(11)))
     # the order is taken over hashes alone; only the texts that are picked travel
-    first = rows.select("label", "key").distinct().withColumn("n", F.row_number().over(Window.partitionBy("label").orderBy("key"))).where(F.col("n") <= per_label).select("label", "key")
+    leading = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("n") <= per_label).drop("n")
+    parts = rows.select("label", "key", F.pmod("key", F.lit(SALTS)).alias("salt")).distinct()
+    first = leading(leading(parts, "label", "salt"), "label").select("label", "key")
     got = rows.join(F.broadcast(first), ["label", "key"])  # at most per_label rows a label
     return [(r["text"], r["label"]) for r in got.groupBy("label", "key").agg(F.min("text").alias("text")).orderBy("label", "key").collect()]
 
