@@ -18,8 +18,8 @@ def sets(rows, k=4):
     return out
 
 
-def brute(rows):
-    s = sets(rows)
+def brute(rows, k=4, num=85):
+    s = sets(rows, k)
     parent = list(range(len(s)))
 
     def root(x):
@@ -30,7 +30,7 @@ def brute(rows):
     for i in range(len(s)):
         for j in range(i):
             a, b = s[i][1], s[j][1]
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= num * len(a | b):
                 parent[root(i)] = root(j)
     groups = defaultdict(list)
     for i, (d, _) in enumerate(s):
@@ -64,6 +64,31 @@ def test_equals_brute_force(spark, seed):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
 
 
+def test_five_words_and_four_fifths(spark):
+    rows = corpus(6)
+    got = N.jaccard_components(spark.createDataFrame(rows, SCHEMA), k=5, num=80)
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows, 5, 80)
+    with pytest.raises(ValueError, match="2/3"):
+        N.jaccard_components(spark.createDataFrame(rows, SCHEMA), num=50)
+
+
+def test_columns_with_and_without_keys(spark):
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "A b c d e"), (3, None)], SCHEMA)
+    plain, full = N.jaccard_components(df), N.jaccard_components(df, keys=True)
+    assert plain.columns == ["doc_id", "n_shingles", "class_id", "component_id"]
+    assert full.columns == [*plain.columns, "group_id", "text_key"]
+    by = {r.doc_id: r for r in full.collect()}
+    assert by[1].class_id == by[2].class_id and by[1].group_id == by[2].group_id and by[1].text_key != by[2].text_key
+    assert by[3].class_id is None and by[3].group_id is None and by[3].component_id == 3
+
+
+def test_classes_of_many_copies_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT_LEAST", 3)
+    rows = corpus(8, 20) + [(5000 + i, "one text with many copies of itself here") for i in range(40)] + [(None, None), (6000, "")]
+    got = N.jaccard_components(spark.createDataFrame(rows, SCHEMA))
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == brute(rows)
+
+
 def test_large_components_are_cut_into_blocks(spark, monkeypatch):
     monkeypatch.setattr(N, "BLOCK_ROWS", 8)
     rows = corpus(4, 30)

@@ -1,8 +1,11 @@
 """Decontamination, BPE, sharding and language identification against plain twins."""
 
 import hashlib
+import itertools
 import random
+from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -40,8 +43,26 @@ def test_decontamination_equals_window_search(spark):
     none = decontaminate.decontaminate(df, known.limit(0))
     assert none.agg(F.sum("n_hit")).first()[0] == 0
     assert decontaminate.decontaminate(df.limit(0), known).count() == 0
-    with pytest.raises(ValueError, match="bounded"):
-        decontaminate.build(plain, max_words=10)
+    # several automata: every item in a group of its own, and the longest cut into pieces
+    cut = decontaminate.decontaminate(df, known, max_item_words=26)
+    assert cut.columns == decontaminate.decontaminate(df, known).columns
+    assert len(list(decontaminate.groups_of(plain, max_words=26))) > 4
+    assert Counter(map(repr, cut.collect())) == Counter(map(repr, got))
+    wide = df.withColumn("row", F.lit(1)).withColumn("g_spans", F.lit("x"))
+    assert Counter((r.row, r.g_spans, r.n_hit) for r in decontaminate.decontaminate(wide, known, max_item_words=26).collect()) == Counter((1, "x", r.n_hit) for r in got)
+    assert decontaminate.decontaminate(df.limit(0), known, max_item_words=26).count() == 0
+
+
+def test_groups_of_items_keep_every_window():
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(99)}" for _ in range(n))) for i, n in enumerate([0, 1, 12, 13, 26, 27, 100, 333])] + [(None, "a"), (9, None)]
+    whole = next(decontaminate.groups_of(items))
+    groups = list(decontaminate.groups_of(items, max_words=40))
+    assert all(sum(len(w) for _, w in g) <= 40 for g in groups) and len(groups) > 5
+    wins = lambda gs: {(i, w[a : a + 13].tobytes()) for g in gs for i, w in g if len(w) >= 13 for a in range(len(w) - 12)}
+    assert wins([whole]) == wins(groups)
+    assert {(i, w.tobytes()) for i, w in whole if 0 < len(w) < 13} == {(i, w.tobytes()) for g in groups for i, w in g if 0 < len(w) < 13}
+    assert list(decontaminate.groups_of([])) == [[]]
 
 
 def texts():
@@ -138,3 +159,43 @@ def test_language_id_held_out_and_code_switching(spark, sf):
     words = [x.lang for x in rows[0].lang_runs for _ in range(x.first, x.last + 1)]
     assert sum(w == "de" for w in words[:55]) > 45 and sum(w == "es" for w in words[-55:]) > 45
     assert langid.identify(spark.createDataFrame(odd, "doc_id long, text string, s string"), langid.train([])).where("lang_pred <> 'und'").count() == 0
+
+
+def test_forward_backward_equals_enumeration():
+    rng = np.random.default_rng(3)
+    n, length, k = 3, 5, 3
+    emit = rng.uniform(0.1, 2, (n, length, k))
+    moves = rng.normal(0, 1, (k, k))
+    used = np.ones((n, length), bool)
+    used[1, 3:] = used[2, 1:] = False
+    post, pairs = langid.forward_backward(emit, used, moves)
+    want_pairs = np.zeros((k, k))
+    for c in range(n):
+        m = int(used[c].sum())
+        want, z, two = np.zeros((m, k)), 0.0, np.zeros((k, k))
+        for path in itertools.product(range(k), repeat=m):
+            weight = np.prod([emit[c, t, y] for t, y in enumerate(path)]) * np.exp(sum(moves[a, b] for a, b in itertools.pairwise(path)))
+            z += weight
+            for t, y in enumerate(path):
+                want[t, y] += weight
+            for a, b in itertools.pairwise(path):
+                two[a, b] += weight
+        assert np.allclose(post[c, :m], want / z)
+        want_pairs += two / z
+    assert np.allclose(pairs, want_pairs)
+
+
+def test_language_model_without_words_or_with_one_label(spark):
+    docs = spark.createDataFrame([(1, "ein Wort"), (2, None)], "doc_id long, text string")
+    for pairs in ([("123", "en"), ("456", "de")], [], [("one two", "en")]):
+        out = langid.identify(docs, langid.train(pairs)).collect()
+        assert len(out) == 2 and all(0 <= r.score <= 1 for r in out)
+
+
+def test_first_texts_of_a_label_are_those_of_the_least_hashes(spark):
+    rows = [(f"text {i}", "en" if i % 3 else "de") for i in range(400)] * 2 + [(None, "en"), ("x", None)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = langid.training_sample(df, "text", "lang", 50)
+    hashed = df.where("text is not null and lang is not null").distinct().select("text", "lang", F.xxhash64("text", F.lit(11)).alias("h")).collect()
+    want = {lang: {r.text for r in sorted((r for r in hashed if r.lang == lang), key=lambda r: r.h)[:50]} for lang in ("de", "en")}
+    assert {lang: {t for t, x in got if x == lang} for lang in ("de", "en")} == want and len(got) == 100

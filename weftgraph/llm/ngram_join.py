@@ -8,7 +8,9 @@ the rows (intervals grow by half; a row takes part in the family of its own inte
 its size allows a partner there, in those towards its neighbours). Rows that agree in a whole
 column block form row blocks; within these the product of the incidence matrix with its
 transpose accumulates the overlap counts, and pairs below the bound of their sizes go.
-Every pair that reaches t meets in some row block: the join is exact up to 64-bit hashes.
+Every pair that reaches t meets in some row block: the join is exact up to 64-bit hashes of shingles
+and 128-bit hashes of classes (of which the candidate search uses one half; a clash of halves only
+adds candidates).
 
 What bounds memory and work: copies collapse to one class first; agreeing rows of one batch
 are linked to their least row before anything is shuffled, so a block of n rows costs n rows
@@ -37,6 +39,8 @@ NUM, DEN = 85, 100
 SHINGLE = 4
 BLOCK_ROWS, BLOCK_CELLS = 1024, 500_000
 BROADCAST_ROWS = 400_000
+#: Classes that hold more than one row in so many (and no fewer than HOT_LEAST) are joined by broadcast.
+HOT_CLASSES, HOT_LEAST = 10_000, 64
 #: Entries of a mapper that are combined before they leave it.
 COMBINE = 1 << 20
 #: One text in SAMPLE_SHARE is counted; a column in SAMPLE_LEAST of these is common. Both only steer the work.
@@ -131,9 +135,13 @@ def _rows(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield c.first + i, s
 
 
-def _class_id(row: np.ndarray) -> int:
-    total = K.mix(row ^ np.uint64(0xF1357AEA2E62A9C5)).sum(dtype=np.uint64) + np.uint64(len(row))
-    return int(K.mix(np.array([total], np.uint64)).view(np.int64)[0])
+def _class_id(row: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set of shingles, in two halves."""
+    mixed = K.mix(row ^ np.uint64(0xF1357AEA2E62A9C5))
+    size = np.uint64(len(row))
+    halves = np.array([mixed.sum(dtype=np.uint64) + size, K.mix(mixed + np.uint64(0x9FB21C651E98DF25)).sum(dtype=np.uint64) ^ size], np.uint64)
+    uid, chk = K.mix(halves).view(np.int64).tolist()
+    return uid, chk
 
 
 def _combined(sig: np.ndarray, uid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,7 +199,7 @@ def _entry_mapper(k: int, num: int, den: int, common):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = common.value
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         sigs: list[np.ndarray] = []
         uids: list[np.ndarray] = []
         held = 0
@@ -215,7 +223,7 @@ def _entry_mapper(k: int, num: int, den: int, common):
                 seen.add(cls)
                 s = signatures(row, num, den, bitmap)
                 sigs.append(s)
-                uids.append(np.full(len(s), cls, np.int64))
+                uids.append(np.full(len(s), cls[0], np.int64))
                 held += len(s)
                 if held >= COMBINE:
                     yield flush()
@@ -226,17 +234,19 @@ def _entry_mapper(k: int, num: int, den: int, common):
 
 
 def _fact_mapper(k: int):
-    """Texts -> (position key of the text, class, set size)."""
+    """Texts -> (position key of the text, both halves of the class, set size)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
-            cls, size = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            cls, size = np.zeros((n, 2), np.int64), np.zeros(n, np.int64)
             for i, row in _rows(batch, k):
                 size[i] = len(row)
-                cls[i] = _class_id(row) if len(row) else 0
+                if len(row):
+                    cls[i] = _class_id(row)
             keep = [c for c in batch.schema.names if c != "text"]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(cls, mask=size == 0), pa.array(size)], names=[*keep, "uid", "n_shingles"])
+            halves = [pa.array(cls[:, j].copy(), mask=size == 0) for j in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *halves, pa.array(size)], names=[*keep, "uid", "chk", "n_shingles"])
 
     return run
 
@@ -245,21 +255,22 @@ def _row_mapper(k: int):
     """Texts of candidates -> one row of the incidence matrix per class and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
-            uid, cells = [], []
+            uid, chk, cells = [], [], []
             for _, row in _rows(batch, k):
                 cls = _class_id(row)
                 if cls not in seen:
                     seen.add(cls)
-                    uid.append(cls)
+                    uid.append(cls[0])
+                    chk.append(cls[1])
                     cells.append(row.tobytes())
-            yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "cells": pa.array(cells, pa.binary())})
+            yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "chk": pa.array(chk, pa.int64()), "cells": pa.array(cells, pa.binary())})
 
     return run
 
 
-def forest(uid: list[int], rows: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple[int, int]]:
+def forest(uid: list, rows: list[np.ndarray], num: int = NUM, den: int = DEN) -> list[tuple]:
     """Spanning forest of the pairs whose Jaccard index is at least num/den.
 
     One row of the product at a time: its overlap with all later rows accumulates over the
@@ -312,12 +323,12 @@ def forest(uid: list[int], rows: list[np.ndarray], num: int = NUM, den: int = DE
 
 def _product(num: int, den: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int]] = []
-        for _, block in pdf.drop_duplicates(["part", "uid"]).groupby("part", sort=False):
+        out: list[tuple[str, str]] = []
+        for _, block in pdf.drop_duplicates(["part", "cls"]).groupby("part", sort=False):
             if len(block) > 1:
-                block = block.sort_values("uid")
-                out += forest(block["uid"].tolist(), [np.frombuffer(x, np.uint64) for x in block["cells"]], num, den)
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+                block = block.sort_values("cls")
+                out += forest(block["cls"].tolist(), [np.frombuffer(x, np.uint64) for x in block["cells"]], num, den)
+        return pd.DataFrame(out, columns=["a", "b"])
 
     return run
 
@@ -325,7 +336,7 @@ def _product(num: int, den: int):
 def jaccard_components(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, num: int = NUM, den: int = DEN, scratch: Scratch | None = None, keys: bool = False
 ) -> DataFrame:
-    """One row per row of ``docs``: (id, n_shingles long, class_id long, component_id) and, with
+    """One row per row of ``docs``: (id, n_shingles long, class_id string, component_id) and, with
     ``keys``, group_id (of linked documents) and text_key (xxhash64 of the text).
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after A-Z are lower-cased; sets are the distinct k-word
@@ -333,15 +344,18 @@ def jaccard_components(
     component_id is the least id reachable, itself included. Null or wordless texts have an
     empty set, class_id null, and their own id as component. A null id stays null unless a linked
     row has one; repeated rows are kept and share a class. Other columns of ``docs`` are ignored.
-    Empty tables give empty results.
+    Empty tables give empty results. Thresholds under 2/3 are refused: sizes of partners would lie
+    further apart than neighbouring size intervals.
     """
+    if 3 * num < 2 * den:
+        raise ValueError(f"the threshold {num}/{den} is below 2/3")
     spark = docs.sparkSession
     bounded(spark)
     scratch = scratch or Scratch(spark, "ngram-join")
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(source.dtypes)["id"]
     facts = scratch.save(
-        source.select("id", F.xxhash64("text").alias("tk"), "text").mapInArrow(_fact_mapper(k), f"id {id_type}, tk long, uid long, n_shingles long")
+        source.select("id", F.xxhash64("text").alias("tk"), "text").mapInArrow(_fact_mapper(k), f"id {id_type}, tk long, uid long, chk long, n_shingles long")
     )
     texts = source.select("text").where("text is not null")
     common = spark.sparkContext.broadcast(_common_columns(texts, k))
@@ -349,58 +363,68 @@ def jaccard_components(
     led = entries.selectExpr("uid", "min(uid) over (partition by sig) as lead").where("uid != lead").distinct()
     members = connected_components(led, "uid", "lead", scratch)
 
-    classes = facts.where("uid is not null").groupBy("uid").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"))
-    blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "tk", "n"), "uid")))
-    keys = blocks.select("tk").distinct()
-    if keys.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
-        keys = F.broadcast(keys)
-    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(keys, "tk", "left_semi").select("text").mapInArrow(_row_mapper(k), "uid long, cells binary")
+    cls = F.concat_ws(":", "uid", "chk").alias("cls")
+    classes = facts.where("uid is not null").groupBy("uid", "chk").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "chk", "tk", "n"), "uid")))
+    wanted = blocks.select("tk").distinct()
+    if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
+        wanted = F.broadcast(wanted)
+    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(wanted, "tk", "left_semi").select("text").mapInArrow(_row_mapper(k), "uid long, chk long, cells binary")
     links = (
-        cells.join(blocks.select("uid", "task", "part"), "uid")
-        .groupBy("task").applyInPandas(_product(num, den), "a long, b long")
+        cells.join(blocks.select("uid", "chk", "task", "part"), ["uid", "chk"]).select(cls, "cells", "task", "part")
+        .groupBy("task").applyInPandas(_product(num, den), "a string, b string")
     )
-    linked = connected_components(links, "a", "b", scratch).withColumnRenamed("node", "uid")
-    labelled = scratch.save(classes.select("uid", "first_id").join(linked, "uid"))
+    linked = connected_components(links, "a", "b", scratch).withColumnRenamed("node", "cls")
+    labelled = scratch.save(classes.select(cls, "first_id").join(linked, "cls"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = labelled.join(least, "component").select("uid", F.col("component").alias("group_id"), "component_id")
-    every = classes.select("uid", "first_id").join(final, "uid", "left").select("uid", F.coalesce("group_id", "uid").alias("group_id"), F.coalesce("component_id", "first_id").alias("component_id"))
-    return facts.join(every, "uid", "left").select(
-        F.col("id").alias(id_col), "n_shingles", F.col("uid").alias("class_id"), F.when(F.col("uid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+    final = labelled.join(least, "component").select("cls", F.col("component").alias("group_id"), "component_id")
+    every = scratch.save(
+        classes.select("uid", "chk", cls, "first_id", "copies").join(final, "cls", "left")
+        .select("uid", "chk", "cls", "copies", F.coalesce("group_id", "cls").alias("group_id"), F.coalesce("component_id", "first_id").alias("component_id"))
+    )
+    # A class of many copies would meet in one task of the closing join. At most HOT_CLASSES can hold
+    # this many rows each, so those are broadcast and only the rest is dealt by class.
+    many = F.col("copies") >= max(HOT_LEAST, facts.count() // HOT_CLASSES)
+    hot, rest = F.broadcast(every.where(many).drop("copies")), every.where(~many).drop("copies")
+    told = facts.join(hot, ["uid", "chk"]).unionByName(facts.join(hot.select("uid", "chk"), ["uid", "chk"], "left_anti").join(rest, ["uid", "chk"], "left"))
+    return told.select(
+        F.col("id").alias(id_col), "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("uid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         *(["group_id", F.col("tk").alias("text_key")] if keys else []),
     )
 
 
 def _row_blocks(members: DataFrame) -> DataFrame:
-    """(uid, tk, part, task): the row blocks whose product is taken, and the task that takes it.
+    """(uid, chk, tk, part, task): the row blocks whose product is taken, and the task that takes it.
 
-    A component that fits is one part, and parts are dealt to tasks by hash, about a block's rows
-    each. A larger one is cut by size interval and hash; each compatible pair of its sub-blocks
+    A component that fits is one part, and parts are dealt to tasks by hash, about a block's rows and
+    cells each. A larger one is cut by size interval and hash; each compatible pair of its sub-blocks
     is a part and a task of its own.
     """
-    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.5))).cast("int")
-    rows = members.select("uid", "tk", "n", "component", level.alias("level"))
-    # A partner's size is within 20/17 of n and 20/17 < 1.5, so it is in the same or the next interval.
+    level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.5)) + 1e-9).cast("int")
+    rows = members.select("uid", "chk", "tk", "n", "component", level.alias("level"))
+    # A partner's size is within den/num <= 1.5 of n, so it is in the same or the next interval.
     per_level = rows.groupBy("component", "level").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
     totals = per_level.groupBy("component").agg(F.sum("rows").alias("all_rows"), F.sum("cells").alias("all_cells"))
     fits = (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_cells") <= BLOCK_CELLS)
     plan = per_level.join(totals, "component").select(
-        "component", "level", fits.alias("fits"), "all_rows",
+        "component", "level", fits.alias("fits"), "all_rows", "all_cells",
         F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("subs"),
     )
     near = plan.select("component", (F.col("level") + 1).alias("level"), F.col("subs").alias("below"))
     far = plan.select("component", (F.col("level") - 1).alias("level"), F.col("subs").alias("above"))
     plan = plan.join(near, ["component", "level"], "left").join(far, ["component", "level"], "left")
-    small_rows = plan.where("fits").groupBy("component").agg(F.max("all_rows").alias("r")).agg(F.coalesce(F.sum("r"), F.lit(0))).first()[0]
-    tasks = max(1, -(-int(small_rows) // BLOCK_ROWS))
+    small = plan.where("fits").groupBy("component").agg(F.max("all_rows").alias("r"), F.max("all_cells").alias("c"))
+    n_rows, n_cells = small.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
+    tasks = max(1, -(-int(n_rows) // BLOCK_ROWS), -(-int(n_cells) // BLOCK_CELLS))
     rows = rows.join(plan, ["component", "level"])
-    small = rows.where("fits").select("uid", "tk", F.concat_ws(":", "component").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string").alias("task"))
-    sub = F.pmod(F.xxhash64("uid", F.lit(7)), F.col("subs")).cast("int")
+    small = rows.where("fits").select("uid", "chk", "tk", F.concat_ws(":", "component").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string").alias("task"))
+    sub = F.pmod(F.xxhash64("uid", "chk", F.lit(7)), F.col("subs")).cast("int")
     large = rows.where("not fits").withColumn("sub", sub)
     same = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda j: F.concat_ws(":", "component", "level", F.least(j, F.col("sub")).cast("string"), F.lit("="), F.greatest(j, F.col("sub")).cast("string")))
     up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.concat_ws(":", "component", "level", F.col("sub").cast("string"), F.lit("<"), j.cast("string"))))
     down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.concat_ws(":", "component", (F.col("level") - 1).cast("string"), j.cast("string"), F.lit("<"), F.col("sub").cast("string"))))
     empty = F.array().cast("array<string>")
-    large = large.select("uid", "tk", F.explode(F.concat(same, F.coalesce(up, empty), F.coalesce(down, empty))).alias("part"))
+    large = large.select("uid", "chk", "tk", F.explode(F.concat(same, F.coalesce(up, empty), F.coalesce(down, empty))).alias("part"))
     return small.unionByName(large.withColumn("task", F.col("part")))
 
 
