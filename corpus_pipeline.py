@@ -23,15 +23,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of linked documents the one with the least doc_id stays."""
-    return one_per_group(docs)
+    """Of every group of linked documents (five words, similarity 0.8 or more) the one with the least doc_id stays."""
+    return one_per_group(docs, k=5, num=80, den=100)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose hit words reach the coverage limit go; others stay as they are."""
+    """Documents whose hit words reach the coverage limit go; from others the hit spans are cut."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    out = decontaminate(docs, items, prefix="dc_", clean=False)
-    return out.where(~contaminated(F.col("dc_n_hit"), F.col("dc_n_words"))).select(*docs.columns)
+    out = decontaminate(docs, items, prefix="dc_", clean=True).where(~contaminated(F.col("dc_n_hit"), F.col("dc_n_words")))
+    hit = F.col("dc_n_hit") > 0
+    cut = {"text": F.when(hit, F.col("dc_clean_text")).otherwise(F.col("text")), "n_chars": F.when(hit, F.length("dc_clean_text").cast("long")).otherwise(F.col("n_chars"))}
+    return out.select(*(cut[c].alias(c) if c in cut else F.col(c) for c in docs.columns))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
