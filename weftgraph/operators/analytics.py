@@ -20,6 +20,7 @@ LANGUAGES = {
     ".py": "python", ".pyw": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".ejs": "js", ".ts": "js", ".tsx": "js", ".vue": "js", ".svelte": "js", ".go": "go", ".rs": "rust", ".java": "jvm", ".kt": "jvm", ".kts": "jvm", ".scala": "jvm",
     ".c": "c", ".h": "c", ".cpp": "c", ".cc": "c", ".cxx": "c", ".hpp": "c", ".rb": "ruby", ".swift": "swift", ".cs": "dotnet", ".php": "php", ".r": "r",
 }
+#: Relations that only say how a program is built.
 STRUCTURAL = ("imports", "imports_from", "contains", "method")
 
 
@@ -192,24 +193,28 @@ def edge_key(edges: DataFrame) -> DataFrame:
 
 
 def diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """One row of counts on how edges would collapse: missing and dangling ends, self-loops, exact repeats, pairs."""
+    """One row of counts on how edges would collapse: missing and dangling ends, self-loops, exact repeats, pairs.
+
+    Edges are read once: equal rows are counted first, then the rows of a directed pair, and the ends are
+    looked up per pair; the totals and the undirected pairs come from these.
+    """
     ids = nodes.select("id").where("id is not null").distinct()
-    whole = F.to_json(F.struct(*sorted(edges.columns)))
-    e = edges.withColumn("whole", whole)
-    e = e.join(ids.select(F.col("id").alias("s_id")), F.col("src") == F.col("s_id"), "left").join(ids.select(F.col("id").alias("d_id")), F.col("dst") == F.col("d_id"), "left")
+    rows = edges.groupBy(*edges.columns).agg(F.count("*").alias("n"))
+    differ = lambda c: (F.min(c) != F.max(c)).cast("int")
+    pairs = rows.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), differ("relation").alias("r"), differ("source_location").alias("l"))
+    pairs = pairs.join(ids.select(F.col("id").alias("s_id")), F.col("src") == F.col("s_id"), "left").join(ids.select(F.col("id").alias("d_id")), F.col("dst") == F.col("d_id"), "left")
     missing = F.col("src").isNull() | F.col("dst").isNull()
-    valid = ~missing & F.col("s_id").isNotNull() & F.col("d_id").isNotNull()
-    totals = e.agg(
-        F.count("*").alias("n_raw"), F.count_if(missing).alias("n_missing"), F.count_if(~missing & ~valid).alias("n_dangling"), F.count_if(valid).alias("n_valid"), F.count_if(valid & (F.col("src") == F.col("dst"))).alias("n_self_loops"),
-    )
-    v = e.where(valid)
-    extra = v.groupBy("whole").agg((F.count("*") - 1).alias("x")).agg(F.coalesce(F.sum("x"), F.lit(0)).alias("n_exact_repeats"))
-    pair = v.groupBy("src", "dst").agg(F.count("*").alias("n"), F.count_distinct("relation").alias("r"), F.count_distinct("source_location").alias("l")).agg(
-        F.count("*").alias("n_directed_pairs"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_collapsed"), F.count_if(F.col("n") > 1).alias("n_same_pair_groups"),
-        F.count_if(F.col("r") > 1).alias("n_relation_variants"), F.count_if(F.col("l") > 1).alias("n_location_variants"),
+    valid = F.col("s_id").isNotNull() & F.col("d_id").isNotNull()
+    told = pairs.select("src", "dst", "n", "kinds", "r", "l", missing.alias("missing"), valid.alias("valid"), F.when(valid, F.least("src", "dst")).alias("a"), F.when(valid, F.greatest("src", "dst")).alias("b"))
+    some = lambda cond, c="n": F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    ok = F.col("valid")
+    per = told.groupBy("a", "b").agg(
+        some(F.lit(True)).alias("n_raw"), some(F.col("missing")).alias("n_missing"), some(~F.col("missing") & ~ok).alias("n_dangling"), some(ok).alias("n_valid"),
+        some(ok & (F.col("src") == F.col("dst"))).alias("n_self_loops"), F.coalesce(F.sum(F.when(ok, F.col("n") - F.col("kinds"))), F.lit(0)).alias("n_exact_repeats"),
+        F.count_if(ok).alias("n_directed_pairs"), F.coalesce(F.sum(F.when(ok, F.col("n") - 1)), F.lit(0)).alias("n_collapsed"), F.count_if(ok & (F.col("n") > 1)).alias("n_same_pair_groups"),
+        some(ok, "r").alias("n_relation_variants"), some(ok, "l").alias("n_location_variants"), F.max(ok.cast("int")).cast("long").alias("n_undirected_pairs"),
     )
-    undirected = v.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct().agg(F.count("*").alias("n_undirected_pairs"))
-    return totals.join(F.broadcast(extra)).join(F.broadcast(pair)).join(F.broadcast(undirected))  # one row each
+    return per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per.columns if c not in ("a", "b")))
 
 
 def tree_rollup(nodes: DataFrame) -> DataFrame:

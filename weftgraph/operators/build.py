@@ -84,6 +84,16 @@ def upsert_nodes(nodes: DataFrame, order: list[str], conflict: str = "last") ->
     return nodes.groupBy("id").agg(*(F.max_by(F.col(c), F.when(F.col(c).isNotNull(), key)).alias(c) for c in rest))
 
 
+def least_rows(df: DataFrame, *keys: str) -> DataFrame:
+    """One row per key: the least whole row, columns in order of their names. Array and struct columns compare
+    as they are, others by value."""
+    rest = sorted(c for c in df.columns if c not in keys)
+    if not rest:
+        return df.distinct()
+    got = df.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("r_"))
+    return got.select(*(F.col(c) if c in keys else F.col(f"r_.{c}").alias(c) for c in df.columns))
+
+
 def normalize_path(path: Column, root: str = "") -> Column:
     p = F.replace(path, F.lit("\\"), F.lit("/"))
     root = root.rstrip("/") + "/"
@@ -189,7 +199,8 @@ def hyperedge_members(hyperedges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def attach_hyperedges(held: DataFrame, more: DataFrame) -> DataFrame:
     """Appends hyperedges whose id is not held yet, one per id."""
-    new = more.where("id is not null").join(held.select("id"), "id", "left_anti").dropDuplicates(["id"])
+    new = more.where("id is not null").join(held.select("id"), "id", "left_anti")
+    new = least_rows(new, "id")
     return held.unionByName(new, allowMissingColumns=True)
 
 

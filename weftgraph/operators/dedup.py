@@ -8,12 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftgraph.functions.text import jaro_winkler_of, one_edit_of, shannon_bits, shingles
+from weftgraph.functions.text import jaro_winkler, jaro_winkler_of, one_edit_of, shannon_bits, shingles
+from weftgraph.operators.build import least_rows
 from weftgraph.operators.components import connected_components
 from weftgraph.scratch import Scratch
 
-ENTROPY, JACCARD, JW, SHORT = 2.5, 0.7, 0.92, 12
+ENTROPY, JACCARD, JW, SHORT, BOOST = 2.5, 0.7, 0.92, 12, 0.05
+#: Pairs from here up to the threshold go to a judge, so many at a time.
+TIE, TIE_BATCH, BLOCK_LABELS = 0.75, 30, 1000
 
 
 def variant_pair(a: Column, b: Column) -> Column:
@@ -44,29 +48,89 @@ def jaccard_pairs(items: DataFrame, threshold: float = JACCARD, k: int = 3) -> D
     return cand.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
-def similar_labels(labels: DataFrame) -> DataFrame:
-    """(a, b, jw): pairs of distinct labels that count as one entity. ``labels``: column text, normal forms."""
+def similar_labels(labels: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
+    """(a, b, jw): pairs of distinct labels that count as one entity. ``labels``: column text, normal forms.
+
+    ``boosted`` (text, community): where both labels have the same community and at least ``SHORT``
+    characters, ``BOOST`` is added to the similarity before it is held against the threshold.
+    """
     items = labels.select("text").where(F.col("text") != "").distinct().where(shannon_bits(F.col("text")) >= ENTROPY).select(F.col("text").alias("key"), "text")
-    cand = jaccard_pairs(items).withColumn("jw", jaro_winkler_of(F.col("a"), F.col("b"))).where(F.col("jw") >= JW)
+    cand = jaccard_pairs(items).withColumn("jw", jaro_winkler_of(F.col("a"), F.col("b")))
+    reached = F.col("jw")
+    if boosted is not None:
+        own = boosted.where("community is not null").groupBy("text").agg(F.min("community").alias("c"))
+        for end in "ab":
+            cand = cand.join(own.select(F.col("text").alias(end), F.col("c").alias(f"c{end}")), end, "left")
+        near = (F.col("ca") == F.col("cb")) & (F.least(F.length("a"), F.length("b")) >= SHORT)
+        reached = F.when(F.coalesce(near, F.lit(False)), F.col("jw") + BOOST).otherwise(F.col("jw"))
+    cand = cand.where(reached >= JW)
     return cand.where(~variant_pair(F.col("a"), F.col("b")) & ~short_blocked(F.col("a"), F.col("b"), F.col("jw"))).select("a", "b", "jw")
 
 
+def tie_break_pairs(labels: DataFrame, low: float = TIE, high: float = JW, batch: int = TIE_BATCH) -> DataFrame:
+    """(batch, a, b, jw): pairs of distinct labels that are neither clearly one nor clearly two, in
+    batches for a judge, in the order of the labels.
+
+    Every label is a query against all others, in blocks: labels are dealt by hash to blocks of about
+    ``BLOCK_LABELS``, and each pair of blocks is one group. A length bound that the threshold implies goes first.
+    """
+    distinct = labels.select("text").where(F.col("text") != "").distinct()
+    blocks = max(1, -(-distinct.count() // BLOCK_LABELS))
+    one = distinct.withColumn("block", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int"))
+    other = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda j: F.struct(F.least("block", j).alias("lo"), F.greatest("block", j).alias("hi")))
+    dealt = one.select("text", "block", F.explode(other).alias("pair"))
+
+    def compare(pdf):
+        import pandas as pd
+
+        rows = sorted(zip(pdf["text"], pdf["block"], strict=True))
+        lo, hi = int(pdf["lo"].iloc[0]), int(pdf["hi"].iloc[0])
+        left = [t for t, b in rows if b == lo]
+        right = [t for t, b in rows if b == hi]
+        out = []
+        for x in left:
+            for y in right:
+                if lo == hi and x >= y:
+                    continue
+                # matches are at most the shorter length: the Jaro part is at most (2 + short / long) / 3
+                short, long = sorted((len(x), len(y)))
+                top = (2 + short / long) / 3
+                if top + 0.4 * (1 - top) < low:
+                    continue
+                s = jaro_winkler(x, y)
+                if low <= s < high:
+                    out.append((min(x, y), max(x, y), s))
+        return pd.DataFrame(out, columns=["a", "b", "jw"])
+
+    pairs = dealt.select("text", "block", "pair.lo", "pair.hi").groupBy("lo", "hi").applyInPandas(compare, "a string, b string, jw double")
+    number = F.row_number().over(Window.partitionBy("head").orderBy("a", "b")) - 1
+    # batches do not reach across first letters, so no task numbers all pairs
+    return pairs.withColumn("head", F.substring("a", 1, 1)).withColumn("n", number).select(F.concat_ws("-", "head", F.floor(F.col("n") / batch).cast("string")).alias("batch"), "a", "b", "jw")
+
+
 def survivors(members: DataFrame) -> DataFrame:
     """(component, winner): no chunk suffix first, then the shortest id, then the first."""
     key = F.struct(F.col("node").rlike(r"_c\d+$"), F.length("node"), F.col("node"))
     return members.groupBy("component").agg(F.min_by("node", key).alias("winner"))
 
 
-def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
+def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scratch | None = None, communities: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges after merging. Equal normal forms merge within one source file; of each form
     the first node goes on to the similarity join. Edges move to survivors; those that close on
-    themselves go. Rows of one id: the least whole row stays."""
+    themselves go. Rows of one id: the least whole row stays. Nodes of more than one repository (column
+    ``repo``) are refused; a table of one node or none comes back as it is. ``communities`` (id,
+    community) turns the boost of pairs within a community on."""
     scratch = scratch or Scratch(nodes.sparkSession, "dedup")
-    n = scratch.save(nodes.dropDuplicates(["id"]).withColumn("form", norm))
+    if "repo" in nodes.columns and len(repos := nodes.select("repo").where("repo is not null").distinct().limit(2).collect()) > 1:
+        raise ValueError(f"nodes of several repositories ({repos[0][0]}, {repos[1][0]}, ...) cannot be merged")
+    if nodes.limit(2).count() < 2:
+        return nodes, edges
+    n = scratch.save(least_rows(nodes, "id").withColumn("form", norm))
     exact = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form", "source_file").agg(F.min_by("id", F.struct(F.length("id"), F.col("id"))).alias("head"))
     links = n.join(exact, ["form", "source_file"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     heads = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form").agg(F.min("id").alias("head"))
-    alike = similar_labels(heads.select(F.col("form").alias("text")))
+    boosted = None if communities is None else heads.join(communities.select(F.col("id").alias("head"), "community"), "head").select(F.col("form").alias("text"), "community")
+    alike = similar_labels(heads.select(F.col("form").alias("text")), boosted)
     fuzzy = alike.join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a").join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")), "b").select("src", "dst")
     members = connected_components(links.union(fuzzy), scratch=scratch)
     remap = scratch.save(members.join(survivors(members), "component").select(F.col("node").alias("old"), F.col("winner").alias("new")))
@@ -80,3 +144,18 @@ def rewire(edges: DataFrame, remap: DataFrame) -> DataFrame:
     e = edges.join(remap.select(F.col("old").alias("src"), F.col("new").alias("s_")), "src", "left").join(remap.select(F.col("old").alias("dst"), F.col("new").alias("d_")), "dst", "left")
     e = e.withColumn("src", F.coalesce("s_", "src")).withColumn("dst", F.coalesce("d_", "dst"))
     return e.where((F.col("src") != F.col("dst")) | (F.col("s_").isNull() & F.col("d_").isNull())).select(*own)
+
+
+def minhash(text: Column, perms: int = 128, k: int = 3) -> Column:
+    """Signature of a label: per permutation the least hash of its character shingles, spaces left out. The hash is the
+    MD5 of the permutation's number and the shingle, so other systems can make the same signature."""
+    grams = shingles(F.replace(text, F.lit(" "), F.lit("")), k)
+    return F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(grams, lambda g: F.substring(F.md5(F.concat_ws(":", i.cast("string"), g)), 1, 16))))
+
+
+def signature_bands(items: DataFrame, bands: int = 14, rows: int = 9) -> DataFrame:
+    """(band, bucket, key): labels that agree in a whole band of their signatures share a bucket; the classic blocking
+    beside the exact prefix filter. ``items``: (key, text)."""
+    sig = items.select("key", minhash(F.col("text"), bands * rows).alias("s")).where(F.get("s", F.lit(0)).isNotNull())
+    cut = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.struct(b.alias("band"), F.md5(F.array_join(F.slice("s", b * rows + 1, rows), ",")).alias("bucket")))
+    return sig.select("key", F.explode(cut).alias("c")).select("c.band", "c.bucket", "key")

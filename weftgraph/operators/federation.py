@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftgraph.operators.build import prefix_repo, without_dangling
+from weftgraph.operators.build import least_rows, prefix_repo, without_dangling
 
 
 def global_add(nodes: DataFrame, edges: DataFrame, repo_nodes: DataFrame, repo_edges: DataFrame, tag: str, rewire: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -42,7 +42,7 @@ def symbol_index(symbols: DataFrame, relationships: DataFrame) -> tuple[DataFram
     ``relationships``: (path, symbol, target, is_*). A target is the symbol of the same document, else
     the only one of that name, else a stub node without a source file."""
     node_id = lambda p, s: F.concat(F.lit("scip_"), F.substring(F.sha2(F.concat_ws("|", p, s), 256), 1, 16))
-    s = symbols.where("symbol is not null and symbol <> ''").dropDuplicates(["path", "symbol"]).withColumn("id", node_id(F.col("path"), F.col("symbol")))
+    s = least_rows(symbols.where("symbol is not null and symbol <> ''"), "path", "symbol").withColumn("id", node_id(F.col("path"), F.col("symbol")))
     r = relationships.where("target is not null and target <> ''")
     kind = F.lit(None).cast("string")
     for flag, relation in reversed(RELATIONS):

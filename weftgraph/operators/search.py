@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from weftgraph.functions.text import bare_form, strip_marks
+
+#: Weights of the match tiers and of a match in the source path.
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 #: Words of a question that name an edge context.
 CONTEXT_HINTS = {
@@ -64,13 +67,15 @@ def contexts_of(question: str, explicit: list[str] | None = None) -> list[str]:
     """Edge contexts that the caller names, else those that words of the question hint at."""
     if explicit:
         return list(dict.fromkeys(CONTEXT_ALIASES.get(x.strip().lower(), x.strip().lower()) for x in explicit if x.strip()))
-    words = set(re.findall("[a-z_]+", question.lower()))
+    words = {bare_form(w).lower() for w in re.split(r"[\s?,]+", question)}
     return [c for c, hints in CONTEXT_HINTS.items() if words & set(hints)]
 
 
 def hinted_contexts(question: Column) -> Column:
     """``contexts_of`` without explicit ones, as a column."""
-    words = F.regexp_extract_all(F.lower(question), F.lit("[a-z_]+"), F.lit(0))
+    # letters with marks need the Unicode form; plain text does not
+    plain = F.when(question.rlike(r"[^\x00-\x7F]"), strip_marks(question)).otherwise(question)
+    words = F.split(F.lower(plain), r"[\s?,]+")
     return F.array_compact(F.array(*(F.when(F.arrays_overlap(words, F.array(*map(F.lit, hints))), c) for c, hints in CONTEXT_HINTS.items())))
 
 

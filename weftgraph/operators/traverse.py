@@ -33,19 +33,30 @@ def hub_threshold(nodes: DataFrame, edges: DataFrame) -> int:
     return HUB_FLOOR
 
 
+def _saved_steps(edges: DataFrame, directed: bool, hub: int | None, scratch: Scratch) -> DataFrame:
+    """(u, v, big): the steps of a traversal, written once for all its levels; ``big`` marks steps out of
+    nodes of degree ``hub`` or more. ``edges`` is read once."""
+    if hub is None:
+        return scratch.save(both_ways(edges, directed).withColumn("big", F.lit(False)))
+    pairs = scratch.save(edges.select("src", "dst"))
+    big = degrees(pairs).where(F.col("degree") >= hub).select(F.col("id").alias("u"), F.lit(True).alias("big"))
+    return scratch.save(both_ways(pairs, directed).join(big, "u", "left").select("u", "v", F.coalesce("big", F.lit(False)).alias("big")))
+
+
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, directed: bool = False, hub: int | None = None, scratch: Scratch | None = None) -> DataFrame:
     """(id, depth) of what is within ``depth`` steps of the seeds (column id). Nodes of degree ``hub``
     or more are visited but, seeds apart, not expanded."""
     scratch = scratch or Scratch(edges.sparkSession, "bfs")
-    steps = both_ways(edges, directed)
-    if hub is not None:
-        big = degrees(edges).where(F.col("degree") >= hub).select(F.col("id").alias("u"))
-        spread = steps.join(big, "u", "left_anti")
+    steps = _saved_steps(edges, directed, hub, scratch)
+    return _levels(steps, seeds, depth, scratch)
+
+
+def _levels(steps: DataFrame, seeds: DataFrame, depth: int, scratch: Scratch) -> DataFrame:
     seen = scratch.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for d in range(1, depth + 1):
-        via = steps if hub is None or d == 1 else spread
-        nxt = frontier.select(F.col("id").alias("u")).join(via, "u").select(F.col("v").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
+        via = steps if d == 1 else steps.where("not big")
+        nxt = frontier.select(F.col("id").alias("u")).join(via.select("u", "v"), "u").select(F.col("v").alias("id")).distinct().join(seen.select("id"), "id", "left_anti")
         frontier = scratch.save(nxt.withColumn("depth", F.lit(d)))
         if not frontier.limit(1).count():
             break
@@ -64,7 +75,7 @@ def affected(edges: DataFrame, seeds: DataFrame, depth: int = 2, relations: tupl
     """(id, depth, via): what reaches the seeds backwards over these relations; ``via`` is the least
     relation of its first level."""
     scratch = scratch or Scratch(edges.sparkSession, "affected")
-    back = edges.where(F.col("relation").isin(*relations)).select(F.col("dst").alias("u"), F.col("src").alias("v"), "relation")
+    back = scratch.save(edges.where(F.col("relation").isin(*relations)).select(F.col("dst").alias("u"), F.col("src").alias("v"), "relation"))
     seen = scratch.save(seeds.select("id").distinct().withColumn("depth", F.lit(0)).withColumn("via", F.lit(None).cast("string")))
     frontier = seen
     for d in range(1, depth + 1):
@@ -81,7 +92,7 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 8, sc
     none within ``max_hops``. Equal ends: that node alone."""
     spark = edges.sparkSession
     scratch = scratch or Scratch(spark, "path")
-    steps = both_ways(edges)
+    steps = scratch.save(both_ways(edges))
     seen = scratch.save(spark.createDataFrame([(start, None, 0)], "id string, parent string, hop int"))
     frontier, found = seen, start == goal
     for d in range(1, max_hops + 1):
@@ -101,16 +112,23 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_hops: int = 8, sc
     return spark.createDataFrame(path[::-1], "hop int, id string")
 
 
-def dfs(edges: DataFrame, seeds: list[str], depth: int, scratch: Scratch | None = None) -> DataFrame:
-    """(ord, id, depth): stack order of a depth-first walk, neighbours ascending. The nodes within
-    reach come from ``bfs``; only their adjacency, one row, is walked, so reach bounds memory."""
-    spark = edges.sparkSession
-    near = bfs(edges, spark.createDataFrame([(s,) for s in seeds], "id string"), depth, scratch=scratch).select("id")
-    inner = both_ways(edges).join(near.withColumnRenamed("id", "u"), "u", "left_semi").join(near.withColumnRenamed("id", "v"), "v", "left_semi")
+def dfs(edges: DataFrame, seeds: list[str], depth: int, hub: int | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """(ord, id, depth): stack order of a depth-first walk, neighbours ascending. Seeds without an edge are
+    visited too; nodes of degree ``hub`` or more are, seeds apart, not expanded. The nodes within reach come
+    from the levels of ``bfs``; only their adjacency, one row, is walked, so reach bounds memory."""
     import pandas as pd
 
+    spark = edges.sparkSession
+    scratch = scratch or Scratch(spark, "dfs")
+    steps = _saved_steps(edges, False, hub, scratch)
+    roots = spark.createDataFrame([(s,) for s in seeds], "id string")
+    near = scratch.save(_levels(steps, roots, depth, scratch).select("id"))
+    open_ = steps.where(~F.col("big") | F.col("u").isin(seeds))
+    inner = open_.join(near.withColumnRenamed("id", "u"), "u", "left_semi").join(near.withColumnRenamed("id", "v"), "v", "left_semi").select("u", "v")
+    inner = inner.unionByName(roots.select(F.col("id").alias("u"), F.lit(None).cast("string").alias("v")))
+
     def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        adj = {u: sorted(g) for u, g in pdf.groupby("u")["v"]}
+        adj = {u: sorted(g) for u, g in pdf.dropna(subset="v").groupby("u")["v"]}
         seen, order, stack = set(), [], [(s, 0) for s in reversed(seeds)]
         while stack:
             x, d = stack.pop()

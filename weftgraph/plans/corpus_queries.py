@@ -9,6 +9,7 @@ from weftgraph.model import table
 from weftgraph.operators import resolution as R
 from weftgraph.operators import search as S
 from weftgraph.operators.centrality import edge_betweenness, node_betweenness
+from weftgraph.plans.language_queries import told
 from weftgraph.sources import corpus as C
 from weftgraph.sources import extractors as X
 from weftgraph.streaming import feeds
@@ -104,7 +105,7 @@ def query_terms(spark, sf):
 _HINT = ", ".join("CASE WHEN len(list_intersect(w, [" + ", ".join(f"'{x}'" for x in h) + f"])) > 0 THEN '{c}' END" for c, h in S.CONTEXT_HINTS.items())
 
 
-@query(f"SELECT conv_id, turn, list_filter([{_HINT}], lambda x: x IS NOT NULL) AS contexts FROM (SELECT *, regexp_extract_all(lower(text), '[a-z_]+') AS w FROM conversations)")
+@query(f"SELECT conv_id, turn, list_filter([{_HINT}], lambda x: x IS NOT NULL) AS contexts FROM (SELECT *, regexp_split_to_array(lower(strip_accents(text)), '[\\s?,]+') AS w FROM conversations)")
 def context_filter_infer(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", S.hinted_contexts(F.col("text")).alias("contexts"))
 
@@ -130,7 +131,9 @@ def cache_split(spark, sf):
     return both.groupBy("lang").agg(F.count_if(F.col("hit") == 1).alias("hits"), F.count_if(F.col("hit") == 0).alias("misses"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT source AS dir, doc_id AS path, greatest(1, length(text) // 4) AS tokens, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents),
+f(dir, r, used, chunk) AS (SELECT dir, 1, tokens, 0 FROM t WHERE r = 1 UNION ALL SELECT t.dir, t.r, CASE WHEN f.used + t.tokens > 20000 THEN t.tokens ELSE f.used + t.tokens END, CASE WHEN f.used + t.tokens > 20000 THEN chunk + 1 ELSE chunk END FROM f JOIN t ON t.dir = f.dir AND t.r = f.r + 1)
+SELECT dir, path, CAST(tokens AS BIGINT) AS tokens, CAST(chunk AS BIGINT) AS chunk FROM f JOIN t USING (dir, r)""")
 def token_pack(spark, sf):
     d = table(spark, sf, "documents").select(F.col("source").alias("dir"), F.col("doc_id").alias("path"), T.tokens_of(F.length("text")).alias("tokens"))
     return C.pack(d, 20_000)
@@ -165,18 +168,19 @@ def incremental_merge(spark, sf):
     return merge_incremental(d.where("id % 2 = 0"), d.where("source_file in ('src1', 'src2') and id % 3 = 0"), gone)
 
 
-_CALLS = """n AS (SELECT 'part:' || p_partkey AS id, lower(p_name) AS key FROM part WHERE p_partkey <= 60), u AS (SELECT key, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1),
-c AS (SELECT 'part:' || l_suppkey AS src, lower(p_name) AS key, 'f' || l_linenumber AS f FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_tax < 0.07),
+#: Names of parts repeat; with the key they are unique, so whole tables take part.
+_CALLS = """n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' ' || p_partkey) AS key FROM part), u AS (SELECT key, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1),
+c AS (SELECT 'part:' || l_suppkey AS src, lower(p_name || ' ' || p_partkey) AS key, 'f' || l_linenumber AS f FROM lineitem JOIN part ON p_partkey = l_partkey),
 h AS (SELECT src, u.id AS dst, min(f) AS f FROM c JOIN u USING (key) WHERE src <> u.id GROUP BY 1, 2)"""
 
 
 def _calls(spark, sf):
-    p = table(spark, sf, "part")
-    n = p.where("p_partkey <= 60").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_name").alias("label"), F.lit("code").alias("file_type"))
-    li = table(spark, sf, "lineitem").where("l_tax < 0.07").join(p, F.col("p_partkey") == F.col("l_partkey"))
-    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("p_name").alias("callee"), F.lit(False).alias("is_member_call"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
+    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("code").alias("file_type"))
+    li = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
+    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("label").alias("callee"), F.lit(False).alias("is_member_call"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
     held = spark.createDataFrame([("part:1", "part:2", "contains")], "src string, dst string, relation string")
-    return raw, n, held
+    return raw, p.drop("p_partkey"), held
 
 
 @query(f"WITH {_CALLS} SELECT src, dst, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM h WHERE NOT (src = 'part:1' AND dst = 'part:2')")
@@ -190,30 +194,15 @@ def import_evidence_promotion(spark, sf):
     return R.resolve_calls(raw, n, held, n.select(F.lit("f1").alias("source_file"), F.col("id").alias("dst")))
 
 
-@query("""WITH t AS (SELECT p_partkey AS k, lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '', 'g')) AS key, p_partkey % 5 = 0 AS stub FROM part), o AS (SELECT key, min(CAST(k AS VARCHAR)) AS new FROM t WHERE NOT stub AND k <= 40 GROUP BY 1 HAVING count(*) = 1)
-SELECT 'o' || l_orderkey AS src, coalesce(o.new, CAST(l_partkey AS VARCHAR)) AS dst, count(*) AS n FROM lineitem LEFT JOIN t ON t.k = l_partkey AND t.stub LEFT JOIN o USING (key) GROUP BY 1, 2""")
+@query("""WITH m AS (SELECT max(p_partkey) AS m FROM part) SELECT 'o' || l_orderkey AS src, CASE WHEN l_partkey % 5 = 0 AND l_partkey + 1 <= m THEN CAST(l_partkey + 1 AS VARCHAR) ELSE CAST(l_partkey AS VARCHAR) END AS dst, count(*) AS n FROM lineitem, m GROUP BY 1, 2""")
 def unique_stub_rewire(spark, sf):
-    p = table(spark, sf, "part").where("p_partkey <= 40 or p_partkey % 5 = 0")
-    n = p.select(F.col("p_partkey").cast("string").alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 5 != 0, "a.py").alias("source_file"))
+    """Every fifth part is a stub that bears the label of the next one, its only definition."""
+    stub = F.col("p_partkey") % 5 == 0
+    n = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("Part "), (F.col("p_partkey") + stub.cast("int")).cast("string")).alias("label"), F.when(~stub, "a.py").alias("source_file"))
     e = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.col("l_partkey").cast("string").alias("dst"))
     return R.rewire_stubs(n, e)[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-#: Names of parts repeat; with the key they are unique, so whole tables take part.
-_ALL_CALLS = """n AS (SELECT 'part:' || p_partkey AS id, lower(p_name || ' ' || p_partkey) AS key FROM part), u AS (SELECT key, min(id) AS id FROM n GROUP BY 1 HAVING count(*) = 1),
-c AS (SELECT 'part:' || l_suppkey AS src, lower(p_name || ' ' || p_partkey) AS key FROM lineitem JOIN part ON p_partkey = l_partkey),
-h AS (SELECT DISTINCT src, u.id AS dst FROM c JOIN u USING (key) WHERE src <> u.id)"""
-
-
-@query(f"WITH {_ALL_CALLS} SELECT src, dst, 'calls' AS relation, 'INFERRED' AS confidence, CAST(0.8 AS DOUBLE) AS confidence_score FROM h")
-def raw_call_resolution_all(spark, sf):
-    name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
-    p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("code").alias("file_type"))
-    li = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
-    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("label").alias("callee"), F.lit(False).alias("is_member_call"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
-    return R.resolve_calls(raw, p.drop("p_partkey"), spark.createDataFrame([], "src string, dst string, relation string"))
-
-
 @query("SELECT DISTINCT CASE WHEN count(DISTINCT source) OVER (PARTITION BY doc_id % 50) > 1 THEN lower(source) || '_' || (doc_id % 50) ELSE CAST(doc_id % 50 AS VARCHAR) END AS id, source AS source_file FROM documents".replace("count(DISTINCT source) OVER (PARTITION BY doc_id % 50)", "(SELECT count(DISTINCT b.source) FROM documents b WHERE b.doc_id % 50 = documents.doc_id % 50)"))
 def id_disambiguation(spark, sf):
     n = table(spark, sf, "documents").select((F.col("doc_id") % 50).cast("string").alias("id"), F.col("source").alias("source_file")).distinct()
@@ -226,25 +215,44 @@ def reexport_closure(spark, sf):
     return R.reexport_closure(a)
 
 
-@query()
-def betweenness_small(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_name").alias("src"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("dst"))
-    return node_betweenness(n).select("id", F.round("betweenness", 9).alias("betweenness"))
+#: The tree of regions, nations, customers and suppliers: n nodes in all, sz in a tree, br the branches at a node.
+_TREE = """t AS (SELECT 'nation:' || n_nationkey AS u, 'region:' || n_regionkey AS v FROM nation UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey FROM supplier),
+sub AS (SELECT n.u AS id, n.v AS up, 1 + (SELECT count(*) FROM t x WHERE x.v = n.u) AS s FROM t n), sz AS (SELECT n_regionkey, 1 + sum(s) AS total FROM nation JOIN sub ON id = 'nation:' || n_nationkey GROUP BY 1), n AS (SELECT CAST(count(DISTINCT x) AS DOUBLE) AS n FROM (SELECT u AS x FROM t UNION ALL SELECT v FROM t))"""
+
+
+def _tree(spark, sf):
+    ref = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
+    n = table(spark, sf, "nation").select(ref("nation", "n_nationkey").alias("src"), ref("region", "n_regionkey").alias("dst"))
+    c = table(spark, sf, "customer").select(ref("customer", "c_custkey"), ref("nation", "c_nationkey"))
+    return n.union(c).union(table(spark, sf, "supplier").select(ref("supplier", "s_suppkey"), ref("nation", "s_nationkey")))
+
+
+@query(f"""WITH {_TREE}, br AS (SELECT up AS id, s AS b FROM sub WHERE up LIKE 'region:%' UNION ALL SELECT up, s FROM sub WHERE up LIKE 'nation:%' UNION ALL SELECT id, total - s FROM sub JOIN nation ON id = 'nation:' || n_nationkey JOIN sz USING (n_regionkey))
+SELECT id, round((sum(b) * sum(b) - sum(b * b)) / ((n - 1) * (n - 2)), 9) AS betweenness FROM br, n GROUP BY id, n UNION ALL SELECT u, 0.0 FROM t WHERE u NOT LIKE 'nation:%'""")
+def betweenness_tree(spark, sf):
+    return node_betweenness(_tree(spark, sf), None).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query()
-def edge_betweenness_small(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_name").alias("src"), F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("dst"))
-    return edge_betweenness(n).select("u", "v", F.round("betweenness", 9).alias("betweenness"))
+@query(f"""WITH {_TREE}, r AS (SELECT 'region:' || n_regionkey AS reg, 'nation:' || n_nationkey AS nat, total FROM nation JOIN sz USING (n_regionkey)), e AS (SELECT id, up, s, total FROM sub JOIN r ON nat = CASE WHEN up LIKE 'region:%' THEN id ELSE up END)
+SELECT least(id, up) AS u, greatest(id, up) AS v, round(2 * s * (total - s) / (n * (n - 1)), 9) AS betweenness FROM e, n""")
+def edge_betweenness_tree(spark, sf):
+    return edge_betweenness(_tree(spark, sf)).select("u", "v", F.round("betweenness", 9).alias("betweenness"))
 
 
-@query()
+@query(rf"""WITH p AS (SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '{_WS}+', ' ', 'g')) AS title FROM pages)
+SELECT 'p/' || page_id || '.md' AS source_file, page_id || '.md' AS source, title AS target FROM p WHERE title <> '' UNION ALL SELECT 'p/' || page_id || '.md', CASE WHEN title = '' THEN page_id || '.md' ELSE title END, 'Body' FROM p""")
 def markdown_headings(spark, sf):
-    p = table(spark, sf, "pages").select(F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"), F.concat(F.lit("# "), T.html_title(F.col("html")), F.lit("\n\n## Body\n\n"), T.html_text(F.col("html"))).alias("text"))
-    return X.extract(p).where("kind = 'edge'").select("src", "dst", "relation", "source_location")
+    p = table(spark, sf, "pages").select(
+        F.concat(F.lit("p/"), F.col("page_id").cast("string"), F.lit(".md")).alias("path"),
+        F.concat(F.lit("# "), T.html_title(F.col("html")), F.lit("\n\n## Body\n\nText: "), T.html_text(F.col("html"))).alias("text"),
+    )
+    return told(X.extract(p)).select("source_file", "source", "target")
 
 
-@query()
+@query("SELECT 'c/' || conv_id || '_' || turn || '.py' AS source_file, substr(rtrim('# NOTE: ' || regexp_replace(text, '[^A-Za-z ]', ' ', 'g')), 3, 80) AS source, conv_id || '_' || turn || '.py' AS target FROM conversations WHERE text IS NOT NULL")
 def rationale_comments(spark, sf):
-    d = table(spark, sf, "conversations").select(F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".py")).alias("path"), F.concat(F.lit("# NOTE: "), F.regexp_replace("text", r"[^A-Za-z ]", " "), F.lit("\ndef f():\n    pass\n")).alias("text"))
-    return X.extract(d).where("relation = 'rationale_for'").select("src", "dst", "source_file")
+    d = table(spark, sf, "conversations").where("text is not null").select(
+        F.concat(F.lit("c/"), F.col("conv_id").cast("string"), F.lit("_"), F.col("turn").cast("string"), F.lit(".py")).alias("path"),
+        F.concat(F.lit("# NOTE: "), F.regexp_replace("text", r"[^A-Za-z ]", " "), F.lit("\ndef f():\n    pass\n")).alias("text"),
+    )
+    return told(X.extract(d)).where("relation = 'rationale_for'").select("source_file", "source", "target")

@@ -314,10 +314,10 @@ def resolve_seed(spark, sf):
     return S.resolve_seed(star_nodes(spark, sf), "Order 2")
 
 
-@query("""q AS (SELECT id || ' ' || label AS line FROM nodes WHERE id LIKE 'supplier:%' ORDER BY line LIMIT 2000), r AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY line ROWS UNBOUNDED PRECEDING) AS upto FROM q)
+@query("""q AS (SELECT id || ' ' || label AS line FROM nodes ORDER BY line LIMIT 2000), r AS (SELECT line, sum(length(line) + 1) OVER (ORDER BY line ROWS UNBOUNDED PRECEDING) AS upto FROM q)
 SELECT line, CAST(upto AS BIGINT) AS upto FROM r WHERE upto <= 2000""")
 def render_budget(spark, sf):
-    lines = star_nodes(spark, sf).where("id like 'supplier:%'").select(F.concat_ws(" ", "id", "label").alias("line"))
+    lines = star_nodes(spark, sf).select(F.concat_ws(" ", "id", "label").alias("line"))
     return S.render_budget(lines, ["line"], 2000)
 
 
@@ -346,7 +346,10 @@ def shortest_path_len(spark, sf):
     return V.shortest_path(star_edges(spark, sf), "region:0", "order:1").agg(F.max("hop").alias("hops"))
 
 
-@query()
+@query("""b AS (SELECT src AS u, dst AS v FROM edges UNION SELECT dst, src FROM edges), reach(id, depth) AS (SELECT 'customer:1', 0 UNION SELECT v, depth + 1 FROM reach JOIN b ON u = id WHERE depth < 4),
+dist AS (SELECT id, min(depth) AS depth FROM reach GROUP BY 1),
+h0 AS (SELECT id, depth AS hop FROM dist WHERE id = 'supplier:1'), h1 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h0 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1), h2 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h1 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1), h3 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h2 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1), h4 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h3 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1), h5 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h4 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1), h6 AS (SELECT min(b.u) AS id, any_value(h.hop) - 1 AS hop FROM b JOIN h5 h ON b.v = h.id JOIN dist d ON d.id = b.u AND d.depth = h.hop - 1)
+SELECT CAST(hop AS INTEGER) AS hop, id FROM h0 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h1 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h2 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h3 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h4 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h5 WHERE id IS NOT NULL UNION ALL SELECT CAST(hop AS INTEGER) AS hop, id FROM h6 WHERE id IS NOT NULL""", recursive=True)
 def shortest_path(spark, sf):
     return V.shortest_path(star_edges(spark, sf), "customer:1", "supplier:1")
 
@@ -356,12 +359,12 @@ def dfs_trace(spark, sf):
     return V.dfs(star_edges(spark, sf), ["customer:1"], 2)
 
 
-@query("""x AS (SELECT DISTINCT o_custkey AS c, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey < 12 AND l_partkey % 7 = 0),
-b AS (SELECT 'c' || c AS u, 'p' || p AS v FROM x UNION SELECT 'p' || p, 'c' || c FROM x), r(id, m) AS (SELECT u, u FROM b UNION SELECT r.id, v FROM r JOIN b ON u = m)
-SELECT id AS node, min(m) AS component FROM r GROUP BY 1""", recursive=True)
-def connected_components_small(spark, sf):
-    x = table(spark, sf, "orders").where("o_custkey < 12").join(table(spark, sf, "lineitem").where("l_partkey % 7 = 0"), F.col("o_orderkey") == F.col("l_orderkey"))
-    return components(x.select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey").cast("string")).alias("dst")))
+@query("""k AS (SELECT 'region:' || n_regionkey AS r, n_nationkey AS k FROM nation), t AS (SELECT DISTINCT r, r AS node FROM k UNION ALL SELECT r, 'nation:' || k FROM k UNION ALL SELECT r, 'customer:' || c_custkey FROM customer JOIN k ON k = c_nationkey
+UNION ALL SELECT r, 'supplier:' || s_suppkey FROM supplier JOIN k ON k = s_nationkey UNION ALL SELECT r, 'order:' || o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey JOIN k ON k = c_nationkey)
+SELECT node, min(node) OVER (PARTITION BY r) AS component FROM t""")
+def connected_components_geo(spark, sf):
+    """Everything but line items: one component per region."""
+    return components(star_edges(spark, sf).where(~F.col("relation").isin("contains", "uses")))
 
 
 @query()
@@ -402,18 +405,10 @@ def jaccard_pairs(spark, sf):
     return D.jaccard_pairs(items, 0.3).select("a", "b", F.round("jaccard", 9).alias("jaccard")).where("jaccard >= 0.3")
 
 
-@query("SELECT x.t AS a, y.t AS b, round(jaro_winkler_similarity(x.t, y.t), 6) AS jw FROM (SELECT DISTINCT p_name AS t FROM part) x JOIN (SELECT DISTINCT p_name AS t FROM part) y ON x.t < y.t AND substr(x.t, 1, 3) = substr(y.t, 1, 3) WHERE jaro_winkler_similarity(x.t, y.t) >= 0.8", star=False)
-def jaro_winkler_pairs(spark, sf):
-    t = table(spark, sf, "part").select(F.col("p_name").alias("t"), F.substring("p_name", 1, 3).alias("k")).distinct()
-    p = t.withColumnRenamed("t", "a").join(t.withColumnRenamed("t", "b"), "k").where("a < b").select("a", "b", T.jaro_winkler_of(F.col("a"), F.col("b")).alias("jw"))
-    return p.where("jw >= 0.8").select("a", "b", F.round("jw", 6).alias("jw"))
-
-
 @query("SELECT x.t AS a, y.t AS b, round(jaro_winkler_similarity(x.t, y.t), 6) AS jw FROM (SELECT DISTINCT p_name AS t FROM part) x JOIN (SELECT DISTINCT p_name AS t FROM part) y ON x.t < y.t WHERE jaro_winkler_similarity(x.t, y.t) >= 0.8", star=False)
 def jaro_winkler_all_pairs(spark, sf):
-    t = table(spark, sf, "part").select(F.col("p_name").alias("a")).distinct()
-    p = t.join(t.withColumnRenamed("a", "b"), F.col("a") < F.col("b")).select("a", "b", T.jaro_winkler_of(F.col("a"), F.col("b")).alias("jw"))
-    return p.where("jw >= 0.8").select("a", "b", F.round("jw", 6).alias("jw"))
+    p = D.tie_break_pairs(table(spark, sf, "part").select(F.col("p_name").alias("text")), 0.8, 2.0)
+    return p.select("a", "b", F.round("jw", 6).alias("jw"))
 
 
 @query("""m AS (SELECT p_name AS component, 'p' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '_c1' ELSE '' END AS node FROM part)

@@ -1,14 +1,15 @@
 """Materialised intermediate tables in the folder that driver and executors share.
 
 Loops and multi-consumer plans cut their lineage here. The folder is the one the
-cluster names in ``spark.checkpoint.dir``; only where that is unset (tests, a laptop)
-a local folder is made. Written tables survive the loss of executors, and because
+cluster names in ``spark.checkpoint.dir``; only in local mode (tests, a laptop) a
+folder is made where that is unset. Written tables survive the loss of executors, and because
 they are Parquet their size is known to the planner.
 """
 
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,9 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared scratch folder: ``spark.checkpoint.dir``, else an own temporary one."""
+    """The shared scratch folder: ``spark.checkpoint.dir``, else in local mode an own temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all machines of {master} share")
         found = tempfile.mkdtemp(prefix="weftgraph-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)

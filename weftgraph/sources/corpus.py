@@ -34,6 +34,7 @@ NOISE_DIRS = (
     "visual-tests", "visual-test", "__snapshots__", "snapshots", "storybook-static", "dist-protected", ".next", ".nuxt", ".turbo", ".angular", ".idea", ".cache", ".parcel-cache", ".svelte-kit", ".terraform", ".serverless", ".worktrees",
 )
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum")
+#: Sizes of a corpus below and above which the summary warns.
 WARN_WORDS, UPPER_WORDS, UPPER_FILES = 50_000, 500_000, 500
 #: Interpreters of scripts without a suffix.
 INTERPRETERS = ("python", "python2", "python3", "node", "deno", "bun", "ruby", "perl", "php", "bash", "sh", "zsh", "dash", "ksh", "lua", "Rscript", "julia", "pwsh")
@@ -182,3 +183,30 @@ def pack(files: DataFrame, budget: int) -> DataFrame:
         return pdf.assign(chunk=out)
 
     return files.select("dir", "path", "tokens").groupBy("dir").applyInPandas(fold, f"dir string, path {dict(files.dtypes)['path']}, tokens long, chunk long")
+
+
+def survey(files: DataFrame, patterns: list[str] = ()) -> DataFrame:
+    """(file_type, files, words) of what a scan keeps: outside generated directories, not ignored, not sensitive, of a
+    known kind. ``files``: (path, text); the text of other than code and documents is not counted."""
+    kept = files.where(~in_noise(F.col("path")) & ~is_sensitive(F.col("path")))
+    kept = ignored(kept, list(patterns)).where("not ignored")
+    kind = classify(F.col("path"), F.col("text"))
+    words = F.when(kind.isin("code", "document", "paper"), word_count(F.col("text"))).otherwise(0)
+    return kept.select(kind.alias("file_type"), words.alias("words")).where("file_type is not null").groupBy("file_type").agg(F.count("*").alias("files"), F.sum("words").alias("words"))
+
+
+def cached_files(cache: DataFrame, key: str = "key") -> DataFrame:
+    """The distinct content keys of a cache table."""
+    return cache.select(key).where(F.col(key).isNotNull()).distinct()
+
+
+def common_root(paths: DataFrame) -> str:
+    """The longest folder that all paths lie in; "" without one. The bounds of the order decide, so nothing is gathered."""
+    r = paths.agg(F.min("path").alias("a"), F.max("path").alias("b")).first()
+    if r["a"] is None:
+        return ""
+    a, b = r["a"].split("/")[:-1], r["b"].split("/")[:-1]
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return "/".join(a[:n])

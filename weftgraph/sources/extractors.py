@@ -1,12 +1,14 @@
 """Structural extractors as table functions: (path, content) to nodes, edges and raw calls.
 
 ``extract`` runs the registered extractor of each file's suffix in Arrow batches, a file at a time;
-a failure becomes an ``error`` row of that file. Grammars that need a native parser plug in with
-``register_extractor``."""
+a failure becomes an ``error`` row of that file. Most languages go through the configured walker of
+``languages``; other parsers plug in with ``register_extractor``. A name that a file uses as a type but
+does not define becomes a stub: a node without a source file, which resolution may rewire."""
 
 from __future__ import annotations
 
 import ast
+import builtins
 import json
 import re
 from collections.abc import Callable, Iterator
@@ -16,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.functions.text import id_form
+from weftgraph.sources.languages import LANGUAGES, Lines, scripts_of, walk
 
 ROW = "kind string, id string, label string, file_type string, src string, dst string, relation string, confidence string, context string, source_file string, source_location string, is_member_call boolean, error string"
 _FIELDS = [f.split()[0] for f in ROW.split(", ")]
@@ -42,6 +45,13 @@ class Fragment:
             self.rows.append(dict(kind="node", id=nid, label=label, file_type=file_type, source_file=self.path, source_location=f"L{line}"))
         return nid
 
+    def stub(self, name: str) -> str:
+        nid = id_form(name)
+        if nid not in self.ids:
+            self.ids.add(nid)
+            self.rows.append(dict(kind="node", id=nid, label=name, file_type="code", source_file=""))
+        return nid
+
     def edge(self, src: str, dst: str, relation: str, line: int, context: str | None = None) -> None:
         self.rows.append(dict(kind="edge", src=src, dst=dst, relation=relation, confidence="EXTRACTED", context=context, source_file=self.path, source_location=f"L{line}"))
 
@@ -56,10 +66,13 @@ def extract_python(path: str, text: str) -> Fragment:
     defined: dict[str, str] = {}
     bodies = []
 
+    classes = {n.name for n in ast.walk(tree) if isinstance(n, ast.ClassDef)}
+
     def names(node) -> Iterator[str]:
+        """Ids of the types that an expression names; built-in ones are left out."""
         for x in ast.walk(node) if node is not None else ():
-            if isinstance(x, ast.Name):
-                yield x.id
+            if isinstance(x, ast.Name) and not hasattr(builtins, x.id):
+                yield id_form(f"{f.stem}_{x.id}") if x.id in classes else f.stub(x.id)
 
     def doc(owner: str, node) -> None:
         d = ast.get_docstring(node, clean=True)
@@ -76,7 +89,7 @@ def extract_python(path: str, text: str) -> Fragment:
                 f.edge(owner, nid, "contains", n.lineno)
                 for b in n.bases:
                     for name in names(b):
-                        f.edge(nid, id_form(name), "inherits", n.lineno)
+                        f.edge(nid, name, "inherits", n.lineno)
                 doc(nid, n)
                 visit(n.body, nid, n.name)
             elif isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef):
@@ -86,9 +99,9 @@ def extract_python(path: str, text: str) -> Fragment:
                 args = [*n.args.posonlyargs, *n.args.args, *n.args.kwonlyargs]
                 for a in args:
                     for name in names(a.annotation):
-                        f.edge(nid, id_form(name), "references", n.lineno, "parameter_type")
+                        f.edge(nid, name, "references", n.lineno, "parameter_type")
                 for name in names(n.returns):
-                    f.edge(nid, id_form(name), "references", n.lineno, "return_type")
+                    f.edge(nid, name, "references", n.lineno, "return_type")
                 doc(nid, n)
                 bodies.append((nid, n))
             elif isinstance(n, ast.Import):
@@ -154,7 +167,7 @@ def extract_markdown(path: str, text: str) -> Fragment:
 def extract_sql(path: str, text: str) -> Fragment:
     """Tables, views, functions and triggers of DDL; foreign keys, reads and triggers between them."""
     f = Fragment(path)
-    line = lambda at: text.count("\n", 0, at) + 1
+    line = Lines(text).at
     known: dict[str, str] = {}
     head = re.compile(r"\bCREATE\s+(?:OR\s+REPLACE\s+)?(?:TEMP(?:ORARY)?\s+)?(TABLE|VIEW|MATERIALIZED\s+VIEW|FUNCTION|PROCEDURE|TRIGGER)\s+(?:IF\s+NOT\s+EXISTS\s+)?[\"`\[]?([\w$.]+)", re.I)
     found = list(head.finditer(text))
@@ -231,10 +244,10 @@ def _by_patterns(rules: list[tuple[str, str, str]]) -> Callable[[str, str], Frag
     """An extractor by line patterns: (regex with one group, ``node`` or ``name``, relation from the file)."""
 
     def run(path: str, text: str) -> Fragment:
-        f = Fragment(path)
+        f, lines = Fragment(path), Lines(text)
         for rx, what, relation in rules:
             for m in re.finditer(rx, text):
-                at = text.count("\n", 0, m.start()) + 1
+                at = lines.at(m.start(1))
                 dst = f.node(m[1], at) if what == "node" else id_form(m[1])
                 f.edge(f.file, dst, relation, at, "import" if relation.startswith("imports") else None)
         return f
@@ -247,16 +260,48 @@ BLADE = [(r"@(?:include|extends|includeIf|includeWhen)\(\s*['\"]([^'\"]+)", "nam
 DART = [(r"(?m)^\s*(?:abstract\s+)?(?:class|mixin|enum|extension)\s+(\w+)", "node", "defines"), (r"(?m)^\s*import\s+['\"]([^'\"]+)", "name", "imports")]
 LAZARUS_FORM = [(r"(?mi)^\s*(?:object|inherited|inline)\s+(\w+)", "node", "contains"), (r"(?mi)^\s*On\w+\s*=\s*(\w+)", "name", "references")]
 LAZARUS_PACKAGE = [(r"(?i)<Filename\s+Value=\"([^\"]+)\"", "node", "contains"), (r"(?i)<PackageName\s+Value=\"([^\"]+)\"", "name", "imports")]
-PASCAL = [(r"(?mi)^\s*(?:procedure|function|constructor|destructor)\s+([\w.]+)", "node", "contains"), (r"(?mi)^\s*(\w+)\s*=\s*(?:class|record|interface)\b", "node", "contains"), (r"(?mi)\buses\s+(\w+)", "name", "imports")]
-GROOVY = [(r"(?m)^\s*(?:abstract\s+)?class\s+(\w+)", "node", "contains"), (r"(?m)^\s*def\s+[\"']?([^\"'(\n]+?)[\"']?\s*\(", "node", "contains"), (r"(?m)^\s*import\s+([\w.]+)", "name", "imports")]
-BASH = [(r"(?m)^\s*(?:function\s+)?(\w+)\s*\(\)\s*\{", "node", "contains"), (r"(?m)^\s*(?:source|\.)\s+([\w./-]+)", "name", "imports_from")]
-CURLY = [(r"(?m)^\s*(?:export\s+)?(?:default\s+)?(?:public\s+|private\s+|abstract\s+|final\s+|static\s+)*(?:class|interface|struct|enum|trait|object)\s+(\w+)", "node", "contains"), (r"(?m)^\s*(?:export\s+)?(?:pub\s+|async\s+)*(?:function|func|fun|fn|def|sub)\s+(?:\([^)]*\)\s*)?(\w+)", "node", "contains"), (r"(?m)^\s*(?:import|use|using|require|include)\s+(?:[\w{}*,\s]+\s+from\s+)?['\"<]?([\w./:@-]+)", "name", "imports")]
 
+
+def _spock_features(path: str, text: str) -> Fragment:
+    """A configured walk, and features named by strings (``def "adds numbers"()``) as methods of their class."""
+    f = Fragment(path)
+    walk(LANGUAGES["groovy"], f, text)
+    lines, owner = Lines(text), None
+    for m in re.finditer(r"\bclass\s+(?P<cls>\w+)|\bdef\s+(?P<q>[\"'])(?P<name>[^\"'\n]+)(?P=q)\s*\(", text):
+        if m["cls"]:
+            owner = id_form(f"{f.stem}_{m['cls']}")
+            continue
+        nid = f.node(f"{m['name']}()", lines.at(m.start()), m["name"])
+        f.edge(owner if owner in f.ids else f.file, nid, "method" if owner in f.ids else "contains", lines.at(m.start()))
+    return f
+
+
+def configured(language: str) -> Callable[[str, str], Fragment]:
+    """The extractor of a configured language."""
+
+    def run(path: str, text: str) -> Fragment:
+        f = Fragment(path)
+        walk(LANGUAGES[language], f, text)
+        return f
+
+    return run
+
+
+def _component(path: str, text: str) -> Fragment:
+    """A component file: its script parts as TypeScript."""
+    return configured("typescript")(path, scripts_of(text))
+
+
+#: Suffixes of the configured languages.
+SUFFIXES = {
+    "javascript": ".js .jsx .mjs .ejs", "typescript": ".ts .tsx .ets", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp", "java": ".java", "csharp": ".cs", "kotlin": ".kt .kts", "scala": ".scala", "swift": ".swift", "php": ".php", "go": ".go",
+    "rust": ".rs", "zig": ".zig", "powershell": ".ps1", "objc": ".m .mm", "ruby": ".rb", "lua": ".lua .luau .toc", "elixir": ".ex .exs", "julia": ".jl", "fortran": ".f .f90 .f95 .f03 .f08", "verilog": ".v .sv",
+    "pascal": ".pas .pp .dpr .dpk .lpr .inc", "bash": ".sh .bash",
+}
 EXTRACTORS: dict[str, Callable[[str, str], Fragment]] = {
-    ".py": extract_python, ".md": extract_markdown, ".mdx": extract_markdown, ".qmd": extract_markdown, ".sql": extract_sql, ".json": extract_json, ".blade.php": _by_patterns(BLADE), ".dart": _by_patterns(DART), ".lfm": _by_patterns(LAZARUS_FORM),
-    ".dfm": _by_patterns(LAZARUS_FORM), ".lpk": _by_patterns(LAZARUS_PACKAGE), ".groovy": _by_patterns(GROOVY), ".gradle": _by_patterns(GROOVY), ".sh": _by_patterns(BASH), ".bash": _by_patterns(BASH),
-    **{s: _by_patterns(PASCAL) for s in (".pas", ".pp", ".dpr", ".dpk", ".lpr", ".inc")},
-    **{s: _by_patterns(CURLY) for s in (".js", ".jsx", ".mjs", ".ts", ".tsx", ".vue", ".svelte", ".astro", ".java", ".kt", ".kts", ".scala", ".cs", ".swift", ".go", ".rs", ".php", ".rb", ".zig", ".lua", ".jl", ".ex", ".exs")},
+    ".py": extract_python, ".md": extract_markdown, ".mdx": extract_markdown, ".qmd": extract_markdown, ".sql": extract_sql, ".json": extract_json, ".blade.php": _by_patterns(BLADE), ".dart": _by_patterns(DART),
+    ".lfm": _by_patterns(LAZARUS_FORM), ".dfm": _by_patterns(LAZARUS_FORM), ".lpk": _by_patterns(LAZARUS_PACKAGE), ".groovy": _spock_features, ".gradle": _spock_features,
+    **dict.fromkeys((".vue", ".svelte", ".astro"), _component), **{suffix: configured(name) for name, suffixes in SUFFIXES.items() for suffix in suffixes.split()},
 }
 
 
