@@ -188,7 +188,7 @@ def test_extractors(spark):
     assert set(rel("p/a.py")) >= {"imports", "imports_from", "inherits", "method", "calls", "contains", "references", "rationale_for"}
     assert [(r.dst, r.is_member_call) for r in out if r.kind == "raw_call"] == [("h", False)]
     assert rel("p/r.md") == ["contains"] * 4 and [r.source_file for r in out if r.kind == "error"] == ["p/bad.py"]
-    assert {"extends", "imports", "references"} <= set(rel("p/x.json")) and "imports" in rel("p/t.ts")
+    assert {"extends", "imports", "references"} <= set(rel("p/x.json")) and "imports_from" in rel("p/t.ts")
 
 
 def test_corpus_rules(spark):
