@@ -184,7 +184,7 @@ def extract_sql(path: str, text: str) -> Fragment:
             seen.add((src, dst, relation))
             f.edge(src, dst, relation, line(at))
 
-    for m, nxt in zip(found, [*found[1:], None], strict=True):
+    for m, nxt in zip(found, [*found[1:], None], strict=False):
         body, kind, src = text[m.start() : nxt.start() if nxt else len(text)], m[1].upper(), known[m[2].lower()]
         if kind == "TABLE":
             for r in re.finditer(r"\bREFERENCES\s+[\"`\[]?([\w$.]+)", body.split(";", 1)[0], re.I):
