@@ -153,12 +153,12 @@ def extract_markdown(path: str, text: str) -> Fragment:
             else:
                 fence = None
             continue
-        m = None if fence else re.match(r"^(#{1,6})\s+(.+?)\s*#*$", s)
+        m = None if fence else re.match(r"(#{1,6})\s+(.+)", line)
         if m:
-            level = len(m[1])
+            level, title = len(m[1]), m[2].strip()
             while stack and stack[-1][0] >= level:
                 stack.pop()
-            nid = f.node(m[2], i, m[2], str(i) if id_form(f"{f.stem}_{m[2]}") in f.ids else "", file_type="document")
+            nid = f.node(title, i, title, str(i) if id_form(f"{f.stem}_{title}") in f.ids else "", file_type="document")
             f.edge(stack[-1][1] if stack else f.file, nid, "contains", i)
             stack.append((level, nid))
     return f
