@@ -364,8 +364,10 @@ def jaccard_components(
     members = connected_components(led, "uid", "lead", scratch)
 
     cls = F.concat_ws(":", "uid", "chk").alias("cls")
-    classes = facts.where("uid is not null").groupBy("uid", "chk").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
-    blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "chk", "tk", "n"), "uid")))
+    classes = scratch.save(
+        facts.where("uid is not null").groupBy("uid", "chk").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+    )
+    blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "chk", "tk", "n"), "uid"), scratch))
     wanted = blocks.select("tk").distinct()
     if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
         wanted = F.broadcast(wanted)
@@ -375,25 +377,28 @@ def jaccard_components(
         .groupBy("task").applyInPandas(_product(num, den), "a string, b string")
     )
     linked = connected_components(links, "a", "b", scratch).withColumnRenamed("node", "cls")
-    labelled = scratch.save(classes.select(cls, "first_id").join(linked, "cls"))
+    labelled = scratch.save(classes.select("uid", "chk", cls, "first_id").join(linked, "cls").drop("cls"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    final = labelled.join(least, "component").select("cls", F.col("component").alias("group_id"), "component_id")
+    final = labelled.join(least, "component").select("uid", "chk", F.col("component").alias("group_id"), "component_id")
     every = scratch.save(
-        classes.select("uid", "chk", cls, "first_id", "copies").join(final, "cls", "left")
-        .select("uid", "chk", "cls", "copies", F.coalesce("group_id", "cls").alias("group_id"), F.coalesce("component_id", "first_id").alias("component_id"))
+        classes.select("uid", "chk", "first_id", "copies").join(final, ["uid", "chk"], "left")
+        .select("uid", "chk", "copies", "group_id", F.coalesce("component_id", "first_id").alias("component_id"))
     )
     # A class of many copies would meet in one task of the closing join. At most HOT_CLASSES can hold
     # this many rows each, so those are broadcast and only the rest is dealt by class.
     many = F.col("copies") >= max(HOT_LEAST, facts.count() // HOT_CLASSES)
+    every = every if keys else every.drop("group_id")
     hot, rest = F.broadcast(every.where(many).drop("copies")), every.where(~many).drop("copies")
     told = facts.join(hot, ["uid", "chk"]).unionByName(facts.join(hot.select("uid", "chk"), ["uid", "chk"], "left_anti").join(rest, ["uid", "chk"], "left"))
+    none = F.col("uid").isNull()
+    own = F.when(~none, F.concat_ws(":", "uid", "chk"))
     return told.select(
-        F.col("id").alias(id_col), "n_shingles", F.col("cls").alias("class_id"), F.when(F.col("uid").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        *(["group_id", F.col("tk").alias("text_key")] if keys else []),
+        F.col("id").alias(id_col), "n_shingles", own.alias("class_id"), F.when(none, F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
+        *([F.coalesce("group_id", own).alias("group_id"), F.col("tk").alias("text_key")] if keys else []),
     )
 
 
-def _row_blocks(members: DataFrame) -> DataFrame:
+def _row_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     """(uid, chk, tk, part, task): the row blocks whose product is taken, and the task that takes it.
 
     A component that fits is one part, and parts are dealt to tasks by hash, about a block's rows and
@@ -401,25 +406,25 @@ def _row_blocks(members: DataFrame) -> DataFrame:
     is a part and a task of its own.
     """
     level = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(1.5)) + 1e-9).cast("int")
-    rows = members.select("uid", "chk", "tk", "n", "component", level.alias("level"))
-    # A partner's size is within den/num <= 1.5 of n, so it is in the same or the next interval.
-    per_level = rows.groupBy("component", "level").agg(F.count("*").alias("rows"), F.sum("n").alias("cells"))
+    rows = scratch.save(members.select("uid", "chk", "tk", "n", "component", level.alias("level")))
+    per_level = scratch.save(rows.groupBy("component", "level").agg(F.count("*").alias("rows"), F.sum("n").alias("cells")))
     totals = per_level.groupBy("component").agg(F.sum("rows").alias("all_rows"), F.sum("cells").alias("all_cells"))
     fits = (F.col("all_rows") <= BLOCK_ROWS) & (F.col("all_cells") <= BLOCK_CELLS)
-    plan = per_level.join(totals, "component").select(
-        "component", "level", fits.alias("fits"), "all_rows", "all_cells",
-        F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("subs"),
+    n_rows, n_cells = totals.where(fits).agg(F.coalesce(F.sum("all_rows"), F.lit(0)), F.coalesce(F.sum("all_cells"), F.lit(0))).first()
+    tasks = max(1, -(-int(n_rows) // BLOCK_ROWS), -(-int(n_cells) // BLOCK_CELLS))
+    # A partner's size is within den/num <= 1.5 of n, so it is in the same or the next interval.
+    plan = per_level.join(totals.where(~fits).select("component"), "component").select(
+        "component", "level", F.greatest(F.ceil(F.col("rows") / BLOCK_ROWS), F.ceil(F.col("cells") / BLOCK_CELLS)).cast("int").alias("subs")
     )
     near = plan.select("component", (F.col("level") + 1).alias("level"), F.col("subs").alias("below"))
     far = plan.select("component", (F.col("level") - 1).alias("level"), F.col("subs").alias("above"))
-    plan = plan.join(near, ["component", "level"], "left").join(far, ["component", "level"], "left")
-    small = plan.where("fits").groupBy("component").agg(F.max("all_rows").alias("r"), F.max("all_cells").alias("c"))
-    n_rows, n_cells = small.agg(F.coalesce(F.sum("r"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))).first()
-    tasks = max(1, -(-int(n_rows) // BLOCK_ROWS), -(-int(n_cells) // BLOCK_CELLS))
-    rows = rows.join(plan, ["component", "level"])
-    small = rows.where("fits").select("uid", "chk", "tk", F.concat_ws(":", "component").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string").alias("task"))
+    plan = scratch.save(plan.join(near, ["component", "level"], "left").join(far, ["component", "level"], "left"))
+    # Components that do not fit are few, a row in BLOCK_ROWS at most or a cell in BLOCK_CELLS, and hold the hot keys.
+    few = F.broadcast if plan.count() <= BROADCAST_ROWS else lambda df: df
+    small = rows.join(few(plan.select("component").distinct()), "component", "left_anti")
+    small = small.select("uid", "chk", "tk", F.concat_ws(":", "component").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string").alias("task"))
     sub = F.pmod(F.xxhash64("uid", "chk", F.lit(7)), F.col("subs")).cast("int")
-    large = rows.where("not fits").withColumn("sub", sub)
+    large = rows.join(few(plan), ["component", "level"]).withColumn("sub", sub)
     same = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda j: F.concat_ws(":", "component", "level", F.least(j, F.col("sub")).cast("string"), F.lit("="), F.greatest(j, F.col("sub")).cast("string")))
     up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.concat_ws(":", "component", "level", F.col("sub").cast("string"), F.lit("<"), j.cast("string"))))
     down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.concat_ws(":", "component", (F.col("level") - 1).cast("string"), j.cast("string"), F.lit("<"), F.col("sub").cast("string"))))
