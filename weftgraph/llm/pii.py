@@ -95,9 +95,17 @@ def _gates(text: Column) -> dict[str, Column]:
     }
 
 
-def extra_spans(text: Column) -> dict[str, Column]:
-    """Candidates of the further kinds."""
-    return {k: find_spans(text, PATTERNS[k], gate) for k, gate in _gates(text).items()}
+def extra_spans(text: Column) -> Column:
+    """Candidates of all further kinds in one array of struct<start,end,hit,kind>."""
+    named = lambda spans, kind: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["hit"].alias("hit"), F.lit(kind).alias("kind")))
+    return F.concat(*(named(find_spans(text, PATTERNS[k], gate), k) for k, gate in _gates(text).items()))
+
+
+def _by_kind(kind: Column, values: dict[str, Column], other: Column) -> Column:
+    out = other
+    for k, v in values.items():
+        out = F.when(kind == k, v).otherwise(out)
+    return out
 
 
 def _bucket(value: Column, cuts: list[int]) -> Column:
@@ -118,41 +126,45 @@ def _mod97(account: Column) -> Column:
     return F.aggregate(F.split(turned, ""), F.lit(0), lambda a, c: F.when(c == "", a).otherwise((a * F.when(value(c) > 9, 100).otherwise(10) + value(c)) % 97))
 
 
-def _votes(kind: str, hit: Column, before: Column, after: Column) -> list[Column]:
+def _votes(kind: Column, hit: Column, before: Column, after: Column) -> list[Column]:
     """One vote by every one of ``VOTERS``: 1 for, -1 against, 0 silent."""
     d = _digits(hit)
     shape = {
         "local_phone": ~d.rlike("^[01]") & ~d.rlike("^(.)\\1+$"), "ssn": ~d.rlike("^(?:000|666|9)") & ~d.rlike("^...00") & ~d.rlike("0000$"),
         "iban": F.length(hit).between(15, 34), "person": hit.rlike(r"\. "), "birth": ~hit.rlike(r"(?:^|[^0-9])(?:0?0|[4-9][0-9])[./-]"),
         "hidden_mail": hit.rlike(r"[(\[]"), "card_like": hit.rlike(r"^[3-6]") & ~d.rlike("^(.)\\1+$"),
-    }[kind]
+    }
     gazetteer = {
         "person": F.when(hit.rlike(NAMES), 1).otherwise(0), "iban": F.when(hit.rlike(COUNTRIES), 1).otherwise(-1),
         "hidden_mail": F.when(hit.rlike(r"(?i:com|org|net|edu|gov|de|fr|es|uk|io)$"), 1).otherwise(-1), "card_like": F.when(hit.rlike("[^0-9]"), 1).otherwise(-1),
-    }.get(kind, F.lit(0))
+    }
     # what passes the card check is a base span already
-    checksum = {"iban": F.when(_mod97(hit) == 1, 1).otherwise(-1), "card_like": F.lit(-1)}.get(kind, F.lit(0))
-    near = lambda side: F.when(side.rlike(CONTEXT[kind]), 1).otherwise(0)
-    return [F.when(shape, 1).otherwise(-1), gazetteer, checksum, near(before), near(after), F.when(before.rlike(CONTRARY), -1).otherwise(0)]
+    checksum = {"iban": F.when(_mod97(hit) == 1, 1).otherwise(-1), "card_like": F.lit(-1)}
+    near = lambda side: F.when(_by_kind(kind, {k: side.rlike(p) for k, p in CONTEXT.items()}, F.lit(False)), 1).otherwise(0)
+    return [
+        F.when(_by_kind(kind, shape, F.lit(True)), 1).otherwise(-1), _by_kind(kind, gazetteer, F.lit(0)), _by_kind(kind, checksum, F.lit(0)), near(before), near(after), F.when(before.rlike(CONTRARY), -1).otherwise(0),
+    ]
 
 
 VOTERS = ("shape", "gazetteer", "checksum", "before", "after", "contrary")
 
 
-def _described(text: Column, kind: str, spans: Column) -> Column:
-    """Spans with their vote pattern and features, as strings."""
+def _described(text: Column, spans: Column) -> Column:
+    """Candidates with their vote pattern and features, as strings."""
 
     def one(s: Column) -> Column:
-        at = F.greatest(F.lit(0), s["start"] - AROUND)
+        at, kind = F.greatest(F.lit(0), s["start"] - AROUND), s["kind"]
         sides = F.struct(F.substr(text, at + 1, s["start"] - at).alias("before"), F.substr(text, s["end"] + 1, F.lit(BEHIND)).alias("after"))
 
         def told(w: Column) -> Column:
-            votes = [v.cast("string") for v in _votes(kind, s["hit"], w["before"], w["after"])]
-            features = [
-                F.concat(F.lit("len="), _bucket(F.length(s["hit"]), [8, 12, 16, 24])), F.concat(F.lit("left="), _side(F.substr(w["before"], F.length(w["before"]), F.lit(1)))),
-                F.concat(F.lit("right="), _side(F.substr(w["after"], F.lit(1), F.lit(1)))), *(F.concat(F.lit(f"{n}="), v) for n, v in zip(VOTERS, votes, strict=True)),
-            ]
-            return F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), F.concat_ws(",", *votes).alias("votes"), F.array(*(F.concat(F.lit(f"{kind}:"), f) for f in features)).alias("features"))
+            votes = F.array(*(v.cast("string") for v in _votes(kind, s["hit"], w["before"], w["after"])))
+            return let(votes, lambda v: F.struct(
+                s["start"].alias("start"), s["end"].alias("end"), kind.alias("kind"), F.array_join(v, ",").alias("votes"),
+                F.transform(F.array(
+                    F.concat(F.lit("len="), _bucket(F.length(s["hit"]), [8, 12, 16, 24])), F.concat(F.lit("left="), _side(F.substr(w["before"], F.length(w["before"]), F.lit(1)))),
+                    F.concat(F.lit("right="), _side(F.substr(w["after"], F.lit(1), F.lit(1)))), *(F.concat(F.lit(f"{n}="), F.get(v, F.lit(i))) for i, n in enumerate(VOTERS)),
+                ), lambda f: F.concat(kind, F.lit(":"), f)).alias("features"),
+            ))
 
         return let(sides, told)
 
@@ -222,12 +234,11 @@ def fit(counts: list[tuple[str, str, list[str], int]]) -> dict[str, float]:
 
 
 def _candidates(df: DataFrame) -> DataFrame:
-    """``df`` (column t) with the base spans b_<kind> and the candidates x_<kind> outside of them."""
+    """``df`` (column t) with the base spans b_<kind> and the candidates ``x`` outside of them."""
     text = F.col("t")
-    df = df.select("*", *(s.alias(f"b_{k}") for k, s in base_spans(text).items()), *(s.alias(f"y_{k}") for k, s in extra_spans(text).items()))
+    df = df.select("*", *(s.alias(f"b_{k}") for k, s in base_spans(text).items()), extra_spans(text).alias("y"))
     known = F.concat(*(F.transform(f"b_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE))
-    kept_out = lambda c: F.when(F.size(c) > 0, outside(F.col(c), known)).otherwise(F.col(c))
-    return df.select("*", *(kept_out(f"y_{k}").alias(f"x_{k}") for k in EXTRA)).drop(*(f"y_{k}" for k in EXTRA))
+    return df.withColumn("x", F.when(F.size("y") > 0, outside(F.col("y"), known)).otherwise(F.col("y"))).drop("y")
 
 
 def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
@@ -237,10 +248,8 @@ def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     bounded by the number of these.
     """
     some = functools.reduce(Column.__or__, _gates(F.col("t")).values())
-    text = F.col("t")
     rows = _candidates(docs.select(F.col(text_col).alias("t")).where(some))
-    spans = F.concat(*(_described(text, k, F.col(f"x_{k}")) for k in EXTRA))
-    counts = rows.select(F.explode(spans).alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
+    counts = rows.select(F.explode(_described(F.col("t"), F.col("x"))).alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
     return fit([(r[0], r[1], r[2], r[3]) for r in counts])
 
 
@@ -262,13 +271,13 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     def score(s: Column) -> Column:
         return F.aggregate(s["features"], F.coalesce(F.try_element_at(table, s["kind"]), F.lit(0.0)), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
-    def found(kind: str, rank: int) -> Column:
-        spans = F.col(f"x_{kind}")
-        return F.when(F.size(spans) > 0, tagged(F.filter(_described(F.col("t"), kind, spans), lambda s: score(s) > 0), rank, kind)).otherwise(tagged(spans, rank, kind))
-
+    rank = lambda s: _by_kind(s["kind"], {k: F.lit(len(BASE) + i) for i, k in enumerate(EXTRA)}, F.lit(-1))
+    good = F.filter(_described(F.col("t"), F.col("x")), lambda s: score(s) > 0)
+    added = F.transform(good, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
+    none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return df.select(
         *(F.col(f"o{i}").alias(c) for i, c in enumerate(own)), *(F.size(f"b_{k}").cast("long").alias(f"n_{k}") for k in BASE),
-        F.concat(*(tagged(F.col(f"b_{k}"), i, k) for i, k in enumerate(BASE))).alias("base"), F.concat(*(found(k, len(BASE) + i) for i, k in enumerate(EXTRA))).alias("added"),
+        F.concat(*(tagged(F.col(f"b_{k}"), i, k) for i, k in enumerate(BASE))).alias("base"), F.when(F.size("x") > 0, added).otherwise(none).alias("added"),
     )
 
 
