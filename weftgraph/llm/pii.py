@@ -233,23 +233,32 @@ def fit(counts: list[tuple[str, str, list[str], int]]) -> dict[str, float]:
     return weights
 
 
-def _candidates(df: DataFrame) -> DataFrame:
-    """``df`` (column t) with the base spans b_<kind> and the candidates ``x`` outside of them."""
+def _columns() -> dict[str, Column]:
+    """The expressions of ``_candidates`` over its column names; making them takes longer than planning them, so the
+    two passes of ``find_pii`` share one set."""
     text = F.col("t")
-    df = df.select("*", *(s.alias(f"b_{k}") for k, s in base_spans(text).items()), extra_spans(text).alias("y"))
     known = F.concat(*(F.transform(f"b_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))) for k in BASE))
-    return df.withColumn("x", F.when(F.size("y") > 0, outside(F.col("y"), known)).otherwise(F.col("y"))).drop("y")
+    free = F.when(F.size("y") > 0, outside(F.col("y"), known)).otherwise(F.col("y"))
+    return {**{f"b_{k}": s for k, s in base_spans(text).items()}, "y": extra_spans(text), "x": free, "told": _described(text, F.col("x"))}
+
+
+def _candidates(df: DataFrame, made: dict[str, Column] | None = None) -> DataFrame:
+    """``df`` (column t) with the base spans b_<kind> and the candidates ``x`` outside of them."""
+    made = made or _columns()
+    df = df.select("*", *(made[c].alias(c) for c in made if c not in ("x", "told")))
+    return df.withColumn("x", made["x"]).drop("y")
 
 
-def train(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
+def train(docs: DataFrame, text_col: str = "text", made: dict[str, Column] | None = None) -> dict[str, float]:
     """Weights of the span classifier, fitted on all candidates of all documents.
 
     One pass; what comes to the driver is a table of counts by vote pattern and feature tuple,
     bounded by the number of these.
     """
+    made = made or _columns()
     some = functools.reduce(Column.__or__, _gates(F.col("t")).values())
-    rows = _candidates(docs.select(F.col(text_col).alias("t")).where(some))
-    counts = rows.select(F.explode(_described(F.col("t"), F.col("x"))).alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
+    rows = _candidates(docs.select(F.col(text_col).alias("t")).where(some), made)
+    counts = rows.select(F.explode(made["told"]).alias("s")).groupBy("s.kind", "s.votes", "s.features").count().collect()
     return fit([(r[0], r[1], r[2], r[3]) for r in counts])
 
 
@@ -261,18 +270,19 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", we
     ``weights`` defaults to ``train(docs)``. Null and empty texts have no spans; null ids and
     repeated rows pass through; there is no join, so they need no care.
     """
-    weights = train(docs, text_col) if weights is None else weights
+    made = _columns()
+    weights = train(docs, text_col, made) if weights is None else weights
     new = [*(f"n_{k}" for k in BASE), "base", "added"]
     own = [c for c in docs.columns if c not in new] if keep else [id_col]
     moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{text_col}`").alias("t"))
-    df = _candidates(moved)
+    df = _candidates(moved, made)
     table = F.create_map(*(F.lit(x) for f, w in sorted(weights.items()) for x in (f, w))) if weights else F.create_map().cast("map<string,double>")
 
     def score(s: Column) -> Column:
         return F.aggregate(s["features"], F.coalesce(F.try_element_at(table, s["kind"]), F.lit(0.0)), lambda a, f: a + F.coalesce(F.try_element_at(table, f), F.lit(0.0)))
 
     rank = lambda s: _by_kind(s["kind"], {k: F.lit(len(BASE) + i) for i, k in enumerate(EXTRA)}, F.lit(-1))
-    good = F.filter(_described(F.col("t"), F.col("x")), lambda s: score(s) > 0)
+    good = F.filter(made["told"], lambda s: score(s) > 0)
     added = F.transform(good, lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind")))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     return df.select(
