@@ -10,7 +10,8 @@ EDGE = "src string, dst string, relation string, confidence string, context stri
 
 
 def test_service(spark):
-    n = spark.createDataFrame([("n1", "extract", "code", "extract.py", 0), ("n2", "cluster", "code", "cluster.py", 0), ("n3", "build", "code", "build.py", 1), ("n4", "report", "code", "report.py", 1), ("n5", "isolated", "code", "other.py", 2)], NODE)
+    n = spark.createDataFrame([("n1", "extract", "code", "extract.py", 0), ("n2", "cluster", "code", "cluster.py", 0), ("n3", "build", "code", "build.py", 1),
+        ("n4", "report", "code", "report.py", 1), ("n5", "isolated", "code", "other.py", 2)], NODE)
     e = spark.createDataFrame([("n1", "n2", "calls", "INFERRED", "call"), ("n2", "n3", "imports", "EXTRACTED", "import"), ("n3", "n4", "uses", "EXTRACTED", None)], EDGE)
     g = GraphService(PropertyGraph(n, e))
     text = g.query_graph("what about extract", depth=1)
@@ -24,7 +25,8 @@ def test_service(spark):
     assert {r.id for r in g.affected("build").collect()} == {"n2", "n1"} and g.get_community(1).count() == 2
     assert g.graph_stats().first().n_nodes == 5 and g.communities().first().n_nodes == 2 and g.god_nodes(2).count() == 2
     old = dt.datetime(2024, 1, 1)
-    prs = spark.createDataFrame([(1, "main", "main", "SUCCESS", None, False, old), (2, "main", "main", "FAILURE", None, False, old), (3, "dev", "main", "SUCCESS", None, False, old)], "number int, base_branch string, expected_base string, ci_status string, review_decision string, is_draft boolean, updated_at timestamp")
+    prs = spark.createDataFrame([(1, "main", "main", "SUCCESS", None, False, old), (2, "main", "main", "FAILURE", None, False, old),
+        (3, "dev", "main", "SUCCESS", None, False, old)], "number int, base_branch string, expected_base string, ci_status string, review_decision string, is_draft boolean, updated_at timestamp")
     files = spark.createDataFrame([(1, "build.py"), (2, "x/extract.py")], "number int, path string")
     got = {r.number: (r.status, r.n_communities) for r in g.triage(prs, files, F.lit(old + dt.timedelta(days=3))).collect()}
     assert got == {1: ("READY", 1), 2: ("CI-FAIL", 1), 3: ("WRONG-BASE", None)}

@@ -26,7 +26,8 @@ EDGE = "src string, dst string, relation string, confidence string, context stri
 
 @pytest.fixture(scope="module")
 def chain(spark):
-    n = spark.createDataFrame([("n1", "extract", "code", "extract.py", 0), ("n2", "cluster", "code", "cluster.py", 0), ("n3", "build", "code", "build.py", 1), ("n4", "report", "code", "report.py", 1), ("n5", "isolated", "code", "other.py", 2)], NODE)
+    n = spark.createDataFrame([("n1", "extract", "code", "extract.py", 0), ("n2", "cluster", "code", "cluster.py", 0), ("n3", "build", "code", "build.py", 1),
+        ("n4", "report", "code", "report.py", 1), ("n5", "isolated", "code", "other.py", 2)], NODE)
     e = spark.createDataFrame([("n1", "n2", "calls", "INFERRED", "call"), ("n2", "n3", "imports", "EXTRACTED", "import"), ("n3", "n4", "uses", "EXTRACTED", None)], EDGE)
     return n, e
 
@@ -51,7 +52,8 @@ def test_shortest_path_and_dfs(spark, chain):
 
 
 def test_impact(spark):
-    e = spark.createDataFrame([("caller", "target", "calls"), ("barrel", "target", "re_exports"), ("consumer", "target", "imports"), ("far", "caller", "contains")], "src string, dst string, relation string")
+    e = spark.createDataFrame([("caller", "target", "calls"), ("barrel", "target", "re_exports"), ("consumer", "target", "imports"), ("far", "caller", "contains")],
+        "src string, dst string, relation string")
     seed = spark.createDataFrame([("target",)], "id string")
     assert {(r.id, r.depth, r.via) for r in V.affected(e, seed).collect()} == {("caller", 1, "calls"), ("barrel", 1, "re_exports"), ("consumer", 1, "imports")}
     assert {r.id for r in V.affected(e, seed, relations=("calls",)).collect()} == {"caller"}
@@ -59,7 +61,8 @@ def test_impact(spark):
 
 def test_terms_idf_score_seeds(spark):
     assert S.terms_of("How does Foo to é1 x") == ["how", "does", "foo", "é1"]
-    rows = [(f"err{i}", f"error_handler_{i}", "code", f"err{i}.py", 0) for i in range(20)] + [("fbs", "FooBarService", "code", "service.py", 1), ("fbs_dep", "ServiceClient", "code", "client.py", 1)]
+    rows = [(f"err{i}", f"error_handler_{i}", "code", f"err{i}.py", 0) for i in range(20)] + [("fbs", "FooBarService", "code", "service.py", 1),
+        ("fbs_dep", "ServiceClient", "code", "client.py", 1)]
     n = spark.createDataFrame(rows, NODE)
     best = S.score_nodes(n, ["foobarservice", "error"]).orderBy(F.desc("score"), F.desc("id")).first()
     assert best.id == "fbs"
@@ -75,9 +78,12 @@ def test_terms_idf_score_seeds(spark):
 
 def test_diagnostics(spark):
     n = spark.createDataFrame([(x, x, "code", "a.py", 0) for x in "abc"], NODE)
-    e = spark.createDataFrame([("a", "b", "calls", "E", "L1"), ("a", "b", "imports", "E", "L2"), ("a", "b", "calls", "I", "L3"), ("a", "b", "calls", "E", "L1"), ("a", "missing", "calls", "E", "L1"), ("a", None, "calls", "E", "L1"), ("c", "c", "calls", "E", "L1")], "src string, dst string, relation string, confidence string, source_location string")
+    e = spark.createDataFrame([("a", "b", "calls", "E", "L1"), ("a", "b", "imports", "E", "L2"), ("a", "b", "calls", "I", "L3"), ("a", "b", "calls", "E", "L1"),
+        ("a", "missing", "calls", "E", "L1"), ("a", None, "calls", "E", "L1"), ("c", "c", "calls", "E", "L1")],
+        "src string, dst string, relation string, confidence string, source_location string")
     r = A.diagnostics(e, n).first()
-    assert (r.n_raw, r.n_valid, r.n_missing, r.n_dangling, r.n_self_loops, r.n_exact_repeats, r.n_directed_pairs, r.n_collapsed, r.n_same_pair_groups, r.n_relation_variants, r.n_location_variants) == (7, 5, 1, 1, 1, 1, 2, 3, 1, 1, 1)
+    assert (r.n_raw, r.n_valid, r.n_missing, r.n_dangling, r.n_self_loops, r.n_exact_repeats, r.n_directed_pairs, r.n_collapsed, r.n_same_pair_groups, r.n_relation_variants,
+        r.n_location_variants) == (7, 5, 1, 1, 1, 1, 2, 3, 1, 1, 1)
 
 
 def test_coercion_repair_and_validation(spark):
@@ -92,7 +98,8 @@ def test_coercion_repair_and_validation(spark):
 
 
 def test_merge_sanitize_and_hyperedges(spark):
-    n = spark.createDataFrame([("a", "A", "code", "x.py", 0), ("w", "Because it is the only way to keep every reader of it happy: really. " * 2, "rationale", "x.py", 0), ("b", "B", "code", "y.py", 0)], NODE)
+    n = spark.createDataFrame([("a", "A", "code", "x.py", 0), ("w", "Because it is the only way to keep every reader of it happy: really. " * 2, "rationale", "x.py", 0),
+        ("b", "B", "code", "y.py", 0)], NODE)
     e = spark.createDataFrame([("w", "a", "rationale_for", "EXTRACTED", None), ("a", "b", "calls", "EXTRACTED", None)], EDGE)
     h = spark.createDataFrame([("h1", ["a", "w", "b"]), ("h2", ["a", "w"])], "id string, nodes array<string>")
     n2, e2, h2 = B.sanitize_fragment(n, e, h)
@@ -105,9 +112,11 @@ def test_merge_sanitize_and_hyperedges(spark):
     assert B.shrinks(5, 4) and not B.shrinks(5, 4, force=True)
 
 
-@pytest.mark.parametrize("labels, left", [(["UserService", "userservice", "User Service"], 1), (["GraphExtractor", "Graph Extractor"], 1), (["UserService", "OrderService"], 2), (["AI", "ML"], 2), (["ASR1603", "ASR1605"], 2), (["M1", "M1 Pro"], 2)])
+@pytest.mark.parametrize("labels, left", [(["UserService", "userservice", "User Service"], 1), (["GraphExtractor", "Graph Extractor"], 1), (["UserService", "OrderService"], 2),
+    (["AI", "ML"], 2), (["ASR1603", "ASR1605"], 2), (["M1", "M1 Pro"], 2)])
 def test_dedup(spark, labels, left):
-    rows = [(x.lower().replace(" ", "_") + ("" if i == 0 else f"_{i}") if len({y.lower().replace(" ", "_") for y in labels}) < len(labels) else x.lower().replace(" ", "_"), x, "code", "a.py", 0) for i, x in enumerate(labels)]
+    rows = [(x.lower().replace(" ", "_") + ("" if i == 0 else f"_{i}") if len({y.lower().replace(" ", "_") for y in labels}) < len(labels) else x.lower().replace(" ", "_"), x,
+        "code", "a.py", 0) for i, x in enumerate(labels)]
     n = spark.createDataFrame(rows, NODE)
     e = spark.createDataFrame([(rows[0][0], rows[-1][0], "calls", "EXTRACTED", None)], EDGE)
     kept, edges = dedup.deduplicate(n, e, T.norm_label(F.col("label")))
@@ -120,7 +129,8 @@ def test_string_functions(spark):
     assert T.one_edit_or_swap("abc", "acb") and not T.one_edit_or_swap("abc", "cba")
     assert T.id_form("Ünï  Code/x.py") == "ünï_code_x_py" and T.bare_form("é") == "e"
     r = spark.createDataFrame([("a/b/c.tar.gz", "O'Brien\\", "ab", None)], "p string, q string, s string, z string").select(
-        T.suffix(F.col("p")).alias("x"), T.file_stem(F.col("p")).alias("y"), T.cypher_text(F.col("q")).alias("c"), T.shingles(F.col("s")).alias("g"), T.norm_label(F.col("z")).alias("n"), T.url_kind(F.lit("https://a.org/x.PDF?y")).alias("u")).first()
+        T.suffix(F.col("p")).alias("x"), T.file_stem(F.col("p")).alias("y"), T.cypher_text(F.col("q")).alias("c"), T.shingles(F.col("s")).alias("g"),
+        T.norm_label(F.col("z")).alias("n"), T.url_kind(F.lit("https://a.org/x.PDF?y")).alias("u")).first()
     assert (r.x, r.y, r.c, r.g, r.n, r.u) == (".gz", "b.c.tar", "O\\'Brien\\\\", ["ab"], None, "pdf")
 
 
@@ -170,7 +180,8 @@ def test_betweenness_of_a_path(spark):
 
 def test_calls_stubs_and_ids(spark):
     n = spark.createDataFrame([("f", "foo()", "code", "a.py", 0), ("g", "bar()", "code", "b.py", 0), ("h", "bar()", "code", "c.py", 0), ("s", "Foo", "code", "", 0)], NODE)
-    raw = spark.createDataFrame([("g", "foo", False, "b.py"), ("f", "bar", False, "a.py"), ("f", "foo", False, "a.py"), ("h", "foo", True, "c.py")], "caller string, callee string, is_member_call boolean, source_file string")
+    raw = spark.createDataFrame([("g", "foo", False, "b.py"), ("f", "bar", False, "a.py"), ("f", "foo", False, "a.py"), ("h", "foo", True, "c.py")],
+        "caller string, callee string, is_member_call boolean, source_file string")
     none = spark.createDataFrame([], "src string, dst string, relation string")
     assert [(r.src, r.dst, r.confidence) for r in R.resolve_calls(raw, n.where("id <> 's'"), none).collect()] == [("g", "f", "INFERRED")]
     kept, e = R.rewire_stubs(n, spark.createDataFrame([("g", "s")], "src string, dst string"))
@@ -181,7 +192,8 @@ def test_extractors(spark):
     py = '"""A module docstring that is long enough."""\nimport os\nfrom .m import N\nclass A(N):\n    def f(self, x: N) -> int:\n        return g(x)\n# WHY: because\ndef g(x):\n    return h(x)\n'
     sql = "CREATE TABLE organizations (id int);\nCREATE TABLE users (id int, org_id int REFERENCES organizations(id));\nCREATE VIEW active_users AS SELECT * FROM users;\nCREATE FUNCTION get_user() RETURNS int AS 'x';\n"
     md = "# One\n## Two\n```py\n# not\n```\n# Three\n"
-    files = [("p/a.py", py), ("p/s.sql", sql), ("p/r.md", md), ("p/x.json", '{"extends": "base", "dependencies": {"lib": "1"}, "a": {"$ref": "#/b"}}'), ("p/bad.py", "def ("), ("p/n.py", None), ("p/t.ts", "import {a} from './b'\nexport class K {}\n"), ("p/none.xyz", "x")]
+    files = [("p/a.py", py), ("p/s.sql", sql), ("p/r.md", md), ("p/x.json", '{"extends": "base", "dependencies": {"lib": "1"}, "a": {"$ref": "#/b"}}'), ("p/bad.py", "def ("),
+        ("p/n.py", None), ("p/t.ts", "import {a} from './b'\nexport class K {}\n"), ("p/none.xyz", "x")]
     out = X.extract(spark.createDataFrame(files, "path string, text string")).collect()
     rel = lambda p: sorted((r.relation for r in out if r.source_file == p and r.kind == "edge"))
     assert rel("p/s.sql") == ["contains"] * 4 + ["reads_from", "references"]
@@ -195,7 +207,8 @@ def test_corpus_rules(spark):
     paths = [("a/.ssh/x", True), ("secrets", True), ("secret_store.txt", True), ("tokenizer.py", False), ("src/main.py", False), ("k.pem", True)]
     df = spark.createDataFrame(paths, "path string, want boolean")
     assert df.where(C.is_sensitive(F.col("path")) != F.col("want")).count() == 0
-    ig = {r.path: r.ignored for r in C.ignored(spark.createDataFrame([("build/x.py",), ("src/build/y.py",), ("keep.log",), ("b.log",), ("doc/a/b.txt",)], "path string"), ["/build/", "*.log", "!keep.log", "doc/**/b.txt"]).collect()}
+    ig = {r.path: r.ignored for r in C.ignored(spark.createDataFrame([("build/x.py",), ("src/build/y.py",), ("keep.log",), ("b.log",), ("doc/a/b.txt",)], "path string"),
+        ["/build/", "*.log", "!keep.log", "doc/**/b.txt"]).collect()}
     assert ig == {"build/x.py": True, "src/build/y.py": False, "keep.log": False, "b.log": True, "doc/a/b.txt": True}
     k = spark.createDataFrame([("x.py", "code"), ("y.PDF", "paper"), ("v.blade.php", "code"), ("z", None), ("i.imageset/a.pdf", None)], "path string, want string")
     assert k.where(~C.classify(F.col("path")).eqNullSafe(F.col("want"))).count() == 0
@@ -244,7 +257,8 @@ def test_questions_views_and_names(spark, chain):
     assert got.count() == 5 and got.where("kind = 'ambiguous_edge'").count() == 3
     assert [r.kind for r in Q.suggest_questions(n.limit(0), e.limit(0)).collect()] == ["no_signal"]
     assert [(r.other, r.degree) for r in Q.explain(n, e, "n2").collect()] == [("n3", 2), ("n1", 1)]
-    k = spark.createDataFrame([("useThing", "a.ts", "code", None, "ui"), ("Foo", "a.py", "code", None, "klass"), ("foo()", "tests/x.py", "code", None, "test"), ("x", "a.py", "code", "Enum", "klass"), (None, None, None, None, "function")], "l string, s string, f string, t string, want string")
+    k = spark.createDataFrame([("useThing", "a.ts", "code", None, "ui"), ("Foo", "a.py", "code", None, "klass"), ("foo()", "tests/x.py", "code", None, "test"),
+        ("x", "a.py", "code", "Enum", "klass"), (None, None, None, None, "function")], "l string, s string, f string, t string, want string")
     assert k.where(~Q.node_kind(F.col("l"), F.col("s"), F.col("f"), F.col("t")).eqNullSafe(F.col("want"))).count() == 0
     names = {r.id: r.name for r in Q.note_names(spark.createDataFrame([("1", "A/b"), ("2", "ab"), ("3", "ab")], "id string, label string")).collect()}
     assert names == {"1": "Ab", "2": "ab_1", "3": "ab_2"}
@@ -266,7 +280,8 @@ def test_global_graph_and_symbol_index(spark):
     assert again.count() == 3 and {r.repo: r.n_nodes for r in G.global_list(again).collect()} == {"r1": 2, "r2": 1}
     assert G.global_remove(n2, e2, "r1")[0].count() == 1
     s = spark.createDataFrame([("p", "f", "F", 3), ("q", "g", None, None), ("q", "f", "F2", 1)], "path string, symbol string, display_name string, line int")
-    r = spark.createDataFrame([("p", "f", "g", True), ("q", "g", "f", True), ("p", "f", "zzz", True), ("p", "f", "g", None)], "path string, symbol string, target string, is_reference boolean")
+    r = spark.createDataFrame([("p", "f", "g", True), ("q", "g", "f", True), ("p", "f", "zzz", True), ("p", "f", "g", None)],
+        "path string, symbol string, target string, is_reference boolean")
     for flag in ("is_implementation", "is_type_definition", "is_definition"):
         r = r.withColumn(flag, F.lit(False))
     nodes, edges = G.symbol_index(s, r)

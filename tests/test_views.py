@@ -21,9 +21,11 @@ EDGE = "src string, dst string, relation string, confidence string, confidence_s
 @pytest.fixture(scope="module")
 def graph(spark):
     n = spark.createDataFrame([
-        ("a", "main", "code", "src/a.py", 0), ("b", "Loader", "code", "src/a.py", 0), ("c", "<save>", "code", "lib/c.ts", 1), ("d", "notes", "document", "docs/d.md", 1), ("e", "lonely", "code", "lib/e.ts", 2)], NODE)
+        ("a", "main", "code", "src/a.py", 0), ("b", "Loader", "code", "src/a.py", 0), ("c", "<save>", "code", "lib/c.ts", 1), ("d", "notes", "document", "docs/d.md", 1),
+        ("e", "lonely", "code", "lib/e.ts", 2)], NODE)
     e = spark.createDataFrame([
-        ("a", "b", "calls", "EXTRACTED", 1.0, "call"), ("a", "c", "calls", "INFERRED", 0.9, "call"), ("b", "c", "uses", "AMBIGUOUS", 0.3, None), ("d", "c", "rationale_for", "INFERRED", 0.5, None), ("a", "b", "imports", "EXTRACTED", 1.0, "import")], EDGE)
+        ("a", "b", "calls", "EXTRACTED", 1.0, "call"), ("a", "c", "calls", "INFERRED", 0.9, "call"), ("b", "c", "uses", "AMBIGUOUS", 0.3, None),
+        ("d", "c", "rationale_for", "INFERRED", 0.5, None), ("a", "b", "imports", "EXTRACTED", 1.0, "import")], EDGE)
     return n, e
 
 
@@ -57,7 +59,8 @@ def test_flow_and_diagram_nodes(spark, graph):
     assert set(diagrams.diagram_nodes(n, e, 50, kind)) == {"a", "b", "c", "d", "e"}
     ranked = n.withColumn("rank", F.lit("0.5"))
     assert ranked.select(diagrams.importance(ranked).alias("i")).first().i == 0.5 and n.select(diagrams.importance(n).alias("i")).first().i == 0.0
-    over = diagrams.overview_lines(spark.createDataFrame([("inter", "x", "y", "calls", 2)], "kind string, a string, b string, relation string, n_edges long"), spark.createDataFrame([("x", 1), ("y", 2)], "section string, n long"))
+    over = diagrams.overview_lines(spark.createDataFrame([("inter", "x", "y", "calls", 2)], "kind string, a string, b string, relation string, n_edges long"),
+        spark.createDataFrame([("x", 1), ("y", 2)], "section string, n long"))
     page = pages.flow_page(over, ["x", "y"])
     assert "s_x --&gt;|calls x2| s_y" in page and "x -&gt; y" in page
 

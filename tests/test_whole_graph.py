@@ -80,7 +80,8 @@ def test_jaro_winkler_pairs_of_different_starts(spark, tmp_path):
 def test_large_graphs_keep_bridges(spark, monkeypatch):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "e"), ("e", "f"), ("d", "f"), ("f", "g"), ("c", "c"), ("c", "d"), ("x", "y")]
     e = spark.createDataFrame(pairs, "src string, dst string").withColumns({"relation": F.lit("uses"), "confidence": F.lit("EXTRACTED")}).coalesce(1)
-    n = spark.createDataFrame([(i, i, "code", f"{i}.py", int(i > "c")) for i in "abcdefgxy"], "id string, label string, file_type string, source_file string, community int").coalesce(1)
+    n = spark.createDataFrame([(i, i, "code", f"{i}.py", int(i > "c")) for i in "abcdefgxy"],
+        "id string, label string, file_type string, source_file string, community int").coalesce(1)
     want = {r.id: pytest.approx(r.betweenness) for r in centrality.node_betweenness(e).collect() if r.betweenness}
     monkeypatch.setattr(centrality, "MAX_EDGES", 3)
     monkeypatch.setattr(Q, "MAX_EDGES", 3, raising=False)

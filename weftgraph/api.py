@@ -44,9 +44,12 @@ class GraphService:
             seen = V.bfs(edges, start, depth, self.graph.directed, hub)
         d = A.with_degree(self.nodes.join(seen, "id"), edges)
         first = F.when(F.col("id").isin(*ids), 0).otherwise(1)
-        lines = d.select(first.alias("a"), (-F.col("degree")).alias("b"), F.col("id").alias("c"), F.concat_ws(" ", F.lit("NODE"), "label", F.concat(F.lit("[src="), F.coalesce("source_file", F.lit("")), F.lit(" community="), F.coalesce(F.col("community").cast("string"), F.lit("")), F.lit("]"))).alias("line"))
+        lines = d.select(first.alias("a"), (-F.col("degree")).alias("b"), F.col("id").alias("c"),
+            F.concat_ws(" ", F.lit("NODE"), "label", F.concat(F.lit("[src="), F.coalesce("source_file", F.lit("")), F.lit(" community="),
+            F.coalesce(F.col("community").cast("string"), F.lit("")), F.lit("]"))).alias("line"))
         t = edges.join(seen.select(F.col("id").alias("src")), "src", "left_semi").join(seen.select(F.col("id").alias("dst")), "dst", "left_semi").select(
-            F.lit(2).alias("a"), F.lit(0).cast("long").alias("b"), F.concat_ws(" ", "src", "dst", "relation").alias("c"), F.concat(F.lit("EDGE "), "src", F.lit(" --"), "relation", F.lit(" ["), F.coalesce("confidence", F.lit("EXTRACTED")), F.lit("]--> "), "dst").alias("line"))
+            F.lit(2).alias("a"), F.lit(0).cast("long").alias("b"), F.concat_ws(" ", "src", "dst", "relation").alias("c"),
+            F.concat(F.lit("EDGE "), "src", F.lit(" --"), "relation", F.lit(" ["), F.coalesce("confidence", F.lit("EXTRACTED")), F.lit("]--> "), "dst").alias("line"))
         budget = CHARS_PER_TOKEN * token_budget
         rows = S.render_budget(lines.unionByName(t), ["a", "b", "c"], budget).orderBy("upto").collect()  # at most ``budget`` characters
         total = lines.count() + t.count()
@@ -171,4 +174,5 @@ def surprising(nodes: DataFrame, edges: DataFrame, top: int = 20) -> DataFrame:
         return best.select("src", "dst", "relation", F.row_number().over(Window.orderBy(*order)).alias("rank"))
     b = edge_betweenness(edges).orderBy(F.desc(F.round("betweenness", 9)), "u", "v").limit(top)
     rel = edges.groupBy(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).agg(F.min("relation").alias("relation"))
-    return b.join(rel, ["u", "v"]).select(F.col("u").alias("src"), F.col("v").alias("dst"), "relation", F.row_number().over(Window.orderBy(F.desc(F.round("betweenness", 9)), "u", "v")).alias("rank"))
+    return b.join(rel, ["u", "v"]).select(F.col("u").alias("src"), F.col("v").alias("dst"), "relation",
+        F.row_number().over(Window.orderBy(F.desc(F.round("betweenness", 9)), "u", "v")).alias("rank"))

@@ -60,7 +60,8 @@ def star_edges(spark: SparkSession, sf: str) -> DataFrame:
     ref = lambda kind, col: F.concat(F.lit(f"{kind}:"), F.col(col).cast("string"))
 
     def of(df, src, dst, relation, conf, score, context, file, loc):
-        return df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), conf.alias("confidence"), score.alias("confidence_score"), context.alias("context"), F.lit(file).alias("source_file"), loc.alias("source_location"))
+        return df.select(src.alias("src"), dst.alias("dst"), F.lit(relation).alias("relation"), conf.alias("confidence"), score.alias("confidence_score"), context.alias("context"),
+            F.lit(file).alias("source_file"), loc.alias("source_location"))
 
     ext, one, none = F.lit("EXTRACTED"), F.lit(1.0), F.lit(None).cast("string")
     li = t("lineitem")

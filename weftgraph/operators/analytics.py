@@ -12,12 +12,14 @@ from weftgraph.sources.corpus import CODE, IMAGE, PAPER
 
 #: Keys of JSON files that are no concepts.
 JSON_NOISE = (
-    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies", "optionaldependencies",
+    "start", "end", "name", "id", "type", "properties", "value", "key", "data", "items", "title", "description", "version", "dependencies", "devdependencies", "peerdependencies",
+    "optionaldependencies",
     "bundleddependencies", "bundledependencies",
 )
 #: Language families for surprises, by suffix.
 LANGUAGES = {
-    ".py": "python", ".pyw": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".ejs": "js", ".ts": "js", ".tsx": "js", ".vue": "js", ".svelte": "js", ".go": "go", ".rs": "rust", ".java": "jvm", ".kt": "jvm", ".kts": "jvm", ".scala": "jvm",
+    ".py": "python", ".pyw": "python", ".js": "js", ".jsx": "js", ".mjs": "js", ".ejs": "js", ".ts": "js", ".tsx": "js", ".vue": "js", ".svelte": "js", ".go": "go", ".rs": "rust",
+    ".java": "jvm", ".kt": "jvm", ".kts": "jvm", ".scala": "jvm",
     ".c": "c", ".h": "c", ".cpp": "c", ".cc": "c", ".cxx": "c", ".hpp": "c", ".rb": "ruby", ".swift": "swift", ".cs": "dotnet", ".php": "php", ".r": "r",
 }
 #: Relations that only say how a program is built.
@@ -63,7 +65,8 @@ def confidence_audit(edges: DataFrame) -> DataFrame:
 
 def graph_stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     n = nodes.agg(F.count("*").alias("n_nodes"), F.count_distinct("community").alias("n_communities"))
-    e = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("confidence") == "INFERRED").alias("n_inferred"), F.count_if(F.col("confidence") == "AMBIGUOUS").alias("n_ambiguous"))
+    e = edges.agg(F.count("*").alias("n_edges"), F.count_if(F.col("confidence") == "INFERRED").alias("n_inferred"),
+        F.count_if(F.col("confidence") == "AMBIGUOUS").alias("n_ambiguous"))
     return n.join(F.broadcast(e))  # one row each
 
 
@@ -84,7 +87,8 @@ def community_meta_graph(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def cohesion(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Share of possible pairs that are edges, per community; 1 for one node. ``pairs``: a simple graph (u, v)."""
     size = nodes.groupBy("community").agg(F.count("*").alias("n"))
-    inner = with_communities(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")), nodes).where("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.count("*").alias("m"))
+    inner = with_communities(pairs.select(F.col("u").alias("src"), F.col("v").alias("dst")),
+        nodes).where("cu = cv").groupBy(F.col("cu").alias("community")).agg(F.count("*").alias("m"))
     return size.join(inner, "community", "left").select(
         "community", "n", F.coalesce("m", F.lit(0).cast("long")).alias("m"),
         F.when(F.col("n") <= 1, 1.0).otherwise(F.round(F.coalesce("m", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2.0), 9)).alias("cohesion"),
@@ -154,7 +158,8 @@ def scored_surprises(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges between files with their surprise score: how uncertain, and how far apart the ends are."""
     d = with_degree(nodes, edges).select("id", "label", "source_file", "community", "degree")
     e = edges.where(~F.coalesce(F.col("relation").isin(*STRUCTURAL), F.lit(False)))
-    e = e.join(d.select(*(F.col(c).alias(f"u_{c}") for c in d.columns)), F.col("src") == F.col("u_id")).join(d.select(*(F.col(c).alias(f"v_{c}") for c in d.columns)), F.col("dst") == F.col("v_id"))
+    e = e.join(d.select(*(F.col(c).alias(f"u_{c}") for c in d.columns)), F.col("src") == F.col("u_id")).join(d.select(*(F.col(c).alias(f"v_{c}") for c in d.columns)),
+        F.col("dst") == F.col("v_id"))
     for p in ("u", "v"):
         e = e.where(~is_concept_node(F.col(f"{p}_source_file")) & ~is_file_node(F.col(f"{p}_label"), F.col(f"{p}_source_file"), F.col(f"{p}_degree")))
     e = e.where("u_source_file <> v_source_file")
@@ -162,7 +167,8 @@ def scored_surprises(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     cu, cv = file_category(F.col("u_source_file")), file_category(F.col("v_source_file"))
     apart = cross_language(F.col("u_source_file"), F.col("v_source_file")) | F.array_sort(F.array(cu, cv)).eqNullSafe(F.array(F.lit("code"), F.lit("doc")))
     guessed = (F.col("confidence") == "INFERRED") & F.col("relation").isin("calls", "uses") & apart
-    far = F.when(cu != cv, 2).otherwise(0) + F.when(top_level_dir(F.col("u_source_file")) != top_level_dir(F.col("v_source_file")), 2).otherwise(0) + F.when(F.col("u_community") != F.col("v_community"), 1).otherwise(0)
+    far = F.when(cu != cv, 2).otherwise(0) + F.when(top_level_dir(F.col("u_source_file")) != top_level_dir(F.col("v_source_file")),
+        2).otherwise(0) + F.when(F.col("u_community") != F.col("v_community"), 1).otherwise(0)
     s = base + F.when(guessed, 0).otherwise(far)
     s = F.when(~guessed & (F.col("relation") == "semantically_similar_to"), F.floor(s * 1.5).cast("int")).otherwise(s)
     lo, hi = F.least("u_degree", "v_degree"), F.greatest("u_degree", "v_degree")
@@ -177,7 +183,8 @@ def cross_community_surprises(edges: DataFrame, nodes: DataFrame, order: list) -
     """The least certain edge of every pair of communities."""
     e = with_communities(edges.where(~F.coalesce(F.col("relation").isin(*STRUCTURAL), F.lit(False))), nodes).where("cu <> cv")
     rest = ["src", "dst", "relation", "confidence"]
-    got = e.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min_by(F.struct(*rest), F.struct(confidence_rank(F.col("confidence")), *order)).alias("r"))
+    got = e.groupBy(F.least("cu", "cv").alias("a"), F.greatest("cu", "cv").alias("b")).agg(F.min_by(F.struct(*rest),
+        F.struct(confidence_rank(F.col("confidence")), *order)).alias("r"))
     return got.select("a", "b", *(F.col(f"r.{c}").alias(c) for c in rest))
 
 
@@ -202,16 +209,19 @@ def diagnostics(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     rows = edges.groupBy(*edges.columns).agg(F.count("*").alias("n"))
     differ = lambda c: (F.min(c) != F.max(c)).cast("int")
     pairs = rows.groupBy("src", "dst").agg(F.sum("n").alias("n"), F.count("*").alias("kinds"), differ("relation").alias("r"), differ("source_location").alias("l"))
-    pairs = pairs.join(ids.select(F.col("id").alias("s_id")), F.col("src") == F.col("s_id"), "left").join(ids.select(F.col("id").alias("d_id")), F.col("dst") == F.col("d_id"), "left")
+    pairs = pairs.join(ids.select(F.col("id").alias("s_id")), F.col("src") == F.col("s_id"), "left").join(ids.select(F.col("id").alias("d_id")), F.col("dst") == F.col("d_id"),
+        "left")
     missing = F.col("src").isNull() | F.col("dst").isNull()
     valid = F.col("s_id").isNotNull() & F.col("d_id").isNotNull()
-    told = pairs.select("src", "dst", "n", "kinds", "r", "l", missing.alias("missing"), valid.alias("valid"), F.when(valid, F.least("src", "dst")).alias("a"), F.when(valid, F.greatest("src", "dst")).alias("b"))
+    told = pairs.select("src", "dst", "n", "kinds", "r", "l", missing.alias("missing"), valid.alias("valid"), F.when(valid, F.least("src", "dst")).alias("a"),
+        F.when(valid, F.greatest("src", "dst")).alias("b"))
     some = lambda cond, c="n": F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
     ok = F.col("valid")
     per = told.groupBy("a", "b").agg(
         some(F.lit(True)).alias("n_raw"), some(F.col("missing")).alias("n_missing"), some(~F.col("missing") & ~ok).alias("n_dangling"), some(ok).alias("n_valid"),
         some(ok & (F.col("src") == F.col("dst"))).alias("n_self_loops"), F.coalesce(F.sum(F.when(ok, F.col("n") - F.col("kinds"))), F.lit(0)).alias("n_exact_repeats"),
-        F.count_if(ok).alias("n_directed_pairs"), F.coalesce(F.sum(F.when(ok, F.col("n") - 1)), F.lit(0)).alias("n_collapsed"), F.count_if(ok & (F.col("n") > 1)).alias("n_same_pair_groups"),
+        F.count_if(ok).alias("n_directed_pairs"), F.coalesce(F.sum(F.when(ok, F.col("n") - 1)), F.lit(0)).alias("n_collapsed"),
+        F.count_if(ok & (F.col("n") > 1)).alias("n_same_pair_groups"),
         some(ok, "r").alias("n_relation_variants"), some(ok, "l").alias("n_location_variants"), F.max(ok.cast("int")).cast("long").alias("n_undirected_pairs"),
     )
     return per.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in per.columns if c not in ("a", "b")))
@@ -229,7 +239,8 @@ def tree_rollup(nodes: DataFrame) -> DataFrame:
 def section_summary(edges: DataFrame, sections: DataFrame) -> DataFrame:
     """Edges by class (intra, inter, orphan), pair of sections and relation. ``sections``: (id, section)."""
     s = sections.select("id", "section")
-    e = edges.join(s.select(F.col("id").alias("src"), F.col("section").alias("a")), "src", "left").join(s.select(F.col("id").alias("dst"), F.col("section").alias("b")), "dst", "left")
+    e = edges.join(s.select(F.col("id").alias("src"), F.col("section").alias("a")), "src", "left").join(s.select(F.col("id").alias("dst"), F.col("section").alias("b")), "dst",
+        "left")
     kind = F.when(F.col("a").isNull() | F.col("b").isNull(), "orphan").when(F.col("a") == F.col("b"), "intra").otherwise("inter")
     return e.groupBy(kind.alias("kind"), "a", "b", "relation").agg(F.count("*").alias("n_edges"))
 
@@ -262,8 +273,10 @@ def change_status(rows: DataFrame, now: Column, stale_days: int = 14) -> DataFra
     """Adds ``age_days`` and ``status``, the first that holds of WRONG-BASE, CI-FAIL, CHANGES-REQ, DRAFT, STALE, APPROVED, PENDING, READY."""
     age = F.floor((F.unix_timestamp(now) - F.unix_timestamp("updated_at")) / 86400)
     status = (
-        F.when(F.col("base_branch") != F.col("expected_base"), "WRONG-BASE").when(F.col("ci_status") == "FAILURE", "CI-FAIL").when(F.col("review_decision") == "CHANGES_REQUESTED", "CHANGES-REQ")
-        .when(F.col("is_draft"), "DRAFT").when(age >= stale_days, "STALE").when(F.col("review_decision") == "APPROVED", "APPROVED").when(F.col("ci_status") == "PENDING", "PENDING").otherwise("READY")
+        F.when(F.col("base_branch") != F.col("expected_base"), "WRONG-BASE").when(F.col("ci_status") == "FAILURE", "CI-FAIL").when(F.col("review_decision") == "CHANGES_REQUESTED",
+        "CHANGES-REQ")
+        .when(F.col("is_draft"), "DRAFT").when(age >= stale_days, "STALE").when(F.col("review_decision") == "APPROVED", "APPROVED").when(F.col("ci_status") == "PENDING",
+        "PENDING").otherwise("READY")
     )
     return rows.withColumn("age_days", age.cast("long")).withColumn("status", status)
 

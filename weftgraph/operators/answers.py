@@ -20,7 +20,8 @@ MAX_ANSWER = 10 * 1024 * 1024
 MAX_DEPTH = 3
 #: Words of an error that say that a prompt is too long.
 TOO_LONG = (
-    "context size", "context length", "context_length", "context window", "n_keep", "exceeds the available", "n_ctx", "maximum context", "too many tokens", "prompt is too long", "context_length_exceeded",
+    "context size", "context length", "context_length", "context window", "n_keep", "exceeds the available", "n_ctx", "maximum context", "too many tokens", "prompt is too long",
+    "context_length_exceeded",
 )
 FRAGMENT = "struct<nodes:array<map<string,string>>,edges:array<map<string,string>>,hyperedges:array<map<string,string>>>"
 _ASKED = "chunk string, part string, depth int, n_items int, content string, input_tokens long, output_tokens long, truncated boolean, error string"
@@ -126,12 +127,14 @@ def accounting(asked: DataFrame, price_in: float = 0.0, price_out: float = 0.0)
     """One row: chunks, answers, failed chunks (no part of theirs answered), failed parts, truncated answers, tokens
     and their cost at prices per million tokens."""
     per = asked.groupBy("chunk").agg(
-        F.count("*").alias("parts"), F.count_if(F.col("content").isNull()).alias("failed"), F.count_if("truncated").alias("cut"), F.sum("input_tokens").alias("i"), F.sum("output_tokens").alias("o")
+        F.count("*").alias("parts"), F.count_if(F.col("content").isNull()).alias("failed"), F.count_if("truncated").alias("cut"), F.sum("input_tokens").alias("i"),
+        F.sum("output_tokens").alias("o")
     )
     total = lambda c: F.coalesce(F.sum(c), F.lit(0))
     cost = total("i") * F.lit(price_in / 1e6) + total("o") * F.lit(price_out / 1e6)
     return per.agg(
-        F.count("*").alias("n_chunks"), total("parts").alias("n_answers"), F.count_if(F.col("failed") == F.col("parts")).alias("n_failed_chunks"), total("failed").alias("n_failed_parts"), total("cut").alias("n_truncated"),
+        F.count("*").alias("n_chunks"), total("parts").alias("n_answers"), F.count_if(F.col("failed") == F.col("parts")).alias("n_failed_chunks"),
+        total("failed").alias("n_failed_parts"), total("cut").alias("n_truncated"),
         total("i").alias("input_tokens"), total("o").alias("output_tokens"), F.round(cost, 6).alias("cost"),
     )
 

@@ -12,12 +12,14 @@ from weftgraph.model import CONFIDENCES, FILE_TYPES
 
 #: Other spellings of a node's file type.
 FILE_TYPE_SYNONYMS = {
-    "markdown": "document", "text": "document", "tool": "code", "library": "code", "pattern": "concept", "principle": "concept", "constraint": "concept", "tech": "concept", "technology": "concept",
+    "markdown": "document", "text": "document", "tool": "code", "library": "code", "pattern": "concept", "principle": "concept", "constraint": "concept", "tech": "concept",
+    "technology": "concept",
     "data-source": "concept", "data_source": "concept", "gotcha": "concept", "framework": "concept",
 }
 #: Language families that may call each other, by suffix.
 FAMILIES = {
-    ".py": "py", ".pyi": "py", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".go": "go", ".rs": "rs", ".java": "jvm", ".kt": "jvm", ".scala": "jvm", ".groovy": "jvm",
+    ".py": "py", ".pyi": "py", ".js": "js", ".mjs": "js", ".cjs": "js", ".jsx": "js", ".ts": "js", ".tsx": "js", ".go": "go", ".rs": "rs", ".java": "jvm", ".kt": "jvm",
+    ".scala": "jvm", ".groovy": "jvm",
     ".c": "c", ".h": "c", ".cc": "cpp", ".cpp": "cpp", ".hpp": "cpp", ".rb": "rb", ".php": "php", ".cs": "cs", ".swift": "swift", ".lua": "lua",
 }
 
@@ -47,9 +49,12 @@ def coerce_edges(raw: DataFrame) -> DataFrame:
     """Legacy edge spellings to the schema (``from``/``to``, ``source``/``target``)."""
     score = first_present(raw, ["confidence_score", "score"]).try_cast("double")
     return raw.select(
-        first_present(raw, ["src", "source", "from"]).alias("src"), first_present(raw, ["dst", "target", "to"]).alias("dst"), first_present(raw, ["relation", "type", "label"]).alias("relation"),
-        first_present(raw, ["confidence"]).alias("confidence"), score.alias("confidence_score"), first_present(raw, ["weight"]).try_cast("double").alias("weight"), first_present(raw, ["context"]).alias("context"),
-        first_present(raw, ["source_file"]).alias("source_file"), first_present(raw, ["source_location"]).alias("source_location"), first_present(raw, ["ord"], "long").alias("ord"),
+        first_present(raw, ["src", "source", "from"]).alias("src"), first_present(raw, ["dst", "target", "to"]).alias("dst"),
+        first_present(raw, ["relation", "type", "label"]).alias("relation"),
+        first_present(raw, ["confidence"]).alias("confidence"), score.alias("confidence_score"), first_present(raw, ["weight"]).try_cast("double").alias("weight"),
+        first_present(raw, ["context"]).alias("context"),
+        first_present(raw, ["source_file"]).alias("source_file"), first_present(raw, ["source_location"]).alias("source_location"),
+        first_present(raw, ["ord"], "long").alias("ord"),
     )
 
 
@@ -138,7 +143,8 @@ def drop_cross_family_calls(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Inferred calls between files of different language families go. Two unknown suffixes are equal,
     an unknown and a known one differ; a file without a suffix belongs anywhere."""
     ext = nodes.select(F.col("id").alias("nid"), suffix(F.coalesce("source_file", F.lit(""))).alias("ext"))
-    e = edges.join(ext.select(F.col("nid").alias("a_id"), F.col("ext").alias("a_x")), F.col("src") == F.col("a_id"), "left").join(ext.select(F.col("nid").alias("b_id"), F.col("ext").alias("b_x")), F.col("dst") == F.col("b_id"), "left")
+    e = edges.join(ext.select(F.col("nid").alias("a_id"), F.col("ext").alias("a_x")), F.col("src") == F.col("a_id"),
+        "left").join(ext.select(F.col("nid").alias("b_id"), F.col("ext").alias("b_x")), F.col("dst") == F.col("b_id"), "left")
     family = lambda c: F.try_element_at(literal_map(FAMILIES), F.col(c))
     both = (F.coalesce("a_x", F.lit("")) != "") & (F.coalesce("b_x", F.lit("")) != "")
     bad = F.coalesce((F.col("relation") == "calls") & (F.col("confidence") == "INFERRED"), F.lit(False)) & both & ~family("a_x").eqNullSafe(family("b_x"))
@@ -222,7 +228,8 @@ def sanitize_fragment(nodes: DataFrame, edges: DataFrame, hyperedges: DataFrame)
     old = F.col("rationale") if "rationale" in nodes.columns else F.lit(None).cast("string")
     out = kept.join(why, "id", "left").withColumn("rationale", F.when(F.col("why").isNull(), old).otherwise(F.concat_ws("\n\n", old, "why"))).drop("why")
     live = hyperedges.select("id", F.posexplode("nodes").alias("at", "node")).join(kept.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
-    members = live.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("m")).where("size(m) >= 2").select("id", F.transform("m", lambda x: x["node"]).alias("nodes"))
+    members = live.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("at", "node"))).alias("m")).where("size(m) >= 2").select("id",
+        F.transform("m", lambda x: x["node"]).alias("nodes"))
     return out, without_dangling(edges, kept), hyperedges.drop("nodes").join(members, "id")
 
 
@@ -230,7 +237,8 @@ def fragment_violations(nodes: DataFrame, max_id: int = 256) -> DataFrame:
     """(id, code) for ids of an untrusted fragment: length, character set, path separators."""
     i = F.col("id")
     codes = F.array_compact(F.array(
-        F.when(i.isNull() | (i == ""), "empty_id"), F.when(F.length(i) > max_id, "long_id"), F.when(i.rlike(r"[/\\]"), "path_separator"), F.when(~i.rlike(r"^[A-Za-z0-9_.:\-/\\]*$"), "bad_character"),
+        F.when(i.isNull() | (i == ""), "empty_id"), F.when(F.length(i) > max_id, "long_id"), F.when(i.rlike(r"[/\\]"), "path_separator"),
+        F.when(~i.rlike(r"^[A-Za-z0-9_.:\-/\\]*$"), "bad_character"),
     ))
     return nodes.select("id", F.explode(codes).alias("code"))
 

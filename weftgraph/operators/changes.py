@@ -32,8 +32,10 @@ def read_changes(raw: DataFrame, expected_base: Column) -> DataFrame:
     j = raw.select(F.explode(F.from_json("text", f"array<struct<{_typed(SCHEMA)}>>")).alias("c")).where("c.number is not null")
     c = F.col("c")
     return j.select(
-        c["number"].alias("number"), F.coalesce(c["title"], F.lit("")).alias("title"), F.coalesce(c["author"]["login"], F.lit("")).alias("author"), c["baseRefName"].alias("base_branch"), c["headRefName"].alias("head_branch"),
-        F.coalesce(c["isDraft"], F.lit(False)).alias("is_draft"), F.try_to_timestamp(c["updatedAt"]).alias("updated_at"), F.nullif(c["reviewDecision"], F.lit("")).alias("review_decision"), ci_state(c["statusCheckRollup"]).alias("ci_status"),
+        c["number"].alias("number"), F.coalesce(c["title"], F.lit("")).alias("title"), F.coalesce(c["author"]["login"], F.lit("")).alias("author"),
+        c["baseRefName"].alias("base_branch"), c["headRefName"].alias("head_branch"),
+        F.coalesce(c["isDraft"], F.lit(False)).alias("is_draft"), F.try_to_timestamp(c["updatedAt"]).alias("updated_at"),
+        F.nullif(c["reviewDecision"], F.lit("")).alias("review_decision"), ci_state(c["statusCheckRollup"]).alias("ci_status"),
         expected_base.alias("expected_base"),
     )
 
@@ -68,9 +70,12 @@ def list_changes(changes: DataFrame, now: Column, impact: DataFrame | None = Non
     if impact is not None:
         s = s.join(impact.select("number", "n_communities", "n_nodes"), "number", "left")
     order = F.array(*map(F.lit, STATUS_ORDER))
-    spread = F.when(F.coalesce("n_nodes", F.lit(0)) > 0, F.concat(F.lit("  impact="), F.col("n_communities").cast("string"), F.lit(" communities, "), F.col("n_nodes").cast("string"), F.lit(" nodes"))).otherwise("") if impact is not None else F.lit("")
+    spread = F.when(F.coalesce("n_nodes", F.lit(0)) > 0,
+        F.concat(F.lit("  impact="), F.col("n_communities").cast("string"), F.lit(" communities, "), F.col("n_nodes").cast("string"),
+        F.lit(" nodes"))).otherwise("") if impact is not None else F.lit("")
     line = F.concat(
-        F.lit("#"), F.col("number").cast("string"), F.lit(" ["), F.col("status"), F.lit("] CI="), F.col("ci_status"), F.lit(" review="), F.coalesce("review_decision", F.lit("none")), F.lit(" age="), F.col("age_days").cast("string"), F.lit("d author="), F.col("author"), spread,
+        F.lit("#"), F.col("number").cast("string"), F.lit(" ["), F.col("status"), F.lit("] CI="), F.col("ci_status"), F.lit(" review="),
+        F.coalesce("review_decision", F.lit("none")), F.lit(" age="), F.col("age_days").cast("string"), F.lit("d author="), F.col("author"), spread,
         F.lit("\n  "), F.col("title"),
     )
     return s.select(F.array_position(order, F.col("status")).alias("place"), "age_days", "number", "status", line.alias("line"))
@@ -101,7 +106,8 @@ def suppression_sites(sources: DataFrame) -> DataFrame:
     lines = sources.select("path", F.posexplode(F.split("text", r"\r?\n")).alias("at", "row")).where(F.col("row").rlike(r"^\s*seen_[A-Za-z0-9_]+\s*[:=]"))
     inside = F.trim(F.regexp_extract("row", r"set\[tuple\[([^\]]+)\]\]", 1))
     arity = F.when(inside == "", 0).otherwise(F.length(inside) - F.length(F.replace(inside, F.lit(","), F.lit(""))) + 1)
-    return lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("row", r"^\s*(seen_[A-Za-z0-9_]+)", 1).alias("name"), arity.cast("int").alias("arity"), F.substring(F.trim("row"), 1, 120).alias("sample"))
+    return lines.select("path", (F.col("at") + 1).alias("line"), F.regexp_extract("row", r"^\s*(seen_[A-Za-z0-9_]+)", 1).alias("name"), arity.cast("int").alias("arity"),
+        F.substring(F.trim("row"), 1, 120).alias("sample"))
 
 
 def parallel_edges(edges: DataFrame, u: str, v: str, directed: bool = False) -> DataFrame:

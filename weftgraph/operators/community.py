@@ -92,11 +92,13 @@ def communities(nodes: DataFrame, edges: DataFrame, exclude_hubs: float | None =
     total = ids.count()
     for attempt in ("size", "cohesion"):
         size = got.groupBy("community").agg(F.count("*").alias("n"))
-        m = inner.join(got.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(got.select(F.col("node").alias("dst"), F.col("community").alias("b")), "dst").where("a = b")
+        m = inner.join(got.select(F.col("node").alias("src"), F.col("community").alias("a")), "src").join(got.select(F.col("node").alias("dst"), F.col("community").alias("b")),
+            "dst").where("a = b")
         if attempt == "size":
             big = size.where(F.col("n") > max(MIN_SPLIT, int(total * MAX_SHARE)))
         else:
-            links = m.select("a", F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct().groupBy(F.col("a").alias("community")).agg(F.count("*").alias("m"))
+            links = m.select("a", F.least("src", "dst").alias("u"),
+                F.greatest("src", "dst").alias("v")).distinct().groupBy(F.col("a").alias("community")).agg(F.count("*").alias("m"))
             big = size.join(links, "community", "left").where((F.col("n") >= COHESION_SPLIT) & (F.coalesce("m", F.lit(0)) / (F.col("n") * (F.col("n") - 1) / 2) < COHESION_LEAST))
         big = scratch.save(big.select("community"))
         if not big.limit(1).count():
@@ -113,13 +115,15 @@ def communities(nodes: DataFrame, edges: DataFrame, exclude_hubs: float | None =
     named = scratch.save(named)
     back = reattach(hub, named, e)
     top = named.agg(F.coalesce(F.max("community"), F.lit(-1)).alias("top"))
-    rest = hub.join(back, "node", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("node"))).join(F.broadcast(top)).select("node", (F.col("top") + F.col("r")).cast("int").alias("community"))
+    rest = hub.join(back, "node", "left_anti").withColumn("r", F.row_number().over(Window.orderBy("node"))).join(F.broadcast(top)).select("node",
+        (F.col("top") + F.col("r")).cast("int").alias("community"))
     return named.unionByName(back).unionByName(rest)
 
 
 def overlap(new: DataFrame, old: DataFrame) -> DataFrame:
     """(old, new, overlap) node counts. Both: (node, community)."""
-    return new.select("node", F.col("community").alias("old")).join(old.select("node", F.col("community").alias("new")), "node").groupBy("old", "new").agg(F.count("*").alias("overlap"))
+    return new.select("node", F.col("community").alias("old")).join(old.select("node", F.col("community").alias("new")), "node").groupBy("old",
+        "new").agg(F.count("*").alias("overlap"))
 
 
 def remap_to_previous(new: DataFrame, previous: DataFrame) -> DataFrame:

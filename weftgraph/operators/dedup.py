@@ -105,7 +105,8 @@ def tie_break_pairs(labels: DataFrame, low: float = TIE, high: float = JW, batch
     pairs = dealt.select("text", "block", "pair.lo", "pair.hi").groupBy("lo", "hi").applyInPandas(compare, "a string, b string, jw double")
     number = F.row_number().over(Window.partitionBy("head").orderBy("a", "b")) - 1
     # batches do not reach across first letters, so no task numbers all pairs
-    return pairs.withColumn("head", F.substring("a", 1, 1)).withColumn("n", number).select(F.concat_ws("-", "head", F.floor(F.col("n") / batch).cast("string")).alias("batch"), "a", "b", "jw")
+    return pairs.withColumn("head", F.substring("a", 1, 1)).withColumn("n", number).select(F.concat_ws("-", "head", F.floor(F.col("n") / batch).cast("string")).alias("batch"), "a",
+        "b", "jw")
 
 
 def survivors(members: DataFrame) -> DataFrame:
@@ -131,7 +132,8 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scrat
     heads = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form").agg(F.min("id").alias("head"))
     boosted = None if communities is None else heads.join(communities.select(F.col("id").alias("head"), "community"), "head").select(F.col("form").alias("text"), "community")
     alike = similar_labels(heads.select(F.col("form").alias("text")), boosted)
-    fuzzy = alike.join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a").join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")), "b").select("src", "dst")
+    fuzzy = alike.join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a").join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")),
+        "b").select("src", "dst")
     members = connected_components(links.union(fuzzy), scratch=scratch)
     remap = scratch.save(members.join(survivors(members), "component").select(F.col("node").alias("old"), F.col("winner").alias("new")))
     kept = n.drop("form").join(remap.where("old <> new").select(F.col("old").alias("id")), "id", "left_anti")
@@ -141,7 +143,8 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scrat
 def rewire(edges: DataFrame, remap: DataFrame) -> DataFrame:
     """Edges with their ends moved by (old, new); what becomes a self-loop by that goes."""
     own = edges.columns
-    e = edges.join(remap.select(F.col("old").alias("src"), F.col("new").alias("s_")), "src", "left").join(remap.select(F.col("old").alias("dst"), F.col("new").alias("d_")), "dst", "left")
+    e = edges.join(remap.select(F.col("old").alias("src"), F.col("new").alias("s_")), "src", "left").join(remap.select(F.col("old").alias("dst"), F.col("new").alias("d_")), "dst",
+        "left")
     e = e.withColumn("src", F.coalesce("s_", "src")).withColumn("dst", F.coalesce("d_", "dst"))
     return e.where((F.col("src") != F.col("dst")) | (F.col("s_").isNull() & F.col("d_").isNull())).select(*own)
 
@@ -150,7 +153,8 @@ def minhash(text: Column, perms: int = 128, k: int = 3) -> Column:
     """Signature of a label: per permutation the least hash of its character shingles, spaces left out. The hash is the
     MD5 of the permutation's number and the shingle, so other systems can make the same signature."""
     grams = shingles(F.replace(text, F.lit(" "), F.lit("")), k)
-    return F.transform(F.sequence(F.lit(0), F.lit(perms - 1)), lambda i: F.array_min(F.transform(grams, lambda g: F.substring(F.md5(F.concat_ws(":", i.cast("string"), g)), 1, 16))))
+    return F.transform(F.sequence(F.lit(0), F.lit(perms - 1)),
+        lambda i: F.array_min(F.transform(grams, lambda g: F.substring(F.md5(F.concat_ws(":", i.cast("string"), g)), 1, 16))))
 
 
 def signature_bands(items: DataFrame, bands: int = 14, rows: int = 9) -> DataFrame:

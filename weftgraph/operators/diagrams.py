@@ -15,7 +15,8 @@ SURE = 0.85
 IMPORTANCE = ("pagerank", "page_rank", "pageRank", "rank", "centrality", "score")
 #: Words of labels and paths that say nothing of a section.
 STOPWORDS = (
-    "the", "and", "for", "with", "from", "this", "that", "class", "function", "method", "file", "src", "lib", "core", "index", "main", "init", "py", "ts", "tsx", "js", "jsx", "go", "rs", "java", "html", "css",
+    "the", "and", "for", "with", "from", "this", "that", "class", "function", "method", "file", "src", "lib", "core", "index", "main", "init", "py", "ts", "tsx", "js", "jsx", "go",
+    "rs", "java", "html", "css",
 )
 
 
@@ -44,7 +45,8 @@ def preferred(edges: DataFrame, structure: bool = False) -> DataFrame:
 def scored_nodes(edges: DataFrame) -> DataFrame:
     """(id, score, n_out, n_in, net): the scores of a node's edges, and how many leave and enter it."""
     s = edges.select("src", "dst", edge_score(F.col("relation"), F.col("confidence"), F.col("confidence_score")).alias("s"))
-    flat = s.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("s").alias("s"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("id"), F.col("s").alias("s"), F.lit(0).alias("o")))).alias("x"))
+    flat = s.select(F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("s").alias("s"), F.lit(1).alias("o")),
+        F.struct(F.col("dst").alias("id"), F.col("s").alias("s"), F.lit(0).alias("o")))).alias("x"))
     g = flat.groupBy(F.col("x.id").alias("id")).agg(F.sum("x.s").alias("score"), F.sum("x.o").cast("long").alias("n_out"), F.sum(1 - F.col("x.o")).cast("long").alias("n_in"))
     return g.withColumn("net", F.col("n_out") - F.col("n_in"))
 
@@ -79,7 +81,8 @@ def diagram_nodes(nodes: DataFrame, edges: DataFrame, most: int, kind: Column) -
     for r in ends.orderBy(F.desc("s"), "src", "dst", "relation").collect():
         if add(r["src"], r["sk"]) or add(r["dst"], r["dk"]):
             return chosen
-    rest = known.join(scored_nodes(p).select("id", "score"), "id", "left").orderBy((F.col("kind") == "concept"), F.desc(F.coalesce("score", F.lit(0.0))), "source_file", "label", "id").limit(most + len(chosen))
+    rest = known.join(scored_nodes(p).select("id", "score"), "id", "left").orderBy((F.col("kind") == "concept"), F.desc(F.coalesce("score", F.lit(0.0))), "source_file", "label",
+        "id").limit(most + len(chosen))
     for r in rest.collect():
         if len(chosen) >= most:
             break
@@ -148,7 +151,8 @@ def overview_lines(summary: DataFrame, sizes: DataFrame, most: int = 12) -> Data
     """(part, rank, name, line): a flowchart of sections, a box each and the ``most`` strongest links between them with their main
     relation. ``summary``: (kind, a, b, relation, n_edges); ``sizes``: (section, n)."""
     row = lambda part, rank, name, line: [F.lit(part).alias("part"), rank.cast("long").alias("rank"), name.alias("name"), line.alias("line")]
-    title = F.concat(F.lit("    "), mermaid_id(F.col("section"), "s_"), F.lit('("'), mermaid_text(F.col("section")), F.lit("<br/><small>"), F.col("n").cast("string"), F.lit(' nodes</small>")'))
+    title = F.concat(F.lit("    "), mermaid_id(F.col("section"), "s_"), F.lit('("'), mermaid_text(F.col("section")), F.lit("<br/><small>"), F.col("n").cast("string"),
+        F.lit(' nodes</small>")'))
     box = sizes.select(*row(1, F.lit(0), F.col("section"), title))
     pairs = summary.where("kind = 'inter'").groupBy("a", "b").agg(F.sum("n_edges").alias("n"), F.min_by("relation", F.struct(-F.col("n_edges"), F.col("relation"))).alias("r"))
     best = pairs.orderBy(F.desc("n"), "a", "b").limit(most)

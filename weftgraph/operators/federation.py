@@ -51,8 +51,10 @@ def symbol_index(symbols: DataFrame, relationships: DataFrame) -> tuple[DataFram
     same = s.select("path", F.col("symbol").alias("target"), F.col("id").alias("same_id"))
     only = s.groupBy(F.col("symbol").alias("target")).agg(F.count("*").alias("n"), F.min("id").alias("only_id")).where("n = 1").drop("n")
     e = r.join(same, ["path", "target"], "left").join(only, "target", "left").withColumn("stub", F.concat(F.lit("scip_stub_"), F.substring(F.sha2("target", 256), 1, 16)))
-    e = e.withColumn("dst", F.coalesce("same_id", "only_id", "stub")).withColumn("src", node_id(F.col("path"), F.col("symbol"))).join(s.select(F.col("id").alias("src")), "src", "left_semi")
+    e = e.withColumn("dst", F.coalesce("same_id", "only_id", "stub")).withColumn("src", node_id(F.col("path"), F.col("symbol"))).join(s.select(F.col("id").alias("src")), "src",
+        "left_semi")
     stubs = e.where(F.col("dst") == F.col("stub")).select(F.col("dst").alias("id"), F.col("target").alias("label")).distinct()
-    nodes = s.select("id", F.coalesce("display_name", "symbol").alias("label"), F.lit("code").alias("file_type"), F.col("path").alias("source_file"), F.when(F.col("line").isNotNull(), F.concat(F.lit("L"), F.col("line").cast("string"))).alias("source_location"))
+    nodes = s.select("id", F.coalesce("display_name", "symbol").alias("label"), F.lit("code").alias("file_type"), F.col("path").alias("source_file"),
+        F.when(F.col("line").isNotNull(), F.concat(F.lit("L"), F.col("line").cast("string"))).alias("source_location"))
     nodes = nodes.unionByName(stubs.select("id", "label", F.lit("concept").alias("file_type"), F.lit("").alias("source_file"), F.lit(None).cast("string").alias("source_location")))
     return nodes, e.where("src <> dst").select("src", "dst", "relation", F.lit("EXTRACTED").alias("confidence"), F.col("path").alias("source_file")).distinct()

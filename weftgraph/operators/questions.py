@@ -11,7 +11,8 @@ from weftgraph.operators.centrality import node_betweenness
 
 #: Words of node types that name a kind.
 KINDS = {
-    "klass": ("class", "klass", "struct", "interface", "enum", "trait", "model"), "module": ("module", "file", "package", "namespace"), "api": ("endpoint", "route", "api", "handler", "controller"), "test": ("test", "spec"), "ui": ("component", "hook", "view", "page"),
+    "klass": ("class", "klass", "struct", "interface", "enum", "trait", "model"), "module": ("module", "file", "package", "namespace"),
+    "api": ("endpoint", "route", "api", "handler", "controller"), "test": ("test", "spec"), "ui": ("component", "hook", "view", "page"),
 }
 #: Suffixes of source files.
 CODE_ENDS = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".kt", ".rb", ".php", ".cs", ".swift", ".vue", ".svelte")
@@ -19,7 +20,8 @@ CODE_ENDS = (".py", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".java", ".kt",
 
 def explain(nodes: DataFrame, edges: DataFrame, node: str, top: int = 20) -> DataFrame:
     """(direction, other, relation, confidence, degree): a node's connections by the other end's degree."""
-    return A.neighbours(edges, node).join(A.degrees(edges).withColumnRenamed("id", "other"), "other").orderBy(F.desc("degree"), "direction", "other", "relation").limit(top).select("direction", "other", "relation", "confidence", "degree")
+    return A.neighbours(edges, node).join(A.degrees(edges).withColumnRenamed("id", "other"), "other").orderBy(F.desc("degree"), "direction", "other",
+        "relation").limit(top).select("direction", "other", "relation", "confidence", "degree")
 
 
 def suggest_questions(nodes: DataFrame, edges: DataFrame, top_n: int = 7, bridges: bool = True) -> DataFrame:
@@ -36,8 +38,10 @@ def suggest_questions(nodes: DataFrame, edges: DataFrame, top_n: int = 7, bridge
     inferred = edges.where("confidence = 'INFERRED'").select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n")).where("n >= 2")
     d = A.with_degree(nodes, edges)
     top = d.where(~A.is_file_node(F.col("label"), F.col("source_file"), F.col("degree"))).orderBy(F.desc("degree"), "id").limit(5)
-    rows += [(2, "verify_inferred", r["label"], f"Are the {r['n']} inferred relations of {r['label']} correct?") for r in top.join(inferred, "id").orderBy(F.desc("degree"), "id").collect()]
-    lone = d.where("degree <= 1").where(~A.is_file_node(F.col("label"), F.col("source_file"), F.col("degree")) & ~A.is_concept_node(F.col("source_file"))).orderBy("id").limit(3).collect()
+    rows += [(2, "verify_inferred", r["label"], f"Are the {r['n']} inferred relations of {r['label']} correct?") for r in top.join(inferred, "id").orderBy(F.desc("degree"),
+        "id").collect()]
+    lone = d.where("degree <= 1").where(~A.is_file_node(F.col("label"), F.col("source_file"),
+        F.col("degree")) & ~A.is_concept_node(F.col("source_file"))).orderBy("id").limit(3).collect()
     if lone:
         names = ", ".join(r["label"] for r in lone)
         rows.append((3, "isolated_nodes", names, f"What connects {names} to the rest?"))
@@ -62,9 +66,11 @@ def node_kind(label: Column, source_file: Column, file_type: Column, node_type:
     for e in CODE_ENDS:
         ends = ends | raw.endswith(e)
     rest = (
-        F.when(ftype.isin("rationale", "document"), "concept").when(src.contains("test") | low.startswith("test_") | src.contains("spec"), "test").when(any_of(("endpoint", "router", "api", "route")), "api")
+        F.when(ftype.isin("rationale", "document"), "concept").when(src.contains("test") | low.startswith("test_") | src.contains("spec"),
+        "test").when(any_of(("endpoint", "router", "api", "route")), "api")
         .when(any_of(("cli", "command", "click", "typer")), "entry").when(any_of(("async", "await", "stream", "sse")), "async")
-        .when(any_of(("component", "props", "hook", "store")) | raw.rlike("^use[A-Z_-]") | src.rlike(r"\.(tsx|jsx|vue|svelte)$"), "ui").when(raw.rlike(r"^\p{Lu}") & ~raw.endswith("()"), "klass").when(ends, "module").otherwise("function")
+        .when(any_of(("component", "props", "hook", "store")) | raw.rlike("^use[A-Z_-]") | src.rlike(r"\.(tsx|jsx|vue|svelte)$"),
+        "ui").when(raw.rlike(r"^\p{Lu}") & ~raw.endswith("()"), "klass").when(ends, "module").otherwise("function")
     )
     return F.coalesce(out, rest)
 
@@ -85,7 +91,8 @@ def note_names(nodes: DataFrame) -> DataFrame:
     """(id, name): file names of notes; equal ones are numbered from 1 after the first."""
     base = F.trim(F.regexp_replace("label", r'[\\/*?:"<>|#^\[\]]', ""))
     w = Window.partitionBy(F.lower(base)).orderBy("id")
-    return nodes.select("id", base.alias("b"), (F.row_number().over(w) - 1).alias("k")).select("id", F.when(F.col("k") == 0, F.col("b")).otherwise(F.concat_ws("_", "b", F.col("k").cast("string"))).alias("name"))
+    return nodes.select("id", base.alias("b"), (F.row_number().over(w) - 1).alias("k")).select("id",
+        F.when(F.col("k") == 0, F.col("b")).otherwise(F.concat_ws("_", "b", F.col("k").cast("string"))).alias("name"))
 
 
 def sections(nodes: DataFrame, archetypes: dict[str, tuple[str, ...]], most: int = 12) -> DataFrame:
@@ -96,4 +103,5 @@ def sections(nodes: DataFrame, archetypes: dict[str, tuple[str, ...]], most: int
     flat = nodes.select("community", F.explode(hits).alias("h")).groupBy("community", F.col("h.k").alias("k")).agg(F.sum("h.n").alias("n")).where("n >= 2")
     best = flat.groupBy("community").agg(F.min_by("k", F.struct(-F.col("n"), F.col("k"))).alias("section"))
     size = nodes.groupBy("community").count().orderBy(F.desc("count"), "community").limit(most)
-    return nodes.select("community").distinct().join(best.join(size, "community", "left_semi"), "community", "left").select("community", F.coalesce("section", F.lit("other")).alias("section"))
+    return nodes.select("community").distinct().join(best.join(size, "community", "left_semi"), "community", "left").select("community",
+        F.coalesce("section", F.lit("other")).alias("section"))

@@ -14,15 +14,21 @@ from weftgraph.functions.text import bare_form, strip_marks
 EXACT, PREFIX, SUBSTRING, SOURCE = 1000.0, 100.0, 1.0, 0.5
 #: Words of a question that name an edge context.
 CONTEXT_HINTS = {
-    "call": ("call", "calls", "called", "invoke", "invokes", "invoked"), "import": ("import", "imports", "imported", "module", "modules"), "field": ("field", "fields", "member", "members", "property", "properties"),
-    "parameter_type": ("parameter", "parameters", "param", "params", "argument", "arguments"), "return_type": ("return", "returns", "returned"), "generic_arg": ("generic", "generics", "template", "templates"),
+    "call": ("call", "calls", "called", "invoke", "invokes", "invoked"), "import": ("import", "imports", "imported", "module", "modules"),
+    "field": ("field", "fields", "member", "members", "property", "properties"),
+    "parameter_type": ("parameter", "parameters", "param", "params", "argument", "arguments"), "return_type": ("return", "returns", "returned"),
+    "generic_arg": ("generic", "generics", "template", "templates"),
 }
 #: Other spellings of contexts.
 CONTEXT_ALIASES = {
-    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type", "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type",
-    "return": "return_type", "returns": "return_type", "returned": "return_type", "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg", "templates": "generic_arg",
-    "annotation": "attribute", "annotations": "attribute", "decorator": "attribute", "decorators": "attribute", "calls": "call", "called": "call", "invoke": "call", "invocation": "call",
-    "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import", "imported": "import", "module": "import", "modules": "import", "exports": "export", "exported": "export",
+    "param": "parameter_type", "params": "parameter_type", "parameter": "parameter_type", "parameters": "parameter_type", "argument": "parameter_type",
+    "arguments": "parameter_type", "arg": "parameter_type", "args": "parameter_type",
+    "return": "return_type", "returns": "return_type", "returned": "return_type", "generic": "generic_arg", "generics": "generic_arg", "template": "generic_arg",
+    "templates": "generic_arg",
+    "annotation": "attribute", "annotations": "attribute", "decorator": "attribute", "decorators": "attribute", "calls": "call", "called": "call", "invoke": "call",
+    "invocation": "call",
+    "fields": "field", "property": "field", "properties": "field", "member": "field", "members": "field", "imports": "import", "imported": "import", "module": "import",
+    "modules": "import", "exports": "export", "exported": "export",
 }
 
 
@@ -41,7 +47,9 @@ def idf(nodes: DataFrame, terms: list[str], label: str = "label") -> DataFrame:
     low = F.lower(F.col(label))
     row = nodes.agg(F.count("*").alias("n"), *(F.count_if(low.contains(t)).alias(f"t{i}") for i, t in enumerate(terms)))
     pairs = F.array(*(F.struct(F.lit(t).alias("term"), F.col(f"t{i}").alias("df")) for i, t in enumerate(terms)))
-    return row.select("n", F.explode(pairs).alias("p")).select("p.term", "p.df", F.log(1 + F.col("n") / (1 + F.col("p.df"))).alias("idf")) if terms else row.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df"), F.lit(0.0).alias("idf")).limit(0)
+    return row.select("n", F.explode(pairs).alias("p")).select("p.term", "p.df",
+        F.log(1 + F.col("n") / (1 + F.col("p.df"))).alias("idf")) if terms else row.select(F.lit("").alias("term"), F.lit(0).cast("long").alias("df"),
+        F.lit(0.0).alias("idf")).limit(0)
 
 
 def score_nodes(nodes: DataFrame, terms: list[str]) -> DataFrame:

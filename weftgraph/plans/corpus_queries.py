@@ -62,7 +62,8 @@ _P = "(p_name || '/' || CASE WHEN p_size % 5 = 0 THEN 'secrets/a.txt' WHEN p_siz
 
 
 def _paths(spark, sf):
-    tail = F.when(F.col("p_size") % 5 == 0, "secrets/a.txt").when(F.col("p_size") % 5 == 1, "api_token.txt").when(F.col("p_size") % 5 == 2, "tokenizer.py").when(F.col("p_size") % 5 == 3, ".env.local").otherwise("key.pem")
+    tail = F.when(F.col("p_size") % 5 == 0, "secrets/a.txt").when(F.col("p_size") % 5 == 1, "api_token.txt").when(F.col("p_size") % 5 == 2,
+        "tokenizer.py").when(F.col("p_size") % 5 == 3, ".env.local").otherwise("key.pem")
     return table(spark, sf, "part").select("p_partkey", "p_size", F.concat_ws("/", "p_name", tail).alias("path"))
 
 
@@ -118,7 +119,8 @@ SELECT coalesce(CAST(o.doc_id AS VARCHAR), CAST(n.doc_id AS VARCHAR)) AS path, C
 def manifest_diff(spark, sf):
     d = table(spark, sf, "documents")
     path = F.col("doc_id").cast("string").alias("path")
-    old = d.where("doc_id % 11 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("hash"), (F.col("doc_id") % 3).alias("mtime"))
+    old = d.where("doc_id % 11 <> 0").select(path, F.when(F.col("doc_id") % 7 == 0, F.md5(F.concat("text", F.lit("x")))).otherwise(F.md5("text")).alias("hash"),
+        (F.col("doc_id") % 3).alias("mtime"))
     new = d.where("doc_id % 13 <> 0").select(path, F.md5("text").alias("hash"), (F.col("doc_id") % 4).alias("mtime"))
     return C.manifest_diff(old, new)
 
@@ -178,7 +180,8 @@ def _calls(spark, sf):
     name = F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
     p = table(spark, sf, "part").select("p_partkey", F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), name.alias("label"), F.lit("code").alias("file_type"))
     li = table(spark, sf, "lineitem").join(p, F.col("p_partkey") == F.col("l_partkey"))
-    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("label").alias("callee"), F.lit(False).alias("is_member_call"), F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
+    raw = li.select(F.concat(F.lit("part:"), F.col("l_suppkey").cast("string")).alias("caller"), F.col("label").alias("callee"), F.lit(False).alias("is_member_call"),
+        F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("source_file"))
     held = spark.createDataFrame([("part:1", "part:2", "contains")], "src string, dst string, relation string")
     return raw, p.drop("p_partkey"), held
 
@@ -198,7 +201,8 @@ def import_evidence_promotion(spark, sf):
 def unique_stub_rewire(spark, sf):
     """Every fifth part is a stub that bears the label of the next one, its only definition."""
     stub = F.col("p_partkey") % 5 == 0
-    n = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"), F.concat(F.lit("Part "), (F.col("p_partkey") + stub.cast("int")).cast("string")).alias("label"), F.when(~stub, "a.py").alias("source_file"))
+    n = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("id"),
+        F.concat(F.lit("Part "), (F.col("p_partkey") + stub.cast("int")).cast("string")).alias("label"), F.when(~stub, "a.py").alias("source_file"))
     e = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("src"), F.col("l_partkey").cast("string").alias("dst"))
     return R.rewire_stubs(n, e)[1].groupBy("src", "dst").agg(F.count("*").alias("n"))
 

@@ -36,7 +36,8 @@ def query(sql: str | None = None, star: bool = True, recursive: bool = False):
 
 
 def _order() -> list:
-    return [F.col("confidence_score"), F.coalesce("source_location", F.lit("")), F.col("src"), F.col("dst"), F.col("relation"), F.col("confidence"), F.coalesce("context", F.lit(""))]
+    return [F.col("confidence_score"), F.coalesce("source_location", F.lit("")), F.col("src"), F.col("dst"), F.col("relation"), F.col("confidence"),
+        F.coalesce("context", F.lit(""))]
 
 
 _DEG = "d AS (SELECT id, CAST(count(*) AS BIGINT) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
@@ -136,7 +137,8 @@ def dangling_edges(spark, sf):
 f AS (SELECT lower(regexp_replace(id, '[^A-Za-z0-9]+', '_', 'g')) AS form, max(id) AS fid FROM kept GROUP BY 1)
 SELECT coalesce(k.id, f.fid) AS src, m.dst, relation FROM m LEFT JOIN kept k ON k.id = s0 LEFT JOIN f ON f.form = lower(regexp_replace(s0, '[^A-Za-z0-9]+', '_', 'g')) JOIN kept k2 ON k2.id = m.dst WHERE coalesce(k.id, f.fid) IS NOT NULL""")
 def endpoint_repair(spark, sf):
-    e = star_edges(spark, sf).select(F.when(F.col("relation") == "placed_by", F.upper(F.replace("src", F.lit(":"), F.lit("-")))).otherwise(F.col("src")).alias("src"), "dst", "relation")
+    e = star_edges(spark, sf).select(F.when(F.col("relation") == "placed_by", F.upper(F.replace("src", F.lit(":"), F.lit("-")))).otherwise(F.col("src")).alias("src"), "dst",
+        "relation")
     norm = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"))  # noqa: E731  all ids here are ASCII
     return B.repair_endpoints(e, _even_parts(spark, sf), norm)
 
@@ -144,7 +146,8 @@ def endpoint_repair(spark, sf):
 def _supplier_part(spark, sf):
     li = table(spark, sf, "lineitem")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    return li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"), F.col("l_quantity").alias("weight"), key.alias("ord"))
+    return li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("src"), F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("dst"),
+        F.col("l_quantity").alias("weight"), key.alias("ord"))
 
 
 _COLLAPSE = """g AS (SELECT 'supplier:' || l_suppkey AS src, 'part:' || l_partkey AS dst, l_quantity AS weight, ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS ord FROM lineitem),
@@ -167,7 +170,8 @@ max_by(l_tax, ROW(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedpric
 def node_upsert_last(spark, sf):
     li = table(spark, sf, "lineitem")
     key = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
-    rows = li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("id"), F.col("l_shipdate").alias("seen"), F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("tax"), key.alias("ord"))
+    rows = li.select(F.concat(F.lit("supplier:"), F.col("l_suppkey").cast("string")).alias("id"), F.col("l_shipdate").alias("seen"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_tax")).alias("tax"), key.alias("ord"))
     return B.upsert_nodes(rows, ["ord"])
 
 
@@ -215,7 +219,8 @@ def graph_compose(spark, sf):
 @query("SELECT 'order:' || l_orderkey AS hyperedge, 'part:' || l_partkey AS node FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem WHERE l_partkey % 2 = 0)")
 def hyperedge_members(spark, sf):
     li = table(spark, sf, "lineitem")
-    h = li.groupBy(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("id")).agg(F.collect_set(F.concat(F.lit("part:"), F.col("l_partkey").cast("string"))).alias("nodes"))
+    h = li.groupBy(F.concat(F.lit("order:"), F.col("l_orderkey").cast("string")).alias("id")).agg(F.collect_set(F.concat(F.lit("part:"),
+        F.col("l_partkey").cast("string"))).alias("nodes"))
     return B.hyperedge_members(h, _even_parts(spark, sf))
 
 
@@ -224,7 +229,8 @@ s AS (SELECT id, CASE regexp_extract(f, '\\.([^./]+)$', 1) WHEN 'py' THEN 'pytho
 SELECT confidence, count(*) AS n FROM (SELECT 'part:' || a.l_partkey AS src, 'part:' || b.l_partkey AS dst, a.conf AS confidence FROM li a JOIN li b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = 1 AND b.l_linenumber = 2) e
 JOIN s x ON x.id = src JOIN s y ON y.id = dst WHERE NOT (confidence = 'INFERRED' AND x.fam IS NOT NULL AND y.fam IS NOT NULL AND x.fam <> y.fam) GROUP BY 1""")
 def cross_family_filter(spark, sf):
-    nodes = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), F.when(F.col("p_size") % 3 == 0, "src/a.py").when(F.col("p_size") % 3 == 1, "src/b.ts").otherwise("x/readme").alias("source_file"))
+    nodes = table(spark, sf, "part").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"),
+        F.when(F.col("p_size") % 3 == 0, "src/a.py").when(F.col("p_size") % 3 == 1, "src/b.ts").otherwise("x/readme").alias("source_file"))
     li = table(spark, sf, "lineitem")
     conf = F.when(F.col("l_returnflag") == "A", "INFERRED").when(F.col("l_returnflag") == "R", "AMBIGUOUS").otherwise("EXTRACTED")
     a = li.where("l_linenumber = 1").select("l_orderkey", F.concat(F.lit("part:"), F.col("l_partkey").cast("string")).alias("src"), conf.alias("confidence"))
@@ -276,8 +282,10 @@ CASE WHEN o_orderkey % 11 = 0 THEN 'WRONG-BASE' WHEN o_orderstatus = 'F' AND o_o
 WHEN floor((epoch(TIMESTAMP '1999-01-01') - floor(epoch(o_orderdate))) / 86400) >= 14 THEN 'STALE' WHEN o_orderpriority LIKE '2%' THEN 'APPROVED' ELSE 'READY' END AS status FROM orders) GROUP BY 1""", star=False)
 def pr_status(spark, sf):
     o = table(spark, sf, "orders").select(
-        F.when(F.col("o_orderkey") % 11 == 0, "dev").otherwise("main").alias("base_branch"), F.lit("main").alias("expected_base"), F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), "FAILURE").otherwise("SUCCESS").alias("ci_status"),
-        F.when(F.col("o_orderpriority").startswith("1"), "CHANGES_REQUESTED").when(F.col("o_orderpriority").startswith("2"), "APPROVED").alias("review_decision"), (F.col("o_orderkey") % 7 == 0).alias("is_draft"), F.col("o_orderdate").alias("updated_at"),
+        F.when(F.col("o_orderkey") % 11 == 0, "dev").otherwise("main").alias("base_branch"), F.lit("main").alias("expected_base"),
+        F.when((F.col("o_orderstatus") == "F") & (F.col("o_orderkey") % 3 == 0), "FAILURE").otherwise("SUCCESS").alias("ci_status"),
+        F.when(F.col("o_orderpriority").startswith("1"), "CHANGES_REQUESTED").when(F.col("o_orderpriority").startswith("2"), "APPROVED").alias("review_decision"),
+        (F.col("o_orderkey") % 7 == 0).alias("is_draft"), F.col("o_orderdate").alias("updated_at"),
     )
     return A.change_status(o, F.to_timestamp(F.lit("1999-01-01"))).groupBy("status").agg(F.count("*").alias("n"), F.sum("age_days").alias("ages"))
 
@@ -414,7 +422,8 @@ def jaro_winkler_all_pairs(spark, sf):
 @query("""m AS (SELECT p_name AS component, 'p' || p_partkey || CASE WHEN p_partkey % 3 = 0 THEN '_c1' ELSE '' END AS node FROM part)
 SELECT component, node AS winner FROM (SELECT *, row_number() OVER (PARTITION BY component ORDER BY node LIKE '%\\_c1' ESCAPE '\\', length(node), node) AS k FROM m) WHERE k = 1""")
 def dedup_survivors(spark, sf):
-    m = table(spark, sf, "part").select(F.col("p_name").alias("component"), F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_c1").otherwise("")).alias("node"))
+    m = table(spark, sf, "part").select(F.col("p_name").alias("component"),
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string"), F.when(F.col("p_partkey") % 3 == 0, "_c1").otherwise("")).alias("node"))
     return D.survivors(m)
 
 
@@ -423,7 +432,8 @@ SELECT relation, coalesce(b.new, dst) AS dst, count(*) AS n FROM edges LEFT JOIN
 def edge_rewire(spark, sf):
     p = table(spark, sf, "part")
     least = p.groupBy("p_name").agg(F.min("p_partkey").alias("m"))
-    remap = p.join(least, "p_name").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("old"), F.concat(F.lit("part:"), F.col("m").cast("string")).alias("new"))
+    remap = p.join(least, "p_name").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("old"),
+        F.concat(F.lit("part:"), F.col("m").cast("string")).alias("new"))
     return D.rewire(star_edges(spark, sf), remap).groupBy("relation", "dst").agg(F.count("*").alias("n"))
 
 
@@ -443,7 +453,8 @@ def surprise_score(spark, sf):
 
 @query(f"{_SURPRISE} SELECT DISTINCT src, dst, relation, surprise FROM s ORDER BY surprise DESC, src, dst, relation LIMIT 20")
 def cross_file_surprises(spark, sf):
-    return A.scored_surprises(star_edges(spark, sf), star_nodes(spark, sf)).select("src", "dst", "relation", "surprise").distinct().orderBy(F.desc("surprise"), "src", "dst", "relation").limit(20)
+    return A.scored_surprises(star_edges(spark, sf), star_nodes(spark, sf)).select("src", "dst", "relation", "surprise").distinct().orderBy(F.desc("surprise"), "src", "dst",
+        "relation").limit(20)
 
 
 @query(f"""{_CC}, k AS (SELECT *, row_number() OVER (PARTITION BY least(cu, cv), greatest(cu, cv) ORDER BY CASE confidence WHEN 'AMBIGUOUS' THEN 0 WHEN 'INFERRED' THEN 1 ELSE 2 END, src, dst, relation) AS r FROM c WHERE cu <> cv AND relation NOT IN ('imports', 'imports_from', 'contains', 'method'))

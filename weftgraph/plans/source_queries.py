@@ -103,7 +103,8 @@ def include_reach(spark, sf):
     return L.may_hold_included(table(spark, sf, "documents").select(F.col("source").alias("path")).distinct(), ["src1/deep/*.md", "/src2"])
 
 
-_HOSTS = ("https://example.org/x", "http://10.1.2.3/", "ftp://example.org/", "http://localhost:80/", "https://172.32.0.1/a", "http://user@192.168.0.9/", "http://[::1]/", "https://8.8.8.8/", "http:///nohost", "http://100.64.0.1/")
+_HOSTS = ("https://example.org/x", "http://10.1.2.3/", "ftp://example.org/", "http://localhost:80/", "https://172.32.0.1/a", "http://user@192.168.0.9/", "http://[::1]/",
+    "https://8.8.8.8/", "http:///nohost", "http://100.64.0.1/")
 _PROBLEMS = (None, "private", "scheme", "private", None, "private", "private", None, "host", "private")
 
 
@@ -123,7 +124,9 @@ def safe_pages(spark, sf):
 def google_shortcuts(spark, sf):
     i = F.col("p_partkey") % 4
     path = F.concat(F.lit("a/"), _key(), F.when(i == 0, ".gdoc").when(i == 1, ".gsheet").when(i == 2, ".gslides").otherwise(".gdoc"))
-    text = F.when(i == 0, F.concat(F.lit('{"doc_id": "D'), _key(), F.lit('"}'))).when(i == 1, F.concat(F.lit('{"url": "https://docs.example/d/D'), _key(), F.lit('/edit"}'))).when(i == 2, F.concat(F.lit('{"url": "https://docs.example/open?id=D'), _key(), F.lit('"}'))).otherwise("not json")
+    text = F.when(i == 0, F.concat(F.lit('{"doc_id": "D'), _key(), F.lit('"}'))).when(i == 1,
+        F.concat(F.lit('{"url": "https://docs.example/d/D'), _key(), F.lit('/edit"}'))).when(i == 2,
+        F.concat(F.lit('{"url": "https://docs.example/open?id=D'), _key(), F.lit('"}'))).otherwise("not json")
     s = L.shortcut(path, text)
     return _part(spark, sf).select("p_partkey", s["kind"].alias("kind"), s["doc_id"].alias("doc_id"))
 
@@ -210,7 +213,9 @@ def workbook_structure(spark, sf):
 def graph_file_reader(spark, sf):
     n = table(spark, sf, "nation").agg(
         F.sort_array(F.collect_list(F.struct(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("key"), F.col("n_name").alias("label")))).alias("vertices"),
-        F.sort_array(F.collect_list(F.struct(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("from"), F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("to"), (F.col("n_nationkey") / 100.0).cast("string").alias("confidence_score")))).alias("relationships"),
+        F.sort_array(F.collect_list(F.struct(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("from"),
+        F.concat(F.lit("region:"), F.col("n_regionkey").cast("string")).alias("to"),
+        (F.col("n_nationkey") / 100.0).cast("string").alias("confidence_score")))).alias("relationships"),
     )  # the nations: 25 rows
     path = f"{Scratch(spark, 'graph-file').root}/graph.json"
     n.select(F.to_json(F.struct(F.lit(True).alias("directed"), F.struct("vertices", "relationships").alias("graph"))).alias("value")).coalesce(1).write.text(path)
@@ -224,7 +229,8 @@ def graph_file_reader(spark, sf):
 @query("SELECT 'py/' || n_nationkey || '.py' AS source_file, CASE WHEN n_nationkey % 2 = 0 THEN 1 ELSE 0 END AS errors, CASE WHEN n_nationkey % 2 = 0 THEN 0 ELSE 2 END AS nodes FROM nation")
 def failing_files(spark, sf):
     k = F.col("n_nationkey").cast("string")
-    f = table(spark, sf, "nation").select(F.concat(F.lit("py/"), k, F.lit(".py")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "def broken(:\n").otherwise("def fine():\n    pass\n").alias("text"))
+    f = table(spark, sf, "nation").select(F.concat(F.lit("py/"), k, F.lit(".py")).alias("path"),
+        F.when(F.col("n_nationkey") % 2 == 0, "def broken(:\n").otherwise("def fine():\n    pass\n").alias("text"))
     rows = X.extract(f)
     return rows.groupBy("source_file").agg(F.count_if(F.col("kind") == "error").cast("int").alias("errors"), F.count_if(F.col("kind") == "node").cast("int").alias("nodes"))
 
@@ -236,7 +242,8 @@ def keep_resolvable(spark, sf):
     s = lambda c: F.col(c).cast("string")
     edges = li.select(
         F.lit("edge").alias("kind"), F.lit(None).cast("string").alias("id"), F.concat(F.lit("p"), s("l_orderkey")).alias("src"),
-        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("q"), s("l_partkey"))).otherwise(F.concat(F.lit("x"), s("l_partkey"))).alias("dst"), F.when(F.col("l_linenumber") % 3 == 0, "imports").otherwise("calls").alias("relation"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("q"), s("l_partkey"))).otherwise(F.concat(F.lit("x"), s("l_partkey"))).alias("dst"),
+        F.when(F.col("l_linenumber") % 3 == 0, "imports").otherwise("calls").alias("relation"),
     )
     node = lambda c: c.select(F.lit("node").alias("kind"), F.col("n").alias("id"), F.lit(None).cast("string").alias("src"), F.lit(None).cast("string").alias("dst"), F.lit(None).cast("string").alias("relation"))
     nodes = li.where("l_orderkey % 2 = 0").select(F.concat(F.lit("p"), s("l_orderkey")).alias("n")).distinct().union(_part(spark, sf).select(F.concat(F.lit("q"), _key())))
@@ -252,8 +259,10 @@ const help{K} = run{K};
 // import ghost from 'ghost'
 """
 _JS_FACTS = [
-    ("import", "def{K}", "./lib{K}", "default"), ("import", "b{K}", "./lib{K}", "a"), ("import", "T", "./lib{K}", "T"), ("import", "ns", "pkg", "*"), ("export", "c", "./other", "b{K}"), ("export", "x", "./other", "x"), ("star_export", None, "./all{K}", None),
-    ("declare", "run{K}", None, "run{K}"), ("export", "default", None, "run{K}"), ("declare", "help{K}", None, "help{K}"), ("alias", "help{K}", None, "run{K}"), ("use", "help{K}", None, "help{K}"), ("use", "b{K}", None, "b{K}"),
+    ("import", "def{K}", "./lib{K}", "default"), ("import", "b{K}", "./lib{K}", "a"), ("import", "T", "./lib{K}", "T"), ("import", "ns", "pkg", "*"),
+    ("export", "c", "./other", "b{K}"), ("export", "x", "./other", "x"), ("star_export", None, "./all{K}", None),
+    ("declare", "run{K}", None, "run{K}"), ("export", "default", None, "run{K}"), ("declare", "help{K}", None, "help{K}"), ("alias", "help{K}", None, "run{K}"),
+    ("use", "help{K}", None, "help{K}"), ("use", "b{K}", None, "b{K}"),
 ]
 _PY = """import os.path as osp
 from .mod{K} import thing as t{K}
@@ -266,7 +275,8 @@ def go{K}():
 again = go{K}
 """
 _PY_FACTS = [
-    ("import", "osp", "os.path", None), ("import", "t{K}", ".mod{K}", "thing"), ("star_export", None, "pkg", None), ("export", "Top{K}", None, "Top{K}"), ("declare", "Top{K}", None, "Top{K}"), ("declare", "go{K}", None, "go{K}"), ("alias", "again", None, "go{K}"),
+    ("import", "osp", "os.path", None), ("import", "t{K}", ".mod{K}", "thing"), ("star_export", None, "pkg", None), ("export", "Top{K}", None, "Top{K}"),
+    ("declare", "Top{K}", None, "Top{K}"), ("declare", "go{K}", None, "go{K}"), ("alias", "again", None, "go{K}"),
     ("use", "t{K}", None, "t{K}"), ("use", "Top{K}", None, "Top{K}"),
 ]
 
@@ -282,7 +292,8 @@ def _fact_sql() -> str:
 def symbol_facts(spark, sf):
     k = F.col("n_nationkey").cast("string")
     both = F.explode(F.array(*(F.struct(F.lit(e).alias("e"), F.lit(t).alias("t")) for e, t in ((".ts", _JS), (".py", _PY)))))
-    f = table(spark, sf, "nation").select(k.alias("k"), both.alias("x")).select(F.concat(F.lit("m/f"), F.col("k"), F.col("x.e")).alias("path"), F.replace(F.col("x.t"), F.lit("{K}"), F.col("k")).alias("text"))
+    f = table(spark, sf, "nation").select(k.alias("k"), both.alias("x")).select(F.concat(F.lit("m/f"), F.col("k"), F.col("x.e")).alias("path"),
+        F.replace(F.col("x.t"), F.lit("{K}"), F.col("k")).alias("text"))
     return facts.symbol_facts(f).drop("line")
 
 
@@ -293,10 +304,13 @@ def symbol_facts(spark, sf):
 def import_guided_calls(spark, sf):
     s = lambda c: F.col(c).cast("string")
     li = table(spark, sf, "lineitem")
-    raw = li.select(F.concat(F.lit("o"), s("l_orderkey")).alias("caller"), F.concat(F.lit("local"), s("l_partkey")).alias("callee"), F.concat(F.lit("f"), (F.col("l_linenumber") % 2).cast("string")).alias("source_file"))
+    raw = li.select(F.concat(F.lit("o"), s("l_orderkey")).alias("caller"), F.concat(F.lit("local"), s("l_partkey")).alias("callee"),
+        F.concat(F.lit("f"), (F.col("l_linenumber") % 2).cast("string")).alias("source_file"))
     p = _part(spark, sf)
-    aliases = p.select(F.lit("f0").alias("source_file"), F.concat(F.lit("local"), _key()).alias("local"), F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string")).alias("module"), F.concat(F.lit("Name"), _key()).alias("name"))
-    nodes = p.select(F.concat(F.lit("p"), _key()).alias("id"), F.concat(F.lit("name"), _key(), F.lit("()")).alias("label"), F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string")).alias("stem"))
+    aliases = p.select(F.lit("f0").alias("source_file"), F.concat(F.lit("local"), _key()).alias("local"),
+        F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string")).alias("module"), F.concat(F.lit("Name"), _key()).alias("name"))
+    nodes = p.select(F.concat(F.lit("p"), _key()).alias("id"), F.concat(F.lit("name"), _key(), F.lit("()")).alias("label"),
+        F.concat(F.lit("m"), (F.col("p_partkey") % 7).cast("string")).alias("stem"))
     return R.import_guided_calls(raw, aliases, nodes)
 
 
@@ -304,7 +318,8 @@ def import_guided_calls(spark, sf):
 def raw_calls_on_triples(spark, sf):
     """The library form: an edge of another relation does not hold a call back, one of the same does."""
     s = lambda c: F.col(c).cast("string")
-    li = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("caller"), F.concat(F.lit("name"), s("l_partkey")).alias("callee"), F.lit(False).alias("is_member_call"), F.lit("f").alias("source_file"), F.concat(F.lit("p"), s("l_partkey")).alias("dst"), (F.col("l_partkey") % 3).alias("m"))
+    li = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("caller"), F.concat(F.lit("name"), s("l_partkey")).alias("callee"),
+        F.lit(False).alias("is_member_call"), F.lit("f").alias("source_file"), F.concat(F.lit("p"), s("l_partkey")).alias("dst"), (F.col("l_partkey") % 3).alias("m"))
     nodes = _part(spark, sf).select(F.concat(F.lit("p"), _key()).alias("id"), F.concat(F.lit("Name"), _key(), F.lit("()")).alias("label"), F.lit("code").alias("file_type"))
     held = li.select(F.col("caller").alias("src"), "dst", F.when(F.col("m") == 0, "calls").otherwise("contains").alias("relation")).distinct()
     return R.resolve_calls(li.drop("dst", "m"), nodes, held, on_pair=False).select("src", "dst", "relation")
@@ -322,7 +337,8 @@ def bash_sources(spark, sf):
     p = _part(spark, sf).select("p_partkey", path(F.col("p_partkey")).alias("path"), half.alias("half"))
     sources = p.select(F.col("path").alias("source_file"), F.concat(F.lit("./../x/../"), path(F.col("half"))).alias("target"))
     edges = R.sourced_files(sources, p.select("path", F.concat(F.lit("s"), F.col("p_partkey").cast("string")).alias("id")))
-    raw = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("caller"), F.concat(F.lit("fn"), F.col("half").cast("string")).alias("callee"), F.col("path").alias("source_file"))
+    raw = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("c"), F.col("p_partkey").cast("string")).alias("caller"),
+        F.concat(F.lit("fn"), F.col("half").cast("string")).alias("callee"), F.col("path").alias("source_file"))
     fns = p.select("path", F.concat(F.lit("fn"), F.col("p_partkey").cast("string")).alias("name"), F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"))
     return edges.unionByName(R.sourced_calls(raw, sources, fns).select("src", "dst", "relation"))
 
@@ -332,7 +348,8 @@ def java_imports(spark, sf):
     s = lambda c: F.col(c).cast("string")
     package = lambda c: F.concat(F.lit("org.p"), (F.col(c) % 97).cast("string"))
     classes = _part(spark, sf).select(package("p_partkey").alias("package"), F.concat(F.lit("C"), _key()).alias("label"), F.concat(F.lit("p"), _key()).alias("id"))
-    i = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("file_id"), F.concat(package("l_partkey"), F.when(F.col("l_linenumber") % 4 == 0, ".*").otherwise(F.concat(F.lit(".C"), s("l_partkey")))).alias("name"))
+    i = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("file_id"),
+        F.concat(package("l_partkey"), F.when(F.col("l_linenumber") % 4 == 0, ".*").otherwise(F.concat(F.lit(".C"), s("l_partkey")))).alias("name"))
     return R.package_imports(i, classes)
 
 
@@ -341,7 +358,8 @@ FROM lineitem, (SELECT max(p_partkey) AS m FROM part)""")
 def swift_extensions(spark, sf):
     """Odd parts extend the type that the next even part defines."""
     s = lambda c: F.col(c).cast("string")
-    nodes = _part(spark, sf).select(F.concat(F.lit("p"), _key()).alias("id"), F.concat(F.lit("T"), F.floor((F.col("p_partkey") + 1) / 2).cast("string")).alias("label"), (F.col("p_partkey") % 2 == 1).alias("is_extension"))
+    nodes = _part(spark, sf).select(F.concat(F.lit("p"), _key()).alias("id"), F.concat(F.lit("T"), F.floor((F.col("p_partkey") + 1) / 2).cast("string")).alias("label"),
+        (F.col("p_partkey") % 2 == 1).alias("is_extension"))
     e = table(spark, sf, "lineitem").select(
         F.concat(F.lit("p"), s("l_partkey")).alias("src"), F.concat(F.lit("s"), s("l_suppkey")).alias("dst"), F.lit("uses").alias("relation"),
         F.concat(F.lit("f"), (F.col("l_orderkey") % 3).cast("string")).alias("source_file"), F.concat(F.lit("L"), s("l_linenumber")).alias("source_location"),
@@ -363,7 +381,8 @@ def module_paths(spark, sf):
     i = F.col("p_partkey") % 5
     imports = _part(spark, sf).select(
         F.concat(F.lit("app/x"), (F.col("p_partkey") % 3).cast("string"), F.lit("/main"), _key(), F.lit(".ts")).alias("source_file"),
-        F.when(i == 0, "./util").when(i == 1, F.concat(F.lit("../lib/m"), _key())).when(i == 2, F.concat(F.lit("@/lib/m"), _key())).when(i == 3, "pkg-a").otherwise("react").alias("specifier"),
+        F.when(i == 0, "./util").when(i == 1, F.concat(F.lit("../lib/m"), _key())).when(i == 2, F.concat(F.lit("@/lib/m"), _key())).when(i == 3,
+        "pkg-a").otherwise("react").alias("specifier"),
     )
     libs = _part(spark, sf).select(F.explode(F.array(F.concat(F.lit("app/lib/m"), _key(), F.lit(".ts")), F.concat(F.lit("app/lib/m"), _key(), F.lit(".js")))).alias("path"))
     files = libs.union(spark.createDataFrame([(f"app/x{k}/util/index.ts",) for k in range(3)] + [("packages/a/src/index.ts",)], "path string"))
@@ -385,7 +404,8 @@ def class_level_imports(spark, sf):
 def reference_edges(spark, sf):
     s = lambda c: F.col(c).cast("string")
     i = F.col("l_linenumber") % 3
-    refs = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("src"), F.concat(F.lit("p"), s("l_partkey")).alias("dst"), F.when(i == 0, "field").when(i == 1, "return_type").otherwise("parameter_type").alias("context"), F.lit("f").alias("source_file"), F.lit("L1").alias("source_location"))
+    refs = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("src"), F.concat(F.lit("p"), s("l_partkey")).alias("dst"),
+        F.when(i == 0, "field").when(i == 1, "return_type").otherwise("parameter_type").alias("context"), F.lit("f").alias("source_file"), F.lit("L1").alias("source_location"))
     return R.reference_edges(refs).select("src", "dst", "relation", "context")
 
 
@@ -395,14 +415,17 @@ def reference_edges(spark, sf):
 @query("""SELECT 'p' || p_partkey AS id, p_name AS label, CASE p_partkey % 5 WHEN 0 THEN 'document' WHEN 1 THEN 'code' WHEN 2 THEN 'code' ELSE 'concept' END AS file_type, 'f' || p_size AS source_file FROM part""")
 def legacy_nodes(spark, sf):
     i = F.col("p_partkey") % 5
-    raw = _part(spark, sf).select(F.concat(F.lit("p"), _key()).alias("node_id"), F.col("p_name").alias("title"), F.when(i == 0, "Markdown").when(i == 1, "code").when(i == 2, "tool").when(i == 3, "pattern").otherwise("mystery").alias("type"), F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("source"))
+    raw = _part(spark, sf).select(F.concat(F.lit("p"), _key()).alias("node_id"), F.col("p_name").alias("title"),
+        F.when(i == 0, "Markdown").when(i == 1, "code").when(i == 2, "tool").when(i == 3, "pattern").otherwise("mystery").alias("type"),
+        F.concat(F.lit("f"), F.col("p_size").cast("string")).alias("source"))
     return B.coerce_nodes(raw).select("id", "label", "file_type", "source_file")
 
 
 @query("SELECT 'o' || l_orderkey AS src, 'p' || l_partkey AS dst, 'uses' AS relation, CASE WHEN l_linenumber % 2 = 0 THEN CAST(0.5 AS DOUBLE) END AS confidence_score FROM lineitem")
 def legacy_edges(spark, sf):
     s = lambda c: F.col(c).cast("string")
-    raw = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("from"), F.concat(F.lit("p"), s("l_partkey")).alias("to"), F.lit("uses").alias("type"), F.when(F.col("l_linenumber") % 2 == 0, "0.5").otherwise("high").alias("score"))
+    raw = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), s("l_orderkey")).alias("from"), F.concat(F.lit("p"), s("l_partkey")).alias("to"), F.lit("uses").alias("type"),
+        F.when(F.col("l_linenumber") % 2 == 0, "0.5").otherwise("high").alias("score"))
     return B.coerce_edges(raw).select("src", "dst", "relation", "confidence_score")
 
 
@@ -418,7 +441,8 @@ _FRAG_ID = "CASE p_partkey % 6 WHEN 0 THEN '' WHEN 1 THEN 'a/b' || p_partkey WHE
 @query(f"""SELECT {_FRAG_ID} AS id, unnest(CASE p_partkey % 6 WHEN 0 THEN ['empty_id'] WHEN 1 THEN ['path_separator'] WHEN 3 THEN ['bad_character'] WHEN 4 THEN ['long_id'] ELSE [] END) AS code FROM part""")
 def fragment_ids(spark, sf):
     i = F.col("p_partkey") % 6
-    raw = F.when(i == 0, "").when(i == 1, F.concat(F.lit("a/b"), _key())).when(i == 2, F.concat(F.lit("ok_"), _key())).when(i == 3, F.concat(F.lit("bad id"), _key())).when(i == 4, "x" * 300).otherwise(F.concat(F.lit("fine:"), _key()))
+    raw = F.when(i == 0, "").when(i == 1, F.concat(F.lit("a/b"), _key())).when(i == 2, F.concat(F.lit("ok_"), _key())).when(i == 3, F.concat(F.lit("bad id"), _key())).when(i == 4,
+        "x" * 300).otherwise(F.concat(F.lit("fine:"), _key()))
     return B.fragment_violations(_part(spark, sf).select(raw.alias("id")))
 
 
@@ -429,7 +453,8 @@ _WHY = "'Because ' || p_name || ' is a part that the shop must hold in stock, al
 def sanitized_fragment(spark, sf):
     p = _part(spark, sf)
     code = p.select(F.concat(F.lit("p"), _key()).alias("id"), F.col("p_name").alias("label"), F.when(F.col("p_partkey") % 5 == 0, "concept").otherwise("code").alias("file_type"))
-    why = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("r"), _key()).alias("id"), F.concat(F.lit("Because "), "p_name", F.lit(" is a part that the shop must hold in stock, always.")).alias("label"), F.lit("rationale").alias("file_type"))
+    why = p.where("p_partkey % 3 = 0").select(F.concat(F.lit("r"), _key()).alias("id"),
+        F.concat(F.lit("Because "), "p_name", F.lit(" is a part that the shop must hold in stock, always.")).alias("label"), F.lit("rationale").alias("file_type"))
     short = p.where("p_partkey % 3 = 1").select(F.concat(F.lit("r"), _key()).alias("id"), F.lit("short one").alias("label"), F.lit("rationale").alias("file_type"))
     edges = p.select(F.concat(F.lit("r"), _key()).alias("src"), F.concat(F.lit("p"), _key()).alias("dst"), F.lit("rationale_for").alias("relation"))
     hyper = p.limit(0).select(_key().alias("id"), F.array(_key()).alias("nodes"))
@@ -466,7 +491,8 @@ _WORD = "split_part(p_name, ' ', 1) || p_size % 10"
 @query("""WITH t AS (SELECT DISTINCT 'v' || p_size || CASE WHEN p_partkey % 2 = 0 THEN 'alpha' ELSE 'x' || (p_partkey % 7) END AS t FROM part), s AS (SELECT t, regexp_extract(t, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 1) AS stem, regexp_extract(t, '^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$', 2) AS e FROM t)
 SELECT a.t AS a, b.t AS b FROM s a JOIN s b ON a.t < b.t AND a.stem = b.stem AND a.e <> b.e AND a.stem <> '' AND greatest(length(a.t), length(b.t)) < 12""")
 def variant_pairs(spark, sf):
-    t = _part(spark, sf).select(F.concat(F.lit("v"), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise(F.concat(F.lit("x"), (F.col("p_partkey") % 7).cast("string")))).alias("t")).distinct()
+    t = _part(spark, sf).select(F.concat(F.lit("v"), F.col("p_size").cast("string"),
+        F.when(F.col("p_partkey") % 2 == 0, "alpha").otherwise(F.concat(F.lit("x"), (F.col("p_partkey") % 7).cast("string")))).alias("t")).distinct()
     stem = F.regexp_extract("t", "^(.*[a-z])([0-9]+[a-z]*|[a-z]{2,})$", 1)
     s = t.withColumn("stem", stem)  # variants share a stem, so that is the join key
     a, b = s.select(F.col("t").alias("a"), "stem"), s.select(F.col("t").alias("b"), "stem")
@@ -492,7 +518,8 @@ def diacritics(spark, sf):
 
 @query("SELECT page_id, CASE WHEN contains(substr(path, 2), '/') THEN split_part(path, '/', -2) || '.' ELSE '' END || regexp_replace(split_part(path, '/', -1), '(.)\\.[^.]*$', '\\1') AS stem FROM (SELECT page_id, regexp_extract(url, '^[a-z]+://[^/?#]*(/[^?#]*)', 1) AS path FROM pages WHERE url IS NOT NULL) WHERE path <> '' AND path NOT LIKE '%//%'")
 def file_stems(spark, sf):
-    p = table(spark, sf, "pages").where("url is not null").select("page_id", F.regexp_extract("url", r"^[a-z]+://[^/?#]*(/[^?#]*)", 1).alias("path")).where("path <> '' and path not like '%//%'")
+    p = table(spark, sf, "pages").where("url is not null").select("page_id",
+        F.regexp_extract("url", r"^[a-z]+://[^/?#]*(/[^?#]*)", 1).alias("path")).where("path <> '' and path not like '%//%'")
     return p.select("page_id", T.file_stem(F.col("path")).alias("stem"))
 
 
@@ -504,7 +531,8 @@ _RAW = """CASE turn % 4 WHEN 0 THEN '```json' || chr(10) || '{"nodes": [{"id": "
 @query("SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 1 WHEN 1 THEN 2 ELSE 0 END AS nodes, CASE turn % 4 WHEN 1 THEN 1 ELSE 0 END AS edges, turn % 4 IN (2, 3) AS hollow FROM conversations")
 def answer_parsing(spark, sf):
     i = F.col("turn") % 4
-    raw = F.when(i == 0, F.concat(F.lit('```json\n{"nodes": [{"id": "c'), F.col("conv_id").cast("string"), F.lit('"}], "edges": []}\n```'))).when(i == 1, '{"nodes": [{"id": "a"}, {"id": "b"}], "edges": [{"source": "a", "target": "b"}]}').when(i == 2, "sorry, no").otherwise("  ")
+    raw = F.when(i == 0, F.concat(F.lit('```json\n{"nodes": [{"id": "c'), F.col("conv_id").cast("string"), F.lit('"}], "edges": []}\n```'))).when(i == 1,
+        '{"nodes": [{"id": "a"}, {"id": "b"}], "edges": [{"source": "a", "target": "b"}]}').when(i == 2, "sorry, no").otherwise("  ")
     p = W.parsed(raw)
     return table(spark, sf, "conversations").select("conv_id", "turn", F.size(p["nodes"]).alias("nodes"), F.size(p["edges"]).alias("edges"), W.hollow(raw).alias("hollow"))
 
@@ -521,7 +549,8 @@ def _stub(items):
 
 
 def _asked(spark, sf):
-    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 8).cast("string").alias("chunk"), F.struct(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("path"), F.lit("text").alias("text")).alias("i"))
+    c = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 8).cast("string").alias("chunk"),
+        F.struct(F.lpad(F.col("c_custkey").cast("string"), 9, "0").alias("path"), F.lit("text").alias("text")).alias("i"))
     return W.ask(c.groupBy("chunk").agg(F.sort_array(F.collect_list("i")).alias("items")), _stub)  # eight items a chunk
 
 
@@ -535,28 +564,32 @@ _COST = {1: (1, 1, 1), 2: (1, 2, 2), 3: (2, 6, 4), 4: (2, 8, 5), 5: (3, 8, 6), 6
 
 
 @query("WITH m AS (SELECT c_custkey // 8 AS chunk, count(*) AS m FROM customer GROUP BY 1) SELECT count(*) AS n_chunks, " + ", ".join(
-    f"CAST(sum(CASE m {' '.join(f'WHEN {k} THEN {v[i]}' for k, v in _COST.items())} END) AS BIGINT) AS {name}" for i, name in enumerate(("n_answers", "input_tokens", "output_tokens"))) + ", 0 AS n_failed_chunks, 0 AS n_failed_parts, 0 AS n_truncated FROM m")
+    f"CAST(sum(CASE m {' '.join(f'WHEN {k} THEN {v[i]}' for k, v in _COST.items())} END) AS BIGINT) AS {name}" for i,
+    name in enumerate(("n_answers", "input_tokens", "output_tokens"))) + ", 0 AS n_failed_chunks, 0 AS n_failed_parts, 0 AS n_truncated FROM m")
 def answer_accounting(spark, sf):
     return W.accounting(_asked(spark, sf)).drop("cost")
 
 
 @query("SELECT CAST(count(*) AS BIGINT) AS n_chunks, CAST(count(*) FILTER (n_nationkey % 5 = 0) AS BIGINT) AS n_failed_chunks, round(count(*) FILTER (n_nationkey % 5 <> 0) * 5.0 / 1e6, 6) AS cost FROM nation")
 def failed_chunks(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("chunk"), F.array(F.struct(F.col("n_name").alias("path"), F.when(F.col("n_nationkey") % 5 == 0, "fail").otherwise("text").alias("text"))).alias("items"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("chunk"),
+        F.array(F.struct(F.col("n_name").alias("path"), F.when(F.col("n_nationkey") % 5 == 0, "fail").otherwise("text").alias("text"))).alias("items"))
     return W.accounting(W.ask(n, _stub), 2.0, 3.0).select("n_chunks", "n_failed_chunks", "cost")
 
 
 @query("SELECT 'c' || p_partkey AS path, CASE p_partkey % 4 WHEN 1 THEN 'size' WHEN 2 THEN 'json' WHEN 3 THEN 'shape' END AS problem FROM part WHERE p_partkey % 4 <> 0")
 def fragment_files(spark, sf):
     i = F.col("p_partkey") % 4
-    f = _part(spark, sf).select(F.concat(F.lit("c"), _key()).alias("path"), F.when(i == 1, 1 << 30).otherwise(10).cast("long").alias("size"), F.when(i == 2, "{oops").when(i == 3, '{"nodes": {}}').otherwise('{"nodes": [], "edges": []}').alias("text"))
+    f = _part(spark, sf).select(F.concat(F.lit("c"), _key()).alias("path"), F.when(i == 1, 1 << 30).otherwise(10).cast("long").alias("size"),
+        F.when(i == 2, "{oops").when(i == 3, '{"nodes": {}}').otherwise('{"nodes": [], "edges": []}').alias("text"))
     return W.fragment_problems(f)
 
 
 @query("SELECT 'c' || p_partkey AS path, p_partkey % 3 AS n FROM part WHERE p_partkey % 3 > 0")
 def chunk_files(spark, sf):
     i = F.col("p_partkey") % 3
-    raw = _part(spark, sf).select(F.concat(F.lit("c"), _key()).alias("path"), F.when(i == 0, "not json").when(i == 1, '{"nodes": [{"id": "a"}]}').otherwise('{"nodes": [{"id": "a"}, {"id": "b"}], "edges": []}').alias("text"))
+    raw = _part(spark, sf).select(F.concat(F.lit("c"), _key()).alias("path"),
+        F.when(i == 0, "not json").when(i == 1, '{"nodes": [{"id": "a"}]}').otherwise('{"nodes": [{"id": "a"}, {"id": "b"}], "edges": []}').alias("text"))
     return W.good_chunks(raw).select("path", F.size("fragment.nodes").cast("long").alias("n"))
 
 
@@ -605,9 +638,12 @@ def change_source(spark, sf):
     o = table(spark, sf, "orders")
     conclusion = F.when(F.col("o_orderstatus") == "F", "FAILURE").when(F.col("o_orderstatus") == "P", "").otherwise("SUCCESS")
     item = F.struct(
-        F.col("o_orderkey").alias("number"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.struct(F.concat(F.lit("clerk"), (F.col("o_custkey") % 7).cast("string")).alias("login")).alias("author"),
-        F.lit("main").alias("baseRefName"), F.lit("work").alias("headRefName"), (F.col("o_orderkey") % 4 == 0).alias("isDraft"), F.lit("1998-01-01T00:00:00Z").alias("updatedAt"), F.lit("").alias("reviewDecision"),
-        F.array(F.struct(F.lit("SUCCESS").alias("conclusion"), F.lit("COMPLETED").alias("status")), F.struct(conclusion.alias("conclusion"), F.when(conclusion == "", "IN_PROGRESS").otherwise("COMPLETED").alias("status"))).alias("statusCheckRollup"),
+        F.col("o_orderkey").alias("number"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"),
+        F.struct(F.concat(F.lit("clerk"), (F.col("o_custkey") % 7).cast("string")).alias("login")).alias("author"),
+        F.lit("main").alias("baseRefName"), F.lit("work").alias("headRefName"), (F.col("o_orderkey") % 4 == 0).alias("isDraft"), F.lit("1998-01-01T00:00:00Z").alias("updatedAt"),
+        F.lit("").alias("reviewDecision"),
+        F.array(F.struct(F.lit("SUCCESS").alias("conclusion"), F.lit("COMPLETED").alias("status")),
+        F.struct(conclusion.alias("conclusion"), F.when(conclusion == "", "IN_PROGRESS").otherwise("COMPLETED").alias("status"))).alias("statusCheckRollup"),
     )
     raw = o.select(F.to_json(F.array(item)).alias("text"))
     return H.read_changes(raw, F.lit("main")).select("number", "title", "author", "base_branch", "is_draft", "ci_status")
@@ -615,8 +651,10 @@ def change_source(spark, sf):
 
 def _changes(spark, sf):
     return table(spark, sf, "orders").select(
-        F.col("o_orderkey").alias("number"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("clerk").alias("author"), F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise("main").alias("base_branch"),
-        F.lit("main").alias("expected_base"), (F.col("o_orderkey") % 4 == 0).alias("is_draft"), F.to_timestamp(F.lit("1998-12-25")).alias("updated_at"), F.lit(None).cast("string").alias("review_decision"),
+        F.col("o_orderkey").alias("number"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("title"), F.lit("clerk").alias("author"),
+        F.when(F.col("o_orderkey") % 5 == 0, "old").otherwise("main").alias("base_branch"),
+        F.lit("main").alias("expected_base"), (F.col("o_orderkey") % 4 == 0).alias("is_draft"), F.to_timestamp(F.lit("1998-12-25")).alias("updated_at"),
+        F.lit(None).cast("string").alias("review_decision"),
         F.when(F.col("o_orderstatus") == "F", "FAILURE").when(F.col("o_orderstatus") == "P", "PENDING").otherwise("SUCCESS").alias("ci_status"),
     )
 
@@ -635,7 +673,8 @@ def pr_dashboard(spark, sf):
 @query("SELECT 'x/' || p_partkey || '.py' AS path, 2 AS line, 'seen_pairs' AS name, p_partkey % 3 AS arity FROM part")
 def suppression_sites(spark, sf):
     i = F.col("p_partkey") % 3
-    text = F.concat(F.lit("import os\n    seen_pairs"), F.when(i == 0, " = set()").when(i == 1, ": set[tuple[str]] = set()").otherwise(": set[tuple[str, str]] = set()"), F.lit("\nunseen = 1\n"))
+    text = F.concat(F.lit("import os\n    seen_pairs"), F.when(i == 0, " = set()").when(i == 1, ": set[tuple[str]] = set()").otherwise(": set[tuple[str, str]] = set()"),
+        F.lit("\nunseen = 1\n"))
     return H.suppression_sites(_part(spark, sf).select(F.concat(F.lit("x/"), _key(), F.lit(".py")).alias("path"), text.alias("text"))).select("path", "line", "name", "arity")
 
 
@@ -649,7 +688,8 @@ _DRAWN = "confidence = 'EXTRACTED' OR (confidence = 'INFERRED' AND confidence_sc
 def drawn_edges(spark, sf):
     e = star_edges(spark, sf)
     score = F.round(G.edge_score(F.col("relation"), F.col("confidence"), F.col("confidence_score")), 6)
-    return e.where(G.included(F.col("confidence"), F.col("confidence_score"))).groupBy("relation", "confidence").agg(F.count("*").alias("n"), F.round(F.sum(score), 3).alias("score"))
+    return e.where(G.included(F.col("confidence"), F.col("confidence_score"))).groupBy("relation", "confidence").agg(F.count("*").alias("n"),
+        F.round(F.sum(score), 3).alias("score"))
 
 
 @query(f"SELECT relation, count(*) AS n FROM edges WHERE ({_DRAWN}) AND relation = 'uses' GROUP BY 1", star=True)
@@ -677,7 +717,8 @@ n AS (SELECT section, word, count(*) AS n FROM c WHERE length(word) >= 3 AND wor
 SELECT section, CAST(rank AS INTEGER) AS rank, word, n FROM r WHERE rank <= 5""", star=True)
 def section_keywords(spark, sf):
     n = star_nodes(spark, sf)
-    return G.section_keywords(n, n.select("id", F.split_part("source_file", F.lit("/"), F.lit(1)).alias("section"))).select("section", F.col("rank").cast("int").alias("rank"), "word", "n")
+    return G.section_keywords(n, n.select("id", F.split_part("source_file", F.lit("/"), F.lit(1)).alias("section"))).select("section", F.col("rank").cast("int").alias("rank"),
+        "word", "n")
 
 
 def _summary(spark, sf):
@@ -726,7 +767,8 @@ def vault_notes(spark, sf):
 'query_20200102_030405_q' || conv_id || '.md' AS name FROM conversations WHERE text IS NOT NULL""")
 def memory_notes(spark, sf):
     c = table(spark, sf, "conversations").where("text is not null")
-    note = P.memory_note(F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.col("text"), F.to_timestamp(F.lit("2020-01-02 03:04:05")), F.lit("query"), F.array(F.concat(F.lit("n"), F.col("turn").cast("string"))))
+    note = P.memory_note(F.concat(F.lit("q"), F.col("conv_id").cast("string")), F.col("text"), F.to_timestamp(F.lit("2020-01-02 03:04:05")), F.lit("query"),
+        F.array(F.concat(F.lit("n"), F.col("turn").cast("string"))))
     return c.select("conv_id", "turn", note["text"].alias("text"), note["name"].alias("name"))
 
 
@@ -741,7 +783,8 @@ def diagnostic_report(spark, sf):
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 8 IN (1, 6)")
 def event_filter(spark, sf):
-    e = _doc_files(spark, sf).withColumn("path", F.when(F.col("doc_id") % 8 == 7, F.concat(F.lit("out/"), "path")).when(F.col("doc_id") % 8 == 3, F.concat(F.lit(".git/"), "path")).otherwise(F.col("path")))
+    e = _doc_files(spark, sf).withColumn("path", F.when(F.col("doc_id") % 8 == 7, F.concat(F.lit("out/"), "path")).when(F.col("doc_id") % 8 == 3,
+        F.concat(F.lit(".git/"), "path")).otherwise(F.col("path")))
     return feeds.wanted(e, [".md", ".txt"]).select("doc_id")
 
 
@@ -756,7 +799,8 @@ def no_op_detection(spark, sf):
     turned = (n.repartition(3, "label"), e.repartition(5, "dst"))
     fewer = e.where("relation <> 'part_of'")
     shrinks = B.shrinks(n.count(), n.where("id not like 'region:%'").count())
-    return spark.createDataFrame([(state.same_topology((n, e), turned), state.same_topology((n, e), (n, fewer)), bool(shrinks))], "same_rows boolean, other_rows boolean, shrinks boolean")
+    return spark.createDataFrame([(state.same_topology((n, e), turned), state.same_topology((n, e), (n, fewer)), bool(shrinks))],
+        "same_rows boolean, other_rows boolean, shrinks boolean")
 
 
 @query("SELECT '{\"n_name\":\"' || n_name || '\",\"n_nationkey\":' || n_nationkey || '}' AS json FROM nation")

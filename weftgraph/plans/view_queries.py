@@ -92,6 +92,8 @@ def global_add(spark, sf):
 
 @query("SELECT DISTINCT 'scip_' || substr(sha256('r' || n_regionkey || '|' || n_name), 1, 16) AS src, 'scip_stub_' || substr(sha256('REGION' || n_regionkey), 1, 16) AS dst, 'scip_ref' AS relation, 'EXTRACTED' AS confidence, 'r' || n_regionkey AS source_file FROM nation")
 def symbol_index(spark, sf):
-    p = table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.col("n_name").alias("symbol"), F.col("n_name").alias("display_name"), F.col("n_nationkey").alias("line"))
-    r = p.select("path", "symbol", F.concat(F.lit("REGION"), F.substring("path", 2, 1)).alias("target"), F.lit(True).alias("is_reference"), F.lit(False).alias("is_implementation"), F.lit(None).cast("boolean").alias("is_type_definition"), F.lit(False).alias("is_definition"))
+    p = table(spark, sf, "nation").select(F.concat(F.lit("r"), F.col("n_regionkey").cast("string")).alias("path"), F.col("n_name").alias("symbol"),
+        F.col("n_name").alias("display_name"), F.col("n_nationkey").alias("line"))
+    r = p.select("path", "symbol", F.concat(F.lit("REGION"), F.substring("path", 2, 1)).alias("target"), F.lit(True).alias("is_reference"), F.lit(False).alias("is_implementation"),
+        F.lit(None).cast("boolean").alias("is_type_definition"), F.lit(False).alias("is_definition"))
     return G.symbol_index(p, r)[1]

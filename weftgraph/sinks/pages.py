@@ -34,16 +34,19 @@ def page_graph(nodes: DataFrame, edges: DataFrame, most: int = MAX_PAGE_NODES) -
 
     Links are one per pair; a graph of nodes may have at most 20 times as many links as ``most``, else it is shown by
     community too."""
-    pairs = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "relation").where("u <> v").groupBy("u", "v").agg(F.min("relation").alias("relation"), F.count("*").alias("n"))
+    pairs = edges.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v"), "relation").where("u <> v").groupBy("u",
+        "v").agg(F.min("relation").alias("relation"), F.count("*").alias("n"))
     if nodes.limit(most + 1).count() <= most and pairs.limit(20 * most + 1).count() <= 20 * most:
         ns = [r.asDict() for r in A.with_degree(nodes, edges).select("id", "label", "community", "source_file", "degree").orderBy("id").collect()]
         return "nodes", ns, [r.asDict() for r in pairs.orderBy("u", "v").collect()]
     size = nodes.where("community is not null").groupBy("community").agg(F.count("*").alias("degree"))
     if size.limit(most + 1).count() > most:
         raise ValueError(f"the graph has over {most} nodes and over {most} communities; write tables instead")
-    ns = [{"id": str(r["community"]), "label": f"Community {r['community']}", "community": r["community"], "source_file": "", "degree": r["degree"]} for r in size.orderBy("community").collect()]
+    ns = [{"id": str(r["community"]), "label": f"Community {r['community']}", "community": r["community"], "source_file": "",
+        "degree": r["degree"]} for r in size.orderBy("community").collect()]
     c = nodes.select("id", "community")
-    meta = edges.join(c.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("community").alias("b")), "dst").where("a <> b")
+    meta = edges.join(c.select(F.col("id").alias("src"), F.col("community").alias("a")), "src").join(c.select(F.col("id").alias("dst"), F.col("community").alias("b")),
+        "dst").where("a <> b")
     links = meta.groupBy(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).agg(F.count("*").alias("n")).orderBy("u", "v")
     return "communities", ns, [{"u": str(r["u"]), "v": str(r["v"]), "relation": "", "n": r["n"]} for r in links.toLocalIterator()]
 
@@ -147,7 +150,8 @@ def vault_notes(nodes: DataFrame, edges: DataFrame, links: int = 50) -> DataFram
     total = near.groupBy("id").agg(F.count("*").alias("n"))
     n = nodes.join(names, "id").join(body, "id", "left").join(total, "id", "left")
     more = F.when(F.col("n") > links, F.concat(F.lit("\n- and "), (F.col("n") - links).cast("string"), F.lit(" more"))).otherwise("")
-    head = F.concat(F.lit('---\nsource_file: "'), F.replace(F.coalesce("source_file", F.lit("")), F.lit('"'), F.lit("'")), F.lit('"\ntype: "'), F.coalesce("file_type", F.lit("")), F.lit('"\ncommunity: '), F.coalesce(F.col("community").cast("string"), F.lit("null")), F.lit("\n---\n\n# "))
+    head = F.concat(F.lit('---\nsource_file: "'), F.replace(F.coalesce("source_file", F.lit("")), F.lit('"'), F.lit("'")), F.lit('"\ntype: "'), F.coalesce("file_type", F.lit("")),
+        F.lit('"\ncommunity: '), F.coalesce(F.col("community").cast("string"), F.lit("null")), F.lit("\n---\n\n# "))
     text = F.concat(head, safe_label(F.col("label")), F.when(F.col("body").isNull(), "").otherwise(F.concat(F.lit("\n\n## Connections\n\n"), "body", more)), F.lit("\n"))
     return n.select("name", text.alias("text"))
 
@@ -157,10 +161,12 @@ def community_notes(nodes: DataFrame, members: int = 100) -> DataFrame:
     n = nodes.where("community is not null").join(note_names(nodes), "id")
     w = Window.partitionBy("community").orderBy("name")
     first = n.withColumn("k", F.row_number().over(w)).where(F.col("k") <= members)
-    body = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("- [["), F.col("name"), F.lit("]]")).alias("l")))), lambda x: x["l"]), "\n").alias("body"))
+    body = first.groupBy("community").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("- [["), F.col("name"), F.lit("]]")).alias("l")))),
+        lambda x: x["l"]), "\n").alias("body"))
     size = n.groupBy("community").agg(F.count("*").alias("n"))
     c = F.col("community").cast("string")
-    return body.join(size, "community").select(F.concat(F.lit("_COMMUNITY_"), c).alias("name"), F.concat(F.lit("# Community "), c, F.lit("\n\n"), F.col("n").cast("string"), F.lit(" members\n\n"), "body", F.lit("\n")).alias("text"))
+    return body.join(size, "community").select(F.concat(F.lit("_COMMUNITY_"), c).alias("name"),
+        F.concat(F.lit("# Community "), c, F.lit("\n\n"), F.col("n").cast("string"), F.lit(" members\n\n"), "body", F.lit("\n")).alias("text"))
 
 
 def memory_note(question: Column, answer: Column, at: Column, kind: Column, source_nodes: Column) -> Column:
@@ -169,7 +175,8 @@ def memory_note(question: Column, answer: Column, at: Column, kind: Column, sour
     slug = F.btrim(F.substring(F.regexp_replace(F.lower(question), r"[^\p{L}\p{N}_]", "_"), 1, 50), F.lit("_"))
     listed = F.coalesce(source_nodes, F.array().cast("array<string>"))
     some = F.size(listed) > 0
-    head = F.concat(F.lit("---\ntype: "), quoted(kind), F.lit("\ndate: "), quoted(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")), F.lit("\nquestion: "), quoted(question), F.when(some, F.concat(F.lit("\nsource_nodes: ["), F.array_join(F.transform(F.slice(listed, 1, 10), quoted), ", "), F.lit("]"))).otherwise(""), F.lit("\n---\n"))
+    head = F.concat(F.lit("---\ntype: "), quoted(kind), F.lit("\ndate: "), quoted(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")), F.lit("\nquestion: "), quoted(question),
+        F.when(some, F.concat(F.lit("\nsource_nodes: ["), F.array_join(F.transform(F.slice(listed, 1, 10), quoted), ", "), F.lit("]"))).otherwise(""), F.lit("\n---\n"))
     tail = F.when(some, F.concat(F.lit("\n\n## Source Nodes\n\n"), F.array_join(F.transform(listed, lambda x: F.concat(F.lit("- "), x)), "\n"))).otherwise("")
     name = F.concat(F.lit("query_"), F.date_format(at, "yyyyMMdd_HHmmss"), F.lit("_"), slug, F.lit(".md"))
     return F.struct(name.alias("name"), F.concat(head, F.lit("\n# Q: "), question, F.lit("\n\n## Answer\n\n"), answer, tail).alias("text"))

@@ -50,7 +50,8 @@ def write_json(nodes: DataFrame, edges: DataFrame, path: str, limit: int = 500_0
     for r in rows.toLocalIterator():
         parts[r["kind"]].append(r["json"])
     with open(path, "w", encoding="utf-8") as f:
-        f.write('{"directed": %s, "multigraph": false, "graph": {}, "nodes": [%s], "links": [%s]}' % (json.dumps(directed), ",".join(sorted(parts["node"])), ",".join(sorted(parts["link"]))))
+        f.write('{"directed": %s, "multigraph": false, "graph": {}, "nodes": [%s], "links": [%s]}' % (json.dumps(directed), ",".join(sorted(parts["node"])),
+            ",".join(sorted(parts["link"]))))
 
 
 def read_json(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -68,7 +69,8 @@ def cypher_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     kind = cypher_name(F.initcap("file_type"), "Entity")
     n = nodes.select(F.concat(F.lit("MERGE (n:"), kind, F.lit(" {id: "), q("id"), F.lit(", label: "), q("label"), F.lit("});")).alias("line"))
     rel = cypher_name(F.upper("relation"), "RELATES_TO")
-    e = edges.select(F.concat(F.lit("MATCH (a {id: "), q("src"), F.lit("}), (b {id: "), q("dst"), F.lit("}) MERGE (a)-[:"), rel, F.lit(" {confidence: "), q("confidence"), F.lit("}]->(b);")).alias("line"))
+    e = edges.select(F.concat(F.lit("MATCH (a {id: "), q("src"), F.lit("}), (b {id: "), q("dst"), F.lit("}) MERGE (a)-[:"), rel, F.lit(" {confidence: "), q("confidence"),
+        F.lit("}]->(b);")).alias("line"))
     return n.union(e)
 
 
@@ -81,8 +83,10 @@ def xml_text(c: Column) -> Column:
 
 def graphml_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(line): node and edge elements; a missing community is -1."""
-    n = nodes.select(F.concat(F.lit('<node id="'), xml_text(F.col("id")), F.lit('"><data key="label">'), xml_text(F.col("label")), F.lit('</data><data key="community">'), F.coalesce("community", F.lit(-1)).cast("string"), F.lit("</data></node>")).alias("line"))
-    e = edges.select(F.concat(F.lit('<edge source="'), xml_text(F.col("src")), F.lit('" target="'), xml_text(F.col("dst")), F.lit('"><data key="relation">'), xml_text(F.col("relation")), F.lit("</data></edge>")).alias("line"))
+    n = nodes.select(F.concat(F.lit('<node id="'), xml_text(F.col("id")), F.lit('"><data key="label">'), xml_text(F.col("label")), F.lit('</data><data key="community">'),
+        F.coalesce("community", F.lit(-1)).cast("string"), F.lit("</data></node>")).alias("line"))
+    e = edges.select(F.concat(F.lit('<edge source="'), xml_text(F.col("src")), F.lit('" target="'), xml_text(F.col("dst")), F.lit('"><data key="relation">'),
+        xml_text(F.col("relation")), F.lit("</data></edge>")).alias("line"))
     return n.union(e)
 
 
@@ -96,7 +100,8 @@ def wiki_pages(nodes: DataFrame, edges: DataFrame, members: int = 25) -> DataFra
     line = F.concat(F.lit("- **"), safe_label(F.col("label")), F.lit("** ("), F.col("degree").cast("string"), F.lit(" links)"))
     lines = top.groupBy("community").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n_", line.alias("l")))), lambda x: x["l"]), "\n").alias("body"))
     total = nodes.groupBy("community").count()
-    return lines.join(total, "community").select(F.concat(F.lit("community_"), F.col("community").cast("string")).alias("page"), F.concat(F.lit("# Community "), F.col("community").cast("string"), F.lit("\n\n"), F.col("count").cast("string"), F.lit(" nodes\n\n"), "body").alias("text"))
+    return lines.join(total, "community").select(F.concat(F.lit("community_"), F.col("community").cast("string")).alias("page"),
+        F.concat(F.lit("# Community "), F.col("community").cast("string"), F.lit("\n\n"), F.col("count").cast("string"), F.lit(" nodes\n\n"), "body").alias("text"))
 
 
 def report(nodes: DataFrame, edges: DataFrame, top: int = 10) -> str:

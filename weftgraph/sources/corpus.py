@@ -10,8 +10,10 @@ from pyspark.sql import functions as F
 
 #: Suffixes by kind of file.
 CODE = {
-    ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".ejs", ".ets", ".go", ".rs", ".java", ".groovy", ".gradle", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".rb", ".swift", ".kt", ".kts", ".cs", ".scala", ".php", ".lua", ".luau", ".toc",
-    ".zig", ".ps1", ".ex", ".exs", ".m", ".mm", ".jl", ".vue", ".svelte", ".astro", ".dart", ".v", ".sv", ".sql", ".r", ".f", ".f90", ".f95", ".f03", ".f08", ".pas", ".pp", ".dpr", ".dpk", ".lpr", ".inc", ".dfm", ".lfm", ".lpk", ".sh", ".bash", ".json",
+    ".py", ".ts", ".tsx", ".js", ".jsx", ".mjs", ".ejs", ".ets", ".go", ".rs", ".java", ".groovy", ".gradle", ".cpp", ".cc", ".cxx", ".c", ".h", ".hpp", ".rb", ".swift", ".kt",
+    ".kts", ".cs", ".scala", ".php", ".lua", ".luau", ".toc",
+    ".zig", ".ps1", ".ex", ".exs", ".m", ".mm", ".jl", ".vue", ".svelte", ".astro", ".dart", ".v", ".sv", ".sql", ".r", ".f", ".f90", ".f95", ".f03", ".f08", ".pas", ".pp", ".dpr",
+    ".dpk", ".lpr", ".inc", ".dfm", ".lfm", ".lpk", ".sh", ".bash", ".json",
 }
 DOCUMENT = {".md", ".mdx", ".qmd", ".txt", ".rst", ".html", ".yaml", ".yml"}
 PAPER = {".pdf"}
@@ -20,18 +22,22 @@ OFFICE = {".docx", ".xlsx"}
 VIDEO = {".mp4", ".mov", ".webm", ".mkv", ".avi", ".m4v", ".mp3", ".wav", ".m4a", ".ogg"}
 #: Signs of a paper; three or more in the first 3000 characters make one.
 PAPER_SIGNALS = (
-    r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]", r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b",
+    r"(?i)\barxiv\b", r"(?i)\bdoi\s*:", r"(?i)\babstract\b", r"(?i)\bproceedings\b", r"(?i)\bjournal\b", r"(?i)\bpreprint\b", r"\\cite\{", r"\[\d+\]", r"\[\n\d+\n\]",
+    r"(?i)eq\.\s*\d+|equation\s+\d+", r"\d{4}\.\d{4,5}", r"(?i)\bwe propose\b", r"(?i)\bliterature\b",
 )
 #: Directories and names of files that may hold secrets.
 SENSITIVE_DIRS = (".ssh", ".gnupg", ".aws", ".gcloud", "secrets", ".secrets", "credentials")
 SENSITIVE_NAMES = (
-    r"(?i)(^|[\\/])\.(env|envrc)(\.|$)", r"(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$", r"(?i)(?<![a-zA-Z0-9])(credential|secret|passwd|password|private_key)s?(?![a-zA-Z])", r"(?i)(?<![a-zA-Z0-9])tokens?(?![a-zA-Z])",
+    r"(?i)(^|[\\/])\.(env|envrc)(\.|$)", r"(?i)\.(pem|key|p12|pfx|cert|crt|der|p8)$", r"(?i)(?<![a-zA-Z0-9])(credential|secret|passwd|password|private_key)s?(?![a-zA-Z])",
+    r"(?i)(?<![a-zA-Z0-9])tokens?(?![a-zA-Z])",
     r"(id_rsa|id_dsa|id_ecdsa|id_ed25519)(\.pub)?$", r"(?i)(\.netrc|\.pgpass|\.htpasswd)$", r"(?i)(aws_credentials|gcloud_credentials|service.account)",
 )
 #: Generated directories and files.
 NOISE_DIRS = (
-    "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64", ".pytest_cache", ".mypy_cache", ".ruff_cache", ".tox", ".eggs", "coverage", "lcov-report",
-    "visual-tests", "visual-test", "__snapshots__", "snapshots", "storybook-static", "dist-protected", ".next", ".nuxt", ".turbo", ".angular", ".idea", ".cache", ".parcel-cache", ".svelte-kit", ".terraform", ".serverless", ".worktrees",
+    "venv", ".venv", "env", ".env", "node_modules", "__pycache__", ".git", "dist", "build", "target", "out", "site-packages", "lib64", ".pytest_cache", ".mypy_cache",
+    ".ruff_cache", ".tox", ".eggs", "coverage", "lcov-report",
+    "visual-tests", "visual-test", "__snapshots__", "snapshots", "storybook-static", "dist-protected", ".next", ".nuxt", ".turbo", ".angular", ".idea", ".cache", ".parcel-cache",
+    ".svelte-kit", ".terraform", ".serverless", ".worktrees",
 )
 LOCK_FILES = ("package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "Gemfile.lock", "composer.lock", "go.sum", "go.work.sum")
 #: Sizes of a corpus below and above which the summary warns.
@@ -192,7 +198,8 @@ def survey(files: DataFrame, patterns: list[str] = ()) -> DataFrame:
     kept = ignored(kept, list(patterns)).where("not ignored")
     kind = classify(F.col("path"), F.col("text"))
     words = F.when(kind.isin("code", "document", "paper"), word_count(F.col("text"))).otherwise(0)
-    return kept.select(kind.alias("file_type"), words.alias("words")).where("file_type is not null").groupBy("file_type").agg(F.count("*").alias("files"), F.sum("words").alias("words"))
+    return kept.select(kind.alias("file_type"), words.alias("words")).where("file_type is not null").groupBy("file_type").agg(F.count("*").alias("files"),
+        F.sum("words").alias("words"))
 
 
 def cached_files(cache: DataFrame, key: str = "key") -> DataFrame:

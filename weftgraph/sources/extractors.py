@@ -256,7 +256,8 @@ def _by_patterns(rules: list[tuple[str, str, str]]) -> Callable[[str, str], Frag
 
 
 #: Patterns of the languages that are read line by line.
-BLADE = [(r"@(?:include|extends|includeIf|includeWhen)\(\s*['\"]([^'\"]+)", "name", "includes"), (r"<(?:livewire:|x-)([\w.:-]+)", "name", "uses_component"), (r"wire:(?:click|submit|change|model)(?:\.\w+)*=['\"](\w+)", "name", "binds_method")]
+BLADE = [(r"@(?:include|extends|includeIf|includeWhen)\(\s*['\"]([^'\"]+)", "name", "includes"), (r"<(?:livewire:|x-)([\w.:-]+)", "name", "uses_component"),
+    (r"wire:(?:click|submit|change|model)(?:\.\w+)*=['\"](\w+)", "name", "binds_method")]
 DART = [(r"(?m)^\s*(?:abstract\s+)?(?:class|mixin|enum|extension)\s+(\w+)", "node", "defines"), (r"(?m)^\s*import\s+['\"]([^'\"]+)", "name", "imports")]
 LAZARUS_FORM = [(r"(?mi)^\s*(?:object|inherited|inline)\s+(\w+)", "node", "contains"), (r"(?mi)^\s*On\w+\s*=\s*(\w+)", "name", "references")]
 LAZARUS_PACKAGE = [(r"(?i)<Filename\s+Value=\"([^\"]+)\"", "node", "contains"), (r"(?i)<PackageName\s+Value=\"([^\"]+)\"", "name", "imports")]
@@ -294,12 +295,15 @@ def _component(path: str, text: str) -> Fragment:
 
 #: Suffixes of the configured languages.
 SUFFIXES = {
-    "javascript": ".js .jsx .mjs .ejs", "typescript": ".ts .tsx .ets", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp", "java": ".java", "csharp": ".cs", "kotlin": ".kt .kts", "scala": ".scala", "swift": ".swift", "php": ".php", "go": ".go",
-    "rust": ".rs", "zig": ".zig", "powershell": ".ps1", "objc": ".m .mm", "ruby": ".rb", "lua": ".lua .luau .toc", "elixir": ".ex .exs", "julia": ".jl", "fortran": ".f .f90 .f95 .f03 .f08", "verilog": ".v .sv",
+    "javascript": ".js .jsx .mjs .ejs", "typescript": ".ts .tsx .ets", "c": ".c .h", "cpp": ".cpp .cc .cxx .hpp", "java": ".java", "csharp": ".cs", "kotlin": ".kt .kts",
+    "scala": ".scala", "swift": ".swift", "php": ".php", "go": ".go",
+    "rust": ".rs", "zig": ".zig", "powershell": ".ps1", "objc": ".m .mm", "ruby": ".rb", "lua": ".lua .luau .toc", "elixir": ".ex .exs", "julia": ".jl",
+    "fortran": ".f .f90 .f95 .f03 .f08", "verilog": ".v .sv",
     "pascal": ".pas .pp .dpr .dpk .lpr .inc", "bash": ".sh .bash",
 }
 EXTRACTORS: dict[str, Callable[[str, str], Fragment]] = {
-    ".py": extract_python, ".md": extract_markdown, ".mdx": extract_markdown, ".qmd": extract_markdown, ".sql": extract_sql, ".json": extract_json, ".blade.php": _by_patterns(BLADE), ".dart": _by_patterns(DART),
+    ".py": extract_python, ".md": extract_markdown, ".mdx": extract_markdown, ".qmd": extract_markdown, ".sql": extract_sql, ".json": extract_json,
+    ".blade.php": _by_patterns(BLADE), ".dart": _by_patterns(DART),
     ".lfm": _by_patterns(LAZARUS_FORM), ".dfm": _by_patterns(LAZARUS_FORM), ".lpk": _by_patterns(LAZARUS_PACKAGE), ".groovy": _spock_features, ".gradle": _spock_features,
     **dict.fromkeys((".vue", ".svelte", ".astro"), _component), **{suffix: configured(name) for name, suffixes in SUFFIXES.items() for suffix in suffixes.split()},
 }
@@ -341,4 +345,5 @@ def keep_resolvable(rows: DataFrame) -> DataFrame:
     ids = rows.where("kind = 'node'").select("id").distinct()
     e = rows.where("kind = 'edge'").drop("id").join(ids.select(F.col("id").alias("src")), "src", "left_semi")
     loose = e.where(F.col("relation").isin("imports", "imports_from", "re_exports"))
-    return loose.unionByName(e.where(~F.col("relation").isin("imports", "imports_from", "re_exports")).join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(*loose.columns))
+    return loose.unionByName(e.where(~F.col("relation").isin("imports", "imports_from", "re_exports")).join(ids.select(F.col("id").alias("dst")), "dst",
+        "left_semi").select(*loose.columns))

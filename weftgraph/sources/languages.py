@@ -74,91 +74,121 @@ LANGUAGES: dict[str, Language] = {
     ),
     "cpp": Language(
         types=(r"\b(?:class|struct)\s+(?P<name>\w+)\s*(?:final\s*)?(?::(?!:)\s*(?P<bases>[^{;]{1,400}))?\{", r"\b(?:enum(?:\s+class)?|union)\s+(?P<name>\w+)[^{;(]{0,80}\{"),
-        functions=(r"(?m)^[ \t]*(?:[A-Za-z_][\w:<>,*&~ \t]{0,200}[ \t*&])?(?:(?P<owner>\w+)::)?(?P<name>~?[A-Za-z_]\w*)[ \t]*(?=\()",), imports=_C_INCLUDE, tail=_C_TAIL, typed=True,
+        functions=(r"(?m)^[ \t]*(?:[A-Za-z_][\w:<>,*&~ \t]{0,200}[ \t*&])?(?:(?P<owner>\w+)::)?(?P<name>~?[A-Za-z_]\w*)[ \t]*(?=\()",), imports=_C_INCLUDE, tail=_C_TAIL,
+        typed=True,
     ),
     "java": Language(
         types=(r"\b(?:class|interface|enum|record)\s+(?P<name>\w+)(?:<[^{]{0,200}?>)?(?:\s*\([^)]*\))?(?:\s+extends\s+(?P<bases>[\w.<>, ]+?))?(?:\s+implements\s+(?P<impl>[\w.<>, ]+?))?\s*\{",),
-        functions=(rf"(?m)^[ \t]*{_MODS}(?:<[^>\n]+>\s*)?(?P<ret>[A-Za-z_][\w.<>\[\],? ]{{0,120}}\s)?(?P<name>[A-Za-z_]\w*)[ \t]*(?=\()",), imports=((r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "imports"),),
+        functions=(rf"(?m)^[ \t]*{_MODS}(?:<[^>\n]+>\s*)?(?P<ret>[A-Za-z_][\w.<>\[\],? ]{{0,120}}\s)?(?P<name>[A-Za-z_]\w*)[ \t]*(?=\()",),
+        imports=((r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)\s*;", "imports"),),
         tail=r"\s*(?:throws[\w.,\s]{1,200})?\{", typed=True, fields=rf"(?m)^[ \t]*{_MODS}(?P<type>[A-Z]\w*)(?:<[^>\n]*>)?(?:\[\])?\s+\w+\s*[;=]",
     ),
     "csharp": Language(
         types=(r"\b(?:class|interface|struct|record|enum)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\s*:\s*(?P<bases>[\w.<>, ]+?))?\s*(?:where[^{]{0,200})?\{",),
-        functions=(rf"(?m)^[ \t]*{_MODS}(?P<ret>[A-Za-z_][\w.<>\[\],? ]{{0,120}}\s)?(?P<name>[A-Za-z_]\w*)[ \t]*(?:<[^>(]*>)?(?=\()",), imports=((r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "imports"),),
-        tail=r"\s*(?:where[^{;]{0,200})?(?::\s*(?:base|this)\([^)]*\)\s*)?(?:\{|=>)", typed=True, fields=rf"(?m)^[ \t]*{_MODS}(?P<type>[A-Z]\w*)(?:<[^>\n]*>)?\s+\w+\s*(?:[;=]|\{{\s*get)",
+        functions=(rf"(?m)^[ \t]*{_MODS}(?P<ret>[A-Za-z_][\w.<>\[\],? ]{{0,120}}\s)?(?P<name>[A-Za-z_]\w*)[ \t]*(?:<[^>(]*>)?(?=\()",),
+        imports=((r"(?m)^\s*using\s+(?:static\s+)?([\w.]+)\s*;", "imports"),),
+        tail=r"\s*(?:where[^{;]{0,200})?(?::\s*(?:base|this)\([^)]*\)\s*)?(?:\{|=>)", typed=True,
+        fields=rf"(?m)^[ \t]*{_MODS}(?P<type>[A-Z]\w*)(?:<[^>\n]*>)?\s+\w+\s*(?:[;=]|\{{\s*get)",
     ),
     "kotlin": Language(
         types=(r"\b(?:class|interface|object)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\s*\([^)]*\))?(?:\s*:\s*(?P<bases>[\w.<>(), ]+?))?\s*(?=[{\n])",),
-        functions=(r"\bfun\s+(?:<[^>]*>\s*)?(?:(?P<owner>\w+)\.)?(?P<name>\w+)\s*(?=\()",), imports=((r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)", "imports"),), tail=r"\s*(?::\s*[^={\n]{1,120}?)?(?:\{|=)", typed=True,
+        functions=(r"\bfun\s+(?:<[^>]*>\s*)?(?:(?P<owner>\w+)\.)?(?P<name>\w+)\s*(?=\()",), imports=((r"(?m)^\s*import\s+([\w.]+(?:\.\*)?)", "imports"),),
+        tail=r"\s*(?::\s*[^={\n]{1,120}?)?(?:\{|=)", typed=True,
     ),
     "scala": Language(
         types=(r"\b(?:class|trait|object)\s+(?P<name>\w+)(?:\[[^\]]*\])?(?:\s*\([^)]*\))?(?:\s+extends\s+(?P<bases>[\w.\[\]() ]+?(?:\s+with\s+[\w.\[\] ]+?)*))?\s*(?=[{\n])",),
-        functions=(r"\bdef\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?(?=\()",), imports=((r"(?m)^\s*import\s+([\w.]+(?:\.(?:_|\{[^}\n]*\}))?)", "imports"),), tail=r"\s*(?::\s*[^={\n]{1,120}?)?=?\s*\{", typed=True,
+        functions=(r"\bdef\s+(?P<name>\w+)\s*(?:\[[^\]]*\])?(?=\()",), imports=((r"(?m)^\s*import\s+([\w.]+(?:\.(?:_|\{[^}\n]*\}))?)", "imports"),),
+        tail=r"\s*(?::\s*[^={\n]{1,120}?)?=?\s*\{", typed=True,
     ),
     "swift": Language(
         types=(r"\b(?:class|struct|protocol|enum|extension|actor)\s+(?P<name>\w+)(?:<[^>{]*>)?(?:\s*:\s*(?P<bases>[\w.<>, ]+?))?\s*(?:where[^{]{0,200})?\{",),
-        functions=(r"\bfunc\s+(?P<name>\w+)\s*(?:<[^>(]*>)?(?=\()", r"(?m)^[ \t]*(?:convenience\s+|required\s+|public\s+)*(?P<name>init)\s*(?=\()"), imports=((r"(?m)^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|func)\s+)?([\w.]+)", "imports"),),
+        functions=(r"\bfunc\s+(?P<name>\w+)\s*(?:<[^>(]*>)?(?=\()", r"(?m)^[ \t]*(?:convenience\s+|required\s+|public\s+)*(?P<name>init)\s*(?=\()"),
+        imports=((r"(?m)^\s*(?:@\w+\s+)?import\s+(?:(?:class|struct|func)\s+)?([\w.]+)", "imports"),),
         tail=r"[^{};\n]{0,200}\{", typed=True, fields=rf"(?m)^[ \t]*{_MODS}(?:let|var)\s+\w+\s*:\s*(?P<type>[A-Z]\w*)",
     ),
     "php": Language(
-        types=(r"\b(?:class|interface|trait|enum)\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w\\, ]+?))?(?:\s+implements\s+(?P<impl>[\w\\, ]+?))?\s*\{",), functions=(r"\bfunction\s+&?(?P<name>\w+)\s*(?=\()",),
-        imports=((r"(?m)^\s*use\s+([\w\\]+)", "imports"), (r"\b(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"\n]+)['\"]", "imports_from")), tail=r"\s*(?::\s*\??[\w\\|]+\s*)?\{", comments=r"//[^\n]*|#[^\n]*|/\*.*?\*/",
+        types=(r"\b(?:class|interface|trait|enum)\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w\\, ]+?))?(?:\s+implements\s+(?P<impl>[\w\\, ]+?))?\s*\{",),
+        functions=(r"\bfunction\s+&?(?P<name>\w+)\s*(?=\()",),
+        imports=((r"(?m)^\s*use\s+([\w\\]+)", "imports"), (r"\b(?:include|require)(?:_once)?\s*\(?\s*['\"]([^'\"\n]+)['\"]", "imports_from")), tail=r"\s*(?::\s*\??[\w\\|]+\s*)?\{",
+        comments=r"//[^\n]*|#[^\n]*|/\*.*?\*/",
     ),
     "go": Language(
-        types=(r"(?m)^type\s+(?P<name>\w+)(?:\[[^\]\n]*\])?\s+(?:struct|interface)\s*\{",), functions=(r"(?m)^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)(?:\[[^\]\n]*\])?\s*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]\n]*\])?(?=\()",),
-        imports=((r"(?m)^\s*import\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"", "imports_from"), (r"(?m)^\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$", "imports_from")), tail=r"[^{};\n]{0,200}\{", strings=r'"(?:\\.|[^"\\\n])*"|`[^`]*`', typed=True,
+        types=(r"(?m)^type\s+(?P<name>\w+)(?:\[[^\]\n]*\])?\s+(?:struct|interface)\s*\{",),
+        functions=(r"(?m)^func\s+(?:\(\s*\w*\s*\*?(?P<owner>\w+)(?:\[[^\]\n]*\])?\s*\)\s*)?(?P<name>\w+)\s*(?:\[[^\]\n]*\])?(?=\()",),
+        imports=((r"(?m)^\s*import\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"", "imports_from"), (r"(?m)^\s+(?:[\w.]+\s+)?\"([^\"\n]+)\"\s*$", "imports_from")), tail=r"[^{};\n]{0,200}\{",
+        strings=r'"(?:\\.|[^"\\\n])*"|`[^`]*`', typed=True,
         calls=r"(?P<of>\.\s*)?\b(?P<name>[A-Za-z_]\w*)\s*\(",
     ),
     "rust": Language(
-        types=(r"\b(?:struct|enum|trait|union)\s+(?P<name>\w+)(?:<[^>{;(]*>)?(?:\s*:\s*(?P<bases>[\w:<>+ ]+?))?\s*(?=[{;(])", r"\bimpl(?:<[^>{]*>)?\s+(?:(?P<bases>[\w:]+)(?:<[^{>]*>)?\s+for\s+)?(?P<scope>\w+)(?:<[^{>]*>)?\s*(?:where[^{]{0,400})?\{"),
-        functions=(r"\bfn\s+(?P<name>\w+)\s*(?:<[^(]{0,200}>)?(?=\()",), imports=((r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]{1,400});", "imports_from"),), tail=r"\s*(?:->\s*[^{;]{1,200}?)?(?:\s*where[^{;]{0,400})?\{",
+        types=(r"\b(?:struct|enum|trait|union)\s+(?P<name>\w+)(?:<[^>{;(]*>)?(?:\s*:\s*(?P<bases>[\w:<>+ ]+?))?\s*(?=[{;(])",
+        r"\bimpl(?:<[^>{]*>)?\s+(?:(?P<bases>[\w:]+)(?:<[^{>]*>)?\s+for\s+)?(?P<scope>\w+)(?:<[^{>]*>)?\s*(?:where[^{]{0,400})?\{"),
+        functions=(r"\bfn\s+(?P<name>\w+)\s*(?:<[^(]{0,200}>)?(?=\()",), imports=((r"(?m)^\s*(?:pub(?:\([^)]*\))?\s+)?use\s+([^;]{1,400});", "imports_from"),),
+        tail=r"\s*(?:->\s*[^{;]{1,200}?)?(?:\s*where[^{;]{0,400})?\{",
         strings=r'"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\\n])\'', typed=True, calls=r"(?P<of>(?:\.|::)\s*)?\b(?P<name>[a-z_]\w*)\s*\(",
     ),
     "zig": Language(
-        types=(r"\bconst\s+(?P<name>\w+)\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)[^{;]{0,80}\{",), functions=(r"\bfn\s+(?P<name>\w+)\s*(?=\()",), imports=((r"@import\(\s*\"([^\"\n]+)\"\s*\)", "imports_from"),),
+        types=(r"\bconst\s+(?P<name>\w+)\s*=\s*(?:packed\s+|extern\s+)?(?:struct|enum|union)[^{;]{0,80}\{",), functions=(r"\bfn\s+(?P<name>\w+)\s*(?=\()",),
+        imports=((r"@import\(\s*\"([^\"\n]+)\"\s*\)", "imports_from"),),
         tail=r"\s*[^{};]{0,120}\{", comments=r"//[^\n]*", calls=r"(?P<of>\.\s*)?(?<!@)\b(?P<name>[A-Za-z_]\w*)\s*\(",
     ),
     "powershell": Language(
-        types=(r"(?mi)^\s*class\s+(?P<name>\w+)(?:\s*:\s*(?P<bases>[\w, ]+?))?\s*\{",), functions=(r"(?mi)^\s*function\s+(?P<name>[\w-]+)\s*(?=[({])", r"(?m)^[ \t]+(?:static\s+|hidden\s+)?(?:\[[\w.\[\]]+\]\s*)?(?P<name>[A-Za-z]\w*)\s*(?=\()"),
-        imports=((r"(?mi)^\s*(?:Import-Module|using\s+module)\s+['\"]?([\w.\\/-]+)", "imports_from"),), comments=r"#[^\n]*|<#.*?#>", calls=r"(?P<of>(?:\.|::)\s*)?(?<![\w$-])(?P<name>[A-Za-z]+-[A-Za-z]\w*|[A-Za-z_]\w*(?=\())", ignore_case=True,
+        types=(r"(?mi)^\s*class\s+(?P<name>\w+)(?:\s*:\s*(?P<bases>[\w, ]+?))?\s*\{",),
+        functions=(r"(?mi)^\s*function\s+(?P<name>[\w-]+)\s*(?=[({])", r"(?m)^[ \t]+(?:static\s+|hidden\s+)?(?:\[[\w.\[\]]+\]\s*)?(?P<name>[A-Za-z]\w*)\s*(?=\()"),
+        imports=((r"(?mi)^\s*(?:Import-Module|using\s+module)\s+['\"]?([\w.\\/-]+)", "imports_from"),), comments=r"#[^\n]*|<#.*?#>",
+        calls=r"(?P<of>(?:\.|::)\s*)?(?<![\w$-])(?P<name>[A-Za-z]+-[A-Za-z]\w*|[A-Za-z_]\w*(?=\())", ignore_case=True,
     ),
     "objc": Language(
-        types=(r"@(?:interface|implementation|protocol)\s+(?P<name>\w+)(?:\s*:\s*(?P<bases>\w+))?",), functions=(r"(?m)^\s*[-+]\s*\([^)\n]*\)\s*(?P<name>\w+)(?=[^\n;{]*\s*\{)", r"(?m)^(?:[A-Za-z_][\w \t*]{0,200}[ \t*])(?P<name>[A-Za-z_]\w*)[ \t]*(?=\([^)\n]*\)\s*\{)"),
-        imports=((r"(?m)^[ \t]*(?:#[ \t]*(?:import|include)[ \t]*[<\"]|@import\s+)([^>\";\n]+)", "imports"),), tail=r"[^{};]{0,400}\{", strings=r'@?"(?:\\.|[^"\\\n])*"', calls=rf"\[\s*(?P<of>\w+\s+)(?P<name>{_WORD})|\b(?P<plain>{_WORD})\s*\(", ends=r"@end",
+        types=(r"@(?:interface|implementation|protocol)\s+(?P<name>\w+)(?:\s*:\s*(?P<bases>\w+))?",),
+        functions=(r"(?m)^\s*[-+]\s*\([^)\n]*\)\s*(?P<name>\w+)(?=[^\n;{]*\s*\{)", r"(?m)^(?:[A-Za-z_][\w \t*]{0,200}[ \t*])(?P<name>[A-Za-z_]\w*)[ \t]*(?=\([^)\n]*\)\s*\{)"),
+        imports=((r"(?m)^[ \t]*(?:#[ \t]*(?:import|include)[ \t]*[<\"]|@import\s+)([^>\";\n]+)", "imports"),), tail=r"[^{};]{0,400}\{", strings=r'@?"(?:\\.|[^"\\\n])*"',
+        calls=rf"\[\s*(?P<of>\w+\s+)(?P<name>{_WORD})|\b(?P<plain>{_WORD})\s*\(", ends=r"@end",
     ),
     "ruby": Language(
-        types=(r"(?m)^[ \t]*(?:class|module)\s+(?P<name>[A-Z]\w*)(?:::\w+)*(?:\s*<\s*(?P<bases>[\w:]+))?",), functions=(r"(?m)^[ \t]*def\s+(?:self\.)?(?P<name>\w+[?!=]?)",), imports=((r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"\n]+)['\"]", "imports_from"),),
+        types=(r"(?m)^[ \t]*(?:class|module)\s+(?P<name>[A-Z]\w*)(?:::\w+)*(?:\s*<\s*(?P<bases>[\w:]+))?",), functions=(r"(?m)^[ \t]*def\s+(?:self\.)?(?P<name>\w+[?!=]?)",),
+        imports=((r"(?m)^\s*require(?:_relative)?\s+['\"]([^'\"\n]+)['\"]", "imports_from"),),
         comments=r"#[^\n]*", blocks="end", calls=r"(?P<of>\.\s*)?\b(?P<name>[a-z_]\w*[?!]?)\s*\(",
     ),
     "lua": Language(
-        functions=(r"(?m)^[ \t]*(?:local\s+)?function\s+(?:(?P<owner>\w+)[.:])?(?P<name>\w+)\s*(?=\()",), imports=((r"\brequire\s*\(?\s*['\"]([^'\"\n]+)['\"]", "imports_from"),), comments=r"--\[\[.*?\]\]|--[^\n]*", blocks="end",
+        functions=(r"(?m)^[ \t]*(?:local\s+)?function\s+(?:(?P<owner>\w+)[.:])?(?P<name>\w+)\s*(?=\()",), imports=((r"\brequire\s*\(?\s*['\"]([^'\"\n]+)['\"]", "imports_from"),),
+        comments=r"--\[\[.*?\]\]|--[^\n]*", blocks="end",
         calls=r"(?P<of>[.:]\s*)?\b(?P<name>[A-Za-z_]\w*)\s*\(",
     ),
     "elixir": Language(
-        types=(r"(?m)^[ \t]*defmodule\s+(?P<name>[A-Z]\w*)(?:\.\w+)*\s+do",), functions=(r"(?m)^[ \t]*(?:def|defp|defmacro)\s+(?P<name>\w+[?!]?)",), imports=((r"(?m)^\s*(?:import|alias|use|require)\s+([A-Z][\w.]*)", "imports"),), comments=r"#[^\n]*", blocks="end",
+        types=(r"(?m)^[ \t]*defmodule\s+(?P<name>[A-Z]\w*)(?:\.\w+)*\s+do",), functions=(r"(?m)^[ \t]*(?:def|defp|defmacro)\s+(?P<name>\w+[?!]?)",),
+        imports=((r"(?m)^\s*(?:import|alias|use|require)\s+([A-Z][\w.]*)", "imports"),), comments=r"#[^\n]*", blocks="end",
         calls=r"(?P<of>\.\s*)?\b(?P<name>[a-z_]\w*[?!]?)\s*\(",
     ),
     "julia": Language(
-        types=(r"(?m)^[ \t]*(?:mutable\s+)?(?:struct|abstract\s+type)\s+(?P<name>\w+)(?:\{[^}\n]*\})?(?:\s*<:\s*(?P<bases>\w+))?", r"(?m)^[ \t]*module\s+(?P<name>\w+)"), functions=(r"(?m)^[ \t]*function\s+(?:\w+\.)?(?P<name>\w+!?)", r"(?m)^(?P<name>\w+!?)(?=\([^)\n]*\)\s*=[^=])"),
-        imports=((r"(?m)^\s*(?:using|import)\s+([\w.]+)", "imports"),), comments=r"#=.*?=#|#[^\n]*", blocks="end", calls=r"(?P<of>\.\s*)?\b(?P<name>[A-Za-z_]\w*!?)\s*\(", defines="defines", strings=r'"(?:\\.|[^"\\])*"',
+        types=(r"(?m)^[ \t]*(?:mutable\s+)?(?:struct|abstract\s+type)\s+(?P<name>\w+)(?:\{[^}\n]*\})?(?:\s*<:\s*(?P<bases>\w+))?", r"(?m)^[ \t]*module\s+(?P<name>\w+)"),
+        functions=(r"(?m)^[ \t]*function\s+(?:\w+\.)?(?P<name>\w+!?)", r"(?m)^(?P<name>\w+!?)(?=\([^)\n]*\)\s*=[^=])"),
+        imports=((r"(?m)^\s*(?:using|import)\s+([\w.]+)", "imports"),), comments=r"#=.*?=#|#[^\n]*", blocks="end", calls=r"(?P<of>\.\s*)?\b(?P<name>[A-Za-z_]\w*!?)\s*\(",
+        defines="defines", strings=r'"(?:\\.|[^"\\])*"',
     ),
     "fortran": Language(
-        types=(r"(?mi)^[ \t]*(?:module(?!\s+procedure)|program)\s+(?P<name>\w+)", r"(?mi)^[ \t]*type\s*(?:,[^:\n]*)?(?:::)?\s+(?P<name>\w+)\s*$"), functions=(r"(?mi)^[ \t]*(?:(?:pure|elemental|recursive|integer|real|logical)(?:\([^)\n]*\))?\s+){0,4}(?:subroutine|function)\s+(?P<name>\w+)",),
-        imports=((r"(?mi)^\s*use\s*(?:,\s*\w+\s*)?(?:::)?\s*(\w+)", "imports"),), comments=r"![^\n]*", blocks="end", calls=r"(?i)\bcall\s+(?P<name>\w+)", defines="defines", ends=r"(?i:end(?!\s*(?:if|do|select|where|associate)\b))", ignore_case=True,
+        types=(r"(?mi)^[ \t]*(?:module(?!\s+procedure)|program)\s+(?P<name>\w+)", r"(?mi)^[ \t]*type\s*(?:,[^:\n]*)?(?:::)?\s+(?P<name>\w+)\s*$"),
+        functions=(r"(?mi)^[ \t]*(?:(?:pure|elemental|recursive|integer|real|logical)(?:\([^)\n]*\))?\s+){0,4}(?:subroutine|function)\s+(?P<name>\w+)",),
+        imports=((r"(?mi)^\s*use\s*(?:,\s*\w+\s*)?(?:::)?\s*(\w+)", "imports"),), comments=r"![^\n]*", blocks="end", calls=r"(?i)\bcall\s+(?P<name>\w+)", defines="defines",
+        ends=r"(?i:end(?!\s*(?:if|do|select|where|associate)\b))", ignore_case=True,
     ),
     "verilog": Language(
-        types=(r"(?m)^[ \t]*(?:module|interface|package)\s+(?P<name>\w+)", r"(?m)^[ \t]*(?:virtual\s+)?class\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>\w+))?"), functions=(r"(?m)^[ \t]*(?:virtual\s+)?(?:function|task)\s+(?:automatic\s+)?(?:[\w\[\]:]+\s+)?(?P<name>\w+)(?=\s*[(;])",),
-        imports=((r"(?m)^\s*`include\s+\"([^\"\n]+)\"", "imports_from"), (r"(?m)^\s*import\s+(\w+)::", "imports_from")), blocks="end", ends=r"end(?:module|interface|package|class|function|task)\b",
+        types=(r"(?m)^[ \t]*(?:module|interface|package)\s+(?P<name>\w+)", r"(?m)^[ \t]*(?:virtual\s+)?class\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>\w+))?"),
+        functions=(r"(?m)^[ \t]*(?:virtual\s+)?(?:function|task)\s+(?:automatic\s+)?(?:[\w\[\]:]+\s+)?(?P<name>\w+)(?=\s*[(;])",),
+        imports=((r"(?m)^\s*`include\s+\"([^\"\n]+)\"", "imports_from"), (r"(?m)^\s*import\s+(\w+)::", "imports_from")), blocks="end",
+        ends=r"end(?:module|interface|package|class|function|task)\b",
     ),
     "pascal": Language(
-        types=(r"(?mi)^\s*(?P<name>\w+)\s*=\s*(?:packed\s+)?(?:class|record|interface|object)\b\s*(?:\((?P<bases>[^)\n]*)\))?",), functions=(r"(?mi)^\s*(?:class\s+)?(?:procedure|function|constructor|destructor)\s+(?:(?P<owner>\w+)\.)?(?P<name>\w+)",),
+        types=(r"(?mi)^\s*(?P<name>\w+)\s*=\s*(?:packed\s+)?(?:class|record|interface|object)\b\s*(?:\((?P<bases>[^)\n]*)\))?",),
+        functions=(r"(?mi)^\s*(?:class\s+)?(?:procedure|function|constructor|destructor)\s+(?:(?P<owner>\w+)\.)?(?P<name>\w+)",),
         imports=((r"(?i)\buses\s+([^;]{1,2000});", "imports"),), comments=r"//[^\n]*|\{.*?\}|\(\*.*?\*\)", strings=r"'(?:''|[^'\n])*'", blocks="next", ignore_case=True,
     ),
     "groovy": Language(
         types=(r"\b(?:class|interface|trait|enum)\s+(?P<name>\w+)(?:\s+extends\s+(?P<bases>[\w.<>]+))?(?:\s+implements\s+(?P<impl>[\w.<>, ]+?))?\s*\{",),
-        functions=(rf"(?m)^[ \t]*{_MODS}(?:def|void|[A-Z][\w<>]*|int|boolean|long)\s+(?P<name>[A-Za-z_]\w*)\s*(?=\()",), imports=((r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)", "imports"),),
+        functions=(rf"(?m)^[ \t]*{_MODS}(?:def|void|[A-Z][\w<>]*|int|boolean|long)\s+(?P<name>[A-Za-z_]\w*)\s*(?=\()",),
+        imports=((r"(?m)^\s*import\s+(?:static\s+)?([\w.]+(?:\.\*)?)", "imports"),),
     ),
     "bash": Language(
-        functions=(r"(?m)^[ \t]*(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*(?:\(\s*\))?\s*(?=\{)",), imports=((r"(?m)^\s*(?:source|\.)\s+['\"]?([\w./${}-]+)", "imports_from"),), comments=r"(?m:(?<=\s)#[^\n]*|^#[^\n]*)", tail="",
+        functions=(r"(?m)^[ \t]*(?:function\s+)?(?P<name>[A-Za-z_][\w-]*)\s*(?:\(\s*\))?\s*(?=\{)",), imports=((r"(?m)^\s*(?:source|\.)\s+['\"]?([\w./${}-]+)", "imports_from"),),
+        comments=r"(?m:(?<=\s)#[^\n]*|^#[^\n]*)", tail="",
         calls=r"(?m)(?:^|[;&|(]|\b(?:then|do|else|if|while|!))[ \t]*(?P<name>[A-Za-z_][\w-]*)(?![\w(=-])", strings=r"'[^']*'",
     ),
 }
@@ -277,7 +307,8 @@ def _headers(lang: Language, code: str, pairs: dict[int, int], lines: Lines) ->
         else:
             end = _end_of(lang, code, lines, m.start("name" if name else "scope"), body, pairs, nexts)
         found[m.start("name" if name else "scope")] = _Header(
-            m.start("name" if name else "scope"), end, "scope" if scope else kind, name or scope, [*_names(g.get("bases")), *_names(g.get("impl"))], g.get("owner"), params, ret, body
+            m.start("name" if name else "scope"), end, "scope" if scope else kind, name or scope, [*_names(g.get("bases")), *_names(g.get("impl"))], g.get("owner"), params, ret,
+            body
         )
     return sorted(found.values(), key=lambda h: (h.start, -h.end))
 

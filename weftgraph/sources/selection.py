@@ -80,7 +80,8 @@ def walk_links(root: str, follow: bool | None = None) -> list[str]:
 
 
 #: Networks that are not public, as (first address, bits).
-PRIVATE = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("198.18.0.0", 15), ("224.0.0.0", 4), ("240.0.0.0", 4))
+PRIVATE = (("0.0.0.0", 8), ("10.0.0.0", 8), ("100.64.0.0", 10), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.168.0.0", 16), ("198.18.0.0", 15),
+    ("224.0.0.0", 4), ("240.0.0.0", 4))
 _QUAD = r"^([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})$"
 
 
@@ -113,7 +114,8 @@ def shortcut(path: Column, text: Column) -> Column:
     for ext, name in SHORTCUTS.items():
         kind = F.when(F.lower(path).endswith(ext), name).otherwise(kind)
     j = F.from_json(text, "doc_id string, id string, url string")
-    doc = F.coalesce(j["doc_id"], j["id"], F.nullif(F.regexp_extract(j["url"], r"/d/([A-Za-z0-9_-]+)", 1), F.lit("")), F.nullif(F.regexp_extract(j["url"], r"[?&]id=([A-Za-z0-9_-]+)", 1), F.lit("")))
+    doc = F.coalesce(j["doc_id"], j["id"], F.nullif(F.regexp_extract(j["url"], r"/d/([A-Za-z0-9_-]+)", 1), F.lit("")),
+        F.nullif(F.regexp_extract(j["url"], r"[?&]id=([A-Za-z0-9_-]+)", 1), F.lit("")))
     return F.when(kind.isNotNull() & doc.isNotNull(), F.struct(kind.alias("kind"), doc.alias("doc_id"), j["url"].alias("url")))
 
 
