@@ -84,7 +84,8 @@ def test_a_span_under_the_limit_is_cut(spark, tmp_path):
     item = " ".join(f"item{i}" for i in range(20))
     text = " ".join(f"Word{i}," for i in range(400)) + "\nSee: " + item.title() + "! End."
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, item, "en", "s", 9), (3, "clean text", None, None, 10)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, item, "en", "s", 9), (3, "clean text", None, None, 10)],
+        "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in P.decontamination(spark, docs, str(tmp_path)).collect()}
     left = without(text, [item])
     assert got == {1: (left, len(left)), 3: ("clean text", 10)} and left.endswith("See: ! End.")

@@ -318,10 +318,12 @@ def decontaminate(
     while group is not None:
         shared = share(group)
         mapper = _group_mapper(shared, row, kept, names, text_col, clean)
-        found.append(scratch.save(rows.select(F.col(f"`{row}`"), F.col(f"`{text_col}`")).mapInArrow(mapper, f"`{row}` long, g_spans array<struct<start:int,end:int>>, g_items array<string>")))
+        found.append(scratch.save(rows.select(F.col(f"`{row}`"), F.col(f"`{text_col}`")).mapInArrow(mapper,
+            f"`{row}` long, g_spans array<struct<start:int,end:int>>, g_items array<string>")))
         shared.destroy()
         group, following = following, next(groups, None) if following is not None else None
-    hits = functools.reduce(DataFrame.unionByName, found).groupBy(f"`{row}`").agg(F.flatten(F.collect_list("g_spans")).alias("g_spans"), F.flatten(F.collect_list("g_items")).alias("g_items"))
+    hits = functools.reduce(DataFrame.unionByName, found).groupBy(f"`{row}`").agg(F.flatten(F.collect_list("g_spans")).alias("g_spans"),
+        F.flatten(F.collect_list("g_items")).alias("g_items"))
     joined = rows.alias("d").join(hits.alias("h"), F.col(f"d.`{row}`") == F.col(f"h.`{row}`"), "left")
     moved = joined.select(*(F.col(f"d.`{c}`").alias(f"o{i}") for i, c in enumerate(kept)), "h.g_spans", "h.g_items")  # by position from here
     return moved.mapInArrow(_union_mapper(kept, names, text_col, clean), schema)

@@ -196,7 +196,8 @@ def training_sample(docs: DataFrame, text_col: str, label_col: str, per_label: i
     The first of a label are the first among the first of its ``SALTS`` parts, so no task orders all of a
     label that holds much of the table.
     """
-    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null").withColumn("key", F.xxhash64("text", F.lit(11)))
+    rows = docs.select(F.col(text_col).alias("text"), F.col(label_col).alias("label")).where("text is not null and label is not null").withColumn("key",
+        F.xxhash64("text", F.lit(11)))
     # the order is taken over hashes alone; only the texts that are picked travel
     leading = lambda df, *by: df.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("n") <= per_label).drop("n")
     parts = rows.select("label", "key", F.pmod("key", F.lit(SALTS)).alias("salt")).distinct()

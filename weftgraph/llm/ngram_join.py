@@ -97,7 +97,8 @@ def _column_blocks(row: np.ndarray, blocks: int, salt: int) -> tuple[np.ndarray,
     at[0], at[-1] = 0, len(row)
     at[1:-1] = np.searchsorted(row, _cuts(blocks))
     size = at[1:] - at[:-1]
-    return K.mix(sums[at[1:]] - sums[at[:-1]] + np.uint64(salt * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF) + (np.arange(blocks) * 64 + np.minimum(size, 63)).astype(np.uint64)), size > 0
+    return K.mix(sums[at[1:]] - sums[at[:-1]] + np.uint64(salt * 0xDA942042E4DD58B5 & 0xFFFFFFFFFFFFFFFF) + (np.arange(blocks) * 64 + np.minimum(size,
+        63)).astype(np.uint64)), size > 0
 
 
 def signatures(row: np.ndarray, num: int = NUM, den: int = DEN, bitmap: np.ndarray | None = None) -> np.ndarray:
@@ -365,13 +366,15 @@ def jaccard_components(
 
     cls = F.concat_ws(":", "uid", "chk").alias("cls")
     classes = scratch.save(
-        facts.where("uid is not null").groupBy("uid", "chk").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"), F.count("*").alias("copies"))
+        facts.where("uid is not null").groupBy("uid", "chk").agg(F.min("id").alias("first_id"), F.min("tk").alias("tk"), F.max("n_shingles").alias("n"),
+        F.count("*").alias("copies"))
     )
     blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "chk", "tk", "n"), "uid"), scratch))
     wanted = blocks.select("tk").distinct()
     if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
         wanted = F.broadcast(wanted)
-    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(wanted, "tk", "left_semi").select("text").mapInArrow(_row_mapper(k), "uid long, chk long, cells binary")
+    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(wanted, "tk", "left_semi").select("text").mapInArrow(_row_mapper(k),
+        "uid long, chk long, cells binary")
     links = (
         cells.join(blocks.select("uid", "chk", "task", "part"), ["uid", "chk"]).select(cls, "cells", "task", "part")
         .groupBy("task").applyInPandas(_product(num, den), "a string, b string")
@@ -425,9 +428,12 @@ def _row_blocks(members: DataFrame, scratch: Scratch) -> DataFrame:
     small = small.select("uid", "chk", "tk", F.concat_ws(":", "component").alias("part"), F.pmod(F.xxhash64("component"), F.lit(tasks)).cast("string").alias("task"))
     sub = F.pmod(F.xxhash64("uid", "chk", F.lit(7)), F.col("subs")).cast("int")
     large = rows.join(few(plan), ["component", "level"]).withColumn("sub", sub)
-    same = F.transform(F.sequence(F.lit(0), F.col("subs") - 1), lambda j: F.concat_ws(":", "component", "level", F.least(j, F.col("sub")).cast("string"), F.lit("="), F.greatest(j, F.col("sub")).cast("string")))
-    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1), lambda j: F.concat_ws(":", "component", "level", F.col("sub").cast("string"), F.lit("<"), j.cast("string"))))
-    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1), lambda j: F.concat_ws(":", "component", (F.col("level") - 1).cast("string"), j.cast("string"), F.lit("<"), F.col("sub").cast("string"))))
+    same = F.transform(F.sequence(F.lit(0), F.col("subs") - 1),
+        lambda j: F.concat_ws(":", "component", "level", F.least(j, F.col("sub")).cast("string"), F.lit("="), F.greatest(j, F.col("sub")).cast("string")))
+    up = F.when(F.col("above") > 0, F.transform(F.sequence(F.lit(0), F.col("above") - 1),
+        lambda j: F.concat_ws(":", "component", "level", F.col("sub").cast("string"), F.lit("<"), j.cast("string"))))
+    down = F.when(F.col("below") > 0, F.transform(F.sequence(F.lit(0), F.col("below") - 1),
+        lambda j: F.concat_ws(":", "component", (F.col("level") - 1).cast("string"), j.cast("string"), F.lit("<"), F.col("sub").cast("string"))))
     empty = F.array().cast("array<string>")
     large = large.select("uid", "chk", "tk", F.explode(F.concat(same, F.coalesce(up, empty), F.coalesce(down, empty))).alias("part"))
     return small.unionByName(large.withColumn("task", F.col("part")))

@@ -39,8 +39,10 @@ CARD_LIKE = r"(?<![0-9A-Za-z.-])[0-9]{4}([\x20-]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}(?
 PATTERNS = {"local_phone": LOCAL_PHONE, "ssn": SSN, "iban": IBAN, "person": PERSON, "birth": BIRTH, "hidden_mail": HIDDEN_MAIL, "card_like": CARD_LIKE}
 #: Context and gazetteer words.
 CONTEXT = {
-    "local_phone": r"(?i:phone|tel|call|fax|mobile|whatsapp|contact|anruf|llam|appel)", "ssn": r"(?i:ssn|social|tax|security)", "iban": r"(?i:iban|account|bank|konto|transfer|cuenta|compte)",
-    "person": r"(?i:dear|regards|contact|signed|patient|client|hello)", "birth": r"(?i:born|birth|dob|gebor|geburt|nacid|nacim|naissance)", "hidden_mail": r"(?i:mail|contact|write|reach|address)",
+    "local_phone": r"(?i:phone|tel|call|fax|mobile|whatsapp|contact|anruf|llam|appel)", "ssn": r"(?i:ssn|social|tax|security)",
+    "iban": r"(?i:iban|account|bank|konto|transfer|cuenta|compte)",
+    "person": r"(?i:dear|regards|contact|signed|patient|client|hello)", "birth": r"(?i:born|birth|dob|gebor|geburt|nacid|nacim|naissance)",
+    "hidden_mail": r"(?i:mail|contact|write|reach|address)",
     "card_like": r"(?i:card|visa|credit|payment|mastercard|karte|tarjeta|carte)",
 }
 CONTRARY = r"(?i:order|invoice|version|isbn|page|total|chapter|figure|ref|serial|id|released|updated|published)[^A-Za-z]{0,6}$"
@@ -91,7 +93,8 @@ def _gates(text: Column) -> dict[str, Column]:
     return {
         "local_phone": digit & text.rlike(r"[0-9]{3}[.-][0-9]{4}"), "ssn": digit & text.rlike("[0-9]-[0-9]{2}-[0-9]"), "iban": digit & text.rlike("[A-Z]{2}[0-9]{2}"),
         "person": text.rlike(r"(?:Mr|Ms|Dr|Herr|Frau|Mme|Sra?)s?\.?\x20[A-Z]"), "birth": digit & text.rlike(r"[./-](?:19|20)?[0-9]{2}") & text.rlike("(?:19|20)[0-9]{2}"),
-        "hidden_mail": (text.contains("(at)") | text.contains("[at]") | text.contains(" at ")) & text.contains("dot"), "card_like": digit & text.rlike("[0-9]{4}[\\x20-]?[0-9]{4}[\\x20-]?[0-9]{4}"),
+        "hidden_mail": (text.contains("(at)") | text.contains("[at]") | text.contains(" at ")) & text.contains("dot"),
+        "card_like": digit & text.rlike("[0-9]{4}[\\x20-]?[0-9]{4}[\\x20-]?[0-9]{4}"),
     }
 
 
@@ -142,7 +145,8 @@ def _votes(kind: Column, hit: Column, before: Column, after: Column) -> list[Col
     checksum = {"iban": F.when(_mod97(hit) == 1, 1).otherwise(-1), "card_like": F.lit(-1)}
     near = lambda side: F.when(_by_kind(kind, {k: side.rlike(p) for k, p in CONTEXT.items()}, F.lit(False)), 1).otherwise(0)
     return [
-        F.when(_by_kind(kind, shape, F.lit(True)), 1).otherwise(-1), _by_kind(kind, gazetteer, F.lit(0)), _by_kind(kind, checksum, F.lit(0)), near(before), near(after), F.when(before.rlike(CONTRARY), -1).otherwise(0),
+        F.when(_by_kind(kind, shape, F.lit(True)), 1).otherwise(-1), _by_kind(kind, gazetteer, F.lit(0)), _by_kind(kind, checksum, F.lit(0)), near(before), near(after),
+        F.when(before.rlike(CONTRARY), -1).otherwise(0),
     ]
 
 

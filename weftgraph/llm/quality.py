@@ -112,7 +112,8 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     new = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
     own = [c for c in docs.columns if c not in new]
     # own columns travel under positions, so none can clash with the helper columns
-    moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("k_lang"), F.col(f"`{source_col}`").alias("k_source"))
+    moved = docs.select(*(F.col(f"`{c}`").alias(f"o{i}") for i, c in enumerate(own)), F.col(f"`{text_col}`").alias("t"), F.col(f"`{lang_col}`").alias("k_lang"),
+        F.col(f"`{source_col}`").alias("k_source"))
     m = _repeats(_cheap(moved, "t"))
     # A generator is a barrier: a later filter on the verdict is not pushed below it, where it would
     # compute the metrics again once for every mention.

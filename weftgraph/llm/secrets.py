@@ -88,7 +88,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         & (F.col("w.start") <= F.col("p.p_end") + scope) & (F.col("w.end") >= F.col("p.p_start") - scope),
         "left_semi",
     )
-    linked = meet.groupBy(F.col("id").alias("l_id"), F.col("tk").alias("l_tk")).agg(F.collect_set(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"), F.lit("linked").alias("kind"))).alias("linked"))
+    linked = meet.groupBy(F.col("id").alias("l_id"), F.col("tk").alias("l_tk")).agg(F.collect_set(F.struct(F.col("start"), F.lit(3).alias("rank"), F.col("end"),
+        F.lit("linked").alias("kind"))).alias("linked"))
     none = F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>")
     out = lambda df, spans: df.select(F.col("id").alias(id_col), "n_assign", "n_access", "n_hex", "base", spans.alias("linked"))
     # texts with nothing to link need no join

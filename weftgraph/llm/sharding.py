@@ -75,7 +75,8 @@ def _range_of(splitters: list[tuple]) -> Column:
     return F.when(coarse == 0, 0).otherwise((coarse - 1) * _STEP + F.size(F.filter(fine, lambda s: s <= me)))
 
 
-def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE, scratch: Scratch | None = None) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text", ranges: int = RANGES, sample: int = SAMPLE,
+    scratch: Scratch | None = None) -> DataFrame:
     """One row per row of ``docs``: (id, size, text_crc32, shard, slot).
 
     size is the UTF-8 length of the text (null: 0) plus 1, text_crc32 the unsigned CRC-32 (null: of
@@ -117,7 +118,8 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     base = F.get(_literal([offsets.get(r, 0) for r in range(max(totals, default=0) + 1)], "array<bigint>"), F.col("rng"))
     ordered = Window.partitionBy("rng").orderBy("key", "tie", "row").rowsBetween(Window.unboundedPreceding, 0)
     group = Window.partitionBy("rng", "key")
-    placed = at.withColumn("upto", F.sum("size").over(ordered)).withColumn("g_upto", F.sum("size").over(group.orderBy("tie", "row").rowsBetween(Window.unboundedPreceding, 0))).withColumn("g_size", F.sum("size").over(group))
+    placed = at.withColumn("upto", F.sum("size").over(ordered)).withColumn("g_upto",
+        F.sum("size").over(group.orderBy("tie", "row").rowsBetween(Window.unboundedPreceding, 0))).withColumn("g_size", F.sum("size").over(group))
     whole = ~F.array_contains(_literal(hot, "array<bigint>"), F.col("key"))
     middle = base + F.when(whole, F.col("upto") - F.col("g_upto") + F.col("g_size") / 2).otherwise(F.col("upto") - F.col("size") / 2)
     shard = F.least(F.lit(n_shards - 1), F.floor(middle * n_shards / F.lit(max(1, total)))).cast("int")

@@ -56,7 +56,8 @@ def find_spans(text: Column, pattern: str, maybe: Column) -> Column:
         gaps = F.transform(v["hits"], lambda h, i: F.length(F.get(v["pieces"], i)))
         return let(F.struct(v["hits"].alias("hits"), gaps.alias("gaps")), lambda u: let(
             F.struct(u["hits"].alias("hits"), u["gaps"].alias("gaps"), let(F.transform(u["hits"], lambda h, i: F.get(u["gaps"], i) + F.length(h)), _starts).alias("starts")),
-            lambda w: F.transform(w["hits"], lambda h, i: F.struct((F.get(w["starts"], i) + F.get(w["gaps"], i)).alias("start"), (F.get(w["starts"], i) + F.get(w["gaps"], i) + F.length(h)).alias("end"), h.alias("hit"))),
+            lambda w: F.transform(w["hits"], lambda h, i: F.struct((F.get(w["starts"], i) + F.get(w["gaps"], i)).alias("start"),
+            (F.get(w["starts"], i) + F.get(w["gaps"], i) + F.length(h)).alias("end"), h.alias("hit"))),
         ))
 
     return F.when(text.isNotNull() & maybe, let(found, place)).otherwise(none_found())

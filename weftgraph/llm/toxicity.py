@@ -191,7 +191,8 @@ def train(texts: list[tuple[str | None, int]], seed: int = 5) -> Model:
     return model
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC_TEXTS, ordinary: int = ORDINARY_TEXTS) -> list[tuple[str | None, int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = TOXIC_TEXTS,
+    ordinary: int = ORDINARY_TEXTS) -> list[tuple[str | None, int]]:
     """At most ``toxic`` and ``ordinary`` labelled texts, picked by a hash of the id. An id labelled
     both ways counts as toxic; null ids and labels are left out."""
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("l_id")).agg(F.max((F.col(label_col) > 0).cast("int")).alias("y"))

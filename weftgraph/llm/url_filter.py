@@ -45,17 +45,20 @@ def filter_urls(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url
         F.col("verdict").alias("r_verdict"), F.concat("host", "path").alias("r_rule"), full(F.col("host"), F.col("path")).alias("r_digest"),
         F.length("host").alias("r_host_n"), (F.length("host") + F.length("path")).alias("r_n"),
     ).withColumn("key", F.substr("r_digest", F.lit(1), F.lit(PREFIX_HEX)))
-    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")).where("host <> ''")
+    urls = pages.select(F.col(url_col).alias("url")).where("url is not null").distinct().select("url", host_of(F.col("url")).alias("host"),
+        path_of(F.col("url")).alias("path")).where("host <> ''")
     labels = F.split("host", r"\.")
     suffixes = F.array_compact(F.array(*(F.when(F.size(labels) >= k, F.concat_ws(".", F.slice(labels, -k, k))) for k in sorted(sizes["labels"]))))
     prefixes = F.array_compact(F.array(*(F.when(F.length("path") >= n, F.substr("path", F.lit(1), F.lit(n))) for n in sorted(sizes["n"]))))
     if not sizes["labels"]:
         best = urls.limit(0).select("url", F.lit(None).cast("struct<n:int,host_n:int,block:boolean,neg:string,rule:string,verdict:string>").alias("best"))
     else:
-        expressions = urls.select("url", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("url", "h", F.explode("ps").alias("p")).select("url", full(F.col("h"), F.col("p")).alias("digest"))
+        expressions = urls.select("url", F.explode(suffixes).alias("h"), prefixes.alias("ps")).select("url", "h", F.explode("ps").alias("p")).select("url",
+            full(F.col("h"), F.col("p")).alias("digest"))
         expressions = expressions.withColumn("key", F.substr("digest", F.lit(1), F.lit(PREFIX_HEX)))
         hit = expressions.join(keyed, "key").where("digest = r_digest")
-        order = F.struct(F.col("r_n").alias("n"), F.col("r_host_n").alias("host_n"), (F.col("r_verdict") == "block").alias("block"), F.col("r_rule").alias("rule"), F.col("r_verdict").alias("verdict"))
+        order = F.struct(F.col("r_n").alias("n"), F.col("r_host_n").alias("host_n"), (F.col("r_verdict") == "block").alias("block"), F.col("r_rule").alias("rule"),
+            F.col("r_verdict").alias("verdict"))
         best = hit.groupBy("url").agg(F.max(order).alias("best"))
     out = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url")).join(best, "url", "left")
     return out.select(
