@@ -21,6 +21,7 @@ from weftgraph.operators import federation as U
 from weftgraph.operators import resolution as R
 from weftgraph.operators import search as S
 from weftgraph.operators import traverse as V
+from weftgraph.plans.graph_queries import _SURPRISE as SURPRISE_SQL
 from weftgraph.scratch import Scratch
 from weftgraph.sinks import pages as P
 from weftgraph.sinks import writers
@@ -816,3 +817,49 @@ def cache_listing(spark, sf):
 @query("SELECT CASE WHEN max(p_partkey) > 1 THEN 'repo/src' ELSE 'repo/src/p1' END AS root FROM part")
 def common_root(spark, sf):
     return spark.createDataFrame([(C.common_root(_part(spark, sf).select(F.concat(F.lit("repo/src/p"), _key(), F.lit("/a.py")).alias("path"))),)], "root string")
+
+
+# --- service -----------------------------------------------------------------------------------------------
+
+
+def _service(spark, sf):
+    from weftgraph.api import GraphService
+    from weftgraph.model import star_graph
+
+    return GraphService(star_graph(spark, sf))
+
+
+@query("""near AS (SELECT 'customer:1' AS id UNION SELECT dst FROM edges WHERE src = 'customer:1' UNION SELECT src FROM edges WHERE dst = 'customer:1')
+SELECT 'NODE ' || label || ' [src=' || source_file || ' community=' || coalesce(CAST(community AS VARCHAR), '') || ']' AS line FROM nodes JOIN near USING (id)
+UNION ALL SELECT 'EDGE ' || src || ' --' || relation || ' [' || confidence || ']--> ' || dst FROM edges WHERE src IN (SELECT id FROM near) AND dst IN (SELECT id FROM near)""", star=True)
+def query_graph(spark, sf):
+    """A question that names one customer, one step around it."""
+    text = _service(spark, sf).query_graph("Customer#000000001", depth=1, token_budget=1_000_000)
+    return spark.createDataFrame([(line,) for line in text.split("\n")], "line string")
+
+
+@query(f"""c AS (SELECT o_orderkey AS number, CASE WHEN o_orderkey % 5 = 0 THEN 'old' ELSE 'main' END AS base, o_orderkey % 3 AS m, CASE WHEN o_orderkey % 5 = 0 THEN 'WRONG-BASE' WHEN {_ST} = 'FAILURE' THEN 'CI-FAIL'
+WHEN o_orderkey % 4 = 0 THEN 'DRAFT' WHEN {_ST} = 'PENDING' THEN 'PENDING' ELSE 'READY' END AS status FROM orders),
+i AS (SELECT CASE source_file WHEN 'geo/region.tbl' THEN 0 ELSE 1 END AS m, count(DISTINCT community) AS n FROM nodes WHERE source_file IN ('geo/region.tbl', 'geo/nation.tbl') GROUP BY 1),
+r AS (SELECT number, status, row_number() OVER (PARTITION BY base ORDER BY list_position([{', '.join(f"'{x}'" for x in H.STATUS_ORDER)}], status), coalesce(n, 0) DESC, number) AS rank FROM c LEFT JOIN i USING (m))
+SELECT number, status, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 50""", star=True)
+def triage_prs(spark, sf):
+    c = _changes(spark, sf)
+    m = F.col("number") % 3
+    files = c.where(m < 2).select("number", F.when(m == 0, "geo/region.tbl").otherwise("geo/nation.tbl").alias("path"))
+    return _service(spark, sf).triage(c, files, F.to_timestamp(F.lit("1999-01-01"))).select("number", "status", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"{SURPRISE_SQL}, k AS (SELECT DISTINCT src, dst, relation, surprise FROM s ORDER BY surprise DESC, src, dst, relation LIMIT 20) SELECT src, dst, relation, CAST(row_number() OVER (ORDER BY surprise DESC, src, dst, relation) AS INTEGER) AS rank FROM k", star=True)
+def surprising_connections(spark, sf):
+    from weftgraph.api import surprising
+
+    return surprising(star_nodes(spark, sf), star_edges(spark, sf), 20).withColumn("rank", F.col("rank").cast("int"))
+
+
+@query("""d AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id), n AS (SELECT id, label, source_file, coalesce(degree, 0) AS degree FROM nodes LEFT JOIN d USING (id))
+SELECT label = split_part(source_file, '/', -1) OR (starts_with(label, '.') AND ends_with(label, '()')) OR (ends_with(label, '()') AND degree <= 1) AS file_node, false AS concept_node, false AS json_key, count(*) AS n FROM n GROUP BY 1""", star=True)
+def node_predicates(spark, sf):
+    d = A.with_degree(star_nodes(spark, sf), star_edges(spark, sf))
+    told = [A.is_file_node(F.col("label"), F.col("source_file"), F.col("degree")), A.is_concept_node(F.col("source_file")), A.is_json_key(F.col("label"), F.col("source_file"))]
+    return d.groupBy(*(c.alias(n) for c, n in zip(told, ("file_node", "concept_node", "json_key"), strict=True))).agg(F.count("*").alias("n"))
