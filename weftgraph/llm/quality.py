@@ -23,6 +23,8 @@ SPREADS = 6.0
 SKETCH_K = 400
 #: A group with fewer documents takes the thresholds of the next wider one.
 LEAST_GROUP = 50
+#: Groups whose fences are broadcast at most, some 100 bytes each; more are joined by a shuffle.
+BROADCAST_GROUPS = 400_000
 MIN_WORDS, REPEAT_NUM, REPEAT_DEN = 20, 30, 100
 WINDOW = 8
 
@@ -119,7 +121,9 @@ def judge(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", sourc
     # compute the metrics again once for every mention.
     m = m.select(*(f"o{i}" for i in range(len(own))), "k_lang", "k_source", F.inline(F.array(F.struct(*new[:-2], *FENCES))))
     m = m.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (REPEAT_DEN * F.col("n_repeat_words") > REPEAT_NUM * F.col("n_words")))
-    j = m.join(limits, F.col("k_lang").eqNullSafe(F.col("f_lang")) & F.col("k_source").eqNullSafe(F.col("f_source")), "left")
+    # known to be small, the fences go to the texts, not the texts to the fences
+    near = F.broadcast(limits) if limits.limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS else limits
+    j = m.join(near, F.col("k_lang").eqNullSafe(F.col("f_lang")) & F.col("k_source").eqNullSafe(F.col("f_source")), "left")
     over = F.lit(False)
     for c in FENCES:
         over = over | F.coalesce(F.col(c) > F.col(f"fence_{c}"), F.lit(False))
