@@ -87,3 +87,63 @@ def test_large_graphs_keep_bridges(spark, monkeypatch):
     monkeypatch.setattr(Q, "MAX_EDGES", 3, raising=False)
     assert {r.id: r.betweenness for r in centrality.node_betweenness(e).collect() if r.betweenness} == want
     assert [r.subject for r in Q.suggest_questions(n, e).where("kind = 'bridge_node'").collect()] == ["d", "c"]  # 9 and 8 pairs pass them
+
+
+def _brandes(pairs):
+    """(nodes, edges): sums over all ordered pairs, by counting shortest paths."""
+    adj: dict = {}
+    for a, b in pairs:
+        if a != b:
+            adj.setdefault(a, set()).add(b)
+            adj.setdefault(b, set()).add(a)
+    nodes, edges = dict.fromkeys(adj, 0.0), {}
+    for s in adj:
+        order, dist, paths, delta = [s], {s: 0}, {s: 1.0}, dict.fromkeys(adj, 0.0)
+        for v in order:
+            for w in adj[v]:
+                if w not in dist:
+                    dist[w], paths[w] = dist[v] + 1, 0.0
+                    order.append(w)
+                if dist[w] == dist[v] + 1:
+                    paths[w] += paths[v]
+        for w in reversed(order):
+            for v in adj[w]:
+                if dist[v] + 1 == dist[w]:
+                    c = paths[v] / paths[w] * (1 + delta[w])
+                    delta[v] += c
+                    edges[min(v, w), max(v, w)] = edges.get((min(v, w), max(v, w)), 0.0) + c
+            if w != s:
+                nodes[w] += delta[w]
+    return nodes, edges
+
+
+def test_betweenness_with_trees_folded(spark):
+    rng = random.Random(5)
+    pairs = [(f"a{i}", f"a{rng.randrange(i)}") for i in range(1, 40)] + [(f"a{rng.randrange(9)}", f"a{rng.randrange(9)}") for _ in range(9)]  # cycles with hanging trees
+    pairs += [(f"b{i}", f"b{rng.randrange(i)}") for i in range(1, 12)] + [("c0", "c1"), ("d0", "d1"), ("d1", "d2"), ("d2", "d0"), ("e", "e")]
+    e = spark.createDataFrame(pairs + pairs[:5], "src string, dst string")
+    nodes, edges = _brandes(pairs)
+    n = len(nodes)
+    got = {r.id: r.betweenness for r in centrality.node_betweenness(e).collect()}
+    assert got == {k: pytest.approx(x / (n - 1) / (n - 2)) for k, x in nodes.items()}
+    got = {(r.u, r.v): r.betweenness for r in centrality.edge_betweenness(e).collect()}
+    assert got == {k: pytest.approx(x / n / (n - 1)) for k, x in edges.items()}
+
+
+def test_betweenness_of_a_large_tree(spark):
+    """A star of stars of 50,000 nodes: a walk from each would take hours."""
+    e = spark.range(50_000).selectExpr("concat('leaf', id) AS src", "concat('hub', id % 5) AS dst").unionAll(spark.range(5).selectExpr("concat('hub', id)", "'top'"))
+    n = 50_006
+    got = {r.id: r.betweenness for r in centrality.node_betweenness(e, None).where("id not like 'leaf%'").collect()}
+    hub = (n - 1) ** 2 - 10_000 - (n - 10_001) ** 2
+    assert got == {"top": pytest.approx((5 * 10_001) ** 2 / ((n - 1) * (n - 2)) * 0.8), **{f"hub{i}": pytest.approx(hub / ((n - 1) * (n - 2))) for i in range(5)}}
+
+
+def test_sampled_betweenness_is_that_of_its_sources(spark, monkeypatch):
+    rng = random.Random(7)
+    pairs = [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(90)]
+    e = spark.createDataFrame(pairs, "src string, dst string")
+    monkeypatch.setattr(centrality, "EXACT_NODES", 10)
+    some = {r.id: r.betweenness for r in centrality.node_betweenness(e, 20).collect() if r.betweenness}
+    monkeypatch.setattr(centrality, "MAX_EDGES", 3)
+    assert some == {r.id: pytest.approx(r.betweenness) for r in centrality.node_betweenness(e, 20).collect() if r.betweenness}
