@@ -137,6 +137,8 @@ def test_betweenness_of_a_large_tree(spark):
     got = {r.id: r.betweenness for r in centrality.node_betweenness(e, None).where("id not like 'leaf%'").collect()}
     hub = (n - 1) ** 2 - 10_000 - (n - 10_001) ** 2
     assert got == {"top": pytest.approx((5 * 10_001) ** 2 / ((n - 1) * (n - 2)) * 0.8), **{f"hub{i}": pytest.approx(hub / ((n - 1) * (n - 2))) for i in range(5)}}
+    b = [r.betweenness for r in centrality.edge_betweenness(e).where("u = 'hub1' and v = 'top'").collect()]
+    assert b == [pytest.approx(2 * 10_001 * (n - 10_001) / n / (n - 1))]
 
 
 def test_sampled_betweenness_is_that_of_its_sources(spark, monkeypatch):
