@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftgraph.model import star_edges, star_nodes
-from weftgraph.operators import centrality
+from weftgraph.operators import centrality, community, numbered
 from weftgraph.operators import questions as Q
 from weftgraph.plans.catalog import QUERIES
 
@@ -149,3 +149,25 @@ def test_sampled_betweenness_is_that_of_its_sources(spark, monkeypatch):
     some = {r.id: r.betweenness for r in centrality.node_betweenness(e, 20).collect() if r.betweenness}
     monkeypatch.setattr(centrality, "MAX_EDGES", 3)
     assert some == {r.id: pytest.approx(r.betweenness) for r in centrality.node_betweenness(e, 20).collect() if r.betweenness}
+
+
+def test_hashes_of_nodes_and_rounds(spark):
+    import numpy as np
+
+    rows = spark.range(50).selectExpr("concat('n', id) AS x").selectExpr("xxhash64(x) AS h", *(f"xxhash64(x, {r}) % 2 <> 0 AS r{r}" for r in (0, 1, 23))).collect()
+    for r in (0, 1, 23):
+        assert list(community._odd(np.array([x.h for x in rows]), r)) == [x[f"r{r}"] for x in rows]
+
+
+@pytest.mark.parametrize("hubs", [None, 90])
+def test_communities_by_arrays_are_those_by_joins(spark, monkeypatch, hubs):
+    rng = random.Random(11)
+    at = [rng.randrange(20) for _ in range(180)]
+    pairs = [(f"n{i}", f"n{j}") for _ in range(700) for i, j in [(rng.randrange(180), rng.randrange(180))] if at[i] == at[j] or rng.random() < 0.03]
+    pairs += [("h1", "h2"), ("h1", "h1"), ("n3", "gone"), *(("h1", f"x{i}") for i in range(60)), *((f"x{i}", f"x{i + 1}") for i in range(60))]
+    e = spark.createDataFrame(pairs, "src string, dst string").coalesce(2)
+    n = spark.createDataFrame([(x,) for x in sorted({x for p in pairs for x in p} - {"gone"}) + ["lone"]], "id string").coalesce(1)
+    monkeypatch.setattr(numbered, "BLOCK", 100)
+    got = {r.node: r.community for r in community.communities(n, e, hubs).collect()}
+    monkeypatch.setattr(numbered, "MAX_NODES", 0)
+    assert got == {r.node: r.community for r in community.communities(n, e, hubs).collect()}

@@ -3,15 +3,20 @@
 A move round: every node looks at the weight towards each neighbouring community (one join and one
 aggregation) and takes the best gain; only nodes of one parity of a hash move in a round, so two
 nodes do not swap for ever. Results are deterministic; they are not those of another library.
+
+Where the state of all nodes fits into arrays (``numbered.MAX_NODES``) a round is one pass over the packed adjacency,
+without a shuffle; beyond that it is joins. Both give the same communities.
 """
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.operators.analytics import degrees
+from weftgraph.operators.numbered import adjacency, order_of, per_block, valued
 from weftgraph.scratch import Scratch
 
 MAX_SHARE, MIN_SPLIT, COHESION_SPLIT, COHESION_LEAST = 0.25, 10, 50, 0.05
@@ -48,12 +53,153 @@ def partition(edges: DataFrame, rounds: int = 24, resolution: float = 1.0, scrat
     return state.select("node", "community")
 
 
-def reindex(assigned: DataFrame) -> DataFrame:
-    """Communities numbered from 0 by size, then by their least node."""
+def _odd(order: np.ndarray, r: int) -> np.ndarray:
+    """Whether the hash of a node and a round, ``xxhash64(node, r)``, is odd, from the hash of the node."""
+    p1, p2, p3, p5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = order.astype(np.int64).view(np.uint64) + p5 + np.uint64(4)
+        h ^= np.uint64(r) * p1
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * p2 + p3
+        h = (h ^ h >> np.uint64(33)) * p2
+        h = (h ^ h >> np.uint64(29)) * p3
+        return ((h ^ h >> np.uint64(32)) & np.uint64(1)).astype(bool)
+
+
+def _inner(u, n, v, region):
+    """Steps of a block between two nodes of one region, as (place of the node in the block, end)."""
+    own = np.repeat(np.arange(len(u)), n)
+    keep = (region[u][own] == region[v]) & (region[v] >= 0) & (u[own] != v)
+    return own[keep], v[keep]
+
+
+def _counted(own, to):
+    """(own, to, times) of the distinct pairs, in order."""
+    key = np.sort(own.astype(np.int64) << 32 | to)
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    return key[first] >> 32, key[first] & 0x7FFFFFFF, np.diff(np.r_[first, len(key)])
+
+
+def _best(at, score):
+    """Of each run of ``at`` the place of the first best score."""
+    start = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    top = np.flatnonzero(score == np.repeat(np.maximum.reduceat(score, start), np.diff(np.r_[start, len(at)])))
+    return top[np.r_[True, at[top[1:]] != at[top[:-1]]]]
+
+
+def _weights(u, n, v, region):
+    own, v = _inner(u, n, v, region)
+    k = np.bincount(own, minlength=len(u))
+    return u[k > 0], k[k > 0]
+
+
+def _moves(u, n, v, region, community, tot, odd, total, resolution):
+    """(node, community, whether it moves now) of the nodes of a block that want to move."""
+    own, v = _inner(u, n, v, region)
+    if not len(own):
+        return None
+    k, old = np.bincount(own, minlength=len(u)).astype(float), community[u]
+    at, c, w = _counted(own, community[v])
+    stays = c == old[at]
+    gain = w - resolution * k[at] * (tot[c] - np.where(stays, k[at], 0.0)) / total
+    stay = np.zeros(len(u))
+    stay[at[stays]] = gain[stays]
+    best = _best(at, np.round(gain, 9))  # ties: the least hash, as numbers go by hashes
+    best = best[gain[best] > stay[at[best]] + 1e-9]
+    node = u[at[best]]
+    return node, c[best].astype(np.int32), ~odd[node]
+
+
+def _links(u, n, v, community):
+    """(community, distinct undirected pairs within it) of the steps of a block."""
+    own = np.repeat(u, n)
+    keep = (own <= v) & (community[own] == community[v]) & (community[v] >= 0)
+    a, _, _ = _counted(own[keep], v[keep]) if keep.any() else (own[:0], None, None)
+    return np.unique(community[a], return_counts=True)
+
+
+def _votes(u, n, v, hub, community):
+    """(hub, community) of most of its neighbours, ties to the least one."""
+    own = np.repeat(np.arange(len(u)), n)
+    keep = hub[u][own] & (community[v] >= 0)
+    if not keep.any():
+        return None
+    at, c, w = _counted(own[keep], community[v[keep]])
+    best = _best(at, w)
+    return u[at[best]], c[best]
+
+
+def _partition(blocks: DataFrame, order: np.ndarray, region: np.ndarray, rounds: int = 24, resolution: float = 1.0) -> np.ndarray:
+    """As ``partition``, of the steps within regions: a community, named by one of its nodes, of each node, -1 without a step."""
+    n = len(order)
+    k = np.zeros(n)
+    if got := per_block(blocks, _weights, region):
+        k[got[0]] = got[1]
+    some = k > 0
+    community = np.where(some, np.arange(n), -1).astype(np.int32)
+    for r in range(rounds):
+        tot = np.bincount(community[some], k[some], minlength=n)
+        got = per_block(blocks, _moves, region, community, tot, _odd(order, r), k.sum() or 1.0, resolution)
+        if not got or not len(got[0]):
+            break
+        node, to, now = got
+        community[node[now]] = to[now]
+    return community
+
+
+def _by_arrays(nodes: DataFrame, edges: DataFrame, exclude_hubs: float | None, scratch: Scratch) -> DataFrame | None:
+    """As ``communities``; None where the nodes cannot be numbered."""
+    ids = scratch.save(nodes.select("id").distinct())
+    order = order_of(ids, scratch)
+    if order is None:
+        return None
+    n, blocks = len(order), adjacency(edges.select("src", "dst"), order, scratch)
+    region, hub = np.zeros(n, np.int32), np.zeros(n, bool)
+    if exclude_hubs is not None and n:
+        degree = np.zeros(n, np.int64)
+        if got := per_block(blocks, lambda u, n, v: (u, n)):
+            degree[got[0]] = got[1]
+        rows = nodes.count()
+        at = max(0, int(rows * exclude_hubs / 100) - 1) - (rows - n)
+        hub = degree > (np.partition(degree, at)[at] if at >= 0 else 0)
+        region[hub] = -1
+    got = _partition(blocks, order, region)
+    for attempt in ("size", "cohesion"):
+        size = np.bincount(got[got >= 0], minlength=n)
+        if attempt == "size":
+            big = size > max(MIN_SPLIT, int(n * MAX_SHARE))
+        else:
+            big = size >= COHESION_SPLIT
+            if big.any():
+                m = np.zeros(n)
+                for c, x in zip(*(per_block(blocks, _links, got) or ((), ())), strict=True):
+                    m[c] += x
+                big &= m / np.maximum(size * (size - 1.0) / 2, 1) < COHESION_LEAST
+        if big.any():
+            finer = _partition(blocks, order, np.where((got >= 0) & big[got], got, -1).astype(np.int32))
+            got = np.where(finer >= 0, finer, got)
+    got = np.where((got < 0) & ~hub, np.arange(n), got).astype(np.int32)
+    named = _numbers_of(valued(ids, order, got, "community").where("community >= 0").withColumnRenamed("id", "node")).select("community", "id").toArrow()
+    number = np.full(n, -1, np.int32)
+    number[named.column(0).to_numpy()] = named.column(1).to_numpy()
+    final = np.where(got >= 0, number[got], -1).astype(np.int32)
+    if hub.any() and (back := per_block(blocks, _votes, hub, final)):
+        final[back[0]] = back[1]
+    out = valued(ids, order, final, "community").withColumnRenamed("id", "node")
+    if (final >= 0).all():
+        return out
+    rest = out.where("community < 0").select("node", (F.row_number().over(Window.orderBy("node")) + int(number.max())).cast("int").alias("community"))
+    return out.where("community >= 0").unionByName(rest)
+
+
+def _numbers_of(assigned: DataFrame) -> DataFrame:
     size = assigned.groupBy("community").agg(F.count("*").alias("n"), F.min("node").alias("least"))
     # one row per community passes one task: a running number needs it
-    num = size.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("int"))
-    return assigned.join(num.select("community", "id"), "community").select("node", F.col("id").alias("community"))
+    return size.withColumn("id", (F.row_number().over(Window.orderBy(F.desc("n"), "least")) - 1).cast("int"))
+
+
+def reindex(assigned: DataFrame) -> DataFrame:
+    """Communities numbered from 0 by size, then by their least node."""
+    return assigned.join(_numbers_of(assigned).select("community", "id"), "community").select("node", F.col("id").alias("community"))
 
 
 def hubs(nodes: DataFrame, edges: DataFrame, percentile: float) -> DataFrame:
@@ -82,6 +228,8 @@ def communities(nodes: DataFrame, edges: DataFrame, exclude_hubs: float | None =
     nodes do not count.
     """
     scratch = scratch or Scratch(nodes.sparkSession, "communities")
+    if (found := _by_arrays(nodes, edges, exclude_hubs, scratch)) is not None:
+        return found
     ids = nodes.select("id").distinct()
     e = scratch.save(edges.select("src", "dst").join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"))
     inner, hub = e, None
