@@ -171,3 +171,27 @@ def test_communities_by_arrays_are_those_by_joins(spark, monkeypatch, hubs):
     got = {r.node: r.community for r in community.communities(n, e, hubs).collect()}
     monkeypatch.setattr(numbered, "MAX_NODES", 0)
     assert got == {r.node: r.community for r in community.communities(n, e, hubs).collect()}
+
+
+def test_links_of_labels_by_arrays_are_those_of_all_pairs(spark, tmp_path):
+    from weftgraph.functions.text import jaro_winkler
+    from weftgraph.operators import alike, dedup
+    from weftgraph.operators.components import connected_components
+    from weftgraph.scratch import Scratch
+
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(12)]
+    texts = {" ".join(rng.choice(words) for _ in range(rng.randrange(1, 4))) for _ in range(150)}
+    texts |= {f"order {rng.randrange(90_000, 120_000)}" for _ in range(150)} | {f"customer {i:09}" for i in range(0, 300, 2)} | {"ab", "gpt4x", "gpt5x", "naïve café", "naive café ☃"}
+    texts |= {t[:i] + t[i + 1:i + 2] + t[i:i + 1] + t[i + 2:] for t in sorted(texts)[::3] for i in [rng.randrange(len(t))]}
+    labels = spark.createDataFrame([(t,) for t in sorted(texts)], "text string").coalesce(1)
+    of = lambda links: {r.node: r.component for r in connected_components(links, "a", "b").collect()}
+    want, some = of(dedup.similar_labels(labels).select("a", "b")), pytest.MonkeyPatch()
+    with some.context() as m:
+        m.setattr(alike, "KEYS", 500)
+        assert of(dedup.similar_links(labels, Scratch(spark, "links"))) == want and len(set(want.values())) > 10
+        m.setattr(alike, "MAX_LABELS", 0)
+        assert of(dedup.similar_links(labels, Scratch(spark, "links"))) == want
+    pairs = [(x, y) for x in sorted(texts)[:60] for y in sorted(texts)[200:260] if x != y]
+    for x, y in pairs:
+        assert alike.jaro_winkler_rows(alike._chars([x], len(x)), alike._chars([y], len(y)))[0] == jaro_winkler(x, y)

@@ -6,11 +6,14 @@ beyond what shares a rare shingle."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from weftgraph.functions.text import jaro_winkler, jaro_winkler_of, one_edit_of, shannon_bits, shingles
+from weftgraph.operators import alike as L
 from weftgraph.operators.build import least_rows
 from weftgraph.operators.components import connected_components
 from weftgraph.scratch import Scratch
@@ -48,13 +51,29 @@ def jaccard_pairs(items: DataFrame, threshold: float = JACCARD, k: int = 3) -> D
     return cand.select("a", "b", (both / (F.col("na") + F.col("nb") - both)).alias("jaccard")).where(F.col("jaccard") >= threshold)
 
 
+def _telling(labels: DataFrame) -> DataFrame:
+    """Distinct labels of enough entropy to be compared."""
+    return labels.select("text").where(F.col("text") != "").distinct().where(shannon_bits(F.col("text")) >= ENTROPY)
+
+
+def similar_links(labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """(a, b): links with the components of ``similar_labels``, not all its pairs where the labels fit into arrays."""
+    items = scratch.save(_telling(labels))
+    if (got := L.classes(items, JACCARD, JW, SHORT)) is None:
+        return similar_labels(labels).select("a", "b")
+    texts, root = got
+    moved = pa.array(np.flatnonzero(root != np.arange(len(root))))
+    table = pa.table({"a": texts.take(moved), "b": texts.take(pa.array(root).take(moved))})
+    return labels.sparkSession.createDataFrame(table, "a string, b string")
+
+
 def similar_labels(labels: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
     """(a, b, jw): pairs of distinct labels that count as one entity. ``labels``: column text, normal forms.
 
     ``boosted`` (text, community): where both labels have the same community and at least ``SHORT``
     characters, ``BOOST`` is added to the similarity before it is held against the threshold.
     """
-    items = labels.select("text").where(F.col("text") != "").distinct().where(shannon_bits(F.col("text")) >= ENTROPY).select(F.col("text").alias("key"), "text")
+    items = _telling(labels).select(F.col("text").alias("key"), "text")
     cand = jaccard_pairs(items).withColumn("jw", jaro_winkler_of(F.col("a"), F.col("b")))
     reached = F.col("jw")
     if boosted is not None:
@@ -131,7 +150,8 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scrat
     links = n.join(exact, ["form", "source_file"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     heads = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form").agg(F.min("id").alias("head"))
     boosted = None if communities is None else heads.join(communities.select(F.col("id").alias("head"), "community"), "head").select(F.col("form").alias("text"), "community")
-    alike = similar_labels(heads.select(F.col("form").alias("text")), boosted)
+    forms = heads.select(F.col("form").alias("text"))
+    alike = similar_links(forms, scratch) if boosted is None else similar_labels(forms, boosted)
     fuzzy = alike.join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a").join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")),
         "b").select("src", "dst")
     members = connected_components(links.union(fuzzy), scratch=scratch)
