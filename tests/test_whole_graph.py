@@ -195,3 +195,22 @@ def test_links_of_labels_by_arrays_are_those_of_all_pairs(spark, tmp_path):
     pairs = [(x, y) for x in sorted(texts)[:60] for y in sorted(texts)[200:260] if x != y]
     for x, y in pairs:
         assert alike.jaro_winkler_rows(alike._chars([x], len(x)), alike._chars([y], len(y)))[0] == jaro_winkler(x, y)
+
+
+def test_package_imports_send_no_row_of_a_star_on(spark, monkeypatch):
+    from weftgraph.operators import resolution
+
+    classes = [("p", f"C{i}", f"c{i}") for i in range(9)] + [("q", "C1", "c1"), ("q", "D", "d"), ("p", "C0", "c0"), (None, "N", "n"), ("q", "E", None), ("r", "F", "f1")]
+    imports = [("f1", "p.*"), ("f1", "p.C1"), ("f1", "q.*"), ("f2", "q.C1"), ("f2", "p.C1"), ("f2", "p.C2"), ("f2", "p.C2"), ("f3", "p.*"), ("f3", "p.*"), ("f1", "r.*"), ("f4", "r.F"),
+        ("f4", "x.C1"), (None, "p.*")]
+    c, i = spark.createDataFrame(classes, "package string, label string, id string"), spark.createDataFrame(imports, "file_id string, name string")
+    want = set()
+    for f, name in imports:
+        package, label = name.rsplit(".", 1)
+        want |= {(f, k) for p, x, k in classes if f and k and p == package and label in ("*", x) and f != k}
+    monkeypatch.setattr(resolution, "CHUNK", 2)
+    got = resolution.package_imports(i, c)
+    rows = [(r.src, r.dst) for r in got.collect()]
+    assert sorted(rows) == sorted(want)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.splitlines()[0].startswith("Union")  # no pass over all rows after the stars are opened
