@@ -214,3 +214,14 @@ def test_package_imports_send_no_row_of_a_star_on(spark, monkeypatch):
     assert sorted(rows) == sorted(want)
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.splitlines()[0].startswith("Union")  # no pass over all rows after the stars are opened
+
+
+def test_full_lists_of_questions_look_for_no_more(spark, tiny, monkeypatch):
+    want = [tuple(r) for r in Q.suggest_questions(star_nodes(spark, tiny), star_edges(spark, tiny), 40).collect()][:3]
+    assert {r[0] for r in want} == {"ambiguous_edge"}
+
+    def never(*_):
+        raise AssertionError("bridges cannot be among the rows")
+
+    monkeypatch.setattr(Q, "node_betweenness", never)
+    assert [tuple(r) for r in Q.suggest_questions(star_nodes(spark, tiny), star_edges(spark, tiny), 3).collect()] == want
