@@ -225,3 +225,12 @@ def test_full_lists_of_questions_look_for_no_more(spark, tiny, monkeypatch):
 
     monkeypatch.setattr(Q, "node_betweenness", never)
     assert [tuple(r) for r in Q.suggest_questions(star_nodes(spark, tiny), star_edges(spark, tiny), 3).collect()] == want
+
+
+def test_communities_without_hubs_write_little(spark, tiny, monkeypatch):
+    from weftgraph.scratch import Scratch
+
+    saved, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df: saved.append(df.columns) or save(self, df))
+    assert QUERIES["split_oversized"](spark, tiny).count() == star_nodes(spark, tiny).count()
+    assert saved == [["id"], ["h"], ["u", "n", "v"]]  # no table of edges or of a round
