@@ -139,3 +139,26 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert N.jaccard_components(docs).count() == 0
     assert N.one_per_group(docs).count() == 0
+
+
+def test_rows_of_the_matrix_are_shuffled_once(spark, monkeypatch):
+    """Places are joined to the texts: no row of the matrix is dealt by its class before it goes to its task."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(5)]
+    rows = [(i, " ".join(b[:j] + ["x"] + b[j + 1:])) for i, (b, j) in enumerate((b, rng.randrange(60)) for b in base for _ in range(8))]
+    d = spark.createDataFrame(rows + rows[:6], SCHEMA)
+    plans, linked = [], N.connected_components
+
+    def kept(links, a, b, scratch):
+        plans.append(links._jdf.queryExecution().executedPlan().toString())
+        return linked(links, a, b, scratch)
+
+    monkeypatch.setattr(N, "connected_components", kept)
+    monkeypatch.setattr(N, "BLOCK_ROWS", 4)  # classes in several places
+    held = spark.conf.get(key := "spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(key, "-1")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in N.jaccard_components(d).collect()), key=str)
+    spark.conf.set(key, held)
+    assert got == brute(rows + rows[:6])
+    assert "FlatMapGroupsInPandas" in plans[1] and plans[1].count("hashpartitioning(task") == 1 and "hashpartitioning(uid" not in plans[1]

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.batches import bounded
+from weftgraph.llm.batches import bounded, trimmed
 from weftgraph.scratch import Scratch
 
 WINDOW = 13
@@ -308,7 +308,7 @@ def decontaminate(
     share = lambda g: spark.sparkContext.broadcast(pickle.dumps(build(g, window)))
     own = docs.select(*(F.col(f"`{c}`") for c in kept))
     if following is None:
-        return own.mapInArrow(_group_mapper(share(group), None, kept, names, text_col, clean), schema)
+        return own.mapInArrow(trimmed(_group_mapper(share(group), None, kept, names, text_col, clean)), schema)
     scratch = scratch or Scratch(spark, "decontamination")
     row = "row"
     while row in kept:

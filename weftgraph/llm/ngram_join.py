@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftgraph.llm import kernels as K
-from weftgraph.llm.batches import bounded
+from weftgraph.llm.batches import bounded, trimmed
 from weftgraph.operators.components import connected_components
 from weftgraph.scratch import Scratch
 
@@ -253,20 +253,25 @@ def _fact_mapper(k: int):
 
 
 def _row_mapper(k: int):
-    """Texts of candidates -> one row of the incidence matrix per class and task."""
+    """Texts of candidates, with the places of their classes -> one row of the incidence matrix per place and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         for batch in batches:
-            uid, chk, cells = [], [], []
-            for _, row in _rows(batch, k):
+            places, out = batch.column("places"), []
+            for i, row in _rows(batch, k):
                 cls = _class_id(row)
-                if cls not in seen:
+                if cls in seen:
+                    continue
+                # the hash of a text may be that of another class
+                mine = [p for p in places[i].as_py() if (p["uid"], p["chk"]) == cls]
+                if mine:
                     seen.add(cls)
-                    uid.append(cls[0])
-                    chk.append(cls[1])
-                    cells.append(row.tobytes())
-            yield pa.RecordBatch.from_pydict({"uid": pa.array(uid, pa.int64()), "chk": pa.array(chk, pa.int64()), "cells": pa.array(cells, pa.binary())})
+                    cells = row.tobytes()
+                    out += [(f"{cls[0]}:{cls[1]}", cells, p["task"], p["part"]) for p in mine]
+            names = ("cls", "cells", "task", "part")
+            kinds = (pa.string(), pa.binary(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], kind) for j, kind in enumerate(kinds)], names=list(names))
 
     return run
 
@@ -356,11 +361,11 @@ def jaccard_components(
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     id_type = dict(source.dtypes)["id"]
     facts = scratch.save(
-        source.select("id", F.xxhash64("text").alias("tk"), "text").mapInArrow(_fact_mapper(k), f"id {id_type}, tk long, uid long, chk long, n_shingles long")
+        source.select("id", F.xxhash64("text").alias("tk"), "text").mapInArrow(trimmed(_fact_mapper(k)), f"id {id_type}, tk long, uid long, chk long, n_shingles long")
     )
     texts = source.select("text").where("text is not null")
     common = spark.sparkContext.broadcast(_common_columns(texts, k))
-    entries = texts.mapInArrow(_entry_mapper(k, num, den, common), "sig long, uid long")
+    entries = texts.mapInArrow(trimmed(_entry_mapper(k, num, den, common)), "sig long, uid long")
     led = entries.selectExpr("uid", "min(uid) over (partition by sig) as lead").where("uid != lead").distinct()
     members = connected_components(led, "uid", "lead", scratch)
 
@@ -370,15 +375,13 @@ def jaccard_components(
         F.count("*").alias("copies"))
     )
     blocks = scratch.save(_row_blocks(members.withColumnRenamed("node", "uid").join(classes.select("uid", "chk", "tk", "n"), "uid"), scratch))
-    wanted = blocks.select("tk").distinct()
-    if wanted.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
+    # the places travel with the hash of the text, so rows of the matrix are shuffled once, to their tasks
+    wanted = blocks.groupBy("tk").agg(F.collect_list(F.struct("uid", "chk", "task", "part")).alias("places"))
+    if blocks.count() <= BROADCAST_ROWS:  # else a shuffled join on the text's hash
         wanted = F.broadcast(wanted)
-    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(wanted, "tk", "left_semi").select("text").mapInArrow(_row_mapper(k),
-        "uid long, chk long, cells binary")
-    links = (
-        cells.join(blocks.select("uid", "chk", "task", "part"), ["uid", "chk"]).select(cls, "cells", "task", "part")
-        .groupBy("task").applyInPandas(_product(num, den), "a string, b string")
-    )
+    cells = source.select(F.xxhash64("text").alias("tk"), "text").where("text is not null").join(wanted, "tk").select("text", "places").mapInArrow(trimmed(_row_mapper(k)),
+        "cls string, cells binary, task string, part string")
+    links = cells.groupBy("task").applyInPandas(_product(num, den), "a string, b string")
     linked = connected_components(links, "a", "b", scratch).withColumnRenamed("node", "cls")
     labelled = scratch.save(classes.select("uid", "chk", cls, "first_id").join(linked, "cls").drop("cls"))
     least = labelled.groupBy("component").agg(F.min("first_id").alias("component_id"))
