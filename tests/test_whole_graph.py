@@ -234,3 +234,28 @@ def test_communities_without_hubs_write_little(spark, tiny, monkeypatch):
     monkeypatch.setattr(Scratch, "save", lambda self, df: saved.append(df.columns) or save(self, df))
     assert QUERIES["split_oversized"](spark, tiny).count() == star_nodes(spark, tiny).count()
     assert saved == [["id"], ["h"], ["u", "n", "v"]]  # no table of edges or of a round
+
+
+@pytest.mark.parametrize("regions", [1, 3])
+def test_rounds_send_two_numbers_a_node(spark, tmp_path, monkeypatch, regions):
+    """What a round sends lies on the disk of each machine: the community of each node, its weight, and a bit."""
+    import numpy as np
+
+    from weftgraph.scratch import Scratch
+
+    rng = random.Random(9)
+    pairs = [(f"n{rng.randrange(400)}", f"n{rng.randrange(400)}") for _ in range(1500)]
+    e, scratch = spark.createDataFrame(pairs, "src string, dst string").coalesce(1), Scratch(spark, "rounds")
+    order = numbered.order_of(e.selectExpr("explode(array(src, dst)) AS id").distinct(), scratch)
+    blocks, sent, whole = numbered.adjacency(e, order, scratch), [], community.per_block
+
+    def kept(blocks, f, *shared):
+        sent.append((f.__name__, sum(x.nbytes for x in shared if isinstance(x, np.ndarray))))
+        return whole(blocks, f, *shared)
+
+    monkeypatch.setattr(community, "per_block", kept)
+    got = community._partition(blocks, order, np.arange(len(order), dtype=np.int32) % regions)
+    rounds = [x for name, x in sent if name == "_moves"]
+    assert len(rounds) > 2 and max(rounds) <= 8.2 * len(order)
+    assert all(a % regions == b % regions for a, b in enumerate(got) if b >= 0)
+    assert not spark.conf.get(numbered._CLEAN, "false") == "true"

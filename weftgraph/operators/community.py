@@ -65,10 +65,11 @@ def _odd(order: np.ndarray, r: int) -> np.ndarray:
         return ((h ^ h >> np.uint64(32)) & np.uint64(1)).astype(bool)
 
 
-def _inner(u, n, v, region):
-    """Steps of a block between two nodes of one region, as (place of the node in the block, end)."""
+def _inner(u, n, v, region, one=False):
+    """Steps of a block between two nodes of one region, as (place of the node in the block, end). ``one``: all that
+    are not negative are one region."""
     own = np.repeat(np.arange(len(u)), n)
-    keep = (region[u][own] == region[v]) & (region[v] >= 0) & (u[own] != v)
+    keep = (one | (region[u][own] == region[v])) & (region[u][own] >= 0) & (region[v] >= 0) & (u[own] != v)
     return own[keep], v[keep]
 
 
@@ -93,10 +94,12 @@ def _weights(u, n, v, region):
 
 
 def _moves(u, n, v, region, community, tot, odd, total, resolution):
-    """(node, community, whether it moves now) of the nodes of a block that want to move."""
-    own, v = _inner(u, n, v, region)
+    """(node, community) of the nodes of a block that move now, the first -1 if there are only others that want to.
+    ``region`` None: all nodes that have a community."""
+    own, v = _inner(u, n, v, community if region is None else region.value, region is None)
     if not len(own):
         return None
+    odd = np.unpackbits(odd, count=len(community)).view(bool)[u]
     k, old = np.bincount(own, minlength=len(u)).astype(float), community[u]
     at, c, w = _counted(own, community[v])
     stays = c == old[at]
@@ -105,8 +108,12 @@ def _moves(u, n, v, region, community, tot, odd, total, resolution):
     stay[at[stays]] = gain[stays]
     best = _best(at, np.round(gain, 9))  # ties: the least hash, as numbers go by hashes
     best = best[gain[best] > stay[at[best]] + 1e-9]
-    node = u[at[best]]
-    return node, c[best].astype(np.int32), ~odd[node]
+    if not len(best):
+        return None
+    now = best[~odd[at[best]]]
+    if not len(now):
+        return np.array([-1], np.int32), np.array([-1], np.int32)
+    return u[at[now]].astype(np.int32), c[now].astype(np.int32)
 
 
 def _links(u, n, v, community):
@@ -136,13 +143,21 @@ def _partition(blocks: DataFrame, order: np.ndarray, region: np.ndarray, rounds:
         k[got[0]] = got[1]
     some = k > 0
     community = np.where(some, np.arange(n), -1).astype(np.int32)
+    # what a pass is sent lies on the disk of each machine, and more than once: the regions are sent once, and not at all
+    # where there is one, for then the nodes in it that have a step have a community
+    whole = not len(region) or region.max() <= 0
+    shared = None if whole else blocks.sparkSession.sparkContext.broadcast(region)
+    total = k.sum() or 1.0
     for r in range(rounds):
-        tot = np.bincount(community[some], k[some], minlength=n)
-        got = per_block(blocks, _moves, region, community, tot, _odd(order, r), k.sum() or 1.0, resolution)
-        if not got or not len(got[0]):
+        tot = np.bincount(community[some], k[some], minlength=n).astype(np.int32 if total < 1 << 31 else np.float64)
+        got = per_block(blocks, _moves, shared, community, tot, np.packbits(_odd(order, r)), total, resolution)
+        if not got:
             break
-        node, to, now = got
-        community[node[now]] = to[now]
+        node, to = got
+        to, node = to[node >= 0], node[node >= 0]
+        community[node] = to
+    if shared is not None:
+        shared.destroy()
     return community
 
 

@@ -14,6 +14,8 @@ from weftgraph.scratch import Scratch
 #: Nodes that arrays are held for; steps of a block, and rows that a task packs at once.
 MAX_NODES, BLOCK, FLUSH = 20_000_000, 1_000_000, 4_000_000
 _PACKED = "part int, u binary, v binary"
+#: Shuffle files of a write go as soon as it ends, not when the driver happens to collect its garbage.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BLOCKS = "u binary, n binary, v binary"
 
 
@@ -59,8 +61,15 @@ def adjacency(edges: DataFrame, order: np.ndarray, scratch: Scratch) -> DataFram
         u, v = u[by], v[by]
         cuts = np.searchsorted(u, np.arange(parts + 1, dtype=np.int64) * span)
         some = [p for p in range(parts) if cuts[p] < cuts[p + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *(pa.array([x[cuts[p]:cuts[p + 1]].tobytes() for p in some], pa.binary()) for x in (u, v))],
-            names=["part", "u", "v"])
+        # the nodes of a part as steps from one to the next, which take less room than their numbers
+        at = [np.diff(u[cuts[p]:cuts[p + 1]], prepend=np.int32(p * span)) for p in some]
+        small = [x.astype(np.uint8) if x.max() < 256 else x for x in at]
+        return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([x.tobytes() for x in small], pa.binary()),
+            pa.array([v[cuts[p]:cuts[p + 1]].tobytes() for p in some], pa.binary())], names=["part", "u", "v"])
+
+    def opened(p, u, v):
+        v = ints(v)
+        return np.cumsum(np.frombuffer(u, np.uint8 if len(u) == len(v) else np.int32), dtype=np.int64).astype(np.int32) + np.int32(p * span), v
 
     def pack(batches):
         a, b, n = [], [], 0
@@ -80,15 +89,21 @@ def adjacency(edges: DataFrame, order: np.ndarray, scratch: Scratch) -> DataFram
             for p, u, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 held.setdefault(p, []).append((u, v))
         for p in sorted(held):
-            got = held.pop(p)
-            u, v = (np.concatenate([ints(x[i]) for x in got]) for i in (0, 1))
+            got = [opened(p, *x) for x in held.pop(p)]
+            u, v = (np.concatenate([x[i] for x in got]) for i in (0, 1))
             key = np.sort(u.astype(np.int64) << 32 | v)
             u, v = (key >> 32).astype(np.int32), (key & 0x7FFFFFFF).astype(np.int32)
             nodes, n = np.unique(u, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (nodes, n.astype(np.int32), v)], names=["u", "n", "v"])
 
     ends = edges.where("src is not null and dst is not null").select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    out = scratch.save(ends.mapInArrow(pack, _PACKED).repartition(parts, "part").mapInArrow(merge, BLOCKS))
+    conf = edges.sparkSession.conf
+    before = conf.get(_CLEAN, None)
+    conf.set(_CLEAN, "true")
+    try:
+        out = scratch.save(ends.mapInArrow(pack, _PACKED).repartition(parts, "part").mapInArrow(merge, BLOCKS))
+    finally:
+        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
     shared.destroy()
     return out
 
