@@ -259,3 +259,59 @@ def test_rounds_send_two_numbers_a_node(spark, tmp_path, monkeypatch, regions):
     assert len(rounds) > 2 and max(rounds) <= 8.2 * len(order)
     assert all(a % regions == b % regions for a, b in enumerate(got) if b >= 0)
     assert not spark.conf.get(numbered._CLEAN, "false") == "true"
+
+
+def test_dedup_by_classes_is_that_of_pairs_and_looks_for_no_component(spark, monkeypatch):
+    """Forms in several files, in none, too plain to be compared, and nodes without a form or an id; edges follow."""
+    from weftgraph.operators import dedup
+
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(4, 9))) for _ in range(8)]
+    labels = [f"order {rng.randrange(99_900, 100_300)}" for _ in range(120)] + [" ".join(rng.choice(words) for _ in range(2)) for _ in range(80)] + ["aaa", "", None, "zażółć gęślą", "zażółć gęśla"] * 3
+    rows = [(f"n{i}" + "_c1" * (i % 11 == 0), t, rng.choice(["f", "g", None])) for i, t in enumerate(labels)] + [(None, labels[0], "f")]
+    n = spark.createDataFrame(rows, "id string, label string, source_file string").coalesce(2)
+    e = spark.createDataFrame([(rng.choice(rows)[0], rng.choice(rows)[0]) for _ in range(200)], "src string, dst string").coalesce(2)
+    of = lambda got: [sorted(map(str, x.collect())) for x in got]
+    with monkeypatch.context() as m:
+        m.setattr(dedup.L, "MAX_LABELS", 0)
+        want = of(dedup.deduplicate(n, e, F.col("label")))
+
+    def never(*_, **__):
+        raise AssertionError("classes are the components")
+
+    monkeypatch.setattr(dedup, "connected_components", never)
+    monkeypatch.setattr(dedup, "similar_labels", never)
+    assert of(dedup.deduplicate(n, e, F.col("label"))) == want and 20 < len(want[0]) < 150
+
+
+def test_labels_are_not_gathered_on_the_driver(spark, monkeypatch):
+    """Links of labels that share a hot shingle, a combination of very many, and characters beyond 16 bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    from weftgraph.functions.text import shannon_bits
+    from weftgraph.operators import alike
+
+    rng = random.Random(6)
+    texts = sorted({f"part {rng.randrange(9_000):05} of {rng.choice('xyz') * 3} \U0001f600" for _ in range(250)} | {f"node {i:09}" for i in range(200)} | {" ", "ab", "a", "\U0001f600\U0001f601"})
+    counts = np.full(1 << alike.BUCKETS, 9, np.int32)
+    every = pa.array(texts)
+    want = alike.linked(every, counts, 0, 1, 0.7, 0.92, 12)
+    for keys, most in ((8, 60), (200_000, 1)):
+        monkeypatch.setattr(alike, "KEYS", keys)
+        monkeypatch.setattr(alike, "COMBINATIONS", most)
+        root = np.arange(len(texts), dtype=np.int32)
+        rows, codes = alike.token_rows(every, counts)
+        by = alike.Shares(codes, counts, 7, 0.7)
+        dealt = []
+        for n, (at, r) in rows.items():
+            i, to = by.rows(r, max(n - o for o in (alike.least_overlap(n, m, 0.7) for m in rows) if o))
+            dealt.append((at[i], to))
+        for share in range(7):
+            own = np.concatenate([at[to == share] for at, to in dealt]).astype(np.int32)
+            got = alike.linked(every.take(pa.array(own)), counts, share, 7, 0.7, 0.92, 12)
+            alike.joined(root, own, own[got])
+        assert (root == want).all()
+    df = spark.createDataFrame([(t,) for t in texts if t.strip()], "t string").withColumn("b", shannon_bits(F.col("t"))).toPandas()
+    bits = alike.entropy_bits(pa.array(df["t"].tolist()))
+    assert all(np.isnan(x) == (max(t) > "￿") and (np.isnan(x) or abs(x - y) < 1e-9) for x, t, y in zip(bits, df["t"], df["b"], strict=True))

@@ -6,7 +6,6 @@ beyond what shares a rare shingle."""
 
 from __future__ import annotations
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -57,14 +56,13 @@ def _telling(labels: DataFrame) -> DataFrame:
 
 
 def similar_links(labels: DataFrame, scratch: Scratch) -> DataFrame:
-    """(a, b): links with the components of ``similar_labels``, not all its pairs where the labels fit into arrays."""
-    items = scratch.save(_telling(labels))
-    if (got := L.classes(items, JACCARD, JW, SHORT)) is None:
+    """(a, b): links with the components of ``similar_labels``, not all its pairs where the labels are not too many."""
+    items = scratch.save(_telling(labels).withColumn("at", F.monotonically_increasing_id()))
+    if (got := L.classes(items, scratch, JACCARD, JW, SHORT)) is None:
         return similar_labels(labels).select("a", "b")
-    texts, root = got
-    moved = pa.array(np.flatnonzero(root != np.arange(len(root))))
-    table = pa.table({"a": texts.take(moved), "b": texts.take(pa.array(root).take(moved))})
-    return labels.sparkSession.createDataFrame(table, "a string, b string")
+    texts = L.placed(items, *got, "text")
+    first = texts.where("number = root").select(F.col("text").alias("b"), "root")
+    return texts.where("number <> root").select(F.col("text").alias("a"), "root").join(first, "root").select("a", "b")
 
 
 def similar_labels(labels: DataFrame, boosted: DataFrame | None = None) -> DataFrame:
@@ -146,20 +144,59 @@ def deduplicate(nodes: DataFrame, edges: DataFrame, norm: Column, scratch: Scrat
     if nodes.limit(2).count() < 2:
         return nodes, edges
     n = scratch.save(least_rows(nodes, "id").withColumn("form", norm))
+    if communities is None and (got := _by_classes(n, scratch)):
+        kept, remap = got
+        return kept, rewire(edges, remap)
     exact = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form", "source_file").agg(F.min_by("id", F.struct(F.length("id"), F.col("id"))).alias("head"))
     links = n.join(exact, ["form", "source_file"]).where("id <> head").select(F.col("id").alias("src"), F.col("head").alias("dst"))
     heads = n.where(F.coalesce("form", F.lit("")) != "").groupBy("form").agg(F.min("id").alias("head"))
     boosted = None if communities is None else heads.join(communities.select(F.col("id").alias("head"), "community"), "head").select(F.col("form").alias("text"), "community")
-    forms = heads.select(F.col("form").alias("text"))
-    alike = similar_links(forms, scratch) if boosted is None else similar_labels(forms, boosted)
-    fuzzy = alike.join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a").join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")),
-        "b").select("src", "dst")
+    fuzzy = similar_labels(heads.select(F.col("form").alias("text")), boosted).join(heads.select(F.col("form").alias("a"), F.col("head").alias("src")), "a")
+    fuzzy = fuzzy.join(heads.select(F.col("form").alias("b"), F.col("head").alias("dst")), "b").select("src", "dst")
     members = connected_components(links.union(fuzzy), scratch=scratch)
     remap = scratch.save(members.join(survivors(members), "component").select(F.col("node").alias("old"), F.col("winner").alias("new")))
     kept = n.drop("form").join(remap.where("old <> new").select(F.col("old").alias("id")), "id", "left_anti")
     return kept, rewire(edges, remap)
 
 
+def _with_telling(forms: DataFrame) -> DataFrame:
+    """Column ``telling``: the forms that ``_telling`` keeps, by arrays; those near the bound by its own expression."""
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(L.entropy_bits(batch.column(0)))], names=[*batch.schema.names, "bits"])
+
+    bits = F.col("bits")
+    telling = F.when(F.isnan(bits) | (F.abs(bits - ENTROPY) < 1e-6), shannon_bits(F.col("form")) >= ENTROPY).otherwise(bits >= ENTROPY)
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in forms.schema)
+    return forms.mapInArrow(run, f"{kinds}, bits double").withColumn("telling", telling).drop("bits")
+
+
+def _by_classes(n: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame] | None:
+    """(kept nodes, (old, new)) by groups of a form and a file; the one with a form's first node stands for the form in
+    the similarity join, so a class is its groups and no component has to be looked for. None if the forms are too many."""
+    # without a file a node is a group of its own
+    group = F.coalesce(F.concat(F.lit("f"), F.col("source_file")), F.concat(F.lit("i"), F.col("id"))).alias("group")
+    formed = (F.coalesce("form", F.lit("")) != "") & F.col("id").isNotNull()
+    best = F.min(F.struct(F.col("id").rlike(r"_c\d+$").alias("cut"), F.length("id").alias("size"), F.col("id"))).alias("best")
+    groups = scratch.save(n.where(formed).groupBy("form", group).agg(best, F.min("id").alias("least")))
+    forms = groups.groupBy("form").agg(F.min("least").alias("least"), F.min_by("best", "least").alias("best"), F.count("*").alias("n"))
+    forms = scratch.save(_with_telling(forms.select("form", "least", "best.*", "n")))
+    items = scratch.save(forms.where("telling").select(F.col("form").alias("text"), "cut", "size", "id").withColumn("at", F.monotonically_increasing_id()))
+    if (got := L.classes(items, scratch, JACCARD, JW, SHORT)) is None:
+        return None
+    several = forms.where("n > 1").select("form", F.col("least").alias("first"))
+    rest = groups.join(several, "form").where("least <> first")
+    won = scratch.save(L.placed(items, *got, "cut", "size", "id").groupBy("root").agg(F.min(F.struct("cut", "size", "id"))["id"].alias("new")))
+    winners = won.select(F.col("new").alias("id")).union(forms.where("not telling").select("id")).union(rest.select("best.id"))
+    kept = n.where(~formed).union(n.where(formed).join(winners, "id", "left_semi").select(*n.columns)).drop("form")
+    # a form's own group goes with its class, another with itself
+    to = L.placed(items, *got, "text").join(won, "root").select(F.col("text").alias("form"), "new").join(forms.select("form", F.col("least").alias("first")), "form", "right")
+    to = groups.join(to, "form").select("form", "group", F.when(F.col("least") == F.col("first"), F.coalesce("new", "best.id")).otherwise(F.col("best.id")).alias("new"))
+    remap = n.where(formed).select("id", "form", group).join(to, ["form", "group"]).select(F.col("id").alias("old"), "new")
+    # a node that stays alone is not merged, so its own loops stay
+    return kept, remap.join(remap.where("old <> new").select("new").distinct(), "new", "left_semi").select("old", "new")
+
+
 def rewire(edges: DataFrame, remap: DataFrame) -> DataFrame:
     """Edges with their ends moved by (old, new); what becomes a self-loop by that goes."""
     own = edges.columns

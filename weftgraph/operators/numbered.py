@@ -4,9 +4,11 @@ held per node is an array on the driver, broadcast to the passes."""
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftgraph.scratch import Scratch
@@ -23,6 +25,17 @@ def ints(raw) -> np.ndarray:
     return np.frombuffer(raw, dtype=np.int32)
 
 
+@contextmanager
+def file_cleanup(spark: SparkSession):
+    """Shuffle files of the writes in it go as soon as each ends."""
+    before = spark.conf.get(_CLEAN, None)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(_CLEAN) if before is None else spark.conf.set(_CLEAN, before)
+
+
 def order_of(ids: DataFrame, scratch: Scratch) -> np.ndarray | None:
     """Sorted hashes of the ids (column id, distinct); None beyond ``MAX_NODES``, or if two ids share a hash."""
     saved = scratch.save(ids.select(F.xxhash64("id").alias("h")))
@@ -97,13 +110,8 @@ def adjacency(edges: DataFrame, order: np.ndarray, scratch: Scratch) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (nodes, n.astype(np.int32), v)], names=["u", "n", "v"])
 
     ends = edges.where("src is not null and dst is not null").select(F.xxhash64("src").alias("a"), F.xxhash64("dst").alias("b"))
-    conf = edges.sparkSession.conf
-    before = conf.get(_CLEAN, None)
-    conf.set(_CLEAN, "true")
-    try:
+    with file_cleanup(edges.sparkSession):
         out = scratch.save(ends.mapInArrow(pack, _PACKED).repartition(parts, "part").mapInArrow(merge, BLOCKS))
-    finally:
-        conf.unset(_CLEAN) if before is None else conf.set(_CLEAN, before)
     shared.destroy()
     return out
 
