@@ -216,6 +216,17 @@ def test_package_imports_send_no_row_of_a_star_on(spark, monkeypatch):
     assert plan.splitlines()[0].startswith("Union")  # no pass over all rows after the stars are opened
 
 
+def test_stars_are_opened_by_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    from weftgraph.operators import resolution
+
+    monkeypatch.setattr(resolution, "FEW_ROWS", 100, raising=False)
+    monkeypatch.setattr(resolution, "STAR_ROWS", 400, raising=False)
+    c = spark.createDataFrame([(f"p{i % 2}", f"C{i}", f"c{i}") for i in range(60)], "package string, label string, id string")
+    got = resolution.package_imports(spark.createDataFrame([(f"f{i % 200}", f"p{i % 2}.*") for i in range(400)], "file_id string, name string"), c)
+    by = [len(part) for part in got.rdd.glom().collect() if part]
+    assert sum(by) == 6000 and len(by) >= 20 and max(by) <= 1200
+
+
 def test_full_lists_of_questions_look_for_no_more(spark, tiny, monkeypatch):
     want = [tuple(r) for r in Q.suggest_questions(star_nodes(spark, tiny), star_edges(spark, tiny), 40).collect()][:3]
     assert {r[0] for r in want} == {"ambiguous_edge"}
